@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import automaton, pieces, simhash, suffix_array
+from . import automaton, decontaminate, pieces, simhash, suffix_array
 
 
 def tokenizer_path() -> str:
@@ -25,6 +25,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,6 @@ def op10_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash, "op5_pieces": op5_pieces, "op8_suffix_array": op8_suffix_array, "op10_automaton": op10_automaton}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash, "op5_pieces": op5_pieces, "op7_prefix_join": op7_prefix_join, "op8_suffix_array": op8_suffix_array, "op10_automaton": op10_automaton}
 #: None of these operators can be stated in DuckDB's SQL: no XXH64, no piece model.
 ORACLES: dict[str, str] = {}
