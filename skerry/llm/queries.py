@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import automaton, decontaminate, pieces, simhash, suffix_array, toxicity
+from . import automaton, decontaminate, importance, language, pieces, simhash, suffix_array, toxicity
 
 
 def tokenizer_path() -> str:
@@ -17,10 +17,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
 def op4_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +49,6 @@ def op10_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash, "op4_noisy_channel": op4_noisy_channel, "op5_pieces": op5_pieces, "op7_prefix_join": op7_prefix_join, "op8_suffix_array": op8_suffix_array, "op10_automaton": op10_automaton}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_importance": op1_importance, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_noisy_channel": op4_noisy_channel, "op5_pieces": op5_pieces, "op7_prefix_join": op7_prefix_join, "op8_suffix_array": op8_suffix_array, "op10_automaton": op10_automaton}
 #: None of these operators can be stated in DuckDB's SQL: no XXH64, no piece model.
 ORACLES: dict[str, str] = {}

@@ -27,7 +27,8 @@ SWAP, GAP, REPEAT, KEEP = -1.0, -0.4, -0.3, -3.0
 #: Rows that the lexicon is fitted on, at most: toxic and clean.
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 PREFIXES = (4, 5, 6)
-SUPPORT, PRECISION = 12, 0.8
+#: Least different neighbours and texts of a marker; its least precision, and that of the lower bound.
+SUPPORT, TEXTS, PRECISION, BOUND = 8, 5, 0.95, 0.5
 THRESHOLD, FLOOR = 0.3, 0.02
 
 _LETTERS = np.zeros(256, bool)
@@ -85,13 +86,15 @@ class Lexicon:
         def pairs(texts):
             for at in range(0, len(texts), 200):
                 buf, offsets = _bytes(texts[at : at + 200])
-                whole, begin, _ = features(buf, offsets)
-                before = np.concatenate([np.zeros(1, np.uint64), whole[:-1]])
-                yield whole, begin, before, buf, offsets
+                whole, begin, first = features(buf, offsets)
+                before = np.concatenate([np.zeros(1, np.uint64), whole[:-1]])[: len(whole)]
+                yield whole, begin, before, buf, offsets, first
 
-        def support(texts, wanted=None):
+        def support(texts, wanted=None, by_text=False):
             of, pair = [], []
-            for whole, begin, before, *_ in pairs(texts):
+            for k, (whole, begin, before, _, offsets, first) in enumerate(pairs(texts)):
+                if by_text:
+                    before = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64) + np.uint64(k << 32), np.diff(first))
                 for h in (whole, *begin):
                     keep = np.isin(h, wanted) if wanted is not None else slice(None)
                     of.append(h[keep])
@@ -103,6 +106,8 @@ class Lexicon:
 
         f, t = support(toxic)
         f, t = f[t >= SUPPORT], t[t >= SUPPORT]
+        g, c = support(toxic, f, by_text=True)
+        f, t = f[c >= TEXTS], t[c >= TEXTS]
         g, c = support(clean, f)
         clean_n = np.zeros(len(f))
         clean_n[np.searchsorted(f, g)] = c
@@ -111,10 +116,10 @@ class Lexicon:
         n = t + clean_n / max(odds, 1e-9)
         p, z = t / np.maximum(n, 1), 3.0
         low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) if len(n) else n
-        keep = low >= PRECISION
+        keep = (low >= BOUND) & (p >= PRECISION)
         self.keys, self.scores = f[keep], np.minimum(0.99, 0.5 + 0.5 * p[keep])
         words: dict[str, int] = {}
-        for whole, begin, _, buf, offsets in pairs(toxic):
+        for whole, begin, _, buf, offsets, _ in pairs(toxic):
             hit = self.value(whole, begin) > 0
             starts, ends, _ = vec.words(buf, offsets, _LETTERS)
             raw = buf.tobytes()
