@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import automaton, decontaminate, importance, language, pieces, simhash, suffix_array, toxicity
+from . import automaton, decontaminate, importance, language, pieces, quantise, shards, simhash, suffix_array, toxicity
 
 
 def tokenizer_path() -> str:
@@ -37,6 +37,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantise.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -45,10 +49,14 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents"))
+
+
 def op10_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_importance": op1_importance, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_noisy_channel": op4_noisy_channel, "op5_pieces": op5_pieces, "op7_prefix_join": op7_prefix_join, "op8_suffix_array": op8_suffix_array, "op10_automaton": op10_automaton}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_importance": op1_importance, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_noisy_channel": op4_noisy_channel, "op5_pieces": op5_pieces, "op6_additive": op6_additive, "op7_prefix_join": op7_prefix_join, "op8_suffix_array": op8_suffix_array, "op9_sharding": op9_sharding, "op10_automaton": op10_automaton}
 #: None of these operators can be stated in DuckDB's SQL: no XXH64, no piece model.
 ORACLES: dict[str, str] = {}
