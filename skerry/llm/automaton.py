@@ -139,7 +139,7 @@ def _result(part: pa.RecordBatch, found: list[tuple[int, int, bytes]], keep_text
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, crowd: int = 256, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, crowd: int = 2048, keep_text: bool = False) -> DataFrame:
     """Remove each word covered by a window of `window` words that also starts earlier in the corpus.
 
     Earlier is by doc_id, then by place; windows are judged on the input. Returns doc_id, n_words, n_removed
@@ -148,7 +148,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, crowd: int
     null doc_id is kept and comes before all others; an empty table gives no rows; other columns are not read.
     """
     spans = repeats.repeated_spans(docs, True, window, gram, earlier_windows(window), keep_first=True, crowd=crowd)
-    joined = repeats.keyed(docs).join(spans, ["d", "key"], "left").select("doc_id", "text", "spans")
+    joined = repeats.with_spans(docs, spans)
 
     def run(batches):
         for batch in batches:

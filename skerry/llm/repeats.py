@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import vec
+from .rest import packed
 
 #: Sorts before all doc_ids: stands for a null one.
 NO_ID = -(1 << 63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(d, key, doc_id, text): rows of one doc_id and one text share a key and are treated alike."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(d, key, doc_id, text, rest): rows of one doc_id and one text share a key and are treated alike."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text", packed(docs))
 
 
 def units_of(buf: np.ndarray, offsets: np.ndarray, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +64,40 @@ def _members(base: DataFrame, by_word: bool, window: int, gram: int) -> DataFram
     return base.select("d", "key", "text").mapInArrow(run, "anchor long, context long, d long, key long, start int, n int")
 
 
+#: log2 of the bits that key_bits() has, whatever the size of the data: 8 MB.
+BITS = 26
+
+
+def key_bits(rows: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the rows' keys, by their upper bits; a full one lets all texts pass."""
+    words = rows.select(F.expr(f"shiftrightunsigned(key, {64 - BITS})").alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("m"))
+    got = words.toArrow()  # 2^(BITS - 6) rows at most
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def picked(base: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
+    """Rows of keyed() whose key may be in the bitmap, or surely isn't: so no text is shuffled in vain."""
+    sent = base.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            b = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+            hit = (sent.value[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield batch.filter(pa.array(hit if inside else ~hit))
+
+    return base.mapInArrow(run, base.schema)
+
+
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, text, spans (null where none) and the other columns as `rest` of all documents; only texts that may have spans are shuffled."""
+    base, bits = keyed(docs), key_bits(spans)
+    some = picked(base, bits, True).join(spans, ["d", "key"], "left").select("doc_id", "text", "spans", "rest")
+    none = picked(base, bits, False).select("doc_id", "text", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), "rest")
+    return some.unionByName(none)
+
+
 Method = Callable[[list[tuple[int, int, int, int, bytes]]], list[tuple[int, int, int, int]]]
 
 
@@ -109,7 +144,8 @@ def repeated_spans(docs: DataFrame, by_word: bool, window: int, gram: int, metho
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "d", "key", "start", "crowded", "units"])
 
-    pieces = base.join(asked, ["d", "key"]).select("d", "key", "text", "ms").mapInArrow(cut_out, "anchor long, d long, key long, start int, crowded boolean, units binary")
+    asked = cut(asked)
+    pieces = picked(base.drop("doc_id", "rest"), key_bits(asked), True).join(asked, ["d", "key"]).select("d", "key", "text", "ms").mapInArrow(cut_out, "anchor long, d long, key long, start int, crowded boolean, units binary")
     pieces = cut(pieces)
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from . import repeats
 
@@ -74,17 +75,17 @@ def shared_windows(length: int):
     return method
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, crowd: int = 256, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, crowd: int = 1024, keep_text: bool = False) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts anywhere else.
 
     Texts are UTF-8 bytes; strings never cross texts and are judged on the input. Returns doc_id, n_bytes,
-    n_removed, n_spans (maximal removed runs) and kept_sha256, with the kept text if asked for (what is left
-    of a character cut in two is dropped there). Null texts are empty; texts shorter than `length` stay
+    n_removed, n_spans (maximal removed runs) and kept_sha256, and if asked for the kept text (what is left of a character
+    cut in two is dropped there) and the other columns as `rest`. Null texts are empty; texts shorter than `length` stay
     whole; repeated rows are copies of each other, and all their bytes go; a null doc_id is kept; an empty
     table gives no rows; other columns are not read. Memory of a task follows its batches and `crowd`.
     """
     spans = repeats.repeated_spans(docs, False, length, gram, shared_windows(length), keep_first=False, crowd=crowd)
-    joined = repeats.keyed(docs).join(spans, ["d", "key"], "left").select("doc_id", "text", "spans")
+    joined = repeats.with_spans(docs, spans)
 
     def run(batches):
         for batch in batches:
@@ -103,9 +104,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, crowd: in
                     for col, x in zip(cols, (len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if keep_text else None)):
                         col.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                arrays = [part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))]
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                n = 6 if keep_text else 5
+                arrays = [part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds)), part.column(3)]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "rest"]
+                n = 7 if keep_text else 5
                 yield pa.RecordBatch.from_arrays(arrays[:n], names[:n])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else ""))
+    schema = StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    if keep_text:
+        schema = schema.add("kept", "string").add(joined.schema["rest"])
+    return joined.mapInArrow(run, schema)
