@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats, vec
+from .rest import packed
 
 BLOCK_WINDOWS = 500_000
 
@@ -70,21 +71,23 @@ def _tokenize(batch_column):
         yield row, buf, starts, ends, first, vec.word_hashes(buf, starts, ends)
 
 
-def find_windows(docs: DataFrame, items: DataFrame, size: int = 10, gram: int = 3, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def find_windows(docs: DataFrame, items: DataFrame, size: int = 10, gram: int = 3, block_windows: int = BLOCK_WINDOWS, keep: bool = False) -> DataFrame:
     """doc_id, n_words, hits and item_ids: spans of words inside occurrences of the items' windows.
 
+    With `keep` the text and the other columns (as `rest`) are handed on.
     A window is `size` consecutive words of an item; an item of fewer, but not none, is one window. Null
     texts have no words; repeated rows and items count as they are; items with a null id are called "null";
     an empty benchmark hits nothing; other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = base.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<string>").alias("item_ids"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([packed(docs)] if keep else []))
+    found = whole.select(*whole.columns[:2], F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<string>").alias("item_ids"), *whole.columns[2:])
     some = False
     for block in _blocks(items, size, gram, block_windows):
         found, some = _find(base, found, block), True
     if not some:
         found = _find(base, found, _Block([], size, gram))
-    return found.drop("text")
+    return found if keep else found.drop("text")
 
 
 _HITS = "array<struct<start:int,end:int>>"
@@ -142,6 +145,8 @@ def _find(base: DataFrame, found: DataFrame, block: _Block) -> DataFrame:
     lengths = np.array([len(w) for w in block.windows], np.int64)
     lookup = spark.sparkContext.broadcast((table, block.hashes, block.windows, block.items, lengths))
 
+    names = found.columns
+
     def join(batches):
         table, hashed, windows, items, lengths = lookup.value
         for batch in batches:
@@ -170,11 +175,11 @@ def _find(base: DataFrame, found: DataFrame, block: _Block) -> DataFrame:
                                 which[doc].update(items[w])
                 spans = [[{"start": s, "end": e} for s, e in repeats.merged(h, 1 << 62)] for h in hits]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, n), batch.column(1).slice(row, n), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(w) for w in which], pa.list_(pa.string()))],
-                    ["doc_id", "text", "n_words", "hits", "item_ids"],
+                    [ids.slice(row, n), batch.column(1).slice(row, n), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(w) for w in which], pa.list_(pa.string())), *(batch.column(c).slice(row, n) for c in range(5, batch.num_columns))],
+                    names,
                 )
 
-    return found.mapInArrow(join, f"doc_id long, text string, n_words long, hits {_HITS}, item_ids array<string>")
+    return found.mapInArrow(join, found.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

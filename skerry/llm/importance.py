@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .rest import packed
 
 BUCKETS = 1 << 14
 #: Bound of the labelled rows that are looked at.
@@ -86,8 +87,8 @@ def _counts(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weigh(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, seed: int = 0) -> DataFrame:
-    """doc_id, text, label (null where unknown), n_grams, log_weight and the perturbed `draw` of each document."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, text, rest (the other columns), label (null where unknown), n_grams, log_weight and the perturbed `draw` of each document."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", packed(docs))
     marked = _labelled(base, labels, labelled_rows)
     raw, target = _counts(marked)
     if target.sum():
@@ -107,10 +108,11 @@ def weigh(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
                 weight = sums[first[1:]] - sums[first[:-1]]
                 u = (vec.mix(noise[row : row + n].view(np.uint64) + np.uint64(seed)) >> np.uint64(11)).astype(float)
                 gumbel = -np.log(-np.log((u + 0.5) / 2.0**53))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, n) for c in (0, 1, 3)), pa.array(np.diff(first)), pa.array(weight), pa.array(weight + gumbel)], ["doc_id", "text", "label", "n_grams", "log_weight", "draw"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, n) for c in (0, 1, 4, 3)), pa.array(np.diff(first)), pa.array(weight), pa.array(weight + gumbel)], ["doc_id", "text", "rest", "label", "n_grams", "log_weight", "draw"])
 
-    noisy = marked.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("noise"), F.col("label").cast("int").alias("label"))
-    return noisy.mapInArrow(run, "doc_id long, text string, label int, n_grams long, log_weight double, draw double")
+    noisy = marked.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("noise"), F.col("label").cast("int").alias("label"), "rest")
+    schema = noisy.select("doc_id", "text", "rest", "label").schema.add("n_grams", "long").add("log_weight", "double").add("draw", "double")
+    return noisy.mapInArrow(run, schema)
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
@@ -152,7 +154,7 @@ def best_cut(rows: list[tuple[float, int]], loss: float) -> float | None:
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled_rows: int = LABELLED_ROWS, loss: float = LOSS, seed: int = 0) -> DataFrame:
-    """doc_id, text, n_grams, log_weight, draw and selected: the k documents of the largest draws.
+    """doc_id, text, rest (the other columns), n_grams, log_weight, draw and selected: the k documents of the largest draws.
 
     Without k it is the number of documents whose draw reaches the cut that best parts the labelled rows'
     draws (a lost target text weighing `loss`), so the sample is as large as the raw texts hold target-like
@@ -167,4 +169,4 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled_
     else:
         least = kth_largest(weighed, "draw", k) if k else float("inf")
     chosen = F.lit(True) if least is None else F.col("draw") >= F.lit(float(least))
-    return weighed.select("doc_id", "text", "n_grams", "log_weight", "draw", chosen.alias("selected"))
+    return weighed.select("doc_id", "text", "rest", "n_grams", "log_weight", "draw", chosen.alias("selected"))

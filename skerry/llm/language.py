@@ -69,7 +69,7 @@ def _bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Trained tables: logits of each bucket, bias, temperature, rejection score."""
 
-    def __init__(self, langs: list[str], texts: list[str], labels: np.ndarray, epochs: int = 2, rate: float = 0.5, seed: int = 1):
+    def __init__(self, langs: list[str], texts: list[str], labels: np.ndarray, visits: int = 40_000, rate: float = 0.5, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.langs = langs
         k = max(1, len(langs))
@@ -87,6 +87,7 @@ class Model:
         bias = np.zeros(k, np.float32)
         weight = len(y) / (k * np.maximum(1, np.bincount(y, minlength=k))) if len(y) else np.ones(k)
         train = np.flatnonzero(~aside)
+        epochs = min(40, max(2, -(-visits // max(1, len(train)))))  # small samples are seen more often
         for epoch in range(epochs):
             lr = rate * (1 - epoch / epochs)
             rng.shuffle(train)

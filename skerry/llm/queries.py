@@ -18,7 +18,7 @@ def tokenizer_path() -> str:
 
 
 def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text", "rest")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
