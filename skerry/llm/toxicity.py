@@ -25,7 +25,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 #: Log-costs of the channel: a swapped sign, a gap inside a word, a repeated letter; a gap or sign kept as it is.
 SWAP, GAP, REPEAT, KEEP = -1.0, -0.4, -0.3, -3.0
 #: Rows that the lexicon is fitted on, at most: toxic and clean.
-TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
+TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
 PREFIXES = (4, 5, 6)
 #: Least different neighbours and texts of a marker; its least precision, and that of the lower bound.
 SUPPORT, TEXTS, PRECISION, BOUND = 8, 5, 0.95, 0.5
@@ -91,18 +91,27 @@ class Lexicon:
                 yield whole, begin, before, buf, offsets, first
 
         def support(texts, wanted=None, by_text=False):
-            of, pair = [], []
-            for k, (whole, begin, before, _, offsets, first) in enumerate(pairs(texts)):
-                if by_text:
-                    before = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64) + np.uint64(k << 32), np.diff(first))
-                for h in (whole, *begin):
+            found = []
+            for kind in range(1 + len(PREFIXES)):  # one kind of feature at a time, for the driver's memory
+                of, pair = [], []
+                for k, (whole, begin, before, _, offsets, first) in enumerate(pairs(texts)):
+                    if by_text:
+                        before = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64) + np.uint64(k << 32), np.diff(first))
+                    h = begin[kind - 1] if kind else whole
                     keep = np.isin(h, wanted) if wanted is not None else slice(None)
                     of.append(h[keep])
                     pair.append(vec.mix(h[keep] ^ vec.mix(before[keep])))
-            if not of:
+                if of:
+                    of, pair = np.concatenate(of), np.concatenate(pair)
+                    _, one = np.unique(pair, return_index=True)
+                    found.append(np.unique(of[one], return_counts=True))
+            if not found:
                 return np.empty(0, np.uint64), np.empty(0, np.int64)
-            _, one = np.unique(np.concatenate(pair), return_index=True)
-            return np.unique(np.concatenate(of)[one], return_counts=True)
+            f, n = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((-n, f))
+            f, n = f[order], n[order]
+            new = np.concatenate([[True], f[1:] != f[:-1]])
+            return f[new], n[new]
 
         f, t = support(toxic)
         f, t = f[t >= SUPPORT], t[t >= SUPPORT]
