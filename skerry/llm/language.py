@@ -151,10 +151,11 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())  # as many rows as languages
     texts, labels = [], []
     for i, lang in enumerate(langs):
-        got = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_lang).select("text").collect()
-        mine = list(dict.fromkeys(r.text for r in got))
-        texts += mine
-        labels += [i] * len(mine)
+        mine = rows.where(F.col("lang") == lang)
+        ids = mine.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_lang)
+        got = list(dict.fromkeys(r.text for r in mine.join(F.broadcast(ids), "doc_id").select("text").collect()))
+        texts += got
+        labels += [i] * len(got)
     return Model(langs, texts, np.array(labels, np.int64))
 
 

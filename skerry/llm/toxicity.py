@@ -273,10 +273,11 @@ def _counts(docs: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> tuple[Lexicon, Channel]:
     """Lexicon of a bounded sample of the labelled rows outside the held-out fold, and the model of all texts."""
     fold_ = F.crc32(F.col("doc_id").cast("string")) % 4
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label")).where("label in (0, 1)").where(fold_ != 2)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(marked, "doc_id")
-    pick = F.xxhash64(F.col("doc_id"), F.lit(7))
-    got = [[r.text for r in rows.where(F.col("label") == y).orderBy(pick, "doc_id").select("text").limit(n).collect()] for y, n in ((1, toxic_rows), (0, clean_rows))]
+    marked = labels.where("toxic in (0, 1) and doc_id is not null").where(fold_ != 2).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label"))
+    picks = [marked.where(F.col("label") == y).orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(n) for y, n in ((1, toxic_rows), (0, clean_rows))]
+    picked = F.broadcast(picks[0].unionByName(picks[1]))  # toxic_rows + clean_rows at most: no text is shuffled
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(picked, "doc_id").select("text", "label").collect()
+    got = [[r.text for r in rows if r.label == y] for y in (1, 0)]
     lexicon = Lexicon(*[list(dict.fromkeys(x)) for x in got])
     return lexicon, Channel(_counts(docs), lexicon.words)
 
