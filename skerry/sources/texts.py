@@ -12,7 +12,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each *.txt file of a folder (not of those below), bad UTF-8 replaced, ids from name and content."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "false").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    rows = raw.select(name.alias("filename"), F.col("path").alias("source"), strip_space(F.decode("content", "UTF-8")).alias("content"), "length")
+    rows = raw.select(name.alias("filename"), F.col("path").alias("source"), strip_space(F.make_valid_utf8(F.col("content").cast("string"))).alias("content"), "length")
     return rows.select(
         F.sha2("filename", 256).alias("document_id"),
         "filename",
