@@ -132,8 +132,9 @@ def _search_dim(spark, entries: DataFrame, rows: DataFrame, every: int, k: int,
             found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("approx"), "entry")
-    top = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rerank).select("query_id", "entry")
+    # one list for each query and partition of the index, so lists of a query are as many as partitions
+    merged = found.groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("b"))
+    top = merged.select("query_id", F.explode(F.slice(F.sort_array("b", False), 1, rerank)["back"]).alias("back")).select("query_id", (-F.col("back")).alias("entry"))
     pairs = top.join(entries, "entry").select("query_id", "ids", F.col("v").alias("c")).join(queries, "query_id")
 
     def exact(batches):
@@ -152,7 +153,7 @@ def _search_dim(spark, entries: DataFrame, rows: DataFrame, every: int, k: int,
 
 
 def _scan(spark, index: DataFrame, books, ids: list[int], queries: np.ndarray, rerank: int) -> DataFrame:
-    """The `rerank` best entries of each query in each partition of the index, by table look-up."""
+    """The `rerank` best entries (negated) of each query in each partition of the index, by table look-up."""
     table = (queries.astype(np.float32) @ books.value.flat.T).reshape(len(queries), *books.value.words.shape[:2])
     sent = spark.sparkContext.broadcast((np.array(ids, np.int64), np.ascontiguousarray(table)))
 
@@ -177,6 +178,7 @@ def _scan(spark, index: DataFrame, books, ids: list[int], queries: np.ndarray, r
         n = approx.shape[1]
         for s in range(0, q if n else 0, 256):
             e = min(q, s + 256)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[s:e], n)), pa.array(entry[s:e].ravel()), pa.array(approx[s:e].ravel())], ["query_id", "entry", "approx"])
+            best = pa.StructArray.from_arrays([pa.array(approx[s:e].ravel()), pa.array(-entry[s:e].ravel())], ["approx", "back"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[s:e]), pa.ListArray.from_arrays(pa.array(np.arange(e - s + 1, dtype=np.int32) * n), best)], ["query_id", "best"])
 
-    return index.mapInArrow(scan, "query_id long, entry long, approx float")
+    return index.mapInArrow(scan, "query_id long, best array<struct<approx:float,back:long>>")
