@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate components by pigeonhole blocks.
+"""SimHash fingerprints and near-duplicate components by pigeonhole blocks; similar() is by min-hashes.
 
 Fingerprints of 64 bits are cut into `blocks` pieces. Two that differ in at most `distance` bits agree on
 blocks - distance of them, so each choice of that many blocks is a key, and rows are joined on the keys.
@@ -12,7 +12,6 @@ crowd, and a link is lost nowhere.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut
-from . import vec
+from . import repeats, vec
 
 BITS = 64
 
@@ -33,8 +32,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(_prints([text], words)[0])
 
 
-def _prints(texts: list[str | None], words: int, lanes: int = 1) -> np.ndarray:
-    """Fingerprints of 64 bits, or of so many times that: the further ones are of the hashes mixed anew."""
+def _prints(texts: list[str | None], words: int) -> np.ndarray:
     digest, back = xxhash.xxh64_intdigest, words - 1
     hashes: list[int] = []
     counts = []
@@ -52,19 +50,16 @@ def _prints(texts: list[str | None], words: int, lanes: int = 1) -> np.ndarray:
         n = max(1, len(parts) - back)
         hashes += [digest(whole[s:e], 42) for s, e in zip(starts, ends[back:] or ends[-1:])]
         counts.append(n)
-    out = np.zeros((len(texts), lanes), np.uint64)
-    h = np.array(hashes, np.uint64)
-    for lane in range(lanes if hashes else 0):
-        if lane:
-            h = vec.mix(h + np.uint64(lane))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    out = np.zeros(len(texts), np.uint64)
+    if hashes:
+        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         n = np.array(counts)
         some = np.flatnonzero(n)
         at = np.concatenate([[0], np.cumsum(n[some])[:-1]])
         ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
         on = (2 * ones > n[some][:, None]).astype(np.uint8)
-        out[some, lane] = np.packbits(on, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out.ravel() if lanes == 1 else out
+        out[some] = np.packbits(on, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -85,52 +80,233 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 6, block_bits: int = 24) -> DataFrame:
-    """doc_id and component_id of documents whose word shingles are alike by `similarity` (Jaccard) or more.
+#: Min-hashes of similar(): a pair of Jaccard similarity J agrees on a band of ROWS with chance J^ROWS.
+BANDS, ROWS = 20, 6
+#: A cluster of candidates of more texts than this is never brought together; blocks of its texts are sent past it.
+TOGETHER, BLOCK = 512, 1024
 
-    That is too far for the 4 bits of one fingerprint, so here it has `lanes` x 64 bits, cut into blocks of
-    `block_bits`; documents that share a block are compared by Hamming distance, whose limit is the expected
-    distance at the given similarity. In a bucket each fingerprint is compared with the leaders so far, and
-    is linked to the first in reach or else leads from then on; so a bucket gives at most one link for each
-    member, and only leaders are held. The chance that two documents share a block is over 0.94 from a
-    similarity of 0.95 on, and 0.7 at 0.9. Edge cases are those of near_duplicates().
-    """
-    limit = int(BITS * lanes * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+def _shingles(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of a chunk of texts, and where each text's begin; shingles are those of fingerprints()."""
+    buf = vec.lower_ascii(buf)
+    starts, ends, first = vec.words(buf, offsets, vec.NOT_SPACE)
+    units = vec.word_hashes(buf, starts, ends)
+    size = np.diff(first)
+    count = np.where(size, np.maximum(1, size - words + 1), 0)
+    at = np.concatenate([[0], np.cumsum(count)])
+    begin = np.repeat(first[:-1] - at[:-1], count) + np.arange(at[-1])
+    return vec.ranged(vec.prefix(units), begin, np.minimum(begin + words, np.repeat(first[1:], count))), at
+
+
+def _sets(column, words: int):
+    """The sorted set of shingle hashes of each text of a column."""
+    for _, buf, offsets in vec.text_chunks(column):
+        hashes, at = _shingles(buf, offsets, words)
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield np.unique(hashes[s:e])
+
+
+_SEEDS = vec.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(vec.BASES[1])) | np.uint64(1)
+
+
+def _bands(own: np.ndarray) -> np.ndarray:
+    """One key for each band: a hash of ROWS minima, each by its own odd multiplier."""
+    least = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 2048):
+        x = own[at : at + 2048] * _SEEDS[:, None]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9FB21C651E98DF25)
+        np.minimum(least, x.min(axis=1), out=least)
+    with np.errstate(over="ignore"):
+        rows = vec.mix(least + np.tile(np.arange(ROWS, dtype=np.uint64), BANDS)).reshape(BANDS, ROWS)
+        return vec.mix(np.bitwise_xor.reduce(rows, axis=1) + np.arange(BANDS, dtype=np.uint64))
+
+
+class _Index:
+    """Sets by their members, to count what a further set shares with each of them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.values, self.owner = every[order], np.repeat(np.arange(len(sets)), self.size)[order]
+
+    def near(self, own: np.ndarray, similarity: float) -> np.ndarray:
+        """Numbers of the sets whose Jaccard similarity to `own` is at least `similarity`."""
+        s, e = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
+        n = e - s
+        at = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[at], minlength=len(self.size))
+        return np.flatnonzero(shared >= similarity * (self.size + len(own) - shared) - 1e-9)
+
+
+def _set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges that join sets alike by `similarity`, as few as connect the same ones as all pairs do."""
+    index, left, out = _Index(sets), np.ones(len(sets), bool), []
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        left[root] = False
+        front = [root]
+        while front and left.any():
+            i = front.pop()
+            new = index.near(sets[i], similarity)
+            new = new[left[new]]
+            left[new] = False
+            out += [(i, j) for j in new.tolist()]
+            front += new.tolist()
+    return out
+
+
+_EDGE = ["a", "b"]
+
+
+def _edge_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGE)
+
+
+def _past(crowd: DataFrame, nodes: list[int], sets: list[np.ndarray], similarity: float) -> DataFrame:
+    """Links between the given texts and all texts of `crowd`; of those through one text, as few as connect the same ones."""
+    sent = crowd.sparkSession.sparkContext.broadcast((nodes, sets))
+
+    def run(batches):
+        there, block = sent.value
+        index, up = _Index(block), list(range(len(block)))
+
+        def find(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for batch in batches:
+            a, b = [], []
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tops = sorted({find(i) for i in index.near(np.frombuffer(raw.as_py(), np.uint64), similarity).tolist()})
+                for t in tops[1:]:
+                    up[t] = tops[0]
+                a += [there[t] for t in tops]
+                b += [node] * len(tops)
+            yield _edge_batch(a, b)
+
+    return crowd.select("node", "own").mapInArrow(run, "a long, b long").where("a <> b")
+
+
+def _crowd_forest(crowd: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links of clusters too large to bring together: all are compared with one leader each, then all with those it doesn't reach, a block at a time."""
+    crowd = cut(crowd)
+    leaders = crowd.groupBy("cluster").agg(F.min_by("own", "node").alias("own"), F.min("node").alias("node")).toArrow()
+    lead = crowd.sparkSession.sparkContext.broadcast({c: (node, np.frombuffer(own, np.uint64)) for c, own, node in zip(*(x.to_pylist() for x in leaders.columns))})
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p.tobytes() for p in _prints(part.column(1).to_pylist(), words, lanes)], pa.binary())], ["doc_id", "fp"])
+            a = []
+            for c, node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                first, mine = lead.value[c]
+                own = np.frombuffer(raw.as_py(), np.uint64)
+                shared = len(np.intersect1d(mine, own, assume_unique=True))
+                a.append(first if shared >= similarity * (len(mine) + len(own) - shared) - 1e-9 else None)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), *batch.columns], ["a", *batch.schema.names])
+
+    led = cut(crowd.mapInArrow(run, "a long, cluster long, node long, own binary"))
+    found = led.where("a <> node").select("a", F.col("node").alias("b"))
+    rest = led.where("a is null")
+    n, size = rest.agg(F.count("*"), F.coalesce(F.sum(F.length("own")), F.lit(0))).first()
+    parts = max(-(-n // block), -(-size // (16 << 20)))
+    for k in range(parts):
+        some = rest.where(F.pmod("node", F.lit(parts)) == k).select("node", "own").toArrow()
+        if some.num_rows:
+            sets = [np.frombuffer(x, np.uint64) for x in some.column("own").to_pylist()]
+            found = found.unionByName(cut(_past(crowd, some.column("node").to_pylist(), sets, similarity)))
+    return found
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, block: int = BLOCK) -> DataFrame:
+    """key (of doc_id and text, as repeats.keyed has it), doc_id and class of each row: see similar()."""
+    base = repeats.keyed(docs)
+
+    def run(batches):
+        for batch in batches:
+            node, keys = [], []
+            for own in _sets(batch.column(2), words):
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                keys.append(_bands(own).tobytes() if len(own) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(keys, pa.binary())], ["key", "doc_id", "node", "bands"])
 
-    prints = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary"))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null")
-    count, size = BITS * lanes // block_bits, block_bits // 8
+    rows = cut(base.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, node long, bands binary"))
+    nodes = rows.where("bands is not null").groupBy("node").agg(F.min(F.struct("key", "bands")).alias("m")).select("node", "m.*")
 
-    keyed = nodes.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("fp", 1 + i * size, size).alias("key")) for i in range(count)])).alias("k")).select("k.*", "node", "fp")
+    def keyed(batches):
+        for batch in batches:
+            band = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["band", "node"])
 
     def bucket(batches):
-        key, leaders, who = None, None, []
+        key = lead = None
         for batch in batches:
-            a, b = [], []
-            for i, k, node, fp in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = np.frombuffer(fp, np.uint64)
-                if (i, k) != key:
-                    key, leaders, who = (i, k), mine[None, :], [node]
-                    continue
-                near = np.bitwise_count(leaders ^ mine).sum(1) <= limit
-                if near.any():
-                    a.append(node)
-                    b.append(who[int(near.argmax())])
-                else:
-                    leaders = np.concatenate([leaders, mine[None, :]])
-                    who.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            band, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(band):
+                continue
+            new = np.concatenate([[True], band[1:] != band[:-1]])
+            first = node[np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))]
+            if key == band[0]:
+                first[: np.argmax(~(band == band[0])) if (band != band[0]).any() else len(band)] = lead
+            key, lead = band[-1], first[-1]
+            pair = node != first
+            yield pa.RecordBatch.from_arrays([pa.array(first[pair]), pa.array(node[pair])], _EDGE)
+
+    met = nodes.select("node", "bands").mapInArrow(keyed, "band long, node long")
+    candidates = met.repartition("band").sortWithinPartitions("band", "node").mapInArrow(bucket, "a long, b long").distinct()
+    clusters = cut(connected_components(candidates).select("node", F.col("component").alias("cluster")))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    asked = cut(nodes.select("node", "key").join(clusters.join(sizes, "cluster"), "node"))
+
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch.column(1), words)], pa.binary())], ["key", "own"])
+
+    texts = repeats.picked(base.select("d", "key", "text"), repeats.key_bits(asked), True).select("key", "text")
+    owned = cut(texts.mapInArrow(sets, "key long, own binary").groupBy("key").agg(F.first("own").alias("own")).join(asked, "key").select("cluster", "node", "own", "n"))
 
-    edges = keyed.repartition("i", "key").sortWithinPartitions("i", "key", "node").mapInArrow(bucket, "a long, b long").distinct()
+    def forest(batches):
+        cluster, held, own = None, [], []
+        for batch in batches:
+            a, b = [], []
+            for c, node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if c != cluster:
+                    found = _set_forest(own, similarity) if len(own) > 1 else []
+                    a += [held[i] for i, _ in found]
+                    b += [held[j] for _, j in found]
+                    cluster, held, own = c, [], []
+                held.append(node)
+                own.append(np.frombuffer(raw.as_py(), np.uint64))
+            yield _edge_batch(a, b)
+        found = _set_forest(own, similarity) if len(own) > 1 else []
+        yield _edge_batch([held[i] for i, _ in found], [held[j] for _, j in found])
+
+    small = owned.where(F.col("n") <= together).select("cluster", "node", "own").repartition("cluster").sortWithinPartitions("cluster", "node")
+    edges = small.mapInArrow(forest, "a long, b long")
+    crowd = owned.where(F.col("n") > together).select("cluster", "node", "own")
+    if not crowd.isEmpty():
+        edges = edges.unionByName(_crowd_forest(crowd, similarity, block))
     parts = connected_components(edges)
-    classes = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "fp", "left").select("doc_id", "component_id")
+    return rows.join(parts, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("class"))
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, block: int = BLOCK) -> DataFrame:
+    """doc_id and component_id of documents whose sets of word shingles are alike by `similarity` (Jaccard) or more.
+
+    That is too far for the 4 bits of one fingerprint, so candidates are texts that share one of 20 bands of 6
+    min-hashes: a chance of 0.9977 at a similarity of 0.8, 0.9999 at 0.85, all but 1 at 0.9. Texts of one set
+    are one node. Nodes that share a band are linked to the bucket's least, and what hangs together so is a
+    cluster; in it all pairs, sharing a band or not, count by their exact similarity, and they leave as a
+    spanning forest. Clusters of more than `together` texts are not brought together: each is compared with
+    one leader, and then with all that leader doesn't reach, sent past it in blocks of about `block`. That
+    finds the same links; its work is the cluster times what its leader doesn't reach. Edge cases are those of near_duplicates().
+    """
+    found = similar_classes(docs, words, similarity, together, block)
+    least = found.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "class").select("doc_id", "component_id")
 
 
 def _masks(blocks: int, distance: int) -> list[int]:

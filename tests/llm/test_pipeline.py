@@ -75,6 +75,57 @@ def test_similar_finds_near_copies_only(spark):
     assert got[5] == got[3] == got[4] == 3 and got[9] == 9 and None in got
 
 
+def _brute(texts, similarity=0.8):
+    """Least index of each text's group, by all pairs of exact five-word sets."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(sets)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (not a and not sets[j]) or (a and len(a & sets[j]) >= similarity * len(a | sets[j])):
+                x, y = sorted((find(i), find(j)))
+                up[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+def _pair(rng, similarity, n=404):
+    """Two texts of n words whose five-word similarity is just over or just under the given one."""
+    base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    near, m = base.copy(), n - 4
+    k = round((1 - similarity) / (1 + similarity) * m)
+    cut = 5 * (k // 5)
+    for i in range(cut // 5):
+        near[8 + 9 * i] = f"x{rng.randrange(10**9)}"
+    return " ".join(base), " ".join(near)
+
+
+def test_similar_recall_and_precision(spark):
+    import random
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for s in (0.7, 0.78, 0.81, 0.85, 0.9):
+        for _ in range(100):
+            a, b = _pair(rng, s)
+            n = len(rows)
+            rows += [(n, a), (n + 1, b)]
+            want[n] = (s, _brute([a, b])[1] == 0)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [n for n, (_, w) in want.items() if w]
+    assert len(near) == 300 and not any(got[n + 1] == n for n in want if n not in near)
+    for s in (0.81, 0.85, 0.9):
+        of = [n for n in near if want[n][0] == s]
+        assert sum(got[n + 1] == n for n in of) >= 0.97 * len(of)
+
+
 def test_importance_parts_labelled_rows(spark, docs, labels):
     got = importance.resample(docs, labels).join(labels, "doc_id").select("selected", "quality").collect()
     right = sum(r.selected == (r.quality == 1) for r in got)
