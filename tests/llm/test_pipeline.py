@@ -126,6 +126,30 @@ def test_similar_recall_and_precision(spark):
         assert sum(got[n + 1] == n for n in of) >= 0.97 * len(of)
 
 
+def test_similar_links_chains_and_crowds(spark):
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(24):  # each like the next only
+        base[10 * i + 5] = f"x{i}"
+        base[10 * i + 11] = f"y{i}"
+        texts.append(" ".join(base))
+    for i in range(40):  # near copies of a template
+        words = [f"t{k}" for k in range(200)]
+        words[i * 4] = f"z{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"v{k}" for k in range(100)), "", "a b", "A  b"]
+    want = _brute(texts)
+    assert len(set(want)) == 5 and want[23] == 0
+    order = [(i * 29 % len(texts), i) for i in range(len(texts))]  # ids in no order of the chain
+    df = spark.createDataFrame([(d, texts[i]) for d, i in order], "doc_id long, text string")
+    for together, block in ((512, 1024), (4, 5)):
+        got = {r.doc_id: r.component_id for r in simhash.similar(df, together=together, block=block).collect()}
+        least = {}
+        for d, i in order:
+            least[want[i]] = min(d, least.get(want[i], d))
+        assert got == {d: least[want[i]] for d, i in order}
+
+
 def test_importance_parts_labelled_rows(spark, docs, labels):
     got = importance.resample(docs, labels).join(labels, "doc_id").select("selected", "quality").collect()
     right = sum(r.selected == (r.quality == 1) for r in got)
