@@ -150,6 +150,16 @@ def test_similar_links_chains_and_crowds(spark):
         assert got == {d: least[want[i]] for d, i in order}
 
 
+def test_near_duplicates_keeps_texts_of_null_and_repeated_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, "quite another text of few words"), (8, three), (None, three), (None, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS)
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(None, one), (None, two), (7, three), (7, "quite another text of few words"), (9, "")], key=str)
+
+
 def test_importance_parts_labelled_rows(spark, docs, labels):
     got = importance.resample(docs, labels).join(labels, "doc_id").select("selected", "quality").collect()
     right = sum(r.selected == (r.quality == 1) for r in got)
