@@ -7,9 +7,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from . import repeats
+from . import repeats, vec
 
 
 def refine(data: np.ndarray, ends: np.ndarray, length: int, gram: int = 8) -> np.ndarray:
@@ -75,16 +76,51 @@ def shared_windows(length: int):
     return method
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, crowd: int = 1024, keep_text: bool = False) -> DataFrame:
+def _dense(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """Documents with `words` words in a row that stand in fewer than `length` bytes."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for row, buf, offsets in vec.text_chunks(batch.column(1)):
+                starts, ends, first = vec.words(buf, offsets, vec.NOT_SPACE)
+                if len(starts) >= words:
+                    tight = np.flatnonzero(ends[words - 1 :] - starts[: len(starts) - words + 1] < length)
+                    of = np.searchsorted(first, tight, side="right") - 1
+                    keep[row + of[tight + words <= first[of + 1]]] = True
+            yield batch.filter(pa.array(keep))
+
+    some = docs.select("doc_id", "text")
+    return some.mapInArrow(run, some.schema)
+
+
+def passage_spans(docs: DataFrame, words: int, length: int = 200, gram: int = 32, crowd: int = 1024) -> DataFrame:
+    """(d, key, spans) that cover each passage of over `words` words that also starts anywhere else.
+
+    A passage of `length` bytes or more has strings of that length. A shorter one is in texts that hold so
+    many words in so few bytes, and only those are searched for strings of 2 * words + 1 bytes, the least
+    that more than `words` words can have.
+    """
+    least = 2 * words + 1
+    wide = repeats.repeated_spans(docs, False, length, gram, shared_windows(length), keep_first=False, crowd=crowd)
+    tight = repeats.repeated_spans(_dense(docs, words + 1, length), False, least, gram, shared_windows(least), keep_first=False, crowd=crowd)
+    return wide.unionByName(tight).groupBy("d", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, crowd: int = 1024, keep_text: bool = False, over: int | None = None) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts anywhere else.
 
+    With `over`, runs of more than so many words go, too, whatever their length: see passage_spans().
     Texts are UTF-8 bytes; strings never cross texts and are judged on the input. Returns doc_id, n_bytes,
     n_removed, n_spans (maximal removed runs) and kept_sha256, and if asked for the kept text (what is left of a character
     cut in two is dropped there) and the other columns as `rest`. Null texts are empty; texts shorter than `length` stay
     whole; repeated rows are copies of each other, and all their bytes go; a null doc_id is kept; an empty
     table gives no rows; other columns are not read. Memory of a task follows its batches and `crowd`.
     """
-    spans = repeats.repeated_spans(docs, False, length, gram, shared_windows(length), keep_first=False, crowd=crowd)
+    if over is None:
+        spans = repeats.repeated_spans(docs, False, length, gram, shared_windows(length), keep_first=False, crowd=crowd)
+    else:
+        spans = passage_spans(docs, over, gram=gram, crowd=crowd)
     joined = repeats.with_spans(docs, spans)
 
     def run(batches):
@@ -95,6 +131,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, crowd: in
                 for text, spans in zip(part.column(1).to_pylist(), part.column(2)):
                     raw = (text or "").encode("utf-8", "surrogatepass")
                     runs = repeats.merged(spans.as_py(), len(raw)) if spans.is_valid else []
+                    if over is not None:
+                        runs = [(s, e) for s, e in runs if e - s >= length or len(raw[s:e].split()) > over]
                     kept, pos = [], 0
                     for s, e in runs:
                         kept.append(raw[pos:s])

@@ -160,6 +160,22 @@ def test_near_duplicates_keeps_texts_of_null_and_repeated_ids(spark):
     assert kept == sorted([(None, one), (None, two), (7, three), (7, "quite another text of few words"), (9, "")], key=str)
 
 
+def test_passages_stage_removes_all_of_over_fifty_words(spark):
+    texts = []
+    passages = [" ".join(f"{c}{i:03}" for i in range(51)) for c in ("pas", "k")] + [" ".join("abcdefghij"[i * i % 7 + i % 3] for i in range(51))]
+    short = " ".join(f"short{i}" for i in range(40))  # over 200 bytes, but not over 50 words
+    for n, p in enumerate([*passages, short] * 2):
+        texts.append(f"{' '.join(f'u{n}a{i}' for i in range(30))} {p} {' '.join(f'u{n}b{i}' for i in range(30))}")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["passages"](spark, docs, SF).collect()}
+    for n, t in enumerate(texts):
+        assert f"u{n}a28 " in got[n] and f" u{n}b1 " in got[n]
+        if n % 4 == 3:
+            assert got[n] == t
+        else:
+            assert passages[n % 4] not in got[n] and len(got[n]) <= len(t) - len(passages[n % 4])
+
+
 def test_importance_parts_labelled_rows(spark, docs, labels):
     got = importance.resample(docs, labels).join(labels, "doc_id").select("selected", "quality").collect()
     right = sum(r.selected == (r.quality == 1) for r in got)
