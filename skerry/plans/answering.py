@@ -11,9 +11,9 @@ from .registry import query
 
 
 def _context(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    line = table(spark, sf_dir, "lineitem")
     facts = line.selectExpr("l_orderkey as question_id", "l_linenumber * 1000000 + l_partkey as position", "array(concat('p', l_partkey)) as chunk_ids", "concat('line  of part ', l_partkey % 3) as text")
-    passages = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").selectExpr("o_orderkey as question_id", "1L as position", "array(concat('o', o_orderkey)) as chunk_ids", "concat(' order by ', o_custkey) as text")
+    passages = table(spark, sf_dir, "orders").selectExpr("o_orderkey as question_id", "1L as position", "array(concat('o', o_orderkey)) as chunk_ids", "concat(' order by ', o_custkey) as text")
     return A.number_context(facts, passages)
 
 
@@ -35,7 +35,7 @@ _ANSWERS = ("It is a line of that order [1]. See also [2] and [1].", "This one w
 
 def _answers(spark, sf_dir):
     text = F.element_at(F.array(*map(F.lit, _ANSWERS)), (F.floor(F.col("o_orderkey") / 10) % 7 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("question_id"), text.alias("answer"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), text.alias("answer"))
 
 
 _ANS = f"WITH {_CTX}, a AS (SELECT o_orderkey AS question_id, [" + ", ".join(f"'{a}'" for a in _ANSWERS) + "][o_orderkey // 10 % 7 + 1] AS answer FROM orders WHERE o_orderkey % 10 = 0), u AS (SELECT question_id, answer, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda m: CAST(m AS INTEGER)))) AS used FROM a), h AS (SELECT question_id, list(CAST(marker AS INTEGER)) AS have FROM x GROUP BY 1), v AS (SELECT u.*, list_filter(used, lambda m: list_contains(have, m)) AS cited, list_filter(used, lambda m: NOT coalesce(list_contains(have, m), false)) AS invalid, len(list_filter(regexp_extract_all(answer, '[^.!?]+[.!?]+(\\s*\\[\\d+\\])*'), lambda s: length(trim(s)) >= 25 AND NOT regexp_matches(s, '\\[\\d+\\]'))) AS uncited FROM u LEFT JOIN h USING (question_id))"

@@ -14,11 +14,11 @@ _OUT = f"WITH {vector._PAIRS}, t AS (SELECT query_id, ql, list(vec_id) FILTER (W
 
 
 def outcomes(spark, sf_dir):
-    """query_id, category, recall, hit, latency of each query vector; gold are some of its label's vectors."""
+    """query_id, category, recall, hit, latency of each query vector; gold are its label's other vectors."""
     v = table(spark, sf_dir, "embeddings")
     found = vector.knn(spark, sf_dir).groupBy("query_id").agg(F.collect_list("vec_id").alias("found"))
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("category"))
-    gold = q.join(v.where("vec_id % 30 = 0").select("vec_id", F.col("label").alias("category")), "category").where("vec_id <> query_id").groupBy("query_id").agg(F.collect_list("vec_id").alias("gold"))
+    gold = q.join(v.select("vec_id", F.col("label").alias("category")), "category").where("vec_id <> query_id").groupBy("query_id").agg(F.collect_list("vec_id").alias("gold"))
     rows = q.join(found, "query_id").join(gold, "query_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<long>")))
     return rows.select("query_id", "category", E.recall(F.col("found"), F.col("gold")).alias("recall"), E.hit(F.col("found"), F.col("gold")).alias("hit"), (F.col("query_id") * 7 % 101).cast("double").alias("latency"))
 

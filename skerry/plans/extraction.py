@@ -118,7 +118,7 @@ def resolve_similar(spark, sf_dir):
 @query("json_object", "SELECT event_id, '{\"a\": {\"b\": \"}\"}, \"n\": ' || (event_id % 9) || '}' AS payload FROM events WHERE event_id % 100 = 0")
 def json_object(spark, sf_dir):
     raw = F.concat(F.lit('Sure:\n```json\n{"a": {"b": "}"}, "n": '), (F.col("event_id") % 9).cast("string"), F.lit("}\n``` and {more}"))
-    return table(spark, sf_dir, "events").where("event_id % 100 = 0").select("event_id", T.json_object(raw).alias("payload"))
+    return table(spark, sf_dir, "events").select("event_id", T.json_object(raw).alias("payload"))
 
 
 @query("duration_seconds", "SELECT event_id, round((event_id % 3) * 3600 + (event_id % 60) * 60 + (event_id % 10) / 10.0 + (event_id % 5) / 1000.0, 6)::DOUBLE AS seconds FROM events")

@@ -109,8 +109,8 @@ def stage_timing(spark, sf_dir):
 
 @query("moving_estimate", "WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), r AS (SELECT user_id, i, greatest(200, 0.7 * 1000 + 0.3 * value)::DOUBLE AS e FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, greatest(200, 0.7 * r.e + 0.3 * o.value)::DOUBLE FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1 WHERE o.i <= 5) SELECT user_id, round(arg_max(e, i), 6) AS estimate FROM r GROUP BY 1")
 def moving_estimate(spark, sf_dir):
-    """0.7 old + 0.3 new, at least 200, over each user's first five calls."""
-    o = events(spark, sf_dir).select("user_id", "event_id", "value", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i")).where("i <= 5")
+    """0.7 old + 0.3 new, at least 200, over all calls of each user."""
+    o = events(spark, sf_dir).select("user_id", "event_id", "value", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i"))
     rows = o.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("r"))
     return rows.select("user_id", F.round(F.aggregate("r", F.lit(1000.0), lambda e, x: F.greatest(F.lit(200.0), e * 0.7 + x["value"] * 0.3)), 6).alias("estimate"))
 

@@ -38,3 +38,38 @@ def test_components_of_all_events(spark):
         a, b = sorted((find(e.user_id), find(e.event_id % 97 + 100000)))
         up[b] = a
     assert {r.node: r.component for r in run(spark, "components")} == {x: find(x) for x in up}
+
+
+def test_answering_reads_all_orders(spark):
+    lines, orders = rows(spark, "lineitem"), rows(spark, "orders")
+    kinds = {(r.l_orderkey, r.l_partkey % 3) for r in lines}
+    got = run(spark, "context_numbering")
+    assert len(got) == len(kinds) + len(orders)
+    assert {r.question_id for r in run(spark, "citation_verdict")} == {o.o_orderkey for o in orders}
+
+
+def test_json_object_reads_all_events(spark):
+    want = {e.event_id: '{"a": {"b": "}"}, "n": %d}' % (e.event_id % 9) for e in rows(spark, "events")}
+    assert {r.event_id: r.payload for r in run(spark, "json_object")} == want
+
+
+def test_moving_estimate_folds_all_calls(spark):
+    now = {}
+    for e in sorted(rows(spark, "events"), key=lambda e: e.event_id):
+        now[e.user_id] = max(200.0, 0.7 * now.get(e.user_id, 1000.0) + 0.3 * e.value)
+    got = {r.user_id: r.estimate for r in run(spark, "moving_estimate")}
+    assert got.keys() == now.keys() and all(abs(got[u] - now[u]) < 1e-5 for u in now)
+
+
+def test_graph_list_and_gold_have_all_items(spark):
+    from skerry.plans import retrieval
+
+    label = {r.vec_id: r.label for r in rows(spark, "embeddings")}
+    got = {(r.question_id, r.item) for r in retrieval.ranked_lists(spark, SF).where("list = 'graph'").collect()}
+    assert got == {(q, i) for q in label if q % 20 == 0 for i in sorted(j for j in label if j != q and label[j] == label[q])[:10]}
+    found = defaultdict(set)
+    for r in retrieval.vector.knn(spark, SF).collect():
+        found[r.query_id].add(r.vec_id)
+    for r in run(spark, "document_recall"):
+        gold = {j for j in label if j != r.query_id and label[j] == label[r.query_id]}
+        assert abs(r.recall - len(gold & found[r.query_id]) / len(gold)) < 1e-5
