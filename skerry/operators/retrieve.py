@@ -62,8 +62,12 @@ def link_entities(questions: DataFrame, forms: DataFrame, limit: int = 4) -> Dat
 
 
 def rank_facts(facts: DataFrame, limit: int = 10) -> DataFrame:
-    """Adds score and rank to (question_id, statement, hops, confidence, covered): covered entities, confidence, few hops."""
-    base = F.when(F.col("hops") == 1, F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.7))
+    """Adds score and rank to (question_id, statement, hops, confidence, covered): covered entities, confidence, few hops.
+
+    Where there is a column `between`, facts that it marks have a base of 0.95 whatever their confidence.
+    """
+    between = F.coalesce("between", F.lit(False)) if "between" in facts.columns else F.lit(False)
+    base = F.when(between, F.lit(0.95)).when(F.col("hops") == 1, F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.7))
     scored = facts.withColumn("score", F.col("covered") * 10 + base - F.col("hops") * 0.1)
     best = top_n_per(scored.withColumn("_key", F.lower("statement")), ["question_id", "_key"], [F.desc("score"), "hops", "statement"], 1).drop("_key")
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "hops", "statement")

@@ -73,3 +73,11 @@ def test_graph_list_and_gold_have_all_items(spark):
     for r in run(spark, "document_recall"):
         gold = {j for j in label if j != r.query_id and label[j] == label[r.query_id]}
         assert abs(r.recall - len(gold & found[r.query_id]) / len(gold)) < 1e-5
+
+
+def test_between_facts_have_their_own_base(spark):
+    from skerry.operators import retrieve
+
+    facts = spark.createDataFrame([(1, "one", 1, 0.9, 2, False), (1, "between", 2, 0.4, 2, True), (1, "two", 2, 0.4, 2, None)], "question_id int, statement string, hops int, confidence double, covered int, between boolean")
+    assert {r.statement: round(r.score, 6) for r in retrieve.rank_facts(facts).collect()} == {"one": 20.8, "between": 20.75, "two": 20.5}
+    assert {r.statement: round(r.score, 6) for r in retrieve.rank_facts(facts.drop("between")).collect()} == {"one": 20.8, "between": 20.5, "two": 20.5}
