@@ -17,7 +17,7 @@ def _context(spark, sf_dir):
     return A.number_context(facts, passages)
 
 
-_CTX = "f AS (SELECT l_orderkey AS question_id, 0 AS k, l_linenumber * 1000000 + l_partkey AS position, 'p' || l_partkey AS chunk, 'line of part ' || (l_partkey % 3) AS text, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY l_linenumber * 1000000 + l_partkey) AS rn FROM lineitem WHERE l_orderkey % 10 = 0), c AS (SELECT question_id, k, position, chunk, text FROM f WHERE rn = 1 UNION ALL SELECT o_orderkey, 1, 1, 'o' || o_orderkey, 'order by ' || o_custkey FROM orders WHERE o_orderkey % 10 = 0), x AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY k, position) AS marker, CASE k WHEN 0 THEN 'fact' ELSE 'passage' END AS kind, chunk, text FROM c)"
+_CTX = "f AS (SELECT l_orderkey AS question_id, 0 AS k, l_linenumber * 1000000 + l_partkey AS position, 'p' || l_partkey AS chunk, 'line of part ' || (l_partkey % 3) AS text, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY l_linenumber * 1000000 + l_partkey) AS rn FROM lineitem), c AS (SELECT question_id, k, position, chunk, text FROM f WHERE rn = 1 UNION ALL SELECT o_orderkey, 1, 1, 'o' || o_orderkey, 'order by ' || o_custkey FROM orders), x AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY k, position) AS marker, CASE k WHEN 0 THEN 'fact' ELSE 'passage' END AS kind, chunk, text FROM c)"
 
 
 @query("context_numbering", f"WITH {_CTX} SELECT question_id, CAST(marker AS INTEGER) AS marker, kind, chunk AS chunk_ids, text FROM x")
@@ -38,7 +38,7 @@ def _answers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), text.alias("answer"))
 
 
-_ANS = f"WITH {_CTX}, a AS (SELECT o_orderkey AS question_id, [" + ", ".join(f"'{a}'" for a in _ANSWERS) + "][o_orderkey // 10 % 7 + 1] AS answer FROM orders WHERE o_orderkey % 10 = 0), u AS (SELECT question_id, answer, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda m: CAST(m AS INTEGER)))) AS used FROM a), h AS (SELECT question_id, list(CAST(marker AS INTEGER)) AS have FROM x GROUP BY 1), v AS (SELECT u.*, list_filter(used, lambda m: list_contains(have, m)) AS cited, list_filter(used, lambda m: NOT coalesce(list_contains(have, m), false)) AS invalid, len(list_filter(regexp_extract_all(answer, '[^.!?]+[.!?]+(\\s*\\[\\d+\\])*'), lambda s: length(trim(s)) >= 25 AND NOT regexp_matches(s, '\\[\\d+\\]'))) AS uncited FROM u LEFT JOIN h USING (question_id))"
+_ANS = f"WITH {_CTX}, a AS (SELECT o_orderkey AS question_id, [" + ", ".join(f"'{a}'" for a in _ANSWERS) + "][o_orderkey // 10 % 7 + 1] AS answer FROM orders), u AS (SELECT question_id, answer, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda m: CAST(m AS INTEGER)))) AS used FROM a), h AS (SELECT question_id, list(CAST(marker AS INTEGER)) AS have FROM x GROUP BY 1), v AS (SELECT u.*, list_filter(used, lambda m: list_contains(have, m)) AS cited, list_filter(used, lambda m: NOT coalesce(list_contains(have, m), false)) AS invalid, len(list_filter(regexp_extract_all(answer, '[^.!?]+[.!?]+(\\s*\\[\\d+\\])*'), lambda s: length(trim(s)) >= 25 AND NOT regexp_matches(s, '\\[\\d+\\]'))) AS uncited FROM u LEFT JOIN h USING (question_id))"
 
 
 @query("citation_markers", _ANS + " SELECT question_id, array_to_string(used, '|') AS used FROM v")

@@ -115,7 +115,7 @@ def resolve_similar(spark, sf_dir):
     return X.resolve(_mentions(spark, sf_dir).where("entity_type = 'Company'"), similar).select("raw_name", "name", "mentions")
 
 
-@query("json_object", "SELECT event_id, '{\"a\": {\"b\": \"}\"}, \"n\": ' || (event_id % 9) || '}' AS payload FROM events WHERE event_id % 100 = 0")
+@query("json_object", "SELECT event_id, '{\"a\": {\"b\": \"}\"}, \"n\": ' || (event_id % 9) || '}' AS payload FROM events")
 def json_object(spark, sf_dir):
     raw = F.concat(F.lit('Sure:\n```json\n{"a": {"b": "}"}, "n": '), (F.col("event_id") % 9).cast("string"), F.lit("}\n``` and {more}"))
     return table(spark, sf_dir, "events").select("event_id", T.json_object(raw).alias("payload"))

@@ -107,7 +107,7 @@ def stage_timing(spark, sf_dir):
     return s.groupBy("trace_id").agg(F.round(F.sum("t"), 4).alias("total"), F.max_by("stage", F.struct("t", "stage")).alias("slowest"))
 
 
-@query("moving_estimate", "WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), r AS (SELECT user_id, i, greatest(200, 0.7 * 1000 + 0.3 * value)::DOUBLE AS e FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, greatest(200, 0.7 * r.e + 0.3 * o.value)::DOUBLE FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1 WHERE o.i <= 5) SELECT user_id, round(arg_max(e, i), 6) AS estimate FROM r GROUP BY 1")
+@query("moving_estimate", "SELECT user_id, round(list_reduce(list(value ORDER BY event_id), lambda e, v: greatest(200.0::DOUBLE, 0.7::DOUBLE * e + 0.3::DOUBLE * v), 1000.0::DOUBLE), 6) AS estimate FROM events GROUP BY 1")
 def moving_estimate(spark, sf_dir):
     """0.7 old + 0.3 new, at least 200, over all calls of each user."""
     o = events(spark, sf_dir).select("user_id", "event_id", "value", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i"))

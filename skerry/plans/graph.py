@@ -10,8 +10,8 @@ from ..sources.tables import table
 from .registry import query
 
 _ASSERT = """
-a AS (SELECT 'S' || l_suppkey AS source_id, 'SUPPLIES' AS relation, 'P' || l_partkey AS target_id, CAST(l_orderkey AS VARCHAR) AS chunk_id, 1 - l_discount AS confidence FROM lineitem WHERE l_partkey % 20 = 0
-UNION ALL SELECT 'C' || o_custkey, 'BOUGHT', 'P' || l_partkey, CAST(l_orderkey AS VARCHAR), 1 - l_discount FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 20 = 0
+a AS (SELECT 'S' || l_suppkey AS source_id, 'SUPPLIES' AS relation, 'P' || l_partkey AS target_id, CAST(l_orderkey AS VARCHAR) AS chunk_id, 1 - l_discount AS confidence FROM lineitem
+UNION ALL SELECT 'C' || o_custkey, 'BOUGHT', 'P' || l_partkey, CAST(l_orderkey AS VARCHAR), 1 - l_discount FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 UNION ALL SELECT 'S' || s_suppkey, 'LOCATED_IN', 'N' || s_nationkey, 's' || s_suppkey, 1.0 FROM supplier
 UNION ALL SELECT 'C' || c_custkey, 'LOCATED_IN', 'N' || c_nationkey, 'c' || c_custkey, 1.0 FROM customer
 UNION ALL SELECT 'N' || n_nationkey, 'IN_REGION', 'R' || n_regionkey, 'n' || n_nationkey, 1.0 FROM nation),
@@ -184,7 +184,7 @@ def degree(spark, sf_dir):
     return G.both_ways(edges(spark, sf_dir)).groupBy(F.col("a").alias("entity_id")).agg(F.count_distinct("edge").alias("degree"))
 
 
-@query("components", "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS u, event_id % 97 + 100000 AS v FROM events WHERE event_id % 50 = 0), b AS (SELECT u AS x, v AS y FROM e UNION SELECT v, u FROM e), r AS (SELECT x AS node, x AS seen FROM b UNION SELECT r.node, b.y FROM r JOIN b ON r.seen = b.x) SELECT node, min(seen) AS component FROM r GROUP BY 1")
+@query("components", "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS u, event_id % 97 + 100000 AS v FROM events), b AS (SELECT u AS x, v AS y FROM e UNION SELECT v, u FROM e), r AS (SELECT x AS node, x AS seen FROM b UNION SELECT r.node, b.y FROM r JOIN b ON r.seen = b.x) SELECT node, min(seen) AS component FROM r GROUP BY 1")
 def components(spark, sf_dir):
     e = table(spark, sf_dir, "events").selectExpr("user_id as u", "event_id % 97 + 100000 as v")
     return connected_components(e)

@@ -76,7 +76,7 @@ def ranked_lists(spark, sf_dir):
     return near.unionByName(graph)
 
 
-_RRF = f"WITH {vector._PAIRS}, g AS (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND b.vec_id % 10 = 0), u AS (SELECT query_id, vec_id, rank FROM r WHERE rank <= 5 UNION ALL SELECT query_id, vec_id, rank FROM g WHERE rank <= 10), s AS (SELECT query_id AS question_id, vec_id AS item, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY 1, 2)"
+_RRF = f"WITH {vector._PAIRS}, g AS (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), u AS (SELECT query_id, vec_id, rank FROM r WHERE rank <= 5 UNION ALL SELECT query_id, vec_id, rank FROM g WHERE rank <= 10), s AS (SELECT query_id AS question_id, vec_id AS item, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY 1, 2)"
 
 
 @query("rrf_fuse", _RRF + " SELECT question_id, item, round(score, 8) AS score FROM s")
