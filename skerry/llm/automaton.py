@@ -2,7 +2,7 @@
 
 The literal form, automata of a whole corpus broadcast to all executors, has no bound and makes every
 document stream past every shard. Here the reference is dealt into shards so that a window and all places it
-could match share one (repeats.py: anchor groups, of at most `crowd` contexts), and the automaton of a shard is
+could match share one (repeats.py: anchor groups, of at most `bound` words), and the automaton of a shard is
 built where its documents stream past. For a reference with a proven bound, remove_reference() broadcasts
 the automata.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import repeats
+from . import repeats, vec
 
 #: Words of a reference shard of remove_reference(), and of all its shards together.
 SHARD_WORDS, REFERENCE_WORDS = 200_000, 2_000_000
@@ -95,30 +95,27 @@ def spans_over(statistics: list[int], window: int) -> list[tuple[int, int]]:
 
 
 def earlier_windows(window: int):
-    """The method for repeats.repeated_spans: spans that also stand in an earlier member of the group."""
+    """The method for repeats.repeated_spans: what also stands in an earlier context of the group, or in an earlier member."""
 
-    def method(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+    def method(rows: list[repeats.Context]) -> list[repeats.Spans]:
         out = []
         anchor = automaton = None
-        for a, d, key, start, units in rows:
-            words = np.frombuffer(units, np.uint64).tolist()
-            if a != anchor:
-                anchor, automaton = a, SuffixAutomaton()
+        for r in rows:
+            words, own = r.units.split(), []
+            if r.anchor != anchor:
+                anchor, automaton = r.anchor, SuffixAutomaton()
             else:
-                out += [(d, key, start + s, start + e) for s, e in spans_over(automaton.statistics(words), window)]
+                own = spans_over(automaton.statistics(words), window)
             automaton.add(words)
+            out.append((own, spans_over(automaton.statistics(words), window) if r.c > 1 else []))
         return out
 
     return method
 
 
-
-
-def _without(text: str | None, spans) -> tuple[int, int, bytes]:
+def _without(text: str | None, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     """(words, words removed, kept words joined by one space)."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
-    if not spans:
-        return len(words), 0, b" ".join(words)
     kept, pos = [], 0
     for s, e in spans:
         kept += words[pos:s]
@@ -139,7 +136,11 @@ def _result(part: pa.RecordBatch, found: list[tuple[int, int, bytes]], keep_text
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, crowd: int = 2048, keep_text: bool = False) -> DataFrame:
+#: Words of one group that a task builds an automaton of; a word takes about 0.5 KB there.
+GROUP_WORDS = 1 << 17
+
+
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, bound: int = GROUP_WORDS, keep_text: bool = False) -> DataFrame:
     """Remove each word covered by a window of `window` words that also starts earlier in the corpus.
 
     Earlier is by doc_id, then by place; windows are judged on the input. Returns doc_id, n_words, n_removed
@@ -147,14 +148,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, crowd: int
     have no words; rows of the same doc_id and text are one document (none is earlier than the other); a
     null doc_id is kept and comes before all others; an empty table gives no rows; other columns are not read.
     """
-    spans = repeats.repeated_spans(docs, True, window, gram, earlier_windows(window), keep_first=True, crowd=crowd)
+    spans = repeats.repeated_spans(docs, True, window, gram, earlier_windows(window), keep_first=True, bound=bound)
     joined = repeats.with_spans(docs, spans)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [_without(t, repeats.merged(s.as_py(), 1 << 62) if s.is_valid else None) for t, s in zip(part.column(1).to_pylist(), part.column(2))]
+            for part in vec.slices(batch, 1):
+                found = [_without(t, repeats.runs(m.as_py(), 1 << 30)) for t, m in zip(part.column(1).to_pylist(), part.column(2))]
                 yield _result(part, found, keep_text)
 
     return joined.mapInArrow(run, _SCHEMA + (", kept string" if keep_text else ""))
@@ -182,13 +182,13 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 20, ke
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in vec.slices(batch, 1):
                 found = []
                 for text in part.column(1).to_pylist():
                     words = (text or "").encode("utf-8", "surrogatepass").split()
-                    spans = [{"start": s, "end": e} for shard in sent.value for s, e in spans_over(shard.statistics(words), window)]
-                    found.append(_without(text, repeats.merged(spans, len(words))))
+                    spans = [x for shard in sent.value for x in spans_over(shard.statistics(words), window)]
+                    marks = [{"starts": [0], "lo": [s for s, _ in spans], "hi": [e for _, e in spans]}] if spans else None
+                    found.append(_without(text, repeats.runs(marks, len(words))))
                 yield _result(part, found, keep_text)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA + (", kept string" if keep_text else ""))

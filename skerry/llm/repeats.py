@@ -1,17 +1,18 @@
 """Where a corpus repeats itself: the part that byte-wise and word-wise removal share.
 
-All windows of `window` units (bytes, or words) of all texts are assigned to winnowed anchors, which depend
+All windows of `window` units (bytes, or words) of all strings are assigned to winnowed anchors, which depend
 on the window's content alone (vec.anchors). Equal windows have equal anchors, so windows whose anchor occurs
 once in the corpus repeat nowhere, and the rest need only be compared within their anchor's group. Members of
-a group that agree in all units their windows cover (a `context`) are settled by that; what is left is one
-member for each distinct context, and their units go to the operator's own method, a group at a time. Groups
-of more than `crowd` distinct contexts (a passage that very many texts share) are never brought together:
-their windows are hashed one by one and aggregated map-side, which is exact too.
+a group that agree in all units their windows cover are one `context`, told apart by a keyed digest, and the
+units of one member of each context go to the operator's own method, a group at a time, with the number of
+members; what it finds goes back to them all. A group of more than `bound` units is never brought together:
+its contexts are strings for the same steps again, with a longer piece as anchor, up to the whole window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,29 +40,47 @@ def units_of(buf: np.ndarray, offsets: np.ndarray, by_word: bool) -> tuple[np.nd
     return vec.BYTE[buf], offsets
 
 
-def _anchors(base: DataFrame, by_word: bool, window: int, gram: int) -> DataFrame:
+def _anchors(strings: DataFrame, by_word: bool, window: int, gram: int) -> DataFrame:
+    """(anchor, n): how often each occurs in a batch."""
+
     def run(batches):
         for batch in batches:
-            found = [vec.anchors(*units_of(buf, offsets, by_word), window, gram)[1] for _, buf, offsets in vec.text_chunks(batch.column(0))]
+            weight = batch.column(1).to_numpy()
+            found, counts = [], []
+            for row, buf, offsets in vec.text_chunks(batch.column(0)):
+                text, anchor, *_ = vec.anchors(*units_of(buf, offsets, by_word), window, gram)
+                found.append(anchor)
+                counts.append(weight[row + text])
             if found:
-                anchor, n = np.unique(np.concatenate(found), return_counts=True)
+                anchor, at = np.unique(np.concatenate(found), return_inverse=True)
+                n = np.bincount(at, np.concatenate(counts), len(anchor)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
-    return base.select("text").mapInArrow(run, "anchor long, n long")
+    return strings.select("text", "c").mapInArrow(run, "anchor long, n long")
+
 
+def _members(strings: DataFrame, by_word: bool, window: int, gram: int) -> DataFrame:
+    """A row for each context in each string: all its starts there, in order, and its number of windows."""
 
-def _members(base: DataFrame, by_word: bool, window: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            d, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, buf, offsets in vec.text_chunks(batch.column(2)):
-                text, anchor, start, count, context = vec.anchors(*units_of(buf, offsets, by_word), window, gram)
+            own = [batch.column(i).to_numpy() for i in range(4)]
+            for row, buf, offsets in vec.text_chunks(batch.column(4)):
+                units, first = units_of(buf, offsets, by_word)
+                text, anchor, start, n, begin = vec.anchors(units, first, window, gram)
+                data, wide = (units.tobytes(), 8) if by_word else (buf.tobytes(), 1)
+                context = vec.digests(data, begin * wide, (begin + n + window - 1) * wide)
+                order = np.lexsort((start, context, anchor, text))
+                text, anchor, context, start, n = (x[order] for x in (text, anchor, context, start, n))
+                new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])) if len(text) else order
+                starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(text)), pa.int32()), pa.array(start, pa.int32()))
+                of = row + text[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(d[row + text]), pa.array(key[row + text]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                    ["anchor", "context", "d", "key", "start", "n"],
+                    [pa.array(anchor[new].view(np.int64)), pa.array(context[new]), *(pa.array(x[of]) for x in own), pa.array(n[new], pa.int32()), starts],
+                    ["anchor", "context", "d", "key", "start", "c", "n", "starts"],
                 )
 
-    return base.select("d", "key", "text").mapInArrow(run, "anchor long, context long, d long, key long, start int, n int")
+    return strings.select("d", "key", "start", "c", "text").mapInArrow(run, "anchor long, context long, d long, key long, start int, c long, n int, starts array<int>")
 
 
 #: log2 of the bits that key_bits() has, whatever the size of the data: 8 MB.
@@ -90,126 +109,153 @@ def picked(base: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
     return base.mapInArrow(run, base.schema)
 
 
+#: Units [s + lo, s + hi) for each of the starts s and each pair of lo and hi.
+MARKS = "array<struct<starts:array<int>,lo:array<int>,hi:array<int>>>"
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text, spans (null where none) and the other columns as `rest` of all documents; only texts that may have spans are shuffled."""
+    """doc_id, text, marks (null where none) and the other columns as `rest` of all documents; only texts that may have spans are shuffled."""
     base, bits = keyed(docs), key_bits(spans)
-    some = picked(base, bits, True).join(spans, ["d", "key"], "left").select("doc_id", "text", "spans", "rest")
-    none = picked(base, bits, False).select("doc_id", "text", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), "rest")
+    some = picked(base, bits, True).join(spans, ["d", "key"], "left").select("doc_id", "text", "marks", "rest")
+    none = picked(base, bits, False).select("doc_id", "text", F.lit(None).cast(MARKS).alias("marks"), "rest")
     return some.unionByName(none)
 
 
-Method = Callable[[list[tuple[int, int, int, int, bytes]]], list[tuple[int, int, int, int]]]
+class Context(NamedTuple):
+    """One of a group's contexts: the earliest place it has, how many members, and their units as bytes, words joined by a space."""
 
+    anchor: int
+    context: int
+    d: int
+    place: int
+    key: int
+    c: int
+    units: bytes
 
-def repeated_spans(docs: DataFrame, by_word: bool, window: int, gram: int, method: Method, keep_first: bool, crowd: int = 256, batch_bytes: int = 1 << 20) -> DataFrame:
-    """(d, key, spans): for each text with any, the unit spans [start, end) covered by repeated windows.
 
-    With keep_first a window counts only if it starts earlier elsewhere, by (d, start); else if it starts
-    elsewhere at all. `method` gets whole anchor groups [(anchor, d, key, start, units)], ordered by (anchor,
-    d, start), and returns spans (d, key, start, end).
-    """
-    base = keyed(docs)
-    twice = _anchors(base, by_word, window, gram).groupBy("anchor").agg(F.sum("n").alias("c")).where("c > 1").select("anchor")
-    members = cut(_members(base, by_word, window, gram).join(twice, "anchor"))
-    contexts = members.groupBy("anchor", "context").agg(F.count("*").alias("c"), F.min(F.struct("d", "start", "key", "n")).alias("first"))
-    sizes = contexts.groupBy("anchor").agg(F.count("*").alias("k"))
-    contexts = cut(contexts.join(sizes, "anchor"))
-
-    same = contexts.where("c > 1").select("anchor", "context", "first")
-    whole = members.join(same, ["anchor", "context"])
-    if keep_first:
-        whole = whole.where("d > first.d or (d = first.d and start > first.start)")
-    span = F.struct("start", "end")
-    settled = whole.select("d", "key", "start", (F.col("start") + F.col("n") - 1 + window).alias("end"))
+#: Spans (lo, hi) of a context's units that repeat: as its first member has it, and as the others have it.
+Spans = tuple[list[tuple[int, int]], list[tuple[int, int]]]
+#: Gets whole groups, ordered by anchor, d and place.
+Method = Callable[[list[Context]], list[Spans]]
 
-    open_ = contexts.where("k > 1").select("first.d", "first.key", F.struct("first.start", "first.n", "anchor", (F.col("k") > crowd).alias("crowded")).alias("m"))
-    asked = open_.groupBy("d", "key").agg(F.collect_list("m").alias("ms"))  # bounded by the text's own length
 
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            asked_for = batch.column(3)
-            for row, buf, offsets in vec.text_chunks(batch.column(2)):
-                if by_word:
-                    units, first = units_of(buf, offsets, True)
-                else:
-                    units, first = buf, offsets
-                cols: list[list] = [[], [], [], [], [], []]
-                for i in range(len(offsets) - 1):
-                    at = int(first[i])
-                    for m in asked_for[row + i].as_py():
-                        s = m["start"]
-                        for col, x in zip(cols, (m["anchor"], int(d[row + i]), int(key[row + i]), s, m["crowded"], units[at + s : at + s + m["n"] - 1 + window].tobytes())):
-                            col.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "d", "key", "start", "crowded", "units"])
-
-    asked = cut(asked)
-    pieces = picked(base.drop("doc_id", "rest"), key_bits(asked), True).join(asked, ["d", "key"]).select("d", "key", "text", "ms").mapInArrow(cut_out, "anchor long, d long, key long, start int, crowded boolean, units binary")
-    pieces = cut(pieces)
+def repeated_spans(docs: DataFrame, by_word: bool, window: int, gram: int, method: Method, keep_first: bool, bound: int, batch_bytes: int = 1 << 20) -> DataFrame:
+    """(d, key, marks): for each text with any, the units covered by repeated windows.
+
+    With keep_first a window counts only if it starts earlier elsewhere, by (d, start); else if it starts
+    elsewhere at all. `bound` is what a task may hold of one group, in units.
+    """
+    strings = keyed(docs).select("d", "key", F.lit(0).alias("start"), F.lit(1).cast("long").alias("c"), "text")
+    return _resolve(strings, True, by_word, window, gram, method, keep_first, bound, batch_bytes).select("d", "key", "marks")
+
+
+def _resolve(strings: DataFrame, texts: bool, by_word: bool, window: int, gram: int, method: Method, keep_first: bool, bound: int, batch_bytes: int) -> DataFrame:
+    """(d, key, start, marks) of strings (d, key, start, c, text); `texts`: they are the documents themselves."""
+    # a changed column hides how the rows lie, so that the join deals both sides and AQE can split hot anchors
+    twice = cut(_anchors(strings, by_word, window, gram).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select(F.expr("anchor + 0L").alias("anchor")))
+    members = cut(_members(strings, by_word, window, gram).join(twice, "anchor"))
+    first = F.struct("d", (F.col("start") + F.col("starts")[0]).alias("place"), "key", "start", F.col("starts")[0].alias("rel"), "n")
+    contexts = cut(members.groupBy("anchor", "context").agg(F.sum(F.col("c") * F.size("starts")).alias("c"), F.min(first).alias("first")))
+    large = contexts.groupBy("anchor").agg(F.sum(F.col("first.n") + (window - 1)).alias("units")).where(F.col("units") > bound)
+    if gram == window:  # a group is one context
+        large = large.where("false")
+    large = cut(large.select("anchor"))
+
+    def pieces(asked: DataFrame) -> DataFrame:
+        """The contexts' units, cut out of the string that has the first member."""
+        m = F.struct("anchor", "context", "c", "first.place", "first.rel", (F.col("first.n") + (window - 1)).alias("size"))
+        by_text = asked.groupBy("first.d", "first.key", "first.start").agg(F.collect_list(m).alias("ms"))  # bounded by the text's own length
+        source = strings.select("d", "key", "start", "text")
+        if texts:
+            by_text = cut(by_text)
+            source = picked(source, key_bits(by_text), True)
+        return source.join(by_text, ["d", "key", "start"]).select("d", "key", "text", "ms").mapInArrow(lambda batches: _cut_out(batches, by_word), "anchor long, context long, d long, place int, key long, c long, text binary")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
+        held: list[Context] = []
         size = 0
 
         def done() -> pa.RecordBatch:
-            found = method(held)
-            cols = list(zip(*found)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["d", "key", "start", "end"])
+            rows = [(*x[:5], *([p[i] for p in side] for side in spans for i in (0, 1))) for x, spans in zip(held, method(held)) if spans[0] or spans[1]]
+            cols = list(zip(*rows)) or [()] * 9
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS)], _FOUND)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:4] == held[-1][:4]:
+                if held and row[:2] == held[-1][:2]:
                     continue  # a repeated row of the table
                 if size >= batch_bytes and row[0] != held[-1][0]:
                     yield done()
                     held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+                held.append(Context(*row))
+                size += len(row[6])
         if held:
             yield done()
 
-    calm = pieces.where("not crowded").select("anchor", "d", "key", "start", "units").repartition("anchor").sortWithinPartitions("anchor", "d", "start", "key")
-    compared = calm.mapInArrow(groups, "d long, key long, start int, end int")
-    crowded = _by_window(pieces.where("crowded"), by_word, window, keep_first)
-    every = settled.unionByName(compared).unionByName(crowded)
-    return cut(every.groupBy("d", "key").agg(F.collect_set(span).alias("spans")))
-
-
-def _by_window(pieces: DataFrame, by_word: bool, window: int, keep_first: bool) -> DataFrame:
-    """Spans of a crowd: each window is two hashes of its units, counted with map-side aggregation."""
-
-    def run(batches):
-        for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for d, key, start, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                units = np.frombuffer(raw, np.uint64) if by_word else vec.BYTE[np.frombuffer(raw, np.uint8)]
-                at = np.arange(len(units) - window + 1)
-                cols[0].append(vec.ranged(vec.prefix(units), at, at + window))
-                cols[1].append(vec.ranged(vec.prefix(vec.mix(units), 1), at, at + window, 1))
-                cols[2].append(np.full(len(at), d))
-                cols[3].append(np.full(len(at), key))
-                cols[4].append((start + at).astype(np.int32))
-            if cols[0]:
-                a = [np.concatenate(c) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(a[0].view(np.int64)), pa.array(a[1].view(np.int64)), *map(pa.array, a[2:])], ["x", "y", "d", "key", "start"])
-
-    windows = pieces.select("d", "key", "start", "units").mapInArrow(run, "x long, y long, d long, key long, start int")
-    place = F.struct("d", "start", "key")
-    seen = windows.groupBy("x", "y").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("x", "y", "first")
-    again = windows.join(seen, ["x", "y"])
+    schema = "anchor long, context long, d long, place int, key long, lo array<int>, hi array<int>, rlo array<int>, rhi array<int>"
+    calm = pieces(contexts.join(large, "anchor", "left_anti")).repartition("anchor").sortWithinPartitions("anchor", "d", "place", "key", "context")
+    found = calm.mapInArrow(groups, schema)
+    if not large.isEmpty():
+        crowd = contexts.join(large, "anchor", "left_semi")
+        inner = cut(pieces(crowd).select("d", "key", F.col("place").alias("start"), F.lit(1).cast("long").alias("c") if keep_first else "c", "text").dropDuplicates(["d", "key", "start"]))
+        spans = _resolve(inner, False, by_word, window, window - (window - gram) // 8, method, keep_first, bound, batch_bytes)
+        each = "flatten(transform(marks, m -> flatten(transform(m.starts, s -> transform(m.{0}, x -> s + x)))))"
+        own = spans.select("d", "key", F.col("start").alias("place"), F.expr(each.format("lo")).alias("lo"), F.expr(each.format("hi")).alias("hi"))
+        ends = crowd.select("anchor", "context", "first.d", "first.place", "first.key", "c", (F.col("first.n") + (window - 1)).alias("size"))
+        none = F.array().cast("array<int>")
+        again = F.col("c") > 1
+        resolved = ends.join(own, ["d", "place", "key"], "left").where(again | F.col("lo").isNotNull())
+        found = found.unionByName(
+            resolved.select("anchor", "context", "d", "place", "key", F.coalesce("lo", none).alias("lo"), F.coalesce("hi", none).alias("hi"), F.when(again, F.array(F.lit(0))).otherwise(none).alias("rlo"), F.when(again, F.array("size")).otherwise(none).alias("rhi"))
+        )
+
+    there = found.select("anchor", "context", F.col("d").alias("fd"), F.col("place").alias("fp"), "lo", "hi", "rlo", "rhi")
+    hits = members.join(there, ["anchor", "context"])
     if keep_first:
-        again = again.where("d > first.d or (d = first.d and start > first.start)")
-    return again.select("d", "key", "start", (F.col("start") + window).alias("end"))
-
-
-def merged(spans: list[dict], limit: int) -> list[tuple[int, int]]:
-    """Maximal runs covered by spans, cut at `limit`."""
-    out: list[list[int]] = []
-    for s, e in sorted((x["start"], min(x["end"], limit)) for x in spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+        is_first = "d = fd and start + s = fp"
+        marks = F.expr(f"array(named_struct('starts', filter(starts, s -> {is_first}), 'lo', lo, 'hi', hi), named_struct('starts', filter(starts, s -> not ({is_first})), 'lo', rlo, 'hi', rhi))")
+        marks = F.filter(marks, lambda m: (F.size(m["starts"]) > 0) & (F.size(m["lo"]) > 0))
+    else:
+        marks = F.array(F.struct("starts", "lo", "hi"))
+    hits = hits.select("d", "key", "start", marks.alias("marks")).where(F.size("marks") > 0)
+    return cut(hits.groupBy("d", "key", "start").agg(F.flatten(F.collect_list("marks")).alias("marks")))  # bounded by the string's own length
+
+
+_FOUND = ["anchor", "context", "d", "place", "key", "lo", "hi", "rlo", "rhi"]
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.list_(pa.int32())] * 4]
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch], by_word: bool) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    for batch in batches:
+        d, key = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for row, buf, offsets in vec.text_chunks(batch.column(2)):
+            data = buf.tobytes()
+            starts, ends, first = vec.words(buf, offsets, vec.NOT_SPACE) if by_word else (None, None, offsets)
+            cols: list[list] = [[], [], [], [], [], [], []]
+            for i in range(len(offsets) - 1):
+                at = int(first[i])
+                for m in batch.column(3)[row + i].as_py():
+                    s = at + m["rel"]
+                    e = s + m["size"]
+                    units = b" ".join(data[starts[s] : ends[e - 1]].split()) if by_word else data[s:e]
+                    for col, x in zip(cols, (m["anchor"], m["context"], d[row + i], m["place"], key[row + i], m["c"], units)):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "context", "d", "place", "key", "c", "text"])
+
+
+def runs(marks: list[dict] | None, limit: int) -> list[tuple[int, int]]:
+    """Maximal runs that the marks of a text cover, cut at `limit`."""
+    if not marks:
+        return []
+    sides = [[], []]
+    for m in marks:
+        at = np.array(m["starts"])[:, None]
+        for side, name in zip(sides, ("lo", "hi")):
+            side.append((at + np.array(m[name])[None, :]).ravel())
+    start, end = (np.concatenate(x) for x in sides)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.minimum(np.maximum.accumulate(end[order]), limit)
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    last = np.append(new[1:] - 1, len(start) - 1)
+    return list(zip(start[new].tolist(), end[last].tolist()))

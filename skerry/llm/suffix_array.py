@@ -13,25 +13,25 @@ from pyspark.sql.types import StructType
 from . import repeats, vec
 
 
-def refine(data: np.ndarray, ends: np.ndarray, length: int, gram: int = 8) -> np.ndarray:
+def refine(data: np.ndarray, ends: np.ndarray, length: int, gram: int = 8, often: np.ndarray | None = None) -> np.ndarray:
     """Bucket of each position by its next `length` bytes; -1 where it is alone or they reach over `ends`.
 
-    `ends[i]` is where the string that holds byte i stops. Initial buckets are of `gram` bytes. Each round
-    sorts what shares a bucket by the bucket of the position as many bytes on as the buckets are deep; the
-    refined buckets are the sort keys of the next round, so the depth doubles. Positions alone in their
-    bucket leave at once, and so does each position whose later offset has left: its string is alone, too.
+    `ends[i]` is where the string that holds byte i stops; `often` marks positions that stand for more than
+    one, which are never alone. Initial buckets are of `gram` bytes. Each round sorts what shares a bucket by
+    the bucket of the position as many bytes on as the buckets are deep; the refined buckets are the sort keys
+    of the next round, so the depth doubles. Positions alone in their bucket leave at once, and so does each
+    position whose later offset has left: its string is alone, too.
     """
     n = len(data)
-    bucket = np.full(n + 1, -1, np.int64)
+    bucket = np.full(n + 1, -1, np.int32 if n < 1 << 31 else np.int64)
     if n < length:
         return bucket[:n]
     gram = min(gram, length, 8)
     value = np.zeros(n - gram + 1, np.uint64)
     for i in range(gram):
         value = value << np.uint64(8) | data[i : n - gram + 1 + i]
-    at = np.arange(n - gram + 1)
-    at = at[at + gram <= ends[at]]
-    _keep_shared(bucket, at, value[at])
+    at = np.flatnonzero(np.arange(gram, n + 1) <= ends[: n - gram + 1])
+    _keep_shared(bucket, at, value[at], often)
     depth = gram
     while depth < length:
         step = min(depth, length - depth)
@@ -41,36 +41,38 @@ def refine(data: np.ndarray, ends: np.ndarray, length: int, gram: int = 8) -> np
         at, later = at[later >= 0], later[later >= 0]
         key = bucket[at].astype(np.uint64) * np.uint64(n + 1) + later.astype(np.uint64)
         bucket[:] = -1
-        _keep_shared(bucket, at, key)
+        _keep_shared(bucket, at, key, often)
         depth += step
     return bucket[:n]
 
 
-def _keep_shared(bucket: np.ndarray, at: np.ndarray, key: np.ndarray) -> None:
+def _keep_shared(bucket: np.ndarray, at: np.ndarray, key: np.ndarray, often: np.ndarray | None) -> None:
     """Sort positions by key and give those that share one the place of its first in the sorted order."""
     order = np.argsort(key, kind="stable")
-    ranked = key[order]
+    ranked, at = key[order], at[order]
     new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
     size = np.diff(np.append(new, len(ranked)))
     shared = np.repeat(size > 1, size)
-    bucket[at[order[shared]]] = np.repeat(new, size)[shared]
+    if often is not None:
+        shared |= often[at]
+    bucket[at[shared]] = np.repeat(new, size)[shared]
 
 
 def shared_windows(length: int):
-    """The method for repeats.repeated_spans: spans of what two strings share over `length` bytes."""
+    """The method for repeats.repeated_spans: what two strings share over `length` bytes."""
 
-    def method(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
-        sizes = np.array([len(r[4]) for r in rows])
+    def method(rows: list[repeats.Context]) -> list[repeats.Spans]:
+        sizes = np.array([len(r.units) for r in rows])
         stops = np.cumsum(sizes)
-        data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        hit = np.flatnonzero(refine(data, np.repeat(stops, sizes), length) >= 0)
+        data = np.frombuffer(b"".join(r.units for r in rows), np.uint8)
+        often = np.repeat(np.array([r.c > 1 for r in rows]), sizes)
+        hit = np.flatnonzero(refine(data, np.repeat(stops.astype(np.int32), sizes), length, often=often) >= 0)
         row = np.searchsorted(stops, hit, side="right")
         new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[1:] != row[:-1])])) if len(hit) else []
-        out = []
+        out: list[repeats.Spans] = [([], []) for _ in rows]
         for a, b in zip(new, [*new[1:], len(hit)]):
-            _, d, key, start, units = rows[row[a]]
-            begin = stops[row[a]] - len(units)
-            out.append((d, key, int(start + hit[a] - begin), int(start + hit[b - 1] - begin + length)))
+            begin = stops[row[a]] - sizes[row[a]]
+            out[row[a]][0].append((int(hit[a] - begin), int(hit[b - 1] - begin + length)))
         return out
 
     return method
@@ -94,20 +96,24 @@ def _dense(docs: DataFrame, words: int, length: int) -> DataFrame:
     return some.mapInArrow(run, some.schema)
 
 
-def passage_spans(docs: DataFrame, words: int, length: int = 200, gram: int = 32, crowd: int = 1024) -> DataFrame:
-    """(d, key, spans) that cover each passage of over `words` words that also starts anywhere else.
+#: Bytes of one group that a task refines at once; its arrays take about 60 times that.
+GROUP_BYTES = 1 << 21
+
+
+def passage_spans(docs: DataFrame, words: int, length: int = 200, gram: int = 32, bound: int = GROUP_BYTES) -> DataFrame:
+    """(d, key, marks) that cover each passage of over `words` words that also starts anywhere else.
 
     A passage of `length` bytes or more has strings of that length. A shorter one is in texts that hold so
     many words in so few bytes, and only those are searched for strings of 2 * words + 1 bytes, the least
     that more than `words` words can have.
     """
     least = 2 * words + 1
-    wide = repeats.repeated_spans(docs, False, length, gram, shared_windows(length), keep_first=False, crowd=crowd)
-    tight = repeats.repeated_spans(_dense(docs, words + 1, length), False, least, gram, shared_windows(least), keep_first=False, crowd=crowd)
-    return wide.unionByName(tight).groupBy("d", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    wide = repeats.repeated_spans(docs, False, length, gram, shared_windows(length), keep_first=False, bound=bound)
+    tight = repeats.repeated_spans(_dense(docs, words + 1, length), False, least, gram, shared_windows(least), keep_first=False, bound=bound)
+    return wide.unionByName(tight).groupBy("d", "key").agg(F.flatten(F.collect_list("marks")).alias("marks"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, crowd: int = 1024, keep_text: bool = False, over: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, bound: int = GROUP_BYTES, keep_text: bool = False, over: int | None = None) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts anywhere else.
 
     With `over`, runs of more than so many words go, too, whatever their length: see passage_spans().
@@ -115,22 +121,21 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, crowd: in
     n_removed, n_spans (maximal removed runs) and kept_sha256, and if asked for the kept text (what is left of a character
     cut in two is dropped there) and the other columns as `rest`. Null texts are empty; texts shorter than `length` stay
     whole; repeated rows are copies of each other, and all their bytes go; a null doc_id is kept; an empty
-    table gives no rows; other columns are not read. Memory of a task follows its batches and `crowd`.
+    table gives no rows; other columns are not read. Memory of a task follows its batches, its longest text and `bound`.
     """
     if over is None:
-        spans = repeats.repeated_spans(docs, False, length, gram, shared_windows(length), keep_first=False, crowd=crowd)
+        spans = repeats.repeated_spans(docs, False, length, gram, shared_windows(length), keep_first=False, bound=bound)
     else:
-        spans = passage_spans(docs, over, gram=gram, crowd=crowd)
+        spans = passage_spans(docs, over, gram=gram, bound=bound)
     joined = repeats.with_spans(docs, spans)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in vec.slices(batch, 1):
                 cols: list[list] = [[], [], [], [], []]
-                for text, spans in zip(part.column(1).to_pylist(), part.column(2)):
+                for text, marks in zip(part.column(1).to_pylist(), part.column(2)):
                     raw = (text or "").encode("utf-8", "surrogatepass")
-                    runs = repeats.merged(spans.as_py(), len(raw)) if spans.is_valid else []
+                    runs = repeats.runs(marks.as_py(), len(raw))
                     if over is not None:
                         runs = [(s, e) for s, e in runs if e - s >= length or len(raw[s:e].split()) > over]
                     kept, pos = [], 0

@@ -1,12 +1,14 @@
 """Whole-batch text work in numpy: words, rolling hashes, window minima.
 
 A batch of texts is one byte buffer with offsets, so no function here loops over characters or words in
-Python. Hashes are polynomials modulo 2^64 over randomly mapped units; a range's hash depends on its
-content alone.
+Python. Rolling hashes are polynomials modulo 2^64 over randomly mapped units; a range's hash depends on its
+content alone. Different contents can be built that share one, so they choose places and buckets, where a
+collision costs time only; what decides is compared itself, or by a keyed digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,9 +118,49 @@ def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: A word of more bytes than this is hashed by itself.
+LONG_WORD = 1024
+KEY = b"skerry"
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    return ranged(prefix(BYTE[buf]), starts, ends)
+    """64-bit hash of each word's bytes: eight at a time go through a mixer, which is no polynomial."""
+    size = ends - starts
+    out = mix(size.astype(U) * U(BASES[1]) + U(1))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    now, at = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while len(now):
+        block = np.ascontiguousarray(eight[starts[now] + at]).view(U).ravel()
+        over = np.maximum(8 - (size[now] - at), 0).astype(U) * U(8)
+        block = (block << over) >> over  # little-endian: what is beyond the word's end goes
+        out[now] = mix(out[now] ^ mix(block + U(BASES[0])))
+        at += 8
+        now = now[size[now] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, key=KEY).digest(), "little")
+    return out
+
+
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keyed 64-bit digest of each byte range."""
+    view, hash_ = memoryview(data), hashlib.blake2b
+    return np.frombuffer(b"".join([hash_(view[s:e], digest_size=8, key=KEY).digest() for s, e in zip(starts.tolist(), ends.tolist())]), np.int64)
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Runs of at most `rows` rows and about `size` bytes of a column of texts; a longer text is a run of its own."""
+    texts = batch.column(column)
+    if not batch.num_rows:
+        return
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + batch.num_rows + 1]
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
+        end = min(max(at + 1, end), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -142,16 +184,15 @@ def anchors(units: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> t
 
     Each window is assigned the leftmost of its `gram`-unit pieces with the least hash, which its content
     alone decides; windows of the same content thus have the same anchor at the same place. Returns arrays
-    (text, anchor hash, first window start, number of windows, hash of all units the windows cover), starts
-    being relative to the text; consecutive windows with one anchor are one row.
+    (text, anchor hash, first window start in the text, number of windows, the same start in `units`);
+    consecutive windows with one anchor are one row.
     """
     none = np.empty(0, np.int64)
     n = len(units)
     if n < window:
-        return none, none.astype(U), none, none, none.astype(U)
-    pre = prefix(units)
+        return none, none.astype(U), none, none, none
     at = np.arange(n - gram + 1)
-    grams = ranged(pre, at, at + gram)
+    grams = ranged(prefix(units), at, at + gram)
     packed = (grams & ~_PLACE) | at.astype(U)
     least = window_min(packed, window - gram + 1)
     fits = np.zeros(n + 1, np.int32)
@@ -160,12 +201,10 @@ def anchors(units: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> t
     np.add.at(fits, offsets[long + 1] - window + 1, -1)
     starts = np.flatnonzero(np.cumsum(fits[: len(least)]))
     if not len(starts):
-        return none, none.astype(U), none, none, none.astype(U)
+        return none, none.astype(U), none, none, none
     place = (least[starts] & _PLACE).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     first = starts[new]
     count = np.diff(np.append(new, len(starts)))
-    other = prefix(mix(units), 1)
-    whole = ranged(other, first, first + count - 1 + window, 1)
     text = np.searchsorted(offsets, first, side="right") - 1
-    return text, grams[place[new]], first - offsets[text], count, whole
+    return text, grams[place[new]], first - offsets[text], count, first

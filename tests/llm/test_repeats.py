@@ -129,3 +129,48 @@ def test_equal_windows_share_anchors():
     assert count[t == 0].sum() == len(a) - 99 and count[t == 1].sum() == len(b) - 99
     at = [dict(x for h, s, n in zip(anchor[t == k], start[t == k], count[t == k]) for x in ((int(s) + i, int(h)) for i in range(n))) for k in (0, 1)]
     assert all(at[1][i] == at[0][i + 502] for i in at[1])
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048])
+def test_texts_built_to_collide(spark, n):
+    """A Thue-Morse word and its complement, which polynomial hashes modulo 2^64 can't tell apart."""
+    one = thue_morse(n)
+    two = one.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {tail}", "e"), (2, f"{two} {tail}", "e")]
+    got = automaton.remove_repeats(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    words = [(i, " ".join(t), "e") for i, t in enumerate((one, two))]
+    assert order(automaton.remove_repeats(spark.createDataFrame(words, SCHEMA)).collect()) == order(brute_words(words, 20))
+    rows = [(i, t, "e") for i, t in enumerate((one, two))]
+    assert order(suffix_array.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()) == order(brute_bytes(rows, 400))
+
+
+def test_production_parameters_against_brute_force(spark):
+    rnd = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(150))
+    rows = []
+    for i in range(300):  # one passage in most texts, another in some, copies and near copies
+        own = [f"x{rnd.randrange(10**6)}" for _ in range(rnd.randint(0, 60))]
+        at = rnd.randint(0, len(own))
+        part = passage.split()[rnd.randint(0, 30) : 150 - rnd.randint(0, 30)] if i % 3 else passage.split()
+        rows.append((i, " ".join(own[:at] + part * (1 + (i % 17 == 0)) + own[at:]), "e"))
+    rows += [(1000 + i, rows[i][1], None) for i in range(0, 300, 11)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for bound in (1 << 20, 3000, 1):
+        assert order(suffix_array.remove_repeats(df, bound=bound).collect()) == order(brute_bytes(rows, 400))
+        assert order(automaton.remove_repeats(df, bound=bound).collect()) == order(brute_words(rows, 20))
+
+
+def test_all_that_goes_is_found_by_the_method(spark, monkeypatch):
+    """With the refinement, or the automata, finding nothing, nothing is removed."""
+    rows = corpus(6, False)
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(suffix_array, "shared_windows", lambda length: lambda rows: [([], []) for _ in rows])
+    monkeypatch.setattr(automaton, "earlier_windows", lambda window: lambda rows: [([], []) for _ in rows])
+    assert {r.n_removed for r in suffix_array.remove_repeats(df, 40, 8).collect()} == {0}
+    assert {r.n_removed for r in automaton.remove_repeats(df, 8, 3).collect()} == {0}
