@@ -6,17 +6,19 @@ joined: |S| - ceil(t |S|) + 1 shingles for a containment of t; here t is 1, so i
 fixes the window's place in the text: the positional bound (it must begin in the text and end in it, which
 also bounds its length) comes next, then the exact comparison of all words over the item-sized window.
 
-The item side is broadcast, in blocks of at most `block_windows` windows, whose size is thus known; a larger
-benchmark takes more passes over the texts.
+The item side is broadcast, in blocks of about `block_windows` windows, whose size is thus known; a larger
+benchmark takes more passes over the texts, each checkpointed, and one block is sent at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import repeats, vec
 from .rest import packed
 
@@ -82,11 +84,14 @@ def find_windows(docs: DataFrame, items: DataFrame, size: int = 10, gram: int =
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([packed(docs)] if keep else []))
     found = whole.select(*whole.columns[:2], F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<string>").alias("item_ids"), *whole.columns[2:])
-    some = False
+    sent = None
     for block in _blocks(items, size, gram, block_windows):
-        found, some = _find(base, found, block), True
-    if not some:
-        found = _find(base, found, _Block([], size, gram))
+        if sent is not None:  # a block is done with before the next is sent
+            found = cut(found)
+            sent.destroy()
+        found, sent = _find(base, found, block)
+    if sent is None:
+        found, _ = _find(base, found, _Block([], size, gram))
     return found if keep else found.drop("text")
 
 
@@ -107,8 +112,8 @@ def _blocks(items: DataFrame, size: int, gram: int, limit: int):
         yield _Block(held, size, gram)
 
 
-def _find(base: DataFrame, found: DataFrame, block: _Block) -> DataFrame:
-    """One more block's hits, added to those found so far; the passes over the texts are one chain of maps."""
+def _find(base: DataFrame, found: DataFrame, block: _Block) -> tuple[DataFrame, Broadcast]:
+    """One more block's hits, added to those found so far, and the broadcast that they need."""
     spark = base.sparkSession
     sizes = sorted(set(block.grams))
     every = {g: np.unique(np.concatenate([s for s, k in zip(block.shingles, block.grams) if k == g])) for g in sizes}
@@ -131,6 +136,7 @@ def _find(base: DataFrame, found: DataFrame, block: _Block) -> DataFrame:
     if every:
         for r in base.select("text").mapInArrow(count, "g int, i long, n long").groupBy("g", "i").agg(F.sum("n").alias("n")).collect():  # bounded by the block
             often[r.g][r.i] = r.n
+    sent.destroy()
     prefix: dict[int, list[tuple[int, int, int]]] = {g: [] for g in sizes}
     for k, (shingles, g) in enumerate(zip(block.shingles, block.grams)):
         seen = often[g][np.searchsorted(every[g], shingles)]
@@ -173,13 +179,13 @@ def _find(base: DataFrame, found: DataFrame, block: _Block) -> DataFrame:
                             if tuple(raw[s:e] for s, e in zip(starts[begin:stop].tolist(), ends[begin:stop].tolist())) == windows[w]:
                                 hits[doc].append({"start": begin - int(first[doc]), "end": stop - int(first[doc])})
                                 which[doc].update(items[w])
-                spans = [[{"start": s, "end": e} for s, e in repeats.merged(h, 1 << 62)] for h in hits]
+                spans = [[{"start": s, "end": e} for s, e in repeats.runs([{"starts": [0], "lo": [x["start"] for x in h], "hi": [x["end"] for x in h]}] if h else None, 1 << 30)] for h in hits]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, n), batch.column(1).slice(row, n), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(w) for w in which], pa.list_(pa.string())), *(batch.column(c).slice(row, n) for c in range(5, batch.num_columns))],
                     names,
                 )
 
-    return found.mapInArrow(join, found.schema)
+    return found.mapInArrow(join, found.schema), lookup
 
 
 def digest(found: DataFrame) -> DataFrame:
