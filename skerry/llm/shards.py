@@ -3,9 +3,11 @@
 A store is a folder of immutable runs and of manifests. An arrival is written as a run of small shards. A run's
 tier is the logarithm of its bytes; when a tier holds `fanout` runs, they are merged into one run whose shards
 have the target size, without a shuffle: neighbouring file splits are read by one task and written as one
-file. Each change is one new manifest, written aside and renamed to the next version's name. A rename
-onto a taken name fails, so of two writers one loses and readers see all of a change or nothing; a job that
-dies leaves files that no manifest names.
+file. Each change is one new manifest under the next version's name, put there in one step that fails if the
+name is taken, so of two writers one loses and readers see all of a change or nothing; a job that dies leaves
+files that no manifest names. Where renames are atomic (RENAMES) that step is a rename; in object stores it is
+a create without overwriting, whose object appears whole when it is closed, and which needs a store and
+connector that support conditional writes. Old versions stay readable until vacuum() drops them.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +25,12 @@ from ..session import scratch
 
 #: Bytes of a shard that merges aim at; bytes below which runs are all of tier 0; runs of a tier that merge.
 TARGET, BASE, FANOUT = 64 << 20, 1 << 20, 4
+#: Schemes whose rename is atomic and refuses a taken name.
+RENAMES = ("file", "hdfs", "viewfs", "abfs", "abfss")
 #: Arrivals that the query deals the table into.
 ARRIVALS = 16
+#: Versions that the query keeps.
+KEEP = 4
 
 
 class ShardStore:
@@ -55,37 +62,60 @@ class ShardStore:
             stream.close()
 
     def commit(self, runs: list[dict], after: int) -> int:
-        """Make `runs` the version after `after`, in one atomic rename; raises if another writer was first."""
+        """Make `runs` the version after `after`, in one atomic step; raises if another writer was first."""
         folder = f"{self.path}/manifest"
         self.fs.mkdirs(self._path(folder))
-        aside = self._path(f"{folder}/.{uuid.uuid4().hex}")
-        out = self.fs.create(aside, False)
-        out.write(bytearray(json.dumps({"version": after + 1, "runs": runs}).encode()))
-        out.close()
         final = self._path(f"{folder}/v{after + 1:08d}.json")
-        if self.fs.exists(final) or not self.fs.rename(aside, final):
-            self.fs.delete(aside, False)
-            raise RuntimeError(f"version {after + 1} was committed by another writer")
+        body = bytearray(json.dumps({"version": after + 1, "runs": runs}).encode())
+        taken = RuntimeError(f"version {after + 1} was committed by another writer")
+        if self.fs.exists(final):
+            raise taken
+        if self.fs.getScheme() in RENAMES:
+            aside = self._path(f"{folder}/.{uuid.uuid4().hex}")
+            self._write(aside, body)
+            if not self.fs.rename(aside, final):
+                self.fs.delete(aside, False)
+                raise taken
+        else:
+            try:
+                self._write(final, body)
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                    raise taken from e
+                raise
         return after + 1
 
+    def _write(self, path, body: bytearray) -> None:
+        out = self.fs.create(path, False)
+        out.write(body)
+        out.close()
+
     def _run(self, folder: str, arrivals: list[str]) -> dict:
         files = [s for s in self.fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
         return {"name": folder.rsplit("/", 1)[-1], "folder": folder, "bytes": sum(s.getLen() for s in files), "shards": len(files), "arrivals": arrivals}
 
+    def _drop(self, folders) -> None:
+        for folder in folders:
+            self.fs.delete(self._path(folder), True)
+
     def append(self, df: DataFrame, name: str) -> int:
-        """One arrival as a run of small shards."""
+        """One arrival as a run of small shards; if the commit is lost, its files go and the error stays."""
         folder = f"{self.path}/runs/a-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(folder)
         after = self.version()
-        return self.commit([*self.manifest(after), self._run(folder, [name])], after)
+        try:
+            return self.commit([*self.manifest(after), self._run(folder, [name])], after)
+        except RuntimeError:
+            self._drop([folder])
+            raise
 
     def append_all(self, df: DataFrame, arrival) -> int:
         """Many arrivals in one pass over their rows; each becomes a run and a version of its own, in order."""
-        folder = f"{self.path}/runs/b-{uuid.uuid4().hex}"
-        df.withColumn("_arrival", arrival).write.option("compression", "zstd").partitionBy("_arrival").parquet(folder)
+        folder, column = f"{self.path}/runs/b-{uuid.uuid4().hex}", f"arrival_{uuid.uuid4().hex}"
+        df.withColumn(column, arrival).write.option("compression", "zstd").partitionBy(column).parquet(folder)
         after = self.version()
         runs = self.manifest(after)
-        names = sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("_arrival="))
+        names = sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(folder)) if s.getPath().getName().startswith(f"{column}="))
         for name in names:
             runs = [*runs, self._run(f"{folder}/{name}", [name.split("=", 1)[1]])]
             after = self.commit(runs, after)
@@ -109,42 +139,65 @@ class ShardStore:
         return self._run(folder, [a for r in group for a in r["arrivals"]])
 
     def compact(self) -> int:
-        """Merge until no tier is full; the merges of a round run side by side and are one commit. Replaced runs go after it."""
+        """Merge until no tier is full; the merges of a round run side by side and are one commit.
+
+        Replaced runs stay for readers of older versions. Of a lost race, the merged files go.
+        """
         while groups := self.plan(runs := self.manifest(after := self.version())):
             with ThreadPoolExecutor(4) as pool:
                 merged = list(pool.map(self._merge, groups))
             gone = {r["folder"] for g in groups for r in g}
-            self.commit([r for r in runs if r["folder"] not in gone] + merged, after)
-            for folder in gone:
-                self.fs.delete(self._path(folder), True)
+            try:
+                self.commit([r for r in runs if r["folder"] not in gone] + merged, after)
+            except RuntimeError:
+                self._drop(r["folder"] for r in merged)
+                raise
         return self.version()
 
-    def read(self, columns: list[str] | None = None) -> DataFrame | None:
-        """The rows of the latest version, with run, shard and version; None for a store without runs."""
-        version = self.version()
+    def vacuum(self, keep: int = 1) -> int:
+        """Drop all versions but the last `keep`, and the runs that only they name; returns how many runs went.
+
+        A reader of a dropped version fails, so `keep` has to cover the longest job.
+        """
+        last = self.version()
+        kept = {r["folder"] for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v)}
+        old = [v for v in range(1, last - keep + 1) if self.fs.exists(self._path(f"{self.path}/manifest/v{v:08d}.json"))]
+        gone = {r["folder"] for v in old for r in self.manifest(v)} - kept
+        self._drop(gone)
+        self._drop(f"{self.path}/manifest/v{v:08d}.json" for v in old)
+        return len(gone)
+
+    def read(self, columns: list[str] | None = None, version: int | None = None) -> DataFrame | None:
+        """The rows of a version (the latest), with version, run and shard; None for a store without runs.
+
+        Where the table has columns of these names, the store's are called store_version, store_run and store_shard.
+        """
+        version = self.version() if version is None else version
         runs = self.manifest(version)
         if not runs:
             return None
         schema = self.spark.read.parquet(runs[0]["folder"]).schema
         df = self.spark.read.schema(schema).parquet(*(r["folder"] for r in runs))
         place = F.split(F.col("_metadata.file_path"), "/")
-        wanted = columns or [c for c in df.columns if c not in ("run", "shard", "version")]
-        return df.select(*wanted, F.lit(version).alias("version"), F.element_at(place, -2).alias("run"), F.element_at(place, -1).alias("shard"))
+        own = {"version": F.lit(version), "run": F.element_at(place, -2), "shard": F.element_at(place, -1)}
+        prefix = "store_" if {c.lower() for c in schema.names} & set(own) else ""
+        return df.select(*[f"`{c}`" for c in columns or schema.names], *[c.alias(prefix + name) for name, c in own.items()])
 
 
 def shard(docs: DataFrame, path: str | None = None, arrivals: int = ARRIVALS, target: int = TARGET, base: int = BASE, fanout: int = FANOUT) -> DataFrame:
     """doc_id, n_bytes, version, run and shard of each document, after its arrivals were appended and compacted.
 
     Arrivals are doc_id modulo `arrivals` (null: the first). Each row is in one shard of the last version;
-    repeated rows stay; null and empty texts have 0 bytes; all columns are stored, but one named _arrival is
-    not; an empty table gives no rows.
+    repeated rows stay; null and empty texts have 0 bytes; all columns are stored, whatever their names; an
+    empty table gives no rows. Versions before the last KEEP are dropped at the end.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, path or scratch(spark, "shards"), target, base, fanout)
-    rows = docs.drop("_arrival")
-    store.append_all(rows, F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(arrivals)), F.lit(0)))
+    store.append_all(docs, F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(arrivals)), F.lit(0)))
     store.compact()
+    store.vacuum(KEEP)
     found = store.read(["doc_id", "text"])
     if found is None:
-        return rows.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).alias("version"), F.lit("").alias("run"), F.lit("").alias("shard")).where("false")
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "version", "run", "shard")
+        return docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).alias("version"), F.lit("").alias("run"), F.lit("").alias("shard")).where("false")
+    own = [F.col(c).alias(c.removeprefix("store_")) for c in found.columns[2:]]
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), *own)
