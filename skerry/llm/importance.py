@@ -95,7 +95,8 @@ def weigh(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
         ratio = np.log((target + SMOOTH) / (raw * (target.sum() / raw.sum()) + SMOOTH))
     else:
         ratio = np.zeros(BUCKETS)
-    sent = docs.sparkSession.sparkContext.broadcast(ratio)
+    # whole numbers, whose sums are the same wherever a text stands in its batch
+    sent = docs.sparkSession.sparkContext.broadcast(np.rint(ratio * 2.0**32).astype(np.int64))
 
     def run(batches):
         ratio = sent.value
@@ -105,7 +106,7 @@ def weigh(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
                 n = len(offsets) - 1
                 at, first = ngrams(buf, offsets)
                 sums = np.concatenate([[0], np.cumsum(ratio[at])])
-                weight = sums[first[1:]] - sums[first[:-1]]
+                weight = (sums[first[1:]] - sums[first[:-1]]) / 2.0**32
                 u = (vec.mix(noise[row : row + n].view(np.uint64) + np.uint64(seed)) >> np.uint64(11)).astype(float)
                 gumbel = -np.log(-np.log((u + 0.5) / 2.0**53))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, n) for c in (0, 1, 4, 3)), pa.array(np.diff(first)), pa.array(weight), pa.array(weight + gumbel)], ["doc_id", "text", "rest", "label", "n_grams", "log_weight", "draw"])
