@@ -21,10 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import vec
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Entries in each of the two generations of a worker's word cache.
-CACHE_WORDS = 300_000
+#: Characters, of runs and their ids, in each of the two generations of a worker's word cache.
+CACHE_CHARS = 4 << 20
+#: A longer run isn't kept.
+CACHE_RUN = 64
+#: Runs that don't decode to themselves.
+CACHE_ODD = 20_000
 
 
 class WordCache:
@@ -37,11 +43,15 @@ class WordCache:
         self.new: dict[str, str] = {}
         self.old: dict[str, str] = {}
         self.odd: dict[str, tuple[str, str]] = {}
+        self.size = 0
 
     def put(self, run: str, ids: str) -> None:
-        if len(self.new) >= CACHE_WORDS:
-            self.old, self.new = self.new, {}
+        if len(run) > CACHE_RUN:
+            return
+        if self.size >= CACHE_CHARS:
+            self.old, self.new, self.size = self.new, {}, 0
         self.new[run] = ids
+        self.size += len(run) + len(ids)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -256,9 +266,11 @@ class PieceModel:
                         cache.put(run, known)
                     else:
                         odd = True
-                        if len(cache.odd) >= CACHE_WORDS:
+                        runs[at] = back
+                        if len(cache.odd) >= CACHE_ODD:
                             cache.odd.clear()
-                        cache.odd[run], runs[at] = (known, back), back
+                        if len(run) <= CACHE_RUN:
+                            cache.odd[run] = known, back
                 elif run not in cache.new:
                     cache.put(run, known)
                 got[at] = known
@@ -345,8 +357,7 @@ def encode_texts(docs: DataFrame, path: str, keep_ids: bool = False, keep_text:
     def run(batches):
         m, cache = model(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in vec.slices(batch, 1, 256, 1 << 20):
                 cols: list[list] = [[], [], [], [], []]
                 for text in part.column(1).to_pylist():
                     n, ids, back = m.digest(text, cache)
