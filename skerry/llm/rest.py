@@ -11,9 +11,9 @@ def packed(docs: DataFrame):
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
 
 
-def unpacked(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """The table's columns again, with the named text; n_chars follows the text where there is such a column."""
+def unpacked(df: DataFrame, text: str, columns: list[str], changed: bool = False) -> DataFrame:
+    """The table's columns again, with the named text; if texts are `changed`, n_chars follows where there is such a column."""
     out = df.select("rest.*", F.col(text).alias("text"))
-    if "n_chars" in columns:
+    if changed and "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*[f"`{c}`" for c in columns])

@@ -72,8 +72,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in vec.slices(batch, 1, 64, 1 << 20):
                 fp = _prints(part.column(1).to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
@@ -309,6 +308,20 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, together:
     return found.join(least, "class").select("doc_id", "component_id")
 
 
+def first_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """text and rest (the other columns) of one row of each class of similar(): that of the least doc_id, those without one coming last.
+
+    Rows are told apart by doc_id and text, and those that agree in both are one. Texts that are like no
+    other are not shuffled.
+    """
+    found = cut(similar_classes(docs, words, similarity))
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
+    first = cut(found.groupBy("class").agg(F.count("*").alias("n"), F.min(order).alias("m")).select("class", "n", "m.key"))
+    base, bits = repeats.keyed(docs), repeats.key_bits(found.join(first.where("n > 1").select("class"), "class", "left_semi"))
+    some = repeats.picked(base, bits, True).join(first.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return some.select("text", "rest").unionByName(repeats.picked(base, bits, False).select("text", "rest"))
+
+
 def _masks(blocks: int, distance: int) -> list[int]:
     edges = np.linspace(0, BITS, blocks + 1).astype(int)
     piece = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges, edges[1:])]
