@@ -22,3 +22,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2))), F.lit(0.0), lambda s, x: s + x))
+
+
+def literal(a: Column) -> Column:
+    """A vector as text, [x,y,...], with six decimal places."""
+    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: x.cast("decimal(12,6)").cast("string")), ","), F.lit("]"))

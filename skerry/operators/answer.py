@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -44,3 +44,26 @@ def validate(answers: DataFrame, context: DataFrame) -> DataFrame:
     verdict = F.when(F.col("refused"), "refused").when(F.size("invalid") > 0, "invalid_marker").when(F.size("cited") == 0, "no_citation").when(F.size("uncited") > 0, "uncited_sentence").otherwise("ok")
     ids = F.array_distinct(F.flatten(F.transform("cited", lambda m: F.col("_ids")[m])))
     return rows.select("question_id", "refused", "cited", "invalid", F.coalesce(ids, F.array().cast("array<string>")).alias("chunk_ids"), "uncited", verdict.alias("verdict"))
+
+
+def problem(verdict: Column) -> Column:
+    """Whether an answer needs a repair: claims that nothing backs."""
+    return verdict.isin("invalid_marker", "no_citation", "uncited_sentence")
+
+
+def settle(answers: DataFrame, repaired: DataFrame, context: DataFrame) -> DataFrame:
+    """question_id, answer, verdict, refused, repaired and cited after one repair at most.
+
+    `repaired` has second answers (question_id, answer); they are looked at only where the first has a
+    problem. One that has a problem, too, or is a refusal or missing, becomes a refusal.
+    """
+    first = validate(answers, context).select("question_id", "cited", "verdict").join(answers.select("question_id", "answer"), "question_id")
+    bad = first.where(problem(F.col("verdict"))).select("question_id")
+    again = repaired.join(bad, "question_id", "left_semi").select("question_id", "answer")
+    second = validate(again, context).select("question_id", F.col("cited").alias("_c"), F.col("verdict").alias("_v")).join(again.select("question_id", F.col("answer").alias("_a")), "question_id")
+    rows = first.join(second, "question_id", "left").withColumn("repaired", problem(F.col("verdict")))
+    fixed = F.coalesce(F.col("_v") == "ok", F.lit(False))
+    refused = F.when(F.col("repaired"), ~fixed).otherwise(F.col("verdict") == "refused")
+    answer = F.when(refused, F.lit(REFUSAL)).when(F.col("repaired"), F.trim("_a")).otherwise(F.trim("answer"))
+    cited = F.when(refused, F.array().cast("array<int>")).when(F.col("repaired"), F.col("_c")).otherwise(F.col("cited"))
+    return rows.select("question_id", answer.alias("answer"), F.coalesce("_v", "verdict").alias("verdict"), refused.alias("refused"), "repaired", cited.alias("cited"))

@@ -2,7 +2,7 @@
 
 Each step rewires every node to the least neighbour it knows; a few steps turn each component into one star
 around its least node. Work per step is linear in the edges, and no node's neighbours are ever gathered: the
-minimum of a hub is aggregated map-side, and the join back to its edges is one that AQE can split.
+minimum of a hub is aggregated map-side, and the join back to its edges deals both sides, so that AQE can split it.
 """
 
 from __future__ import annotations
@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+def _dealt_again(least: DataFrame) -> DataFrame:
+    """The same rows, but their partitioning by u is hidden: a join then shuffles them and the edges alike."""
+    same = F.concat("u", F.lit("")) if dict(least.dtypes)["u"] == "string" else F.expr("u + 0")
+    return least.withColumn("u", same.cast(dict(least.dtypes)["u"]))
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(_dealt_again(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(_dealt_again(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,3 +100,93 @@ def resolve(mentions: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     rolled = ranked.groupBy("entity_type", "form").agg(F.sum("n").alias("mentions"), F.min_by("raw_name", "_p").alias("name"), F.sort_array(F.collect_list("raw_name")).alias("_all"))
     out = rolled.select("entity_type", "form", "mentions", "name", F.array_remove("_all", F.col("name")).alias("aliases"), T.entity_id(F.col("entity_type"), F.col("name")).alias("entity_id"))
     return formed.select("entity_type", "raw_name", "form").join(out, ["entity_type", "form"]).drop("form")
+
+
+#: Cosine from which on two names are one entity; chance that a pair just there is missed.
+SIMILAR, MISSED = 0.86, 1e-3
+
+
+def similar_names(names: DataFrame, threshold: float = SIMILAR, seed: int = 3) -> DataFrame:
+    """entity_type, left_name, right_name: links among names (entity_type, raw_name, embedding) of one type that connect what is alike.
+
+    Candidates share a bucket of random hyperplanes; buckets get narrower and more as names get more, so that
+    one holds a few hundred and a pair at the threshold is missed with a chance of MISSED. All of a bucket are
+    compared by exact cosine; vectors that are the same but for rounding are held once. Null and zero vectors link nothing.
+    """
+    rows = names.where("raw_name is not null and embedding is not null").select("entity_type", "raw_name", F.col("embedding").cast("array<double>").alias("x")).dropDuplicates(["entity_type", "raw_name"])
+    first = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim")).first()
+    dim = first.dim or 1
+    agree = 1 - math.acos(threshold) / math.pi
+    bits = max(4, math.ceil(math.log2(max(1, first.n) / 256 + 1)))
+    bands = math.ceil(math.log(MISSED) / math.log(1 - agree**bits))
+    planes = names.sparkSession.sparkContext.broadcast(np.random.default_rng(seed).normal(size=(bands * bits, dim)))
+
+    def keyed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [np.array(v, float) for v in part.column(2).to_pylist()]
+                keep = [i for i, v in enumerate(own) if len(v) == dim and np.isfinite(v).all() and v.any()]
+                if not keep:
+                    continue
+                x = np.array([own[i] / np.linalg.norm(own[i]) for i in keep])
+                on = (x @ planes.value.T > 0).reshape(len(x), bands, bits)
+                key = (on * (1 << np.arange(bits, dtype=np.int64))).sum(2) + (np.arange(bands, dtype=np.int64) << bits)
+                kind, name = part.column(0).take(pa.array(keep)), part.column(1).take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([kind, name, pa.array(list(x), pa.list_(pa.float64())), pa.array(list(key), pa.list_(pa.int64()))], ["entity_type", "raw_name", "x", "keys"])
+
+    def compare(batches):
+        bucket, held, kept = None, np.empty((0, dim)), []
+        for batch in batches:
+            out = []
+            for kind, key, name, vector in zip(*(c.to_pylist() for c in batch.columns)):
+                v = np.array(vector)
+                if (kind, key) != bucket:
+                    bucket, held, kept = (kind, key), np.empty((0, dim)), []
+                near = held @ v
+                out += [(kind, kept[i], name) for i in np.flatnonzero(near >= threshold).tolist()]
+                if not len(near) or near.max() < 1 - 1e-12:
+                    held, kept = np.vstack([held, v]), [*kept, name]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else ((), (), ()))], ["entity_type", "left_name", "right_name"])
+
+    buckets = rows.mapInArrow(keyed, "entity_type string, raw_name string, x array<double>, keys array<long>").select("entity_type", F.explode("keys").alias("key"), "raw_name", "x")
+    dealt = buckets.repartition("entity_type", "key").sortWithinPartitions("entity_type", "key", "raw_name")
+    return dealt.mapInArrow(compare, "entity_type string, left_name string, right_name string").distinct()
+
+
+def graph_payload(payloads: DataFrame, similar: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What extractions (chunk_id, payload) write to a graph: entities, mentions, relations, links (chunk to entity) and skipped.
+
+    Names are resolved over all chunks. Relations whose ends aren't entities of their chunk, or have become
+    one entity by resolution, are `skipped`, as are none that validation rejects.
+    """
+    valid = entities(payloads).where("reason is null").select("chunk_id", F.col("type").alias("entity_type"), F.col("name").alias("raw_name"), "confidence")
+    resolved = resolve(valid.select("entity_type", "raw_name"), similar).select("entity_type", "raw_name", "entity_id", "name", "aliases", "mentions")
+    local = valid.join(resolved, ["entity_type", "raw_name"])
+    nodes = resolved.select("entity_id", "name", F.col("entity_type").alias("type"), F.lower("name").alias("normalized"), "aliases", "mentions").dropDuplicates(["entity_id"])
+    mentioned = local.groupBy("entity_id", "chunk_id").agg(F.max("confidence").alias("confidence"))
+    links = local.select("chunk_id", "entity_id", F.col("name").alias("entity_name"), "entity_type").distinct()
+    ends = local.select("chunk_id", "entity_type", T.normalize_name(F.col("raw_name")).alias("_n"), "entity_id").distinct()
+    told = relations(payloads).where("reason is null").withColumn("_row", F.monotonically_increasing_id())
+    for end in ("source", "target"):
+        mine = ends.select("chunk_id", F.col("_n").alias(f"_{end}"), F.col("entity_type").alias(f"{end}_type"), F.col("entity_id").alias(f"{end}_id"))
+        told = told.withColumn(f"_{end}", T.normalize_name(F.col(end))).join(mine, ["chunk_id", f"_{end}", f"{end}_type"], "left")
+    found = told.groupBy("_row").agg(*[F.min(c).alias(c) for c in ("source_id", "relation", "target_id", "chunk_id", "confidence")]).drop("_row")
+    good = F.coalesce(F.col("source_id") != F.col("target_id"), F.lit(False))
+    return {"entities": nodes, "mentions": mentioned, "relations": found.where(good), "links": links, "skipped": found.where(~good)}
+
+
+def write_payload(payload: dict[str, DataFrame], path: str) -> dict[str, int]:
+    """Write each table under a path, relations by their type, and count what was written."""
+    counts = {}
+    for name, df in payload.items():
+        out = df.write.mode("overwrite")
+        (out.partitionBy("relation") if name == "relations" else out).parquet(f"{path}/{name}")
+        counts[name] = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}").count()
+    return counts
+
+
+def top_merged(resolved: DataFrame, n: int = 10) -> DataFrame:
+    """The entities that took in most names: name, entity_type, names; ties by name and type."""
+    one = resolved.select("entity_id", "entity_type", "name", (F.size("aliases") + 1).alias("names")).distinct()
+    return one.where("names > 1").orderBy(F.desc("names"), "name", "entity_type").limit(n).select("entity_type", "name", "names")

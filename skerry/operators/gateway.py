@@ -45,3 +45,31 @@ def running_total(events: DataFrame, by: list[str], order: list[str], amount: st
 def backoff(attempts: Column, base: float = 1.0, cap: float = 60.0) -> Column:
     """Delay before the given attempt (from 0): base * 2^n, at most cap."""
     return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempts))
+
+
+def leaky_bucket(events: DataFrame, by: list[str], at: Column, order: list[str], cost: str, rate: float, size: float) -> DataFrame:
+    """Adds level and limited: the bucket after each event, which leaks `rate` a second and holds `size`.
+
+    level_i = max(0, level_(i-1) - rate * (t_i - t_(i-1))) + cost_i, written as a running sum less its running
+    minimum, so that it is a window function and no fold.
+    """
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    leaked = at * rate
+    rows = events.withColumn("_a", F.sum(cost).over(w)).withColumn("_t", leaked)
+    rows = rows.withColumn("_m", F.min(F.col("_a") - F.col(cost) - F.col("_t")).over(w))
+    return rows.withColumn("level", F.col("_a") - F.col("_t") - F.col("_m")).withColumn("limited", F.col("level") > size).drop("_a", "_t", "_m")
+
+
+def unhealthy(events: DataFrame, by: list[str], order: list[str], ok: Column, latency: str, calls: int = 20, least: int = 5, errors: float = 0.5, slow: float = 90.0) -> DataFrame:
+    """Adds error_rate, p95 and trip over each key's last `calls` calls: too many errors, or a 95th percentile (nearest rank) over `slow`."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - calls, 0)
+    rows = events.withColumn("_n", F.count("*").over(w)).withColumn("error_rate", F.avg((~ok).cast("double")).over(w))
+    last = F.sort_array(F.collect_list(latency).over(w))  # `calls` values at most
+    rows = rows.withColumn("p95", F.element_at(last, (F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.95)) + 1).cast("int")))
+    return rows.withColumn("trip", (F.col("_n") >= least) & ((F.col("error_rate") >= errors) | (F.col("p95") > slow))).drop("_n")
+
+
+def jittered(delay: Column, key: Column) -> Column:
+    """A delay between its half and itself, spread by the key's digest, so that retries don't meet."""
+    part = F.conv(F.substring(F.md5(key.cast("string")), 1, 6), 16, 10).cast("double") / float(1 << 24)
+    return delay * (0.5 + part / 2)

@@ -9,14 +9,47 @@ from ..functions import text as T
 from .store import top_n_per
 
 #: What marks a question about relations, and one about passages.
-GRAPH_MARKERS = (r"\bwho (founded|acquired|leads)\b", r"\bconnected\b", r"\brelat(ed|ion)", r"\bbetween\b", r"\bhow many\b", r"\bwhich (company|companies)\b", r"\bpartner", r"\bowns?\b", r"\bpath\b")
-VECTOR_MARKERS = (r"\bexplain\b", r"\bdescribe\b", r"\bwhy\b", r"\bsummar", r"\bwhat is\b", r"\boverview\b")
+GRAPH_MARKERS = (
+    r"\bconnect(ed|ion|ions)?\b",
+    r"\brelated\b",
+    r"\brelationship\b",
+    r"\bbetween\b",
+    r"\bboth\b",
+    r"\bpartner(s|ship)?\b",
+    r"\bcompetitor(s)?\b",
+    r"\bcompete(s)?\b",
+    r"\binvest(s|ed|or|ors|ment)?\b",
+    r"\bacquire(d|s)?\b",
+    r"\bacquisition\b",
+    r"\bsuppl(y|ies|ier|iers)\b",
+    r"\bwho else\b",
+    r"\bhow many\b",
+    r"\bcount\b",
+    r"\blist all\b",
+    r"\bwhich compan(y|ies)\b",
+    r"\bboard\b",
+    r"\bsupply chain\b",
+    r"\bvia\b",
+    r"\bthrough\b",
+)
+VECTOR_MARKERS = (
+    r"^what is\b",
+    r"^what are\b",
+    r"^define\b",
+    r"\bdefinition\b",
+    r"\bdescribe\b",
+    r"\bexplain\b",
+    r"\bknown for\b",
+    r"\bmission\b",
+    r"\bhistory\b",
+    r"\bfocus(ed|es)? on\b",
+)
 RRF_K = 60
 
 
 def hits(question: Column, patterns: tuple[str, ...]) -> Column:
     """How many of the patterns a question holds."""
-    low = F.lower(question)
+    low = F.lower(F.trim(question))
     out = F.lit(0)
     for p in patterns:
         out = out + low.rlike(p).cast("int")

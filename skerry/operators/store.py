@@ -56,3 +56,28 @@ def merge_last(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> D
 def top_n_per(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+#: Values of an IN list that are pushed to the scan; more are joined.
+IN_LIST = 1000
+
+
+def by_key(table: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key, as a predicate that reaches the scan; of null, none."""
+    return table.where(F.col(key) == F.lit(value))
+
+
+def by_keys(table: DataFrame, key: str, values: list) -> DataFrame:
+    """The rows of a list of keys; nulls and repeated values count for nothing."""
+    wanted = sorted({v for v in values if v is not None})
+    if len(wanted) <= IN_LIST:
+        return table.where(F.col(key).isin(wanted)) if wanted else table.where("false")
+    kind = table.schema[key].dataType.simpleString()
+    return table.join(table.sparkSession.createDataFrame([(v,) for v in wanted], f"`{key}` {kind}"), key, "left_semi")
+
+
+def oldest_pending(items: DataFrame, done: DataFrame, keys: list[str], order: list[str], batch: int) -> DataFrame:
+    """The next batch of work: items without a result, in a total order."""
+    if batch < 1:
+        raise ValueError("batch must be at least 1")
+    return pending(items, done, keys).orderBy(*order, *keys).limit(batch)

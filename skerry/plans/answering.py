@@ -63,3 +63,20 @@ def uncited_sentences(spark, sf_dir):
 @query("citation_verdict", _ANS + " SELECT question_id, array_to_string(cited, '|') AS cited, CASE WHEN trim(answer) = '' OR contains(answer, 'INSUFFICIENT_EVIDENCE') THEN 'refused' WHEN len(invalid) > 0 THEN 'invalid_marker' WHEN len(cited) = 0 THEN 'no_citation' WHEN uncited > 0 THEN 'uncited_sentence' ELSE 'ok' END AS verdict FROM v")
 def citation_verdict(spark, sf_dir):
     return _validated(spark, sf_dir).select("question_id", F.array_join(F.col("cited").cast("array<string>"), "|").alias("cited"), "verdict")
+
+
+_VERDICT = "CASE WHEN trim({v}.answer) = '' OR contains({v}.answer, 'INSUFFICIENT_EVIDENCE') THEN 'refused' WHEN len({v}.invalid) > 0 THEN 'invalid_marker' WHEN len({v}.cited) = 0 THEN 'no_citation' WHEN {v}.uncited > 0 THEN 'uncited_sentence' ELSE 'ok' END"
+#: The chain of a, u and v again, for second answers.
+_AGAIN = _ANS.removeprefix(f"WITH {_CTX}, ").replace("// 10 % 7", "% 7").replace("a AS (SELECT o", "a2 AS (SELECT o", 1).replace("u AS (SELECT question_id, answer", "u2 AS (SELECT question_id, answer").replace("FROM a)", "FROM a2)").replace(" h AS (SELECT question_id, list(CAST(marker AS INTEGER)) AS have FROM x GROUP BY 1),", "").replace("v AS (SELECT u.*", "v2 AS (SELECT u2.*").replace("FROM u LEFT", "FROM u2 LEFT")
+
+
+@query(
+    "citation_repair",
+    f"{_ANS}, {_AGAIN}, z AS (SELECT v.question_id, v.answer, v.cited, {_VERDICT.format(v='v')} AS v1, v2.answer AS a2, v2.cited AS c2, {_VERDICT.format(v='v2')} AS v2 FROM v JOIN v2 USING (question_id)), y AS (SELECT *, v1 NOT IN ('ok', 'refused') AS repaired, CASE WHEN v1 IN ('ok', 'refused') THEN v1 = 'refused' ELSE v2 <> 'ok' END AS refused FROM z) "
+    "SELECT question_id, CASE WHEN refused THEN 'INSUFFICIENT_EVIDENCE' WHEN repaired THEN trim(a2) ELSE trim(answer) END AS answer, CASE WHEN repaired THEN v2 ELSE v1 END AS verdict, refused, repaired, CASE WHEN refused THEN '' ELSE array_to_string(CASE WHEN repaired THEN c2 ELSE cited END, '|') END AS cited FROM y",
+)
+def citation_repair(spark, sf_dir):
+    """Answers after one repair at most; what still has a problem is refused."""
+    second = F.element_at(F.array(*map(F.lit, _ANSWERS)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    again = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), second.alias("answer"))
+    return A.settle(_answers(spark, sf_dir), again, _context(spark, sf_dir)).withColumn("cited", F.array_join(F.col("cited").cast("array<string>"), "|"))

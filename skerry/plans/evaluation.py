@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..operators import report
 from ..sources.tables import table
 from . import vector
 from .registry import query
@@ -130,3 +131,17 @@ def score_drift(spark, sf_dir):
     d = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("score"))
     drift = F.col("score") - F.lag("score").over(Window.orderBy("day"))  # as many rows as days
     return d.select("day", F.round("score", 6).alias("score"), F.round(drift, 6).alias("drift"))
+
+
+@query("markdown_table", "WITH s AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS quantity FROM lineitem GROUP BY 1) SELECT '| l_returnflag | n | quantity |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || l_returnflag || ' | ' || n || ' | ' || format('{:,.2f}', quantity) || ' |', chr(10) ORDER BY l_returnflag) AS \"table\" FROM s")
+def markdown_table(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("quantity"))
+    return report.markdown(s, ["l_returnflag"])
+
+
+@query("document_union", "SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1")
+def document_union(spark, sf_dir):
+    """Documents that either of two lists holds, once each."""
+    of = {k: F.collect_set(F.when(F.col("l_returnflag") == k, F.col("l_partkey"))).alias(k) for k in ("A", "R")}
+    both = table(spark, sf_dir, "lineitem").where("l_returnflag in ('A', 'R')").groupBy("l_orderkey").agg(*of.values())  # an order has few lines
+    return both.select("l_orderkey", F.size(F.array_union("A", "R")).cast("long").alias("n"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import extract as X
+from ..operators.components import connected_components
 from ..sources.tables import table
+from . import vector
 from .registry import query
 
 
@@ -126,3 +128,27 @@ def duration_seconds(spark, sf_dir):
     e = F.col("event_id")
     raw = F.concat((e % 3).cast("string"), F.lit("h"), (e % 60).cast("string"), F.lit("m"), ((e % 10) / 10).cast("string"), F.lit("s"), (e % 5).cast("string"), F.lit("ms"))
     return table(spark, sf_dir, "events").select("event_id", F.round(T.duration_seconds(raw), 6).alias("seconds"))
+
+
+@query("graph_payload", "SELECT (SELECT count(*) FROM supplier) + (SELECT count(DISTINCT s_nationkey) FROM supplier WHERE s_suppkey % 4 <> 0) AS entities, count(*) + count(*) FILTER (WHERE s_suppkey % 4 <> 0) AS mentions, count(*) FILTER (WHERE s_suppkey % 4 <> 0) AS relations, count(*) + count(*) FILTER (WHERE s_suppkey % 4 <> 0) AS links, 0::BIGINT AS skipped FROM supplier")
+def graph_payload(spark, sf_dir):
+    """How many rows the extractions of all suppliers write to a graph."""
+    parts = [df.agg(F.count("*").alias(name)) for name, df in X.graph_payload(payloads(spark, sf_dir)).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out
+
+
+@query("top_merged", f"WITH {_M}, z AS (SELECT *, row_number() OVER (PARTITION BY t, k ORDER BY n DESC, length(r) DESC, r) AS p FROM g) SELECT t AS entity_type, max(r) FILTER (WHERE p = 1) AS name, CAST(count(*) AS INTEGER) AS names FROM z GROUP BY t, k HAVING count(*) > 1 ORDER BY names DESC, name, entity_type LIMIT 10")
+def top_merged(spark, sf_dir):
+    return X.top_merged(X.resolve(_mentions(spark, sf_dir)))
+
+
+@query("similar_entities", f"WITH RECURSIVE p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {vector._COS.format(a='a.embedding', b='b.embedding')} >= 0.86), r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, p.y FROM r JOIN p ON r.seen = p.x) SELECT node AS vec_id, min(seen) AS entity FROM r GROUP BY 1")
+def similar_entities(spark, sf_dir):
+    """Vectors of one label that a chain of cosines of 0.86 or more connects, as the least of them."""
+    v = table(spark, sf_dir, "embeddings")
+    links = X.similar_names(v.select(F.col("label").cast("string").alias("entity_type"), F.col("vec_id").cast("string").alias("raw_name"), "embedding"))
+    parts = connected_components(links.select(F.col("left_name").cast("long"), F.col("right_name").cast("long")))
+    return v.select("vec_id").join(parts, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("component", "vec_id").alias("entity"))

@@ -64,9 +64,17 @@ def budget_running_total(spark, sf_dir):
     return W.running_total(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", 500).select("event_id", F.round("spent", 4).alias("spent"), "within")
 
 
-@query("leaky_budget", "SELECT user_id, round(sum(value), 4) AS cost, round(greatest(0, sum(value) - 500), 4) AS over FROM events GROUP BY 1")
+@query("leaky_budget", "WITH w AS (SELECT *, epoch(ts - TIMESTAMP '2024-01-01') * 0.001::DOUBLE AS t, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS a FROM events), m AS (SELECT *, a - t - min(a - value - t) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS level FROM w) SELECT event_id, round(level, 3) AS level, level > 100 AS limited FROM m")
 def leaky_budget(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("cost"), F.round(F.greatest(F.lit(0.0), F.sum("value") - 500), 4).alias("over"))
+    """Token pacing: a bucket that leaks 0.001 a second."""
+    at = F.unix_micros("ts") / 1e6 - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))
+    return W.leaky_bucket(events(spark, sf_dir), ["user_id"], at, ["ts", "event_id"], "value", 0.001, 100).select("event_id", F.round("level", 3).alias("level"), "limited")
+
+
+@query("provider_unhealthy", "WITH w AS (SELECT *, count(*) OVER w AS n, avg(CASE WHEN value >= 10 THEN 0.0 ELSE 1.0 END) OVER w AS error_rate, list_sort(list(value) OVER w) AS vs FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), p AS (SELECT *, vs[least(n - 1, CAST(floor(n * 0.95) AS BIGINT)) + 1] AS p95 FROM w) SELECT event_id, round(error_rate, 6) AS error_rate, p95, n >= 5 AND (error_rate >= 0.5 OR p95 > 90) AS trip FROM p")
+def provider_unhealthy(spark, sf_dir):
+    """Error rate and 95th percentile of a key's last 20 calls, and whether they open its breaker."""
+    return W.unhealthy(events(spark, sf_dir), ["event_type", "user_id"], ["ts", "event_id"], F.col("ok"), "value").select("event_id", F.round("error_rate", 6).alias("error_rate"), "p95", "trip")
 
 
 @query("breaker_state")
@@ -90,6 +98,12 @@ def backoff_schedule(spark, sf_dir):
     return e.withColumn("delay", W.backoff(F.col("attempt"), 1.5))
 
 
+@query("backoff_jitter", "SELECT event_id, round(d * (0.5 + ('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':' || attempt), 1, 6))::BIGINT / 16777216.0::DOUBLE / 2), 6) AS delay, attempt FROM (SELECT event_id, attempt, least(60.0, 1.5 * pow(2.0, attempt))::DOUBLE AS d FROM events, (SELECT unnest([0, 1, 2, 3]) AS attempt) WHERE value < 10)")
+def backoff_jitter(spark, sf_dir):
+    e = events(spark, sf_dir).where("not ok").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"))
+    return e.select("event_id", F.round(W.jittered(W.backoff(F.col("attempt"), 1.5), F.concat_ws(":", "event_id", "attempt")), 6).alias("delay"), "attempt")
+
+
 @query("idempotent_dedup", "SELECT user_id, event_type, props, min(event_id) AS event_id FROM events GROUP BY 1, 2, 3")
 def idempotent_dedup(spark, sf_dir):
     return events(spark, sf_dir).groupBy("user_id", "event_type", "props").agg(F.min("event_id").alias("event_id"))
@@ -133,7 +147,7 @@ def stream_session(spark, sf_dir):
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type, props FROM events")
 def stream_dedup(spark, sf_dir):
-    return S.drain(spark, S.stream(spark, sf_dir).select("user_id", "event_type", "props").dropDuplicates(), "append")
+    return S.drain(spark, S.once(S.stream(spark, sf_dir).select("ts", "user_id", "event_type", "props"), ["user_id", "event_type", "props"]).drop("ts"), "append")
 
 
 @query("stream_breaker")

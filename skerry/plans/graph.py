@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators.components import connected_components
+from ..session import cut
 from ..sources.tables import table
 from .registry import query
 
@@ -47,7 +48,8 @@ def assertions(spark, sf_dir):
 
 
 def edges(spark, sf_dir):
-    return G.merge_edges(assertions(spark, sf_dir))
+    """All edges, merged and written once, for however many joins a pattern makes."""
+    return cut(G.merge_edges(assertions(spark, sf_dir)))
 
 
 def nodes(spark, sf_dir):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import store
+from ..operators import models, store
+from ..session import scratch, ship
 from ..sources.tables import table
 from .registry import query
 
@@ -114,3 +115,30 @@ def merge_last(spark, sf_dir):
 def table_counts(spark, sf_dir):
     one = [table(spark, sf_dir, t).agg(F.count(F.lit(1) if c is None else F.col(c)).alias(n)) for t, c, n in (("documents", None, "documents"), ("embeddings", "embedding", "embedded"), ("labels", None, "labels"))]
     return one[0].crossJoin(one[1]).crossJoin(one[2])  # one row each
+
+
+@query("point_lookup", "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 17")
+def point_lookup(spark, sf_dir):
+    return store.by_key(table(spark, sf_dir, "documents"), "doc_id", 17).select("doc_id", "lang", "source", "n_chars")
+
+
+@query("in_list_lookup", "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id IN (3, 17, 99, -1)")
+def in_list_lookup(spark, sf_dir):
+    return store.by_keys(table(spark, sf_dir, "documents"), "doc_id", [3, 17, 17, None, 99, -1]).select("doc_id", "lang", "source", "n_chars")
+
+
+@query("pending_batch", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY o_orderdate, o_orderkey LIMIT 100")
+def pending_batch(spark, sf_dir):
+    """The 100 oldest orders without a returned line: the next batch of a resumable job."""
+    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return store.oldest_pending(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), done, ["o_orderkey"], ["o_orderdate"], 100)
+
+
+@query("embed_backfill")
+def embed_backfill(spark, sf_dir):
+    """Customers' names embedded by the stub provider, in two rounds: key, length of the vector, model."""
+    ship(spark)
+    done, failed = scratch(spark, "embedded"), scratch(spark, "embed-failed")
+    names = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    models.backfill(spark, names, models.StubProvider(), "c_custkey", "c_name", done, failed, batch=-(-names.count() // 2) or 1)
+    return spark.read.parquet(done).select("c_custkey", F.size("embedding").alias("dim"), "model")

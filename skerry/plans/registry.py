@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("ingest", "vector", "extraction", "graph", "retrieval", "answering", "evaluation", "gateway", "research"):
+for _module in ("ingest", "vector", "extraction", "graph", "retrieval", "hybrid", "answering", "evaluation", "gateway", "research"):
     importlib.import_module(f"{__package__}.{_module}")

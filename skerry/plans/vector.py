@@ -94,6 +94,6 @@ def ann_lsh(spark, sf_dir):
     return ann.lsh_knn(v.where("vec_id % 20 = 0"), v, 5)
 
 
-@query("vector_literal", "SELECT vec_id, len(embedding) AS dim FROM embeddings")
+@query("vector_literal", "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(CAST(x AS DECIMAL(12, 6)) AS VARCHAR)), ',') || ']' AS literal FROM embeddings")
 def vector_literal(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dim"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.literal(F.col("embedding")).alias("literal"))

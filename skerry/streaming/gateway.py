@@ -27,10 +27,16 @@ def drain(spark: SparkSession, rows: DataFrame, mode: str) -> DataFrame:
     out, kept = scratch(spark, "stream"), scratch(spark, "stream-state")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        # a batch that is tried again replaces its own rows
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/epoch={epoch}")
 
     rows.writeStream.outputMode(mode).option("checkpointLocation", kept).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
+
+
+def once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows without those whose keys came before, within the watermark's delay; older keys leave the state."""
+    return rows.dropDuplicatesWithinWatermark(keys)
 
 
 def next_state(state: str, failures: int, opened: int, ok: bool, at: int) -> tuple[str, int, int]:
