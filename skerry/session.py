@@ -19,10 +19,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one for tests where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one for tests where it is unset and Spark runs on one machine."""
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir", None)
     if there is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         there = "/tmp/checkpoints"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(there)
