@@ -10,9 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: For Python workers, which are used again and again: what a task frees goes back to the system.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Rows of an Arrow batch where the session has Spark's default: a row here is a text.
+BATCH, DEFAULT_BATCH = "2000", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even where PYTHONPATH lacks it."""
+    """Let Python workers import this package even where PYTHONPATH lacks it, and keep them small."""
     env = spark.sparkContext.environment
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == DEFAULT_BATCH:
+        spark.conf.set(rows, BATCH)
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([*parts, ROOT])
