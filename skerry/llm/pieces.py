@@ -26,7 +26,7 @@ from . import vec
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters, of runs and their ids, in each of the two generations of a worker's word cache.
-CACHE_CHARS = 4 << 20
+CACHE_CHARS = 2 << 20
 #: A longer run isn't kept.
 CACHE_RUN = 64
 #: Runs that don't decode to themselves.

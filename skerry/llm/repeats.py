@@ -139,7 +139,7 @@ Spans = tuple[list[tuple[int, int]], list[tuple[int, int]]]
 Method = Callable[[list[Context]], list[Spans]]
 
 
-def repeated_spans(docs: DataFrame, by_word: bool, window: int, gram: int, method: Method, keep_first: bool, bound: int, batch_bytes: int = 1 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, by_word: bool, window: int, gram: int, method: Method, keep_first: bool, bound: int, batch_bytes: int = 1 << 18) -> DataFrame:
     """(d, key, marks): for each text with any, the units covered by repeated windows.
 
     With keep_first a window counts only if it starts earlier elsewhere, by (d, start); else if it starts

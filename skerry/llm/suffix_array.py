@@ -97,7 +97,7 @@ def _dense(docs: DataFrame, words: int, length: int) -> DataFrame:
 
 
 #: Bytes of one group that a task refines at once; its arrays take about 60 times that.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 
 
 def passage_spans(docs: DataFrame, words: int, length: int = 200, gram: int = 32, bound: int = GROUP_BYTES) -> DataFrame:
