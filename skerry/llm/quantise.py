@@ -4,10 +4,12 @@ A unit vector is coded as a sum of full-dimensional codewords, one from each cod
 on a bounded sample by k-means on residuals; encoding keeps the best `beam` partial sums at each codebook.
 The index stores the codes and the norm of each sum. A query's inner products with all codewords form a
 table, a candidate's score is the sum of its codes' entries over its norm, and the best candidates are ranked
-again exactly, in double precision on the original vectors. Equal vectors are one entry of the index.
+again exactly, in double precision on the original vectors. Equal vectors are one entry of the index, and
+entries of equal codes, which no table look-up can part, are one cell. A cell of more than `CROWD` entries
+(near copies) isn't cut: a query that has it among its best is compared with all its entries, block by block.
 
-Queries are taken in blocks of a fixed number, so what is broadcast is bounded however many there are, and
-each block passes over the coded table in its partitions.
+Queries are taken in blocks of a fixed number, one at a time, so what is broadcast is bounded however many
+there are, and each block passes over the coded table in its partitions.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from ..session import cut
 #: Bound of the sample that codebooks are fitted on.
 SAMPLE = 10_000
 CODEBOOKS, WORDS, BEAM = 16, 256, 4
-#: Candidates of each query that are ranked exactly; queries of a block.
+#: Cells of each query that are ranked exactly; queries of a block.
 RERANK, BLOCK = 300, 2048
+#: Entries of a cell that are paired with queries; beyond, blocks of so many entries and queries meet.
+CROWD, CROWD_BLOCK, QUERY_BLOCK = 256, 4096, 512
 
 
 class Codebooks:
@@ -114,12 +118,14 @@ def _search_dim(spark, entries: DataFrame, rows: DataFrame, every: int, k: int,
 
     def encode(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):  # beams take about 130 KB a row
+                part = batch.slice(at, 256)
                 codes, norm = books.value.encode(_unit(part.column(1).to_pylist()), beam)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.astype(np.uint8).tobytes() for c in codes], pa.binary()), pa.array(norm)], ["entry", "codes", "norm"])
 
-    index = cut(entries.select("entry", "v").mapInArrow(encode, "entry long, codes binary, norm float"))
+    coded = cut(entries.select("entry", "v").mapInArrow(encode, "entry long, codes binary, norm float"))
+    cells = cut(coded.groupBy("codes").agg(F.min("entry").alias("cell"), F.count("*").alias("n"), F.min("norm").alias("norm")))
+    members = coded.join(cells.select("codes", "cell", "n"), "codes").select("entry", "cell", "n")
     queries = cut(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).select(F.col("vec_id").alias("query_id"), "v"))
     # blocks of queries by a bounded number of hash ranges, each of about `block` queries
     blocks = max(1, -(-queries.count() // block))
@@ -128,39 +134,73 @@ def _search_dim(spark, entries: DataFrame, rows: DataFrame, every: int, k: int,
     for b in range(blocks):
         mine = numbered.where(F.col("b") == b).select("query_id", "v").collect()
         if mine:
-            part = _scan(spark, index, books, [r.query_id for r in mine], _unit([r.v for r in mine]), rerank)
+            part = _scan(spark, cells, books, [r.query_id for r in mine], _unit([r.v for r in mine]), rerank)
             found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # one list for each query and partition of the index, so lists of a query are as many as partitions
-    merged = found.groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("b"))
-    top = merged.select("query_id", F.explode(F.slice(F.sort_array("b", False), 1, rerank)["back"]).alias("back")).select("query_id", (-F.col("back")).alias("entry"))
-    pairs = top.join(entries, "entry").select("query_id", "ids", F.col("v").alias("c")).join(queries, "query_id")
+    top = cut(found)
+    pairs = top.join(members.where(F.col("n") <= CROWD), "cell").select("query_id", "entry").join(entries, "entry").select("query_id", "ids", F.col("v").alias("c")).join(queries, "query_id")
 
     def exact(batches):
         for batch in batches:
             if batch.num_rows:
-                # ((a/|a|max) . (b/|b|max)) / norms, so that no square over- or underflows
-                a, c = (np.array(batch.column(i).to_pylist(), np.float64) for i in (1, 2))
-                a, c = a / np.abs(a).max(1, keepdims=True), c / np.abs(c).max(1, keepdims=True)
-                score = np.einsum("ij,ij->i", a, c) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", c, c))
+                score = _cosines(*(np.array(batch.column(i).to_pylist(), np.float64) for i in (1, 2)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(score)], ["query_id", "ids", "score"])
 
     scored = pairs.select("query_id", "v", "c", "ids").mapInArrow(exact, "query_id long, ids array<long>, score double")
+    crowded = cells.where(F.col("n") > CROWD).select("cell", "n")
+    if not crowded.isEmpty():
+        scored = scored.unionByName(_crowds(top, crowded, members, entries, queries, k))
     best = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(spark, index: DataFrame, books, ids: list[int], queries: np.ndarray, rerank: int) -> DataFrame:
-    """The `rerank` best entries (negated) of each query in each partition of the index, by table look-up."""
+def _cosines(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Row by row ((a/|a|max) . (c/|c|max)) / norms, so that no square over- or underflows."""
+    a, c = a / np.abs(a).max(1, keepdims=True), c / np.abs(c).max(1, keepdims=True)
+    return np.einsum("ij,ij->i", a, c) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", c, c))
+
+
+def _crowds(top: DataFrame, crowded: DataFrame, members: DataFrame, entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, ids, score of the k + 1 nearest entries of each crowded cell in each of its blocks, for the queries that ask for the cell."""
+    asked = cut(top.join(crowded, "cell"))
+    often = asked.groupBy("cell").agg(F.count("*").alias("m"))
+    own = members.join(often, "cell").join(entries, "entry").select("cell", "entry", "ids", "v", "m", F.ceil(F.col("n") / CROWD_BLOCK).cast("int").alias("parts"))
+    own = own.select("cell", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int").alias("e"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / QUERY_BLOCK).cast("int") - 1)).alias("q"), "entry", "ids", "v")
+    ask = asked.join(often, "cell").join(queries, "query_id").withColumn("q", F.pmod(F.xxhash64("query_id"), F.ceil(F.col("m") / QUERY_BLOCK)).cast("int"))
+    ask = ask.select("cell", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / CROWD_BLOCK).cast("int") - 1)).alias("e"), "q", "query_id", "v")
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        asks, there = np.array(left.column("v").to_pylist(), np.float64), np.array(right.column("v").to_pylist(), np.float64)
+        entry = right.column("entry").to_numpy()
+        row, col = [], []
+        if len(asks) and len(there):
+            score = _unit(list(asks)) @ _unit(list(there)).T
+            keep = min(k + 1 + 8, len(there))  # a few more, as products differ in their last bits
+            for i in range(len(asks)):
+                floor = np.partition(score[i], -keep)[-keep]
+                mine = np.flatnonzero(score[i] >= floor - 1e-12)
+                exact = _cosines(np.broadcast_to(asks[i], (len(mine), asks.shape[1])), there[mine])
+                best = mine[np.lexsort((entry[mine], -exact))[: k + 1]]
+                row += [i] * len(best)
+                col += best.tolist()
+        exact = _cosines(asks[row], there[col]) if row else np.empty(0)
+        return pa.table({"query_id": left.column("query_id").take(pa.array(row, pa.int64())), "ids": right.column("ids").take(pa.array(col, pa.int64())), "score": pa.array(exact)})
+
+    met = ask.groupBy("cell", "e", "q").cogroup(own.groupBy("cell", "e", "q"))
+    return met.applyInArrow(near, "query_id long, ids array<long>, score double")
+
+
+def _scan(spark, cells: DataFrame, books, ids: list[int], queries: np.ndarray, rerank: int) -> DataFrame:
+    """query_id, cell: the `rerank` best cells of each query, by table look-up; done when this returns, and its broadcast gone."""
     table = (queries.astype(np.float32) @ books.value.flat.T).reshape(len(queries), *books.value.words.shape[:2])
     sent = spark.sparkContext.broadcast((np.array(ids, np.int64), np.ascontiguousarray(table)))
 
     def scan(batches):
         ids, table = sent.value
         q = len(ids)
-        entry = np.empty((q, 0), np.int64)
+        cell = np.empty((q, 0), np.int64)
         approx = np.empty((q, 0), np.float32)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -170,15 +210,20 @@ def _scan(spark, index: DataFrame, books, ids: list[int], queries: np.ndarray, r
                 for m in range(codes.shape[1]):
                     score += table[:, m, :][:, codes[:, m]]
                 score /= np.maximum(part.column(2).to_numpy(), 1e-6)
-                entry = np.concatenate([entry, np.broadcast_to(part.column(0).to_numpy(), score.shape)], 1)
+                cell = np.concatenate([cell, np.broadcast_to(part.column(0).to_numpy(), score.shape)], 1)
                 approx = np.concatenate([approx, score], 1)
                 if approx.shape[1] > rerank:
                     keep = np.argpartition(-approx, rerank - 1, axis=1)[:, :rerank]
-                    entry, approx = np.take_along_axis(entry, keep, 1), np.take_along_axis(approx, keep, 1)
+                    cell, approx = np.take_along_axis(cell, keep, 1), np.take_along_axis(approx, keep, 1)
         n = approx.shape[1]
         for s in range(0, q if n else 0, 256):
             e = min(q, s + 256)
-            best = pa.StructArray.from_arrays([pa.array(approx[s:e].ravel()), pa.array(-entry[s:e].ravel())], ["approx", "back"])
+            best = pa.StructArray.from_arrays([pa.array(approx[s:e].ravel()), pa.array(-cell[s:e].ravel())], ["approx", "back"])
             yield pa.RecordBatch.from_arrays([pa.array(ids[s:e]), pa.ListArray.from_arrays(pa.array(np.arange(e - s + 1, dtype=np.int32) * n), best)], ["query_id", "best"])
 
-    return index.mapInArrow(scan, "query_id long, best array<struct<approx:float,back:long>>")
+    lists = cells.select("cell", "codes", "norm").mapInArrow(scan, "query_id long, best array<struct<approx:float,back:long>>")
+    # one list for each query and partition of the index, so lists of a query are as many as partitions
+    merged = lists.groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("b"))
+    out = cut(merged.select("query_id", F.explode(F.slice(F.sort_array("b", False), 1, rerank)["back"]).alias("back")).select("query_id", (-F.col("back")).alias("cell")))
+    sent.destroy()
+    return out
