@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
@@ -148,14 +148,13 @@ class Model:
 def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
     """Train on at most `rows_per_lang` texts of each language outside the held-out fold, picked by hash."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())  # as many rows as languages
-    texts, labels = [], []
-    for i, lang in enumerate(langs):
-        mine = rows.where(F.col("lang") == lang)
-        ids = mine.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_lang)
-        got = list(dict.fromkeys(r.text for r in mine.join(F.broadcast(ids), "doc_id").select("text").collect()))
-        texts += got
-        labels += [i] * len(got)
+    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("doc_id", "lang").distinct().withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= rows_per_lang).drop("_n")
+    got = sorted({(r.lang, r.text) for r in rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text").collect()})  # rows_per_lang of each
+    order = np.random.default_rng(0).permutation(len(got))
+    langs = sorted({lang for lang, _ in got})
+    texts = [got[i][1] for i in order]
+    labels = [langs.index(got[i][0]) for i in order]
     return Model(langs, texts, np.array(labels, np.int64))
 
 
