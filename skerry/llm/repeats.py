@@ -59,15 +59,18 @@ def _anchors(strings: DataFrame, by_word: bool, window: int, gram: int) -> DataF
     return strings.select("text", "c").mapInArrow(run, "anchor long, n long")
 
 
-def _members(strings: DataFrame, by_word: bool, window: int, gram: int) -> DataFrame:
-    """A row for each context in each string: all its starts there, in order, and its number of windows."""
+def _members(strings: DataFrame, by_word: bool, window: int, gram: int, bits: np.ndarray) -> DataFrame:
+    """A row for each context in each string whose anchor may be in the bitmap: all its starts there, in order, and its number of windows."""
+    sent = strings.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
             own = [batch.column(i).to_numpy() for i in range(4)]
             for row, buf, offsets in vec.text_chunks(batch.column(4)):
                 units, first = units_of(buf, offsets, by_word)
-                text, anchor, start, n, begin = vec.anchors(units, first, window, gram)
+                found = vec.anchors(units, first, window, gram)
+                some = _in_bits(sent.value, found[1])
+                text, anchor, start, n, begin = (x[some] for x in found)
                 data, wide = (units.tobytes(), 8) if by_word else (buf.tobytes(), 1)
                 context = vec.digests(data, begin * wide, (begin + n + window - 1) * wide)
                 order = np.lexsort((start, context, anchor, text))
@@ -96,14 +99,18 @@ def key_bits(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) >> np.uint64(64 - BITS)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def picked(base: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
     """Rows of keyed() whose key may be in the bitmap, or surely isn't: so no text is shuffled in vain."""
     sent = base.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
-            b = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
-            hit = (sent.value[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)
+            hit = _in_bits(sent.value, batch.column(1).to_numpy())
             yield batch.filter(pa.array(hit if inside else ~hit))
 
     return base.mapInArrow(run, base.schema)
@@ -153,7 +160,8 @@ def _resolve(strings: DataFrame, texts: bool, by_word: bool, window: int, gram:
     """(d, key, start, marks) of strings (d, key, start, c, text); `texts`: they are the documents themselves."""
     # a changed column hides how the rows lie, so that the join deals both sides and AQE can split hot anchors
     twice = cut(_anchors(strings, by_word, window, gram).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select(F.expr("anchor + 0L").alias("anchor")))
-    members = cut(_members(strings, by_word, window, gram).join(twice, "anchor"))
+    bits = key_bits(twice.select(F.col("anchor").alias("key")))  # so that what occurs once is hardly shuffled
+    members = cut(_members(strings, by_word, window, gram, bits).join(twice, "anchor"))
     first = F.struct("d", (F.col("start") + F.col("starts")[0]).alias("place"), "key", "start", F.col("starts")[0].alias("rel"), "n")
     contexts = cut(members.groupBy("anchor", "context").agg(F.sum(F.col("c") * F.size("starts")).alias("c"), F.min(first).alias("first")))
     large = contexts.groupBy("anchor").agg(F.sum(F.col("first.n") + (window - 1)).alias("units")).where(F.col("units") > bound)
