@@ -60,7 +60,7 @@ def _anchors(strings: DataFrame, by_word: bool, window: int, gram: int) -> DataF
 
 
 def _members(strings: DataFrame, by_word: bool, window: int, gram: int, bits: np.ndarray) -> DataFrame:
-    """A row for each context in each string whose anchor may be in the bitmap: all its starts there, in order, and its number of windows."""
+    """A row for each context in each string whose anchor may be in the bitmap; `held` is its number of windows and then all its starts there, in order."""
     sent = strings.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -76,14 +76,14 @@ def _members(strings: DataFrame, by_word: bool, window: int, gram: int, bits: np
                 order = np.lexsort((start, context, anchor, text))
                 text, anchor, context, start, n = (x[order] for x in (text, anchor, context, start, n))
                 new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])) if len(text) else order
-                starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(text)), pa.int32()), pa.array(start, pa.int32()))
+                held = pa.ListArray.from_arrays(pa.array(np.append(new, len(text)) + np.arange(len(new) + 1), pa.int32()), pa.array(np.insert(start, new, n[new]), pa.int32()))
                 of = row + text[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[new].view(np.int64)), pa.array(context[new]), *(pa.array(x[of]) for x in own), pa.array(n[new], pa.int32()), starts],
-                    ["anchor", "context", "d", "key", "start", "c", "n", "starts"],
+                    [pa.array(anchor[new].view(np.int64)), pa.array(context[new]), *(pa.array(x[of]) for x in own), held],
+                    ["anchor", "context", "d", "key", "start", "c", "held"],
                 )
 
-    return strings.select("d", "key", "start", "c", "text").mapInArrow(run, "anchor long, context long, d long, key long, start int, c long, n int, starts array<int>")
+    return strings.select("d", "key", "start", "c", "text").mapInArrow(run, "anchor long, context long, d long, key long, start int, c long, held array<int>")
 
 
 #: log2 of the bits that key_bits() has, whatever the size of the data: 8 MB.
@@ -161,7 +161,12 @@ def _resolve(strings: DataFrame, texts: bool, by_word: bool, window: int, gram:
     # a changed column hides how the rows lie, so that the join deals both sides and AQE can split hot anchors
     twice = cut(_anchors(strings, by_word, window, gram).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select(F.expr("anchor + 0L").alias("anchor")))
     bits = key_bits(twice.select(F.col("anchor").alias("key")))  # so that what occurs once is hardly shuffled
-    members = cut(_members(strings, by_word, window, gram, bits).join(twice, "anchor"))
+    members = _members(strings, by_word, window, gram, bits)
+    if texts:  # checkpoints aren't compressed: what is the same in all rows stays out
+        members = cut(members.drop("start", "c").join(twice, "anchor")).withColumns({"start": F.lit(0), "c": F.lit(1).cast("long")})
+    else:
+        members = cut(members.join(twice, "anchor"))
+    members = members.withColumns({"n": F.col("held")[0], "starts": F.slice("held", F.lit(2), F.size("held") - 1)}).drop("held")
     first = F.struct("d", (F.col("start") + F.col("starts")[0]).alias("place"), "key", "start", F.col("starts")[0].alias("rel"), "n")
     contexts = cut(members.groupBy("anchor", "context").agg(F.sum(F.col("c") * F.size("starts")).alias("c"), F.min(first).alias("first")))
     large = contexts.groupBy("anchor").agg(F.sum(F.col("first.n") + (window - 1)).alias("units")).where(F.col("units") > bound)
