@@ -28,7 +28,7 @@ BLOCK_WINDOWS = 500_000
 def item_words(text: str | None) -> list[bytes]:
     """Words of a text: digits, small letters (A-Z lower-cased) and all beyond ASCII."""
     buf = vec.lower_ascii(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
-    starts, ends, _ = vec.words(buf, np.array([0, len(buf)]), vec.ALNUM)
+    starts, ends, _ = vec.word_places(buf, np.array([0, len(buf)]), vec.ALNUM)
     raw = buf.tobytes()
     return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
 
@@ -69,7 +69,7 @@ class _Block:
 def _tokenize(batch_column):
     for row, buf, offsets in vec.text_chunks(batch_column):
         buf = vec.lower_ascii(buf)
-        starts, ends, first = vec.words(buf, offsets, vec.ALNUM)
+        starts, ends, first = vec.word_places(buf, offsets, vec.ALNUM)
         yield row, buf, starts, ends, first, vec.word_hashes(buf, starts, ends)
 
 

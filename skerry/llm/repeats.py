@@ -32,12 +32,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text", packed(docs))
 
 
-def units_of(buf: np.ndarray, offsets: np.ndarray, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Unit hashes of a chunk of texts, and where each text's units begin."""
+def units_of(buf: np.ndarray, offsets: np.ndarray, by_word: bool) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """Unit hashes of a chunk of texts, where each text's units begin, their bytes (words joined by a space), and where each unit begins and ends there."""
     if by_word:
-        starts, ends, first = vec.words(buf, offsets, vec.NOT_SPACE)
-        return vec.word_hashes(buf, starts, ends), first
-    return vec.BYTE[buf], offsets
+        starts, ends, first = vec.word_places(buf, offsets, vec.NOT_SPACE)
+        return vec.word_hashes(buf, starts, ends), first, *vec.joined(buf, starts, ends)
+    at = np.arange(len(buf) + 1)
+    return vec.BYTE[buf], offsets, buf.tobytes(), at[:-1], at[1:]
 
 
 def _anchors(strings: DataFrame, by_word: bool, window: int, gram: int) -> DataFrame:
@@ -48,7 +49,7 @@ def _anchors(strings: DataFrame, by_word: bool, window: int, gram: int) -> DataF
             weight = batch.column(1).to_numpy()
             found, counts = [], []
             for row, buf, offsets in vec.text_chunks(batch.column(0)):
-                text, anchor, *_ = vec.anchors(*units_of(buf, offsets, by_word), window, gram)
+                text, anchor, *_ = vec.anchors(*units_of(buf, offsets, by_word)[:2], window, gram)
                 found.append(anchor)
                 counts.append(weight[row + text])
             if found:
@@ -67,12 +68,11 @@ def _members(strings: DataFrame, by_word: bool, window: int, gram: int, bits: np
         for batch in batches:
             own = [batch.column(i).to_numpy() for i in range(4)]
             for row, buf, offsets in vec.text_chunks(batch.column(4)):
-                units, first = units_of(buf, offsets, by_word)
+                units, first, data, lo, hi = units_of(buf, offsets, by_word)
                 found = vec.anchors(units, first, window, gram)
                 some = _in_bits(sent.value, found[1])
                 text, anchor, start, n, begin = (x[some] for x in found)
-                data, wide = (units.tobytes(), 8) if by_word else (buf.tobytes(), 1)
-                context = vec.digests(data, begin * wide, (begin + n + window - 1) * wide)
+                context = vec.digests(data, lo[begin], hi[begin + n + window - 2])
                 order = np.lexsort((start, context, anchor, text))
                 text, anchor, context, start, n = (x[order] for x in (text, anchor, context, start, n))
                 new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])) if len(text) else order
@@ -86,21 +86,22 @@ def _members(strings: DataFrame, by_word: bool, window: int, gram: int, bits: np
     return strings.select("d", "key", "start", "c", "text").mapInArrow(run, "anchor long, context long, d long, key long, start int, c long, held array<int>")
 
 
-#: log2 of the bits that key_bits() has, whatever the size of the data: 8 MB.
-BITS = 26
+#: log2 of the bits that key_bits() has at least and at most (16 MB).
+BITS = (16, 27)
 
 
 def key_bits(rows: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the rows' keys, by their upper bits; a full one lets all texts pass."""
-    words = rows.select(F.expr(f"shiftrightunsigned(key, {64 - BITS})").alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("m"))
-    got = words.toArrow()  # 2^(BITS - 6) rows at most
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+    """A bitmap of the rows' keys, by their upper bits: 64 bits a row, within BITS. A full one lets all texts pass, which costs a shuffle of them and nothing else."""
+    bits = min(max(BITS[0], (64 * rows.count()).bit_length()), BITS[1])
+    words = rows.select(F.expr(f"shiftrightunsigned(key, {64 - bits})").alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("m"))
+    got = words.toArrow()  # 2^(bits - 6) rows at most
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
     return out
 
 
 def _in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys.view(np.uint64) >> np.uint64(64 - BITS)
+    at = keys.view(np.uint64) >> np.uint64(65 - (64 * len(bits)).bit_length())
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -244,7 +245,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch], by_word: bool) -> Iterator[pa.Re
         d, key = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for row, buf, offsets in vec.text_chunks(batch.column(2)):
             data = buf.tobytes()
-            starts, ends, first = vec.words(buf, offsets, vec.NOT_SPACE) if by_word else (None, None, offsets)
+            starts, ends, first = vec.word_places(buf, offsets, vec.NOT_SPACE) if by_word else (None, None, offsets)
             cols: list[list] = [[], [], [], [], [], [], []]
             for i in range(len(offsets) - 1):
                 at = int(first[i])

@@ -85,22 +85,10 @@ BANDS, ROWS = 20, 6
 TOGETHER, BLOCK = 512, 1024
 
 
-def _shingles(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of a chunk of texts, and where each text's begin; shingles are those of fingerprints()."""
-    buf = vec.lower_ascii(buf)
-    starts, ends, first = vec.words(buf, offsets, vec.NOT_SPACE)
-    units = vec.word_hashes(buf, starts, ends)
-    size = np.diff(first)
-    count = np.where(size, np.maximum(1, size - words + 1), 0)
-    at = np.concatenate([[0], np.cumsum(count)])
-    begin = np.repeat(first[:-1] - at[:-1], count) + np.arange(at[-1])
-    return vec.ranged(vec.prefix(units), begin, np.minimum(begin + words, np.repeat(first[1:], count))), at
-
-
-def _sets(column, words: int):
-    """The sorted set of shingle hashes of each text of a column."""
+def _sets(column, key: list[int]):
+    """The sorted set of shingle hashes of each text of a column; shingles are those of fingerprints(), hashed under a key of the run."""
     for _, buf, offsets in vec.text_chunks(column):
-        hashes, at = _shingles(buf, offsets, words)
+        hashes, at = vec.shingles(buf, offsets, key)
         for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
             yield np.unique(hashes[s:e])
 
@@ -222,12 +210,12 @@ def _crowd_forest(crowd: DataFrame, similarity: float, block: int) -> DataFrame:
 
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, block: int = BLOCK) -> DataFrame:
     """key (of doc_id and text, as repeats.keyed has it), doc_id and class of each row: see similar()."""
-    base = repeats.keyed(docs)
+    base, secret = repeats.keyed(docs), vec.shingle_key(words)
 
     def run(batches):
         for batch in batches:
             node, keys = [], []
-            for own in _sets(batch.column(2), words):
+            for own in _sets(batch.column(2), secret):
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                 keys.append(_bands(own).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(keys, pa.binary())], ["key", "doc_id", "node", "bands"])
@@ -262,7 +250,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
 
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch.column(1), words)], pa.binary())], ["key", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch.column(1), secret)], pa.binary())], ["key", "own"])
 
     texts = repeats.picked(base.select("d", "key", "text"), repeats.key_bits(asked), True).select("key", "text")
     owned = cut(texts.mapInArrow(sets, "key long, own binary").groupBy("key").agg(F.first("own").alias("own")).join(asked, "key").select("cluster", "node", "own", "n"))

@@ -85,7 +85,7 @@ def _dense(docs: DataFrame, words: int, length: int) -> DataFrame:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for row, buf, offsets in vec.text_chunks(batch.column(1)):
-                starts, ends, first = vec.words(buf, offsets, vec.NOT_SPACE)
+                starts, ends, first = vec.word_places(buf, offsets, vec.NOT_SPACE)
                 if len(starts) >= words:
                     tight = np.flatnonzero(ends[words - 1 :] - starts[: len(starts) - words + 1] < length)
                     of = np.searchsorted(first, tight, side="right") - 1

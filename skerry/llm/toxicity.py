@@ -68,7 +68,7 @@ def _symbols(text: str) -> np.ndarray:
 
 def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, hashes of words' beginnings by length, first word of each text) on folded bytes."""
-    starts, ends, first = vec.words(buf, offsets, _LETTERS)
+    starts, ends, first = vec.word_places(buf, offsets, _LETTERS)
     pre = vec.prefix(vec.BYTE[buf])
     whole = vec.ranged(pre, starts, ends)
     begin = [np.where(ends - starts > k, vec.mix(vec.ranged(pre, starts, np.minimum(starts + k, ends)) + np.uint64(k)), whole) for k in PREFIXES]
@@ -133,7 +133,7 @@ class Lexicon:
         words: dict[str, int] = {}
         for whole, begin, _, buf, offsets, _ in pairs(toxic):
             hit = self.value(whole, begin) > 0
-            starts, ends, _ = vec.words(buf, offsets, _LETTERS)
+            starts, ends, _ = vec.word_places(buf, offsets, _LETTERS)
             raw = buf.tobytes()
             for s, e in zip(starts[hit].tolist(), ends[hit].tolist()):
                 w = raw[s:e].decode("utf-8", "replace")

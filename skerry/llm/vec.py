@@ -3,12 +3,13 @@
 A batch of texts is one byte buffer with offsets, so no function here loops over characters or words in
 Python. Rolling hashes are polynomials modulo 2^64 over randomly mapped units; a range's hash depends on its
 content alone. Different contents can be built that share one, so they choose places and buckets, where a
-collision costs time only; what decides is compared itself, or by a keyed digest.
+collision costs time only; what decides is compared itself, by a keyed digest, or by a hash whose key is drawn for the run.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,7 +99,7 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_places(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start bytes, end bytes, first word of each text and their count at the end)."""
     inside = kind[buf]
     edge = np.empty(len(buf) + 1, bool)
@@ -118,28 +119,54 @@ def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-#: A word of more bytes than this is hashed by itself.
-LONG_WORD = 1024
+#: Words of more bytes than this go to a digest; shorter ones are told apart by the bytes themselves.
+SHORT_WORD = 7
+#: Long words whose digests a process keeps.
+KEPT_WORDS = 1 << 16
 KEY = b"skerry"
 
+_long: dict[bytes, int] = {}
+
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes: eight at a time go through a mixer, which is no polynomial."""
+    """64-bit hash of each word's bytes; no two words of up to SHORT_WORD bytes share one, nor a short and a long one.
+
+    A short word's bytes and size are one number, a longer word is a keyed digest with the upper bit set; a
+    bijection spreads both.
+    """
     size = ends - starts
-    out = mix(size.astype(U) * U(BASES[1]) + U(1))
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    now, at = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
-    while len(now):
-        block = np.ascontiguousarray(eight[starts[now] + at]).view(U).ravel()
-        over = np.maximum(8 - (size[now] - at), 0).astype(U) * U(8)
-        block = (block << over) >> over  # little-endian: what is beyond the word's end goes
-        out[now] = mix(out[now] ^ mix(block + U(BASES[0])))
-        at += 8
-        now = now[size[now] > at]
-    for i in np.flatnonzero(size > LONG_WORD).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, key=KEY).digest(), "little")
-    return out
+    block = np.ascontiguousarray(eight[starts]).view(U).ravel()
+    over = np.clip(8 - size, 1, 7).astype(U) * U(8)
+    out = ((block << over) >> over) | (size.astype(U) << U(56))  # little-endian: what is beyond the word's end goes
+    long = np.flatnonzero(size > SHORT_WORD)
+    if len(long):
+        data = buf.tobytes()
+        out[long] = np.fromiter((_long_word(data[s:e]) for s, e in zip(starts[long].tolist(), ends[long].tolist())), U, len(long))
+    return mix(out)
+
+
+def _long_word(word: bytes) -> int:
+    got = _long.get(word)
+    if got is None:
+        got = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY).digest(), "little") | 1 << 63
+        if len(word) <= 64:
+            if len(_long) >= KEPT_WORDS:
+                _long.clear()
+            _long[word] = got
+    return got
+
+
+def joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words' bytes, each followed by one space, and where each begins and ends there."""
+    size = ends - starts
+    end = np.cumsum(size + 1)
+    begin = end - size - 1
+    at = np.repeat(starts - begin, size + 1) + np.arange(end[-1] if len(end) else 0)
+    out = np.concatenate([buf, np.zeros(1, np.uint8)])[at]
+    out[end - 1] = 0x20
+    return out.tobytes(), begin, end - 1
 
 
 def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -148,6 +175,34 @@ def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join([hash_(view[s:e], digest_size=8, key=KEY).digest() for s, e in zip(starts.tolist(), ends.tolist())]), np.int64)
 
 
+def shingle_key(words: int) -> list[int]:
+    """A key of shingles(), drawn anew: what collides under it can't be built beforehand."""
+    return [secrets.randbits(64) | 1 for _ in range(2 * words + 1)]
+
+
+def shingles(buf: np.ndarray, offsets: np.ndarray, key: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of a chunk of texts, A-Z lower-cased, and where each text's begin.
+
+    A text of fewer words is one shingle; repeats stay. The hash is multilinear in the halves of the word
+    hashes: two sequences share one with a chance of 2^-63, or 2^-33 at worst, over the keys.
+    """
+    words = (len(key) - 1) // 2
+    buf = lower_ascii(buf)
+    starts, ends, first = word_places(buf, offsets, NOT_SPACE)
+    units = word_hashes(buf, starts, ends)
+    size = np.diff(first)
+    count = np.where(size, np.maximum(1, size - words + 1), 0)
+    at = np.concatenate([[0], np.cumsum(count)])
+    begin = np.repeat(first[:-1] - at[:-1], count) + np.arange(at[-1])
+    n = np.minimum(words, np.repeat(size, count))
+    low, high = (np.concatenate([x, np.zeros(words, U)]) for x in (units & U(0xFFFFFFFF), units >> U(32)))
+    out = n.astype(U) * U(key[-1])
+    for i in range(words):
+        some = (low[begin + i] * U(key[2 * i])) + (high[begin + i] * U(key[2 * i + 1]))
+        out += np.where(i < n, some, U(0))
+    return mix(out), at
+
+
 def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Runs of at most `rows` rows and about `size` bytes of a column of texts; a longer text is a run of its own."""
     texts = batch.column(column)
