@@ -105,13 +105,13 @@ def _in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def picked(base: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
-    """Rows of keyed() whose key may be in the bitmap, or surely isn't: so no text is shuffled in vain."""
+def picked(base: DataFrame, bits: np.ndarray, inside: bool, of: int = 1) -> DataFrame:
+    """Rows, of keyed() or with the key as column `of`, whose key may be in the bitmap, or surely isn't: so no text is shuffled in vain."""
     sent = base.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
-            hit = _in_bits(sent.value, batch.column(1).to_numpy())
+            hit = _in_bits(sent.value, batch.column(of).to_numpy())
             yield batch.filter(pa.array(hit if inside else ~hit))
 
     return base.mapInArrow(run, base.schema)
