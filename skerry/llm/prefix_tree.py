@@ -3,7 +3,7 @@
 Equal sets are one node. Two sets of a size class that are similar enough differ in at most so many members;
 with the hash range cut into more pieces than that, they agree on a whole piece, so sets are keyed by their pieces
 and sets that share a key hang together in a cluster. No similar pair is missed by that, and few others meet. In a
-cluster the sets are strings in one global order, most frequent members first, and lie in a prefix tree. A set is
+cluster the sets are strings in one global order, rarest members first, and lie in a prefix tree. A set is
 sent down the tree: all sets below a branch share its overlap so far, and a branch is left when what remains on
 both sides can't reach the overlap that the least similar sizes below need. Links leave as a spanning forest: what
 was reached is taken out of the tree, so groups of near copies are passed once. Clusters too large for a task are
@@ -25,11 +25,13 @@ from ..session import cut
 from . import repeats, vec
 
 #: Members of the sets that a task holds of one cluster; a tree takes about 40 bytes for each.
-TREE_MEMBERS = 1 << 19
+TREE_MEMBERS = 1 << 15
+#: Members of a branch that are looked at before it is judged again.
+RUN = 16
 #: Sets of a large cluster that all others are first compared with.
 LEADERS = 32
 #: Keys that a task holds before it hands them on.
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 18
 
 
 class Threshold:
@@ -52,98 +54,126 @@ class Threshold:
 
 
 class PrefixTree:
-    """Sets of whole numbers by their members in one order; see near()."""
+    """Sets of whole numbers by their members in one order, least frequent first; see near().
 
-    def __init__(self, sets: list[np.ndarray], threshold: Threshold) -> None:
-        self.threshold, self.sizes = threshold, [len(s) for s in sets]
+    With `alone` only the tree's own sets will be looked for: members that one set alone has can't be shared and are left out.
+    """
+
+    def __init__(self, sets: list[np.ndarray], threshold: Threshold, alone: bool = False) -> None:
+        self.threshold, self.sizes = threshold, np.array([len(s) for s in sets], np.int64)
         every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         self.values, at, often = np.unique(every, return_inverse=True, return_counts=True)
         self.rank = np.empty(len(self.values), np.int64)
-        self.rank[np.lexsort((self.values, -often))] = np.arange(len(self.values))
-        ranks, ends = self.rank[at.ravel()], np.cumsum([0, *self.sizes])
-        self.strings = [np.sort(ranks[s:e]) for s, e in zip(ends[:-1], ends[1:])]
+        self.rank[np.lexsort((self.values, often))] = np.arange(len(self.values))
+        ranks, ends = self.rank[at.ravel()], np.concatenate([[0], np.cumsum(self.sizes)])
+        self.first = np.count_nonzero(often == 1) if alone else 0
+        self.strings = [np.sort(r[r >= self.first]) for r in (ranks[s:e] for s, e in zip(ends[:-1], ends[1:]))]
         order = sorted(range(len(sets)), key=lambda i: self.strings[i].astype(">u4").tobytes())
-        # a branch: its run of members, members before it, branches below, the set that ends there; least and largest sizes and live sets below
-        self.run: list[np.ndarray] = [np.empty(0, np.int64)]
-        self.depth, self.below, self.parent = [0], [[]], [-1]
-        self.ending: list[int | None] = [None]
-        self.where = [0] * len(sets)
+        self._build(order)
+
+    def _build(self, order: list[int]) -> None:
+        """Branches as arrays, each level's side by side: a run of members, members before it, the set that ends there, least and largest sizes and live sets below."""
+        run: list[tuple[int, int, int]] = [(0, 0, 0)]  # set that has it, from, to
+        below: list[list[int]] = [[]]
+        ending: list[list[int]] = [[]]
         last, path = np.empty(0, np.int64), [0]
+
+        def add(of: int, lo: int, hi: int) -> int:
+            run.append((of, lo, hi))
+            below.append([])
+            ending.append([])
+            return len(run) - 1
+
         for i in order:
             mine = self.strings[i]
             common = min(len(last), len(mine))
             differ = np.flatnonzero(last[:common] != mine[:common])
             shared = int(differ[0]) if len(differ) else common
-            while len(path) > 1 and self.depth[path[-1]] >= shared:
+            while len(path) > 1 and run[path[-1]][1] >= shared:
                 path.pop()
             top = path[-1]
-            if self.depth[top] + len(self.run[top]) > shared:  # the branch is split where the strings part
-                keep = shared - self.depth[top]
-                lower = self._add(self.run[top][keep:], shared, top)
-                self.below[lower], self.ending[lower] = self.below[top], self.ending[top]
-                for b in self.below[lower]:
-                    self.parent[b] = lower
-                if self.ending[lower] is not None:
-                    self.where[self.ending[lower]] = lower
-                self.below[top], self.ending[top], self.run[top] = [lower], None, self.run[top][:keep]
-            if shared == len(mine):
-                node = top
-            else:
-                node = self._add(mine[shared:], shared, top)
-                self.below[top].append(node)
-                path.append(node)
-            self.ending[node] = i
-            self.where[i] = node
+            of, lo, hi = run[top]
+            if hi > shared:  # the branch is split where the strings part
+                lower = add(of, shared, hi)
+                below[lower], ending[lower] = below[top], ending[top]
+                below[top], ending[top], run[top] = [lower], [], (of, lo, shared)
+            node = top
+            for start in range(shared, len(mine), RUN):
+                lower = add(i, start, min(start + RUN, len(mine)))
+                below[node].append(lower)
+                path.append(lower)
+                node = lower
+            ending[node].append(i)
             last = mine
-        self.live = [0] * len(self.run)
-        self.least, self.most = [1 << 62] * len(self.run), [0] * len(self.run)
-        for i, node in enumerate(self.where):
-            while node >= 0:
-                self.live[node] += 1
-                self.least[node], self.most[node] = min(self.least[node], self.sizes[i]), max(self.most[node], self.sizes[i])
-                node = self.parent[node]
-
-    def _add(self, run: np.ndarray, depth: int, parent: int) -> int:
-        for column, x in ((self.run, run), (self.depth, depth), (self.below, []), (self.parent, parent), (self.ending, None)):
-            column.append(x)
-        return len(self.run) - 1
+        level, numbered = [0], []
+        while level:
+            numbered += level
+            level = [c for n in level for c in below[n]]
+        self.members = np.concatenate([self.strings[of][lo:hi] for of, lo, hi in (run[n] for n in numbered)]) if self.strings else np.empty(0, np.int64)
+        size = np.array([run[n][2] - run[n][1] for n in numbered])
+        self.run = np.concatenate([[0], np.cumsum(size)])
+        self.depth = np.array([run[n][2] for n in numbered])  # members up to its end
+        held = [len(ending[n]) for n in numbered]
+        self.ends = np.concatenate([[0], np.cumsum(held)])
+        self.ending = np.array([i for n in numbered for i in ending[n]], np.int64)  # sets by the branch they end at
+        children = np.array([len(below[n]) for n in numbered])
+        self.below = 1 + np.concatenate([[0], np.cumsum(children)])
+        self.parent = np.concatenate([[-1], np.repeat(np.arange(len(numbered)), children)])
+        self.live = np.zeros(len(numbered), np.int64)
+        self.least, self.most, self.longest = np.full(len(numbered), 1 << 62), np.zeros(len(numbered), np.int64), np.zeros(len(numbered), np.int64)
+        self.where = np.zeros(len(self.sizes), np.int64)
+        self.where[self.ending] = np.repeat(np.arange(len(numbered)), held)
+        self.alive = np.ones(len(self.sizes), bool)
+        ends = np.flatnonzero(held)
+        self.live[ends], self.longest[ends] = np.bincount(self.where, minlength=len(numbered))[ends], self.depth[ends]
+        for i, node in enumerate(self.where.tolist()):
+            self.least[node], self.most[node] = min(self.least[node], self.sizes[i]), max(self.most[node], self.sizes[i])
+        for node in range(len(numbered) - 1, 0, -1):
+            up = self.parent[node]
+            self.live[up] += self.live[node]
+            self.least[up], self.most[up] = min(self.least[up], self.least[node]), max(self.most[up], self.most[node])
+            self.longest[up] = max(self.longest[up], self.longest[node])
 
     def take_out(self, i: int) -> None:
         """Set i is not found any more."""
         node = self.where[i]
-        self.ending[node] = None
+        self.alive[i] = False
         while node >= 0:
             self.live[node] -= 1
             node = self.parent[node]
 
     def near(self, own: np.ndarray) -> list[int]:
-        """The sets in the tree that are similar to the sorted set `own`."""
+        """The sets in the tree that are similar to the sorted set `own`: branches are followed a level at a time, from each its own overlap so far."""
         slack, size = self.threshold.slack, len(own)
         if not len(self.values):
             return []
         at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
-        known = np.sort(self.rank[at[self.values[at] == own]])
+        known = self.rank[at[self.values[at] == own]]
+        known = known[known >= self.first]
         has = np.zeros(len(self.values) + 1, np.int64)
         has[known + 1] = 1
         passed = np.cumsum(has)  # members of `own` before each rank; those that no set has never match
-        out, stack = [], [(0, 0)]
-        while stack:
-            node, overlap = stack.pop()
-            if not self.live[node]:
-                continue
-            run = self.run[node]
-            depth = self.depth[node] + len(run)
-            left = len(known)
-            if len(run):
-                overlap += int(has[run + 1].sum())
-                left -= int(passed[run[-1] + 1])
-            best = min(max(depth + left, self.least[node]), self.most[node])  # the size below that may have most
-            if slack(overlap + min(left, best - depth), size, best) < 0:
-                continue
-            end = self.ending[node]
-            if end is not None and slack(overlap, size, self.sizes[end]) >= 0:
-                out.append(end)
-            stack += [(b, overlap) for b in self.below[node]]
+        out, nodes, overlap = [], np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(nodes):
+            lo, n = self.run[nodes], self.run[nodes + 1] - self.run[nodes]
+            end = np.cumsum(n)
+            met = np.concatenate([[0], np.cumsum(has[self.members[np.repeat(lo - (end - n), n) + np.arange(end[-1])] + 1])])
+            overlap = overlap + met[end] - met[end - n]
+            left = len(known) - np.where(n > 0, passed[self.members[np.maximum(lo + n - 1, 0)] + 1], 0)
+            depth = self.depth[nodes]
+            best = np.minimum(np.maximum(depth + left, self.least[nodes]), self.most[nodes])  # the size below that may have most
+            stay = (self.live[nodes] > 0) & (slack(overlap + np.minimum(left, best - depth), size, best) >= 0)
+            stay &= slack(overlap + np.minimum(left, self.longest[nodes] - depth), size, self.least[nodes]) >= 0
+            nodes, overlap = nodes[stay], overlap[stay]
+            n = self.ends[nodes + 1] - self.ends[nodes]
+            end = np.cumsum(n)
+            here = self.ending[np.repeat(self.ends[nodes] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+            here_too = np.repeat(overlap, n)[self.alive[here]]
+            here = here[self.alive[here]]
+            out += here[slack(here_too, size, self.sizes[here]) >= 0].tolist()
+            n = self.below[nodes + 1] - self.below[nodes]
+            end = np.cumsum(n)
+            nodes, overlap = np.repeat(self.below[nodes] - (end - n), n) + np.arange(end[-1] if len(end) else 0), np.repeat(overlap, n)
         return out
 
     def forest(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -287,7 +317,7 @@ def _forests(owned: DataFrame, threshold: Threshold) -> DataFrame:
         group, nodes, sets = None, [], []
 
         def done():
-            found = PrefixTree(sets, threshold).forest(sets) if len(sets) > 1 else []
+            found = PrefixTree(sets, threshold, alone=True).forest(sets) if len(sets) > 1 else []
             return _edges([nodes[i] for i, _ in found], [nodes[j] for _, j in found])
 
         for batch in batches:

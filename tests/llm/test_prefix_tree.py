@@ -63,7 +63,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("bound", [1 << 19, 400])
+@pytest.mark.parametrize("bound", [1 << 15, 400])
 def test_components_against_brute_force(spark, monkeypatch, bound):
     if bound < 1000:
         monkeypatch.setattr(prefix_tree, "LEADERS", 2)
@@ -81,7 +81,7 @@ def test_sets_of_different_leaders_are_linked(spark):
         base[3 * i % 120] = f"d{i}"
         rows.append((i, " ".join(base), "", "", ""))
     df = spark.createDataFrame(rows, SCHEMA)
-    for bound in (1 << 19, 300):
+    for bound in (1 << 15, 300):
         assert sorted(repr(tuple(r)) for r in prefix_tree.join(df, bound=bound).select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
 
 
@@ -108,6 +108,11 @@ def test_similar_sets_share_a_key():
             assert np.intersect1d(prefix_tree.piece_keys(a, T), prefix_tree.piece_keys(b, T)).size
 
 
+def _rare(own, sets):
+    """Whether a set has members that no other has; itself, it is then not looked for."""
+    return any(sum(v in s for s in sets) < 2 for v in own)
+
+
 def test_tree_finds_what_set_arithmetic_finds():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 40, 60).astype(np.uint64)
@@ -125,5 +130,15 @@ def test_tree_finds_what_set_arithmetic_finds():
     for own in [*sets, np.unique(rng.integers(0, 1 << 40, 30).astype(np.uint64)), base[:0]]:
         own = np.sort(own)
         assert sorted(tree.near(own)) == [i for i, s in enumerate(sets) if similar(own, s)]
+    def joined(pairs):
+        up = list(range(len(sets)))
+        for _ in sets:
+            for i, j in pairs:
+                up[i] = up[j] = min(up[i], up[j])
+        return up
+
+    alone = PrefixTree(sets, T, alone=True)
+    assert all(sorted(alone.near(s)) == [j for j, o in enumerate(sets) if similar(s, o)] for s in sets if len(s) > 0 and not _rare(s, sets))
+    assert joined(alone.forest(sets)) == joined([(i, j) for i in range(len(sets)) for j in range(i) if similar(sets[i], sets[j])])
     tree.take_out(3)
     assert 3 not in tree.near(sets[3])
