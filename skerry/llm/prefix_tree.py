@@ -145,7 +145,7 @@ class PrefixTree:
     def near(self, own: np.ndarray) -> list[int]:
         """The sets in the tree that are similar to the sorted set `own`: branches are followed a level at a time, from each its own overlap so far."""
         slack, size = self.threshold.slack, len(own)
-        if not len(self.values):
+        if not len(self.members):  # nothing that could be shared
             return []
         at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
         known = self.rank[at[self.values[at] == own]]

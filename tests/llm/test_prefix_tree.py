@@ -137,6 +137,7 @@ def test_tree_finds_what_set_arithmetic_finds():
                 up[i] = up[j] = min(up[i], up[j])
         return up
 
+    assert PrefixTree([base[:3], base[3:9]], T, alone=True).forest([base[:3], base[3:9]]) == []
     alone = PrefixTree(sets, T, alone=True)
     assert all(sorted(alone.near(s)) == [j for j, o in enumerate(sets) if similar(s, o)] for s in sets if len(s) > 0 and not _rare(s, sets))
     assert joined(alone.forest(sets)) == joined([(i, j) for i in range(len(sets)) for j in range(i) if similar(sets[i], sets[j])])
