@@ -1,6 +1,6 @@
 """Spelling variants: words of a corpus that are one edit apart, and the form each goes back to.
 
-The corpus' frequent words are dealt by hash to shards, each a compact trie of a bounded size. One shard at a
+The corpus' frequent words are dealt by hash to shards, each a pair of compact tries of a bounded size. One shard at a
 time is broadcast; each word's Levenshtein automaton for distance one is walked through it depth-first, and its
 accepting words are reduced at once to their number and the best of them. Over shards, numbers add up and the
 best of the bests is kept, so no list of neighbours is ever shuffled.
@@ -11,9 +11,9 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,8 @@ from ..session import cut
 from . import vec
 
 LETTERS = "A-Za-zÀ-ÿ"
-#: Words and letters of a trie shard: at most about 20 MB as a broadcast.
-SHARD_WORDS, SHARD_LETTERS = 1 << 17, 1 << 20
+#: Words and letters of a trie shard; with twice that, its two tries take 145 MB at the very most, and usually a third.
+SHARD_WORDS, SHARD_LETTERS = 1 << 18, 1 << 21
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 1 << 17
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -65,16 +65,16 @@ def word_counts(docs: DataFrame, least_length: int = 5, drop: int = 97) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Trie:
+class Side:
     """Words with counts in arrays: nodes in breadth-first order, so a node's children lie side by side.
 
-    Node i's children are first[i] to first[i + 1], `labels` has the letter that leads to each node, and
-    `counts` is not zero where a word ends.
+    Node i's children are first[i] to first[i + 1], `labels` has the letter that leads to each node, `parent` is
+    the node above it, and `counts` is not zero where a word ends: 17 bytes a node.
     """
 
     def __init__(self, words: list[str], counts: list[int]) -> None:
         """`words` in code-point order, without repeats."""
-        labels, first, ends = ["\0"], [], []
+        labels, first, ends = ["\0"], array("I"), []
         level = [(0, len(words))]
         depth = 0
         while level:
@@ -91,17 +91,24 @@ class Trie:
                     below.append((lo, end))
                     lo = end
             level, depth = below, depth + 1
-        self.labels = "".join(labels)
-        self.first = np.array([*first, len(labels)], np.int32).tolist()
-        self.counts = dict(ends)
+        first.append(len(labels))
+        self.labels, self.first = "".join(labels), first
+        self.parent = array("I", bytes(4 * len(labels)))
+        for node in range(len(labels)):
+            for child in range(first[node], first[node + 1]):
+                self.parent[child] = node
+        self.counts = array("q", bytes(8 * len(labels)))
+        for node, n in ends:
+            self.counts[node] = n
 
-    def near(self, word: str) -> Iterator[tuple[str, int]]:
-        """(word, count) of each word one inserted, deleted or replaced letter away, once.
+    def edits(self, word: str, low: int, low_insert: int, mirrored: bool) -> Iterator[tuple[str, int]]:
+        """Words here that one edit of `word` gives: a letter replaced or deleted at a place from `low` on, or put in at one from `low_insert` on.
 
-        States of the automaton are (letters read, edits made): the walk without an edit is the path below,
-        each node of it is left by an edit in all ways the trie has, and what remains must match to its end.
+        States of the automaton are (letters read, edits made): the walk without an edit is the path below, its nodes are left
+        by an edit in all ways the trie has, and what remains must match to its end. Of equal letters in a row the first is the one
+        that is deleted, and a letter like the one before is put in after it, so no word comes twice; `mirrored`: the word is read backward.
         """
-        labels, first, counts = self.labels, self.first, self.counts
+        labels, first, parent, counts = self.labels, self.first, self.parent, self.counts
         find, size = labels.find, len(word)
 
         def rest(node: int, i: int) -> int:
@@ -110,40 +117,72 @@ class Trie:
                 if node < 0:
                     return 0
                 i += 1
-            return counts.get(node, 0)
+            return counts[node]
 
         node = 0
         for i in range(size + 1):
-            letter = word[i] if i < size else ""
-            after = word[i + 1] if i + 1 < size else ""
-            if i < size and (i == 0 or word[i - 1] != letter):  # of equal letters in a row, the first goes
-                n = rest(node, i + 1)
-                if n:
-                    yield word[:i] + word[i + 1 :], n
-            for child in range(first[node], first[node + 1]):
-                other = labels[child]
-                if other == letter:
-                    continue  # a letter put in before its like is put in after it
-                if i < size:
-                    lo, hi = first[child], first[child + 1]
-                    if not after or find(after, lo, hi) >= 0:
-                        n = rest(child, i + 1)
-                        if n:
-                            yield word[:i] + other + word[i + 1 :], n
-                    if find(letter, lo, hi) >= 0:
-                        n = rest(child, i)
-                        if n:
-                            yield word[:i] + other + word[i:], n
-                else:
-                    n = counts.get(child, 0)
+            if i >= low:
+                letter = word[i] if i < size else ""
+                if i < size and ((i + 1 == size or word[i + 1] != letter) if mirrored else (i == 0 or word[i - 1] != letter)):
+                    n = rest(node, i + 1)
                     if n:
-                        yield word + other, n
+                        yield word[:i] + word[i + 1 :], n
+                like = (word[i - 1] if i else "") if mirrored else letter
+                lo, hi = first[node], first[node + 1]
+                if i + 1 >= size:  # what is replaced, or put in, is the last letter
+                    for child in range(lo, hi):
+                        n, other = counts[child], labels[child]
+                        if n and other != letter and i < size:
+                            yield word[:i] + other, n
+                        if n and i == size and i >= low_insert and other != like:
+                            yield word + other, n
+                lo, hi = first[lo], first[hi]  # all that is two letters on lies side by side, too
+                if i + 1 < size:
+                    after = word[i + 1]
+                    at = find(after, lo, hi)
+                    while at >= 0:
+                        other = labels[parent[at]]
+                        if other != letter:
+                            n = rest(at, i + 2)
+                            if n:
+                                yield word[:i] + other + word[i + 1 :], n
+                        at = find(after, at + 1, hi)
+                if low_insert <= i < size:
+                    at = find(letter, lo, hi)
+                    while at >= 0:
+                        other = labels[parent[at]]
+                        if other != like:
+                            n = rest(at, i + 1)
+                            if n:
+                                yield word[:i] + other + word[i:], n
+                        at = find(letter, at + 1, hi)
             if i < size:
-                node = find(letter, first[node], first[node + 1])
+                node = find(word[i], first[node], first[node + 1])
                 if node < 0:
                     return
 
 
+class Trie:
+    """A shard: its words from their first letters on, and from their last ones.
+
+    An edit leaves one half of a word as it is. So the walk keeps to the word's own path until the half is read, where a
+    trie has few branches left: forward for edits in the second half, backward for those in the first.
+    """
+
+    def __init__(self, words: list[str], counts: list[int]) -> None:
+        """`words` in code-point order, without repeats."""
+        self.forward = Side(words, counts)
+        back = sorted((w[::-1], n) for w, n in zip(words, counts))
+        self.backward = Side([w for w, _ in back], [n for _, n in back])
+
+    def near(self, word: str) -> Iterator[tuple[str, int]]:
+        """(word, count) of each word one inserted, deleted or replaced letter away, once."""
+        half = len(word) // 2
+        yield from self.forward.edits(word, half, half, False)
+        for found, n in self.backward.edits(word[::-1], len(word) - half, len(word) - half + 1, True):
+            yield found[::-1], n
+
+
 def _first_after(words: list[str], lo: int, hi: int, depth: int, letter: str) -> int:
     """End of the words from `lo` that have this letter at this depth."""
     if words[hi - 1][depth] == letter:

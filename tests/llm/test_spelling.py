@@ -62,7 +62,7 @@ def brute(rows, drop=97):
     return {(w, f, root[w], n, k, m) for w, (f, n, k, m) in out.items()}
 
 
-@pytest.mark.parametrize("drop, size", [(97, 1 << 17), (3, 9)])
+@pytest.mark.parametrize("drop, size", [(97, 1 << 18), (3, 9)])
 def test_variants_against_brute_force(spark, monkeypatch, drop, size):
     monkeypatch.setattr(spelling, "SHARD_WORDS", size)
     rows = corpus()
