@@ -132,3 +132,14 @@ def json_object(x: Column) -> Column:
         )
 
     return F.aggregate(F.split(x, ""), seed, step, lambda a: F.when(a["done"], a["out"]))
+
+
+def segments(text: Column) -> Column:
+    """An answer as runs of text and markers [n] in turn, nothing left out; a bracket that opens no marker is a run of its own."""
+    return F.regexp_extract_all(text, F.lit(r"\[\d+\]|[^\[]+|\["), F.lit(0))
+
+
+def classifier_confidence(raw: Column) -> Column:
+    """A classifier's confidence as a number from 0 to 1; 0.5 where there is none or it is no number."""
+    x = raw.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x), 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))

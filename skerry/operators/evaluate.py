@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 
 def recall(found: Column, gold: Column) -> Column:
     """Share of the gold set that was found; 1 where there is no gold."""
@@ -22,11 +24,8 @@ def contains_all(answer: Column, needles: Column) -> Column:
 
 
 def p95_nearest_rank(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, p95: the value at rank min(n - 1, floor(0.95 n)) from 0, without gathering a group."""
-    order = Window.partitionBy(*by).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by))
-    at = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", n)
-    return at.where(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.95))).select(*by, F.col(value).alias("p95"))
+    """by, p95: the value at rank min(n - 1, floor(0.95 n)) from 0; a group of any size is never sorted."""
+    return quantiles.exact(df, by, value, [0.95]).select(*by, F.col("value").alias("p95"))
 
 
 def weighted_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -64,3 +63,45 @@ def regression_gate(baseline: DataFrame, candidate: DataFrame, by: str, score: s
     b, c = baseline.select(by, F.col(score).alias("_b")), candidate.select(by, F.col(score).alias("_c"))
     change = F.col("_c") - F.col("_b")
     return b.join(c, by).select(by, change.alias("change"), (change >= F.when(F.col(by).isin(*strict), 0.0).otherwise(-delta)).alias("passed"))
+
+
+def run_benchmark(questions: DataFrame, gold: DataFrame, modes: dict[str, DataFrame], k: int = 5, categories: list | None = None, first: int | None = None) -> DataFrame:
+    """question_id, category, mode, found, wanted, recall and hit of each question under each mode, the same questions for all.
+
+    questions (question_id, category), gold (question_id, item), and for each mode ranked items (question_id, item, rank).
+    `categories` keeps those only, `first` the first so many questions by id; then the first k items of a question
+    count. A question without gold has recall 1 and a hit; one of which a mode found nothing stays, with none found.
+    """
+    if k < 1 or (first is not None and first < 1) or (categories is not None and not categories):
+        raise ValueError("k and first must be at least 1, and categories not empty")
+    asked = questions.select("question_id", "category")
+    if categories is not None:
+        asked = asked.where(F.col("category").isin(*categories))
+    if first is not None:
+        asked = asked.orderBy("question_id").limit(first)
+    right = gold.select("question_id", "item").distinct()
+    wanted = right.groupBy("question_id").agg(F.count("*").alias("wanted"))
+    ranked = None
+    for mode, items in modes.items():
+        some = items.where(F.col("rank") <= k).select("question_id", "item", F.lit(mode).alias("mode"))
+        ranked = some if ranked is None else ranked.unionByName(some)
+    found = ranked.distinct().join(right, ["question_id", "item"], "left_semi").groupBy("question_id", "mode").agg(F.count("*").alias("found"))
+    each = asked.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).join(found, ["question_id", "mode"], "left").join(wanted, "question_id", "left")
+    none = F.col("wanted").isNull()
+    each = each.withColumns({"found": F.coalesce("found", F.lit(0)), "recall": F.when(none, 1.0).otherwise(F.coalesce("found", F.lit(0)) / F.col("wanted")), "hit": none | (F.coalesce("found", F.lit(0)) > 0)})
+    return each.withColumn("wanted", F.coalesce("wanted", F.lit(0)))
+
+
+def summary(outcomes: DataFrame) -> DataFrame:
+    """mode, category (null: all), n, recall and hit_rate of run_benchmark()'s rows."""
+    return outcomes.groupingSets([["mode", "category"], ["mode"]], "mode", "category").agg(F.count("*").alias("n"), F.avg("recall").alias("recall"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
+
+
+def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """n, agreement and kappa (Cohen's, without weights) of two ratings; 1 where chance alone would always agree."""
+    cells = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("i"), F.col(b).alias("j")).agg(F.count("*").alias("o"))
+    rows, cols = cells.groupBy("i").agg(F.sum("o").alias("r")), cells.groupBy(F.col("j").alias("i")).agg(F.sum("o").alias("c"))
+    seen = cells.agg(F.sum("o").alias("n"), F.sum(F.when(F.col("i") == F.col("j"), F.col("o")).otherwise(0)).alias("same"))
+    chance = rows.join(cols, "i").agg(F.coalesce(F.sum(F.col("r") * F.col("c")), F.lit(0)).alias("chance"))
+    by = F.col("chance") / (F.col("n") * F.col("n"))
+    return seen.crossJoin(chance).select("n", (F.col("same") / F.col("n")).alias("agreement"), F.when(by == 1, 1.0).otherwise((F.col("same") / F.col("n") - by) / (1 - by)).alias("kappa"))  # one row each

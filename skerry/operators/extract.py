@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .components import connected_components
+from .graph import merge_edges
+from .versions import VersionedTable
 
 PAYLOAD = "struct<entities:array<struct<name:string,type:string,confidence:string>>,relations:array<struct<source:string,type:string,target:string,confidence:string>>>"
 
@@ -176,17 +178,34 @@ def graph_payload(payloads: DataFrame, similar: DataFrame | None = None) -> dict
     return {"entities": nodes, "mentions": mentioned, "relations": found.where(good), "links": links, "skipped": found.where(~good)}
 
 
-def write_payload(payload: dict[str, DataFrame], path: str) -> dict[str, int]:
-    """Write each table under a path, relations by their type, and count what was written."""
-    counts = {}
-    for name, df in payload.items():
-        out = df.write.mode("overwrite")
-        (out.partitionBy("relation") if name == "relations" else out).parquet(f"{path}/{name}")
-        counts[name] = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}").count()
-    return counts
+def write_payload(payload: dict[str, DataFrame], path: str, chunks: DataFrame | None = None) -> dict[str, int]:
+    """Merge a payload into the tables under a path, each a whole new version, and count what each then holds (relations by their chunks).
 
-
-def top_merged(resolved: DataFrame, n: int = 10) -> DataFrame:
-    """The entities that took in most names: name, entity_type, names; ties by name and type."""
-    one = resolved.select("entity_id", "entity_type", "name", (F.size("aliases") + 1).alias("names")).distinct()
-    return one.where("names > 1").orderBy(F.desc("names"), "name", "entity_type").limit(n).select("entity_type", "name", "names")
+    Entities and links are replaced by key. A mention needs its entity, of this payload or one before, and its chunk if `chunks`
+    (chunk_id) is given; its confidence is the last one written. A relation adds its chunk to those it has and keeps the
+    highest confidence. What is skipped is kept as told. A payload written twice changes nothing.
+    """
+    spark = payload["entities"].sparkSession
+    tables = {name: VersionedTable(spark, f"{path}/{name}") for name in ("entities", "mentions", "relations", "links", "skipped")}
+    tables["entities"].merge(payload["entities"], ["entity_id"])
+    known = tables["entities"].read().select("entity_id")
+    mentions = payload["mentions"].join(known, "entity_id", "left_semi")
+    if chunks is not None:
+        mentions = mentions.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    tables["mentions"].merge(mentions.select("entity_id", "chunk_id", "confidence"), ["entity_id", "chunk_id"])
+    both = [known.withColumnRenamed("entity_id", f"{end}_id") for end in ("source", "target")]
+    told = payload["relations"].join(both[0], "source_id", "left_semi").join(both[1], "target_id", "left_semi").select("source_id", "relation", "target_id", "chunk_id", "confidence")
+    after = tables["relations"].version()
+    before = tables["relations"].read(after)
+    if before is not None:
+        told = told.unionByName(before.select("source_id", "relation", "target_id", F.explode("chunk_ids").alias("chunk_id"), "confidence"))
+    tables["relations"].write(merge_edges(told.withColumn("ordinal", F.col("chunk_id"))), after)
+    tables["links"].merge(payload["links"], ["chunk_id", "entity_id"])
+    tables["skipped"].merge(payload["skipped"], payload["skipped"].columns)
+    return {name: t.read().agg(F.coalesce(F.sum(F.size("chunk_ids")), F.lit(0)) if name == "relations" else F.count("*")).first()[0] for name, t in tables.items()}
+
+
+def top_merged(resolved: DataFrame, n: int = 25) -> DataFrame:
+    """The entities of several names that are mentioned most: entity_type, name, names, mentions; ties by name and type."""
+    one = resolved.select("entity_id", "entity_type", "name", (F.size("aliases") + 1).alias("names"), "mentions").distinct()
+    return one.where("names > 1").orderBy(F.desc("mentions"), "name", "entity_type").limit(n).select("entity_type", "name", "names", "mentions")

@@ -6,7 +6,7 @@ chunk_ids, confidence). Patterns match edges in both directions, and one match n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -36,17 +36,22 @@ def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def paths(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """Simple paths of `hops` edges from the seeds: node_0.., relation_1.., forward_1.., chunk_ids. Seeds are joined first."""
-    bi = both_ways(edges)
+    """Simple paths of `hops` edges from the seeds: node_0.., relation_1.., forward_1.., chunk_ids. Seeds are joined first, chunk ids last."""
+    bi = both_ways(edges).drop("chunk_ids", "confidence")
     now = seeds.select(F.col("entity_id").alias("node_0")).distinct()
     for h in range(1, hops + 1):
-        step = bi.select(F.col("edge").alias(f"edge_{h}"), F.col("a").alias(f"node_{h - 1}"), F.col("relation").alias(f"relation_{h}"), F.col("b").alias(f"node_{h}"), F.col("forward").alias(f"forward_{h}"), F.col("chunk_ids").alias(f"chunks_{h}"))
+        step = bi.select(F.col("edge").alias(f"edge_{h}"), F.col("a").alias(f"node_{h - 1}"), F.col("relation").alias(f"relation_{h}"), F.col("b").alias(f"node_{h}"), F.col("forward").alias(f"forward_{h}"))
         now = now.join(step, f"node_{h - 1}")
         for k in range(h):
             now = now.where(F.col(f"node_{h}") != F.col(f"node_{k}"))
             if k:
                 now = now.where(F.col(f"edge_{h}") != F.col(f"edge_{k}"))
     keep = [f"node_{k}" for k in range(hops + 1)] + [f"{w}_{k}" for k in range(1, hops + 1) for w in ("relation", "forward")]
+    chunks = edges.select("source_id", "relation", "target_id", "chunk_ids")
+    for h in range(1, hops + 1):
+        ends = [F.when(F.col(f"forward_{h}"), F.col(f"node_{i}")).otherwise(F.col(f"node_{j}")) for i, j in ((h - 1, h), (h, h - 1))]
+        own = chunks.select(F.col("source_id").alias("_s"), F.col("relation").alias(f"relation_{h}"), F.col("target_id").alias("_t"), F.col("chunk_ids").alias(f"chunks_{h}"))
+        now = now.withColumns({"_s": ends[0], "_t": ends[1]}).join(own, ["_s", f"relation_{h}", "_t"]).drop("_s", "_t")
     return now.select(*keep, F.concat(*[F.col(f"chunks_{k}") for k in range(1, hops + 1)]).alias("chunk_ids"))
 
 
@@ -107,6 +112,15 @@ def search(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.where(F.col("normalized").contains(p) | p.contains(F.col("normalized")))
 
 
+def chunks_of(mentions: DataFrame, chunks: DataFrame, limit: int, order: str = "chunk_id") -> DataFrame:
+    """Each entity's chunks with their columns: its surest mentions (entity_id, chunk_id, confidence) first, `limit` of them."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    best = mentions.groupBy("entity_id", "chunk_id").agg(F.max("confidence").alias("confidence")).join(chunks, "chunk_id")
+    place = Window.partitionBy("entity_id").orderBy(F.desc_nulls_last("confidence"), order)
+    return best.withColumn("position", F.row_number().over(place)).where(F.col("position") <= limit)
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """(seed_id, entity_id, hops): the fewest hops from each seed, up to `most`. A frontier join a step, cut each time."""
     bi = both_ways(edges).select("a", "b").distinct()

@@ -80,3 +80,18 @@ def citation_repair(spark, sf_dir):
     second = F.element_at(F.array(*map(F.lit, _ANSWERS)), (F.col("o_orderkey") % 7 + 1).cast("int"))
     again = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), second.alias("answer"))
     return A.settle(_answers(spark, sf_dir), again, _context(spark, sf_dir)).withColumn("cited", F.array_join(F.col("cited").cast("array<string>"), "|"))
+
+
+@query("answer_segments", _ANS + " SELECT question_id, generate_subscripts(seg, 1) AS position, unnest(seg) AS segment, regexp_matches(unnest(seg), '^\\[\\d+\\]$') AS marker FROM (SELECT question_id, regexp_extract_all(answer, '\\[\\d+\\]|[^\\[]+|\\[') AS seg FROM v)")
+def answer_segments(spark, sf_dir):
+    """Answers split at their markers, as a page shows them: runs of text and markers in turn."""
+    cut = _answers(spark, sf_dir).select("question_id", F.posexplode(T.segments(F.col("answer"))).alias("position", "segment"))
+    return cut.select("question_id", (F.col("position") + 1).cast("long").alias("position"), "segment", F.col("segment").rlike(r"^\[\d+\]$").alias("marker"))
+
+
+@query("trace_ids", "SELECT o_orderkey AS question_id, length(md5('trace:' || o_orderkey)) AS n, md5('trace:' || o_orderkey) AS trace_id, CAST(CASE o_orderkey % 6 WHEN 0 THEN 0.5 WHEN 1 THEN 0.9 WHEN 2 THEN 0.0 WHEN 3 THEN 1.0 WHEN 4 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS confidence FROM orders")
+def trace_ids(spark, sf_dir):
+    """Trace ids that a question's key decides (so that a retried task gives the same), and a classifier's confidence, held to 0 and 1; 0.5 where it has none."""
+    raw = F.element_at(F.array(F.lit(None).cast("string"), *map(F.lit, ("0.9", "-1", "7.5", "0.25", "sure"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    trace = F.md5(F.concat(F.lit("trace:"), F.col("o_orderkey").cast("string")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), F.length(trace).cast("long").alias("n"), trace.alias("trace_id"), T.classifier_confidence(raw).alias("confidence"))

@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..operators import overlap as L
 from ..operators import report
+from ..operators import retrieve as R
+from ..session import cut
 from ..sources.tables import table
-from . import vector
+from . import retrieval, vector
 from .registry import query
 
 _OUT = f"WITH {vector._PAIRS}, t AS (SELECT query_id, ql, list(vec_id) FILTER (WHERE rank <= 5) AS found, list(vec_id) FILTER (WHERE ql = bl) AS gold FROM r GROUP BY 1, 2), o AS (SELECT query_id, ql AS category, CASE WHEN gold IS NULL THEN 1.0 ELSE len(list_intersect(found, gold)) / len(gold)::DOUBLE END AS recall, gold IS NULL OR len(list_intersect(found, gold)) > 0 AS hit, (query_id * 7 % 101)::DOUBLE AS latency FROM t)"
@@ -34,10 +37,35 @@ def summary_by_category(spark, sf_dir):
     return outcomes(spark, sf_dir).rollup("category").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"), F.median("latency").alias("latency"))
 
 
-@query("recall_delta", _OUT + ", m AS (SELECT category, avg(recall) FILTER (WHERE query_id % 40 = 0) AS a, avg(recall) FILTER (WHERE query_id % 40 <> 0) AS b FROM o GROUP BY 1) SELECT category, round(a, 6) AS vector, round(b, 6) AS hybrid, round(b - a, 6) AS delta FROM m")
+#: Both modes' ranked items of the same questions: vector search, and its fusion with what the labels' graph gives.
+_MODES = retrieval._RRF + ", o AS (SELECT question_id, item, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 8) DESC, item) AS rank FROM s), i AS (SELECT 'vector' AS mode, query_id AS question_id, vec_id AS item FROM r WHERE rank <= 5 UNION ALL SELECT 'hybrid', question_id, item FROM o WHERE rank <= 5), qs AS (SELECT vec_id AS question_id, label AS category FROM embeddings WHERE vec_id % 20 = 0{some}), gs AS (SELECT q.question_id, v.vec_id AS item FROM qs q JOIN embeddings v ON v.label = q.category AND v.vec_id <> q.question_id), wn AS (SELECT question_id, count(*) AS wanted FROM gs GROUP BY 1), fn AS (SELECT mode, question_id, count(*) AS found FROM i JOIN gs USING (question_id, item) GROUP BY 1, 2), oc AS (SELECT qs.question_id, category, m.mode, coalesce(found, 0) AS found, coalesce(wanted, 0) AS wanted, CASE WHEN wanted IS NULL THEN 1.0::DOUBLE ELSE coalesce(found, 0) / wanted::DOUBLE END AS recall, wanted IS NULL OR coalesce(found, 0) > 0 AS hit FROM qs CROSS JOIN (SELECT unnest(['vector', 'hybrid']) AS mode) m LEFT JOIN fn ON fn.question_id = qs.question_id AND fn.mode = m.mode LEFT JOIN wn ON wn.question_id = qs.question_id)"
+
+
+def _runs(spark, sf_dir, **bounds):
+    v = table(spark, sf_dir, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("label").alias("category"))
+    gold = q.join(v.select(F.col("vec_id").alias("item"), F.col("label").alias("category")), "category").where("item <> question_id")
+    lists = cut(retrieval.ranked_lists(spark, sf_dir))
+    fused = R.rrf(lists).withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 8)), "item")))
+    return E.run_benchmark(q, gold, {"vector": lists.where("list = 'vector'"), "hybrid": fused}, **bounds)
+
+
+@query("benchmark_runs", _MODES.format(some="") + " SELECT question_id, category, mode, found, wanted, round(recall, 6) AS recall, hit FROM oc")
+def benchmark_runs(spark, sf_dir):
+    """Each question's outcome with vector and with hybrid retrieval."""
+    return _runs(spark, sf_dir).withColumn("recall", F.round("recall", 6))
+
+
+@query("benchmark_filtered", _MODES.format(some=" AND label IN (1, 3, 5) ORDER BY vec_id LIMIT 7") + " SELECT mode, category, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) AS hit_rate FROM oc GROUP BY GROUPING SETS ((mode, category), (mode))")
+def benchmark_filtered(spark, sf_dir):
+    """The summary of a run over three categories and their first seven questions."""
+    return E.summary(_runs(spark, sf_dir, categories=[1, 3, 5], first=7)).withColumns({"recall": F.round("recall", 6), "hit_rate": F.round("hit_rate", 6)})
+
+
+@query("recall_delta", _MODES.format(some="") + ", m AS (SELECT category, avg(recall) FILTER (WHERE mode = 'vector') AS a, avg(recall) FILTER (WHERE mode = 'hybrid') AS b FROM oc GROUP BY 1) SELECT category, round(a, 6) AS vector, round(b, 6) AS hybrid, round(b - a, 6) AS delta FROM m")
 def recall_delta(spark, sf_dir):
-    mode = F.when(F.col("query_id") % 40 == 0, "vector").otherwise("hybrid")
-    wide = outcomes(spark, sf_dir).withColumn("mode", mode).groupBy("category").pivot("mode", ["vector", "hybrid"]).agg(F.avg("recall"))
+    """What hybrid retrieval adds to vector retrieval on the same questions."""
+    wide = _runs(spark, sf_dir).groupBy("category").pivot("mode", ["vector", "hybrid"]).agg(F.avg("recall"))
     return wide.select("category", F.round("vector", 6).alias("vector"), F.round("hybrid", 6).alias("hybrid"), F.round(F.col("hybrid") - F.col("vector"), 6).alias("delta"))
 
 
@@ -72,11 +100,11 @@ def spearman(spark, sf_dir):
     return E.spearman(table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount"), "l_quantity", "l_discount").select(F.round("rho", 6).alias("rho"))
 
 
-@query("self_agreement", "WITH p AS (SELECT a.l_orderkey AS k, CAST(a.l_tax * 100 AS INTEGER) AS x, CAST(b.l_tax * 100 AS INTEGER) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2) SELECT count(*) AS n, round(avg(CASE WHEN x = y THEN 1.0 ELSE 0 END), 6) AS agreement FROM p")
+@query("self_agreement", "WITH p AS (SELECT a.l_orderkey AS k, CAST(a.l_tax * 100 AS INTEGER) AS x, CAST(b.l_tax * 100 AS INTEGER) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2) , o AS (SELECT count(*)::DOUBLE AS n, avg(CASE WHEN x = y THEN 1.0 ELSE 0 END)::DOUBLE AS a FROM p), e AS (SELECT sum(r * c) AS s FROM (SELECT x, count(*)::DOUBLE AS r FROM p GROUP BY 1) JOIN (SELECT y AS x, count(*)::DOUBLE AS c FROM p GROUP BY 1) USING (x)) SELECT CAST(n AS BIGINT) AS n, round(a, 6) AS agreement, round((a - s / (n * n)) / (1 - s / (n * n)), 6) AS kappa FROM o, e")
 def self_agreement(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_tax") * 100).cast("decimal(9,0)").cast("int").alias("tax"))
     a, b = line.where("l_linenumber = 1").select("l_orderkey", F.col("tax").alias("x")), line.where("l_linenumber = 2").select("l_orderkey", F.col("tax").alias("y"))
-    return a.join(b, "l_orderkey").agg(F.count("*").alias("n"), F.round(F.avg((F.col("x") == F.col("y")).cast("double")), 6).alias("agreement"))
+    return E.kappa(a.join(b, "l_orderkey"), "x", "y").select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
 
 
 @query("flip_rate", "WITH v AS (SELECT l_orderkey AS item, l_linenumber % 2 AS position, max(l_returnflag) AS verdict FROM lineitem GROUP BY 1, 2) SELECT count(*) AS n, round(avg(CASE WHEN a.verdict <> b.verdict THEN 1.0 ELSE 0 END), 6) AS flip_rate FROM v a JOIN v b ON a.item = b.item AND a.position = 0 AND b.position = 1")
@@ -126,6 +154,34 @@ def ngram_overlap(spark, sf_dir):
     return p.select("a_id", "b_id", F.round(both / F.size("x"), 6).alias("precision"), F.round(both / F.size("y"), 6).alias("recall"))
 
 
+_TURNS = "pr AS (SELECT a.conv_id, a.turn, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2), tk AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(coalesce(x, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS x, list_filter(string_split_regex(lower(coalesce(y, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS y FROM pr), gm AS (SELECT conv_id, turn, n, 0 AS s, unnest(list_transform(range(1, len(x) - n + 2), lambda i: array_to_string(x[i:i + n - 1], ' '))) AS g FROM tk, (SELECT unnest([1, 2, 3, 4]) AS n) UNION ALL SELECT conv_id, turn, n, 1, unnest(list_transform(range(1, len(y) - n + 2), lambda i: array_to_string(y[i:i + n - 1], ' '))) FROM tk, (SELECT unnest([1, 2, 3, 4]) AS n)), ct AS (SELECT conv_id, turn, n, g, count(*) FILTER (WHERE s = 0) AS c, count(*) FILTER (WHERE s = 1) AS r FROM gm GROUP BY 1, 2, 3, 4), cl AS (SELECT conv_id, turn, n, sum(least(c, r)) AS m, sum(c) AS c, sum(r) AS r FROM ct GROUP BY 1, 2, 3), pc AS (SELECT *, CASE WHEN c > 0 THEN m / c::DOUBLE ELSE 0 END AS p, CASE WHEN r > 0 THEN m / r::DOUBLE ELSE 0 END AS q FROM cl)"
+
+
+def turn_pairs(spark, sf_dir):
+    """conv_id, turn, x, y: each turn beside the same speaker's next one, in which it counts as the candidate."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return c.withColumnRenamed("text", "x").join(c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("y")), ["conv_id", "turn"])
+
+
+@query("rouge_n", f"WITH {_TURNS} SELECT conv_id, turn, n, CAST(m AS BIGINT) AS matched, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS f1 FROM pc")
+def rouge_n(spark, sf_dir):
+    f = L.rouge_n(L.clipped(turn_pairs(spark, sf_dir), ["conv_id", "turn"], "x", "y"))
+    return f.select("conv_id", "turn", "n", "matched", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("bleu", f"WITH {_TURNS}, lg AS (SELECT conv_id, turn, sum(CASE WHEN m > 0 THEN ln(m / c::DOUBLE) END) AS l, count(CASE WHEN m > 0 THEN 1 END) AS k, max(c) FILTER (WHERE n = 1)::DOUBLE AS c, max(r) FILTER (WHERE n = 1)::DOUBLE AS r FROM cl GROUP BY 1, 2), bv AS (SELECT *, CASE WHEN c = 0 THEN 0.0 WHEN c >= r THEN 1.0 ELSE exp(1 - r / c) END::DOUBLE AS b FROM lg) SELECT conv_id, turn, round(b, 6) AS brevity, round(CASE WHEN k = 4 THEN b * exp(l / 4) ELSE 0 END, 6) AS bleu FROM bv")
+def bleu(spark, sf_dir):
+    f = L.bleu(L.clipped(turn_pairs(spark, sf_dir), ["conv_id", "turn"], "x", "y"), ["conv_id", "turn"])
+    return f.select("conv_id", "turn", F.round("brevity", 6).alias("brevity"), F.round("bleu", 6).alias("bleu"))
+
+
+@query("rouge_l")
+def rouge_l(spark, sf_dir):
+    """Longest common subsequences of words; a plain table of all places checks them in the tests."""
+    f = L.rouge_l(turn_pairs(spark, sf_dir), ["conv_id", "turn"], "x", "y")
+    return f.select("conv_id", "turn", "common", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query("score_drift", "WITH d AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, avg(value) AS score FROM events GROUP BY 1) SELECT day, round(score, 6) AS score, round(score - lag(score) OVER (ORDER BY day), 6) AS drift FROM d")
 def score_drift(spark, sf_dir):
     d = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import extract as X
 from ..operators.components import connected_components
+from ..session import scratch
 from ..sources.tables import table
 from . import vector
 from .registry import query
@@ -22,6 +23,26 @@ def json_field_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.from_json("props", "k int")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
+_TAGS = "concat('{\"tags\": [', event_id % 3, ', ', event_id % 5, ', ', event_id % 3, '], \"kind\": \"', event_type, '\"}')"
+
+
+@query("json_array_counts", "SELECT event_type AS kind, tag, count(*) AS n FROM (SELECT event_type, unnest([event_id % 3, event_id % 5, event_id % 3])::BIGINT AS tag FROM events) GROUP BY 1, 2")
+def json_array_counts(spark, sf_dir):
+    """Groups of what an array inside a JSON text holds."""
+    rows = table(spark, sf_dir, "events").select(F.from_json(F.expr(_TAGS), "tags array<bigint>, kind string").alias("j"))
+    return rows.select("j.kind", F.explode("j.tags").alias("tag")).groupBy("kind", "tag").agg(F.count("*").alias("n"))
+
+
+@query("graph_written", "WITH c AS (SELECT * FROM (SELECT count(*) FILTER (WHERE s_suppkey % 4 <> 0) AS r, count(*) AS s, count(DISTINCT s_nationkey) FILTER (WHERE s_suppkey % 4 <> 0) AS n FROM supplier)) SELECT s + n AS entities, s + r AS mentions, r AS relations, s + r AS links, 0::BIGINT AS skipped FROM c")
+def graph_written(spark, sf_dir):
+    """What stands in a graph's tables after the suppliers' extractions were written as two payloads, the second of which repeats rows of the first."""
+    path, all_ = scratch(spark, "graph"), payloads(spark, sf_dir)
+    key = F.substring("chunk_id", 2, 20).cast("long")
+    for some in (all_.where(key % 3 != 1), all_.where(key % 3 != 0)):
+        counts = X.write_payload(X.graph_payload(some), path, all_)
+    return spark.createDataFrame([counts], "entities long, mentions long, relations long, links long, skipped long")
+
+
 #: A payload for each supplier: two entities and three relations, valid and not, from its own row.
 _PAYLOAD = """to_json(named_struct('entities', array(
  named_struct('name', s_name, 'type', 'company', 'confidence', element_at(array('high','0.7','LOW','2','x'), cast(s_suppkey % 5 + 1 as int))),
@@ -140,7 +161,7 @@ def graph_payload(spark, sf_dir):
     return out
 
 
-@query("top_merged", f"WITH {_M}, z AS (SELECT *, row_number() OVER (PARTITION BY t, k ORDER BY n DESC, length(r) DESC, r) AS p FROM g) SELECT t AS entity_type, max(r) FILTER (WHERE p = 1) AS name, CAST(count(*) AS INTEGER) AS names FROM z GROUP BY t, k HAVING count(*) > 1 ORDER BY names DESC, name, entity_type LIMIT 10")
+@query("top_merged", f"WITH {_M}, z AS (SELECT *, row_number() OVER (PARTITION BY t, k ORDER BY n DESC, length(r) DESC, r) AS p FROM g) SELECT t AS entity_type, max(r) FILTER (WHERE p = 1) AS name, CAST(count(*) AS INTEGER) AS names, CAST(sum(n) AS BIGINT) AS mentions FROM z GROUP BY t, k HAVING count(*) > 1 ORDER BY mentions DESC, name, entity_type LIMIT 25")
 def top_merged(spark, sf_dir):
     return X.top_merged(X.resolve(_mentions(spark, sf_dir)))
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import breaker as B
 from ..operators import gateway as W
+from ..operators import intervals as I
+from ..operators import quantiles as Q
 from ..sources.tables import table
+from ..streaming import breaker as SB
 from ..streaming import gateway as S
 from .registry import query
 
@@ -48,6 +52,63 @@ def error_taxonomy(spark, sf_dir):
     return events(spark, sf_dir).where("not ok").groupBy(F.col("event_type").alias("provider"), kind.alias("error")).agg(F.count("*").alias("n"))
 
 
+_PANES = "(SELECT *, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes'])::TIMESTAMP AS w FROM events)"
+_KINDS = {"timeouts": "NOT value >= 10 AND value < 2", "rate_limits": "NOT value >= 10 AND value >= 2 AND value < 5", "server_errors": "NOT value >= 10 AND value >= 5"}
+
+
+@query("rolling_errors", f"SELECT w AS window_start, event_type AS provider, count(value) AS requests, {', '.join(f'count(*) FILTER (WHERE {c}) AS {n}' for n, c in _KINDS.items())} FROM {_PANES} GROUP BY 1, 2")
+def rolling_errors(spark, sf_dir):
+    """Requests and errors by kind of each provider in sliding windows; half of what rolling_sketch keeps."""
+    return _rolling(spark, sf_dir).select("window_start", "provider", F.col("n").alias("requests"), *_KINDS)
+
+
+def _rolling(spark, sf_dir):
+    found = Q.windowed_sketches(events(spark, sf_dir).withColumnRenamed("event_type", "provider"), "ts", ["provider"], "value", "30 minutes", 2, {n: F.expr(c) for n, c in _KINDS.items()})
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("rolling_sketch")
+def rolling_sketch(spark, sf_dir):
+    """Approximate percentiles of sliding windows, merged from the sketches of their panes; rolling_percentiles is the exact twin."""
+    return _rolling(spark, sf_dir).select("window_start", "provider", "n", *[Q.at_rank("sketch", p).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)])
+
+
+@query("rolling_percentiles", f"SELECT w AS window_start, event_type AS provider, n, {', '.join(f'vs[least(n - 1, CAST(floor(n * {p}) AS BIGINT)) + 1] AS p{round(100 * p)}' for p in (0.5, 0.95, 0.99))} FROM (SELECT w, event_type, count(value) AS n, list_sort(list(value)) AS vs FROM {_PANES} GROUP BY 1, 2)")
+def rolling_percentiles(spark, sf_dir):
+    """Exact percentiles (nearest rank) of each provider in sliding windows."""
+    w = events(spark, sf_dir).select(F.window("ts", "1 hour", "30 minutes")["start"].cast("timestamp_ntz").alias("window_start"), F.col("event_type").alias("provider"), "value")
+    found = Q.exact(w, ["window_start", "provider"], "value", [0.5, 0.95, 0.99])
+    return found.groupBy("window_start", "provider", "n").agg(*[F.max(F.when(F.col("share") == p, F.col("value"))).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)])
+
+
+@query("provider_percentiles", f"SELECT event_type AS provider, n, {', '.join(f'vs[least(n - 1, CAST(floor(n * {p}) AS BIGINT)) + 1] AS p{round(100 * p)}' for p in (0.5, 0.95, 0.99))} FROM (SELECT event_type, count(value) AS n, list_sort(list(value)) AS vs FROM events GROUP BY 1)")
+def provider_percentiles(spark, sf_dir):
+    """The same over all time: five groups of any size, of which none is sorted as a whole."""
+    found = Q.exact(events(spark, sf_dir).withColumnRenamed("event_type", "provider"), ["provider"], "value", [0.5, 0.95, 0.99])
+    return found.groupBy("provider", "n").agg(*[F.max(F.when(F.col("share") == p, F.col("value"))).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)])
+
+
+#: Rules that calls as rare as those of the table can trip: six hours of cool-down, a week of idleness.
+RULES = B.Rules(errors=0.4, slow=200.0, cooldown=21_600, idle=604_800)
+_CALLS = "SELECT event_type || ':' || user_id AS k, epoch_us(ts) AS t, event_id AS o, value >= 10 AS ok, value AS v, {h} AS horizon FROM events{w}"
+_CUTOFF = "(SELECT epoch_us(date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes') FROM events)"
+
+
+@query("breaker_transitions", B.sql(RULES, _CALLS.format(h="(SELECT max(epoch_us(ts)) FROM events)", w=""), "k") + 'SELECT k AS key, c.moment AS "at", c.state, c.reason FROM g')
+def breaker_transitions(spark, sf_dir):
+    """Each change of each key's breaker: trips on errors or on the 95th percentile, cool-downs that end by themselves, probes."""
+    e = events(spark, sf_dir).withColumn("key", F.concat_ws(":", "event_type", "user_id"))
+    last = e.agg(F.unix_micros(F.max("ts")).alias("h")).first()["h"] or 0
+    return B.transitions(e, ["key"], F.unix_micros("ts"), "event_id", F.col("ok"), "value", F.lit(last), RULES)
+
+
+@query("stream_breaker_timers", B.sql(RULES, _CALLS.format(h=_CUTOFF, w=f" WHERE epoch_us(ts) <= {_CUTOFF}"), "k") + 'SELECT k AS key, c.moment AS "at", c.state, c.reason FROM g')
+def stream_breaker_timers(spark, sf_dir):
+    """The same from a stream, with event-time timers, as far as its watermark has come."""
+    e = S.stream(spark, sf_dir).withColumn("key", F.concat_ws(":", "event_type", "user_id"))
+    return SB.transitions(spark, e, ["key"], F.unix_micros("ts"), "event_id", F.expr(_OK), "value", RULES)
+
+
 @query("cost_rollup", "SELECT user_id AS tenant, event_type AS feature, round(sum(value), 4) AS cost, count(*) AS n FROM events GROUP BY ROLLUP (user_id, event_type)")
 def cost_rollup(spark, sf_dir):
     return events(spark, sf_dir).rollup(F.col("user_id").alias("tenant"), F.col("event_type").alias("feature")).agg(F.round(F.sum("value"), 4).alias("cost"), F.count("*").alias("n"))
@@ -104,6 +165,56 @@ def backoff_jitter(spark, sf_dir):
     return e.select("event_id", F.round(W.jittered(W.backoff(F.col("attempt"), 1.5), F.concat_ws(":", "event_id", "attempt")), 6).alias("delay"), "attempt")
 
 
+_SPANS = "SELECT epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 60000000) AS BIGINT) AS e, event_type AS provider FROM events"
+
+
+def _spans(spark, sf_dir):
+    """Calls as spans of microseconds: each takes its value in minutes."""
+    at = F.unix_micros("ts")
+    return events(spark, sf_dir).select("event_id", "user_id", "ok", F.col("event_type").alias("provider"), at.alias("s"), (at + F.round(F.col("value") * 60_000_000).cast("long")).alias("e"))
+
+
+@query("queue_depth", f"WITH p AS ({_SPANS}), d AS (SELECT provider, s AS t, 1 AS a, 0 AS l FROM p UNION ALL SELECT provider, e, 0, 1 FROM p), m AS (SELECT provider, t, sum(a)::BIGINT AS arrived, sum(l)::BIGINT AS left FROM d GROUP BY 1, 2) SELECT provider, t AS \"at\", arrived, \"left\", CAST(sum(arrived - \"left\") OVER (PARTITION BY provider ORDER BY t) AS BIGINT) AS depth FROM m")
+def queue_depth(spark, sf_dir):
+    """How many calls each provider has under way from each moment at which that changes."""
+    return I.depth(_spans(spark, sf_dir), "s", "e", ["provider"])
+
+
+@query("queue_timeline", f"WITH p AS ({_SPANS}), d AS (SELECT s AS t, 1 AS x FROM p UNION ALL SELECT e, -1 FROM p), m AS (SELECT t, sum(x) AS x FROM d GROUP BY 1), c AS (SELECT t, sum(x) OVER (ORDER BY t) AS depth FROM m) SELECT time_bucket(INTERVAL '1 day', make_timestamp(t))::TIMESTAMP AS day, CAST(max(depth) AS BIGINT) AS deepest, CAST(arg_max(depth, t) AS BIGINT) AS at_end FROM c GROUP BY 1")
+def queue_timeline(spark, sf_dir):
+    """The deepest queue of each day over all providers, and what the last change of the day left."""
+    d = I.depth(_spans(spark, sf_dir), "s", "e")
+    day = F.date_trunc("day", F.timestamp_micros("at")).cast("timestamp_ntz")
+    return d.groupBy(day.alias("day")).agg(F.max("depth").alias("deepest"), F.max_by("depth", "at").alias("at_end"))
+
+
+_RETRIES = "rt AS (SELECT event_id, epoch_us(ts) AS arrived, epoch_us(ts) + CAST(least(64, pow(2, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) % 8)) * 3600000000 AS BIGINT) AS due, value FROM events WHERE NOT value >= 10), rd AS (SELECT *, due + CAST(round(value * 60000000) AS BIGINT) AS done, (SELECT epoch_us(max(ts)) FROM events) AS h FROM rt)"
+
+
+@query("deferred_queue", f"WITH {_RETRIES} SELECT event_id, due, CASE WHEN done <= h THEN 'done' WHEN due <= h THEN 'queued' ELSE 'deferred' END AS state FROM rd")
+def deferred_queue(spark, sf_dir):
+    """Failed calls put off by a back-off that doubles: which are done, queued or still deferred at the end of the table."""
+    e = events(spark, sf_dir)
+    last = e.agg(F.unix_micros(F.max("ts")).alias("h")).first()["h"] or 0
+    attempt = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) % 8
+    due = F.unix_micros("ts") + (W.backoff(attempt, 1.0, 64.0) * 3_600_000_000).cast("long")
+    rows = e.where("not ok").select("event_id", F.unix_micros("ts").alias("arrived"), due.alias("due"), "value").withColumn("done", F.col("due") + F.round(F.col("value") * 60_000_000).cast("long"))
+    return I.states(rows, "arrived", "due", "done", F.lit(last)).select("event_id", "due", "state")
+
+
+#: Tiers by what a call costs: the cheapest that is good enough, one up after a failure of the same user.
+_TIERS = ("small", "medium", "large")
+
+
+@query("model_tier", "WITH b AS (SELECT event_id, user_id, ts, CASE WHEN value < 20 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS base, coalesce(lag(value < 10) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS failed FROM events) SELECT event_id, ['small', 'medium', 'large'][least(2, base + CAST(failed AS INTEGER)) + 1] AS tier FROM b")
+def model_tier(spark, sf_dir):
+    """Which tier serves each call: by its size, one higher where the user's last call failed."""
+    e = events(spark, sf_dir)
+    base = F.when(F.col("value") < 20, 0).when(F.col("value") < 60, 1).otherwise(2)
+    failed = F.coalesce(~F.lag("ok").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(False))
+    return e.select("event_id", F.element_at(F.array(*map(F.lit, _TIERS)), F.least(F.lit(2), base + failed.cast("int")) + 1).alias("tier"))
+
+
 @query("idempotent_dedup", "SELECT user_id, event_type, props, min(event_id) AS event_id FROM events GROUP BY 1, 2, 3")
 def idempotent_dedup(spark, sf_dir):
     return events(spark, sf_dir).groupBy("user_id", "event_type", "props").agg(F.min("event_id").alias("event_id"))
@@ -129,25 +240,31 @@ def moving_estimate(spark, sf_dir):
     return rows.select("user_id", F.round(F.aggregate("r", F.lit(1000.0), lambda e, x: F.greatest(F.lit(200.0), e * 0.7 + x["value"] * 0.3)), 6).alias("estimate"))
 
 
-@query("stream_tumbling", _TUMBLE)
+#: A stream's closed windows: those whose end its watermark has passed; the others are still open and not given.
+_CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' FROM events)"
+
+
+@query("stream_tumbling", f"SELECT * FROM ({_TUMBLE}) WHERE window_start + INTERVAL '1 hour' <= {_CLOSED}")
 def stream_tumbling(spark, sf_dir):
-    return _plain(S.drain(spark, W.health(S.stream(spark, sf_dir), "event_type", "ts", F.expr(_OK), "value"), "complete"))
+    return _plain(S.drain(spark, W.health(S.stream(spark, sf_dir), "event_type", "ts", F.expr(_OK), "value"), "append"))
 
 
-@query("stream_sliding", _SLIDE)
+@query("stream_sliding", f"SELECT * FROM ({_SLIDE}) WHERE window_start + INTERVAL '1 hour' <= {_CLOSED}")
 def stream_sliding(spark, sf_dir):
-    return _plain(S.drain(spark, W.health(S.stream(spark, sf_dir), "event_type", "ts", F.expr(_OK), "value", "1 hour", "30 minutes"), "complete"))
+    return _plain(S.drain(spark, W.health(S.stream(spark, sf_dir), "event_type", "ts", F.expr(_OK), "value", "1 hour", "30 minutes"), "append"))
 
 
-@query("stream_session", "WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL '30 minutes' THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(ts)::TIMESTAMP AS started, count(*) AS n FROM s GROUP BY user_id, sid")
+@query("stream_session", "WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL '30 minutes' THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(ts)::TIMESTAMP AS started, count(*) AS n FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL '30 minutes' <= " + _CLOSED)
 def stream_session(spark, sf_dir):
     s = S.stream(spark, sf_dir).groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return S.drain(spark, s.select("user_id", F.col("w.start").alias("started"), "n"), "complete").withColumn("started", F.col("started").cast("timestamp_ntz"))
+    return S.drain(spark, s.select("user_id", F.col("w.start").alias("started"), "n"), "append").withColumn("started", F.col("started").cast("timestamp_ntz"))
 
 
-@query("stream_dedup", "SELECT DISTINCT user_id, event_type, props FROM events")
+@query("stream_dedup", "SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS day, user_id, event_type, props FROM events")
 def stream_dedup(spark, sf_dir):
-    return S.drain(spark, S.once(S.stream(spark, sf_dir).select("ts", "user_id", "event_type", "props"), ["user_id", "event_type", "props"]).drop("ts"), "append")
+    """Requests of each day without repeats: a key counts once a day, however the stream is cut into batches, and leaves the state after it."""
+    day = S.stream(spark, sf_dir).select(F.window("ts", "1 day").alias("day"), "user_id", "event_type", "props")
+    return S.drain(spark, day.dropDuplicates(["day", "user_id", "event_type", "props"]).select(F.col("day.start").alias("day"), "user_id", "event_type", "props"), "append").withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query("stream_breaker")

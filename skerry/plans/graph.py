@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import communities as C
 from ..operators import graph as G
 from ..operators.components import connected_components
 from ..session import cut
@@ -103,14 +104,14 @@ def neighbours(spark, sf_dir):
 _TWO = "x.a AS node_0, x.relation AS relation_1, x.fwd AS forward_1, x.b AS node_1, y.relation AS relation_2, y.fwd AS forward_2, y.b AS node_2"
 
 
-@query("two_hop", f"WITH {_ASSERT}, {_BI} SELECT {_TWO}, x.chunks || '|' || y.chunks AS chunk_ids FROM b x JOIN b y ON x.b = y.a AND x.edge <> y.edge WHERE x.a IN ('S1', 'P40') AND y.b <> x.a")
+@query("two_hop", f"WITH {_ASSERT}, {_BI}, x AS MATERIALIZED (SELECT * FROM b WHERE a IN ('S1', 'P40')), y AS MATERIALIZED (SELECT * FROM b WHERE a IN (SELECT b FROM x)) SELECT {_TWO}, x.chunks || '|' || y.chunks AS chunk_ids FROM x JOIN y ON x.b = y.a AND x.edge <> y.edge WHERE y.b <> x.a")
 def two_hop(spark, sf_dir):
     return _flat(G.two_hop(edges(spark, sf_dir), _seeds(spark, "S1", "P40")))
 
 
-@query("three_hop", f"WITH {_ASSERT}, {_BI} SELECT {_TWO}, z.relation AS relation_3, z.fwd AS forward_3, z.b AS node_3, sha256(x.chunks || '|' || y.chunks || '|' || z.chunks) AS chunk_ids FROM b x JOIN b y ON x.b = y.a AND x.edge <> y.edge JOIN b z ON y.b = z.a AND z.edge <> x.edge AND z.edge <> y.edge WHERE x.a = 'R1' AND y.b <> x.a AND z.b <> x.a AND z.b <> x.b")
+@query("three_hop", f"WITH {_ASSERT}, {_BI}, x AS MATERIALIZED (SELECT * FROM b WHERE a = 'P3'), y AS MATERIALIZED (SELECT * FROM b WHERE a IN (SELECT b FROM x)), z AS MATERIALIZED (SELECT * FROM b WHERE a IN (SELECT b FROM y)) SELECT {_TWO}, z.relation AS relation_3, z.fwd AS forward_3, z.b AS node_3, sha256(x.chunks || '|' || y.chunks || '|' || z.chunks) AS chunk_ids FROM x JOIN y ON x.b = y.a AND x.edge <> y.edge JOIN z ON y.b = z.a AND z.edge <> x.edge AND z.edge <> y.edge WHERE y.b <> x.a AND z.b <> x.a AND z.b <> x.b")
 def three_hop(spark, sf_dir):
-    return _flat(G.three_hop(edges(spark, sf_dir), _seeds(spark, "R1"))).withColumn("chunk_ids", F.sha2("chunk_ids", 256))
+    return _flat(G.three_hop(edges(spark, sf_dir), _seeds(spark, "P3"))).withColumn("chunk_ids", F.sha2("chunk_ids", 256))
 
 
 @query("shared_neighbour", f"WITH {_ASSERT}, {_BI} SELECT x.a AS start, x.relation AS relation_1, x.b AS middle, y.relation AS relation_2, y.a AS \"end\", x.chunks || '|' || y.chunks AS chunk_ids FROM b x JOIN b y ON x.b = y.b AND x.edge <> y.edge WHERE (x.a = 'S1' AND y.a = 'S2' OR x.a = 'C1' AND y.a = 'C4') AND x.b <> x.a AND x.b <> y.a")
@@ -158,6 +159,52 @@ def chunks_for_entity(spark, sf_dir):
     return mentions(spark, sf_dir).where("entity_id = 'S2'").select("chunk_id")
 
 
+@query("entity_passages", f"WITH {_ASSERT} SELECT entity_id, doc_id, length(text) AS n, sha256(text) AS digest, position FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, doc_id) AS position FROM (SELECT id AS entity_id, CAST(chunk_id AS BIGINT) AS doc_id, max(confidence) AS confidence FROM (SELECT source_id AS id, chunk_id, confidence FROM a UNION ALL SELECT target_id, chunk_id, confidence FROM a) WHERE id[1] IN ('S', 'N') AND regexp_matches(chunk_id, '^[0-9]+$') GROUP BY 1, 2) JOIN documents USING (doc_id)) WHERE position <= 20")
+def entity_passages(spark, sf_dir):
+    """Each supplier's and nation's passages: its surest mentions, 20 at most, with the text of their chunks."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "text")
+    m = mentions(spark, sf_dir).where("substr(entity_id, 1, 1) in ('S', 'N')")
+    found = G.chunks_of(m, docs, 20, order="doc_id")
+    return found.select("entity_id", "doc_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"), F.col("position").cast("long").alias("position"))
+
+
+_LINKS = "l AS (SELECT DISTINCT source_id AS x, target_id AS y FROM e WHERE relation <> 'BOUGHT' AND source_id <> target_id), u AS MATERIALIZED (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l)"
+_LP = "".join(f", p{i + 1} AS MATERIALIZED (SELECT a AS node, label FROM (SELECT a, label, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, label) AS r FROM u JOIN p{i} ON u.b = p{i}.node GROUP BY a, label) WHERE r = 1)" for i in range(4))
+
+
+def _links(spark, sf_dir):
+    return edges(spark, sf_dir).where("relation <> 'BOUGHT'").select("source_id", "target_id")
+
+
+@query("communities", f"WITH {_ASSERT}, {_LINKS}, p0 AS MATERIALIZED (SELECT DISTINCT a AS node, a AS label FROM u){_LP} SELECT node, label FROM p4")
+def communities(spark, sf_dir):
+    """Label propagation, four rounds of votes."""
+    return C.label_propagation(_links(spark, sf_dir), 4)
+
+
+@query("modularity", f"WITH {_ASSERT}, {_LINKS}, p0 AS MATERIALIZED (SELECT DISTINCT a AS node, a AS label FROM u){_LP}, d AS (SELECT x.label AS x, count(*)::DOUBLE AS degree, count(*) FILTER (WHERE x.label = y.label)::DOUBLE AS inside FROM u JOIN p4 x ON u.a = x.node JOIN p4 y ON u.b = y.node GROUP BY 1) SELECT round(sum(inside / (SELECT sum(degree) FROM d) - pow(degree / (SELECT sum(degree) FROM d), 2)), 6) AS modularity FROM d")
+def modularity(spark, sf_dir):
+    links = cut(_links(spark, sf_dir))
+    return C.modularity(links, C.label_propagation(links, 4)).select(F.round("modularity", 6).alias("modularity"))
+
+
+_HOPS = "".join(f", h{i + 1} AS MATERIALIZED (SELECT DISTINCT h.s, u.b AS node FROM h{i} h JOIN u ON h.node = u.a WHERE NOT EXISTS (SELECT 1 FROM s{i} z WHERE z.s = h.s AND z.node = u.b)), s{i + 1} AS MATERIALIZED (SELECT * FROM s{i} UNION ALL SELECT s, node, {i + 1} FROM h{i + 1})" for i in range(3))
+
+
+@query("harmonic_centrality", f"WITH {_ASSERT}, {_LINKS}, h0 AS (SELECT unnest(['R0', 'R1', 'R2', 'R3', 'R4']) AS s, unnest(['R0', 'R1', 'R2', 'R3', 'R4']) AS node), s0 AS (SELECT s, node, 0 AS hops FROM h0){_HOPS} SELECT node AS entity_id, round(sum(1.0::DOUBLE / hops), 6) AS harmonic FROM s3 WHERE hops > 0 GROUP BY 1")
+def harmonic_centrality(spark, sf_dir):
+    """How near the regions' sampled sources are, over at most three links."""
+    hops = G.reachable(edges(spark, sf_dir).where("relation <> 'BOUGHT'"), _seeds(spark, *[f"R{i}" for i in range(5)]), 3)
+    return C.harmonic(hops).select("entity_id", F.round("harmonic", 6).alias("harmonic"))
+
+
+@query("betweenness")
+def betweenness(spark, sf_dir):
+    """Shortest paths from the nations over places, sampled sources of a centrality."""
+    places = edges(spark, sf_dir).where("relation in ('LOCATED_IN', 'IN_REGION')").select("source_id", "target_id")
+    return C.betweenness(places, table(spark, sf_dir, "nation").selectExpr("concat('N', n_nationkey) as node"))
+
+
 @query("shortest_path", f"WITH RECURSIVE {_ASSERT}, {_BI}, u AS (SELECT DISTINCT a, b FROM b), p AS (SELECT 'R0' AS id, 0 AS hops UNION SELECT u.b, p.hops + 1 FROM p JOIN u ON p.id = u.a WHERE p.hops < 3) SELECT 'R0' AS seed_id, id AS entity_id, min(hops) AS hops FROM p GROUP BY 2")
 def shortest_path(spark, sf_dir):
     return G.reachable(edges(spark, sf_dir), _seeds(spark, "R0"), 3)

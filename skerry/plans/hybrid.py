@@ -92,3 +92,12 @@ def hybrid_evidence(spark, sf_dir):
 
 def _hybrid(spark, sf_dir):
     return H.hybrid(questions(spark, sf_dir), _linked(spark, sf_dir), G.edges(spark, sf_dir), G.nodes(spark, sf_dir), _passages(spark, sf_dir))
+
+
+@query("routing_by_passages", _HYBRID + " SELECT route, coalesce(np, 0) AS passages, count(*) AS n, round(avg(confidence), 6) AS confidence FROM q LEFT JOIN (SELECT question_id, count(*) AS np FROM hp GROUP BY 1) USING (question_id) GROUP BY 1, 2")
+def routing_by_passages(spark, sf_dir):
+    """Questions by their route and by how many passages they got."""
+    answers, hits, _ = _hybrid(spark, sf_dir)
+    n = hits.groupBy("question_id").agg(F.count("*").alias("passages"))
+    both = answers.join(n, "question_id", "left").withColumn("passages", F.coalesce("passages", F.lit(0)).cast("long"))
+    return both.groupBy("route", "passages").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import ann
+from ..operators import ann, ivf
+from ..session import scratch
 from ..sources.tables import table
 from .registry import query
 
@@ -97,3 +98,29 @@ def ann_lsh(spark, sf_dir):
 @query("vector_literal", "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(CAST(x AS DECIMAL(12, 6)) AS VARCHAR)), ',') || ']' AS literal FROM embeddings")
 def vector_literal(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", V.literal(F.col("embedding")).alias("literal"))
+
+
+@query("ann_ivf")
+def ann_ivf(spark, sf_dir):
+    """Approximate twin of knn_batch from an index in partitions, written and then searched."""
+    v, path = table(spark, sf_dir, "embeddings"), scratch(spark, "ivf")
+    cells = max(4, min(1024, round(v.count() ** 0.5)))
+    ivf.write_index(v, path, cells)
+    return ivf.search(spark, path, v.where("vec_id % 20 = 0"), 5, max(3, cells // 4))
+
+
+@query("semantic_cache", f"WITH p AS (SELECT a.vec_id, b.vec_id AS answer_id, round({_COS.format(a='a.embedding', b='b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id), w AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, answer_id DESC) AS r FROM p WHERE score >= 0.35) SELECT e.vec_id, w.vec_id IS NOT NULL AS hit, answer_id, score FROM embeddings e LEFT JOIN w ON e.vec_id = w.vec_id AND r = 1")
+def semantic_cache(spark, sf_dir):
+    """Each question in the order of ids: whether an earlier one is near enough to answer it, and which is nearest."""
+    v = table(spark, sf_dir, "embeddings")
+    found = ivf.earlier_within(v, 0.35)
+    return v.select("vec_id").join(found, "vec_id", "left").select("vec_id", F.col("answer_id").isNotNull().alias("hit"), "answer_id", "score")
+
+
+@query("cache_saving", f"WITH p AS (SELECT a.vec_id, max(round({_COS.format(a='a.embedding', b='b.embedding')}, 6)) AS score FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id GROUP BY 1), t AS (SELECT unnest([0.35, 0.4, 0.5]::DOUBLE[]) AS threshold) SELECT threshold, count(*) FILTER (WHERE score >= threshold) AS hits, (SELECT count(*) FROM embeddings) - count(*) FILTER (WHERE score >= threshold) AS calls FROM p, t GROUP BY 1")
+def cache_saving(spark, sf_dir):
+    """How many calls a semantic cache saves at each threshold, from one pass at the least of them."""
+    v, grid = table(spark, sf_dir, "embeddings"), [0.35, 0.4, 0.5]
+    found = ivf.earlier_within(v, min(grid)).select("score", F.explode(F.array(*map(F.lit, grid))).alias("threshold"))
+    n = v.count()
+    return found.groupBy("threshold").agg(F.count_if(F.col("score") >= F.col("threshold")).alias("hits")).withColumn("calls", F.lit(n) - F.col("hits"))

@@ -14,11 +14,16 @@ from ..session import scratch, ship
 WATERMARK = "10 minutes"
 
 
-def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream, with ts an instant and a watermark."""
+def stream(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """Events as a stream, with ts an instant and a watermark; `files` of the table in each micro-batch, or all."""
     ship(spark)
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    reader = spark.readStream.schema(schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/events.parquet")
+    many = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    raw = reader.parquet(path.toString()) if many else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
 
 
