@@ -372,7 +372,7 @@ def _past(trees: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def _large(owned: DataFrame, threshold: Threshold, bound: int) -> DataFrame:
+def large_links(owned: DataFrame, threshold: Threshold, bound: int) -> DataFrame:
     """(a, b): links within groups (group, node, own, members) of any size.
 
     Each group is dealt to shards of `bound` members. All its sets pass a tree of LEADERS of them, which goes to
@@ -429,7 +429,7 @@ def join_classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100,
     links = _forests(owned.where(F.col("members") <= bound).drop("members"), threshold)
     large = owned.where(F.col("members") > bound)
     if not large.isEmpty():
-        links = links.unionByName(_large(large, threshold, bound))
+        links = links.unionByName(large_links(large, threshold, bound))
     parts = connected_components(links)
     return rows.join(parts, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("class"))
 

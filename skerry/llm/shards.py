@@ -20,6 +20,7 @@ from concurrent.futures import ThreadPoolExecutor
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from ..session import scratch
 
@@ -29,6 +30,8 @@ TARGET, BASE, FANOUT = 64 << 20, 1 << 20, 4
 RENAMES = ("file", "hdfs", "viewfs", "abfs", "abfss")
 #: Arrivals that the query deals the table into.
 ARRIVALS = 16
+#: Name of a column for the files' paths, which no table has.
+PLACE = "_store_file_path"
 #: Versions that the query keeps.
 KEEP = 4
 
@@ -90,34 +93,57 @@ class ShardStore:
         out.write(body)
         out.close()
 
-    def _run(self, folder: str, arrivals: list[str]) -> dict:
+    def _run(self, folder: str, arrivals: list[str], schema: StructType) -> dict:
         files = [s for s in self.fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
-        return {"name": folder.rsplit("/", 1)[-1], "folder": folder, "bytes": sum(s.getLen() for s in files), "shards": len(files), "arrivals": arrivals}
+        return {"name": folder.rsplit("/", 1)[-1], "folder": folder, "bytes": sum(s.getLen() for s in files), "shards": len(files), "arrivals": arrivals, "schema": schema.json()}
 
     def _drop(self, folders) -> None:
         for folder in folders:
             self.fs.delete(self._path(folder), True)
 
+    def _schema(self, run: dict) -> StructType:
+        return StructType.fromJson(json.loads(run["schema"])) if "schema" in run else self.spark.read.parquet(run["folder"]).schema
+
+    def _rows(self, runs: list[dict], placed: bool = False) -> DataFrame:
+        """The rows of runs under the widest schema of all; a column that a run lacks is null in its rows. `placed` adds the file's path as the last column."""
+        schemas = [self._schema(r) for r in runs]
+        every, like = widest(schemas), {}
+        for run, schema in zip(runs, schemas):
+            like.setdefault(schema.json(), (schema, []))[1].append(run["folder"])
+        out = None
+        for schema, folders in like.values():
+            names = set(schema.names)
+            cols = [(F.col(f"`{f.name}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in every]
+            place = [F.col("_metadata.file_path").alias(PLACE)] if placed else []
+            part = self.spark.read.schema(schema).parquet(*folders).select(*cols, *place)
+            out = part if out is None else out.unionAll(part)
+        return out
+
     def append(self, df: DataFrame, name: str) -> int:
-        """One arrival as a run of small shards; if the commit is lost, its files go and the error stays."""
+        """One arrival as a run of small shards; if the commit is lost, its files go and the error stays.
+
+        Columns may come, go or get a wider type; one whose type no other can hold is refused before anything is written.
+        """
+        widest([*(self._schema(r) for r in self.manifest()), df.schema])
         folder = f"{self.path}/runs/a-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(folder)
         after = self.version()
         try:
-            return self.commit([*self.manifest(after), self._run(folder, [name])], after)
+            return self.commit([*self.manifest(after), self._run(folder, [name], df.schema)], after)
         except RuntimeError:
             self._drop([folder])
             raise
 
     def append_all(self, df: DataFrame, arrival) -> int:
         """Many arrivals in one pass over their rows; each becomes a run and a version of its own, in order."""
+        widest([*(self._schema(r) for r in self.manifest()), df.schema])
         folder, column = f"{self.path}/runs/b-{uuid.uuid4().hex}", f"arrival_{uuid.uuid4().hex}"
         df.withColumn(column, arrival).write.option("compression", "zstd").partitionBy(column).parquet(folder)
         after = self.version()
         runs = self.manifest(after)
         names = sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(folder)) if s.getPath().getName().startswith(f"{column}="))
         for name in names:
-            runs = [*runs, self._run(f"{folder}/{name}", [name.split("=", 1)[1]])]
+            runs = [*runs, self._run(f"{folder}/{name}", [name.split("=", 1)[1]], df.schema)]
             after = self.commit(runs, after)
         return after
 
@@ -134,9 +160,9 @@ class ShardStore:
     def _merge(self, group: list[dict]) -> dict:
         folder = f"{self.path}/runs/m-{uuid.uuid4().hex}"
         shards = max(1, round(sum(r["bytes"] for r in group) / self.target))
-        schema = self.spark.read.parquet(group[0]["folder"]).schema
-        self.spark.read.schema(schema).parquet(*(r["folder"] for r in group)).coalesce(shards).write.option("compression", "zstd").parquet(folder)
-        return self._run(folder, [a for r in group for a in r["arrivals"]])
+        rows = self._rows(group)
+        rows.coalesce(shards).write.option("compression", "zstd").parquet(folder)
+        return self._run(folder, [a for r in group for a in r["arrivals"]], rows.schema)
 
     def compact(self) -> int:
         """Merge until no tier is full; the merges of a round run side by side and are one commit.
@@ -176,19 +202,42 @@ class ShardStore:
         runs = self.manifest(version)
         if not runs:
             return None
-        schema = self.spark.read.parquet(runs[0]["folder"]).schema
-        df = self.spark.read.schema(schema).parquet(*(r["folder"] for r in runs))
-        place = F.split(F.col("_metadata.file_path"), "/")
+        df = self._rows(runs, placed=True)
+        names, place = df.columns[:-1], F.split(F.col(PLACE), "/")
         own = {"version": F.lit(version), "run": F.element_at(place, -2), "shard": F.element_at(place, -1)}
-        prefix = "store_" if {c.lower() for c in schema.names} & set(own) else ""
-        return df.select(*[f"`{c}`" for c in columns or schema.names], *[c.alias(prefix + name) for name, c in own.items()])
+        prefix = "store_" if {c.lower() for c in names} & set(own) else ""
+        return df.select(*[f"`{c}`" for c in columns or names], *[c.alias(prefix + name) for name, c in own.items()])
+
+
+#: Types that hold all of those before them.
+WIDER = (("tinyint", "smallint", "int", "bigint"), ("float", "double"), ("tinyint", "smallint", "int", "double"))
+
+
+def widest(schemas: list[StructType]) -> StructType:
+    """All columns of the schemas, in order of first sight, each with the type that holds all of its types; an error if there is none."""
+    found: dict[str, DataType] = {}
+    for field in (f for s in schemas for f in s):
+        have = found.get(field.name)
+        a, b = have.simpleString() if have else None, field.dataType.simpleString()
+        if have is None or a == "void":
+            found[field.name] = field.dataType
+        elif a != b and b != "void":
+            line = next((w for w in WIDER if a in w and b in w), None)
+            if line is None:
+                raise TypeError(f"column {field.name} is {a} and {b}")
+            if line.index(b) > line.index(a):
+                found[field.name] = field.dataType
+    out = StructType()
+    for name, kind in found.items():
+        out = out.add(name, kind)
+    return out
 
 
 def shard(docs: DataFrame, path: str | None = None, arrivals: int = ARRIVALS, target: int = TARGET, base: int = BASE, fanout: int = FANOUT) -> DataFrame:
     """doc_id, n_bytes, version, run and shard of each document, after its arrivals were appended and compacted.
 
     Arrivals are doc_id modulo `arrivals` (null: the first). Each row is in one shard of the last version;
-    repeated rows stay; null and empty texts have 0 bytes; all columns are stored, whatever their names; an
+    repeated rows stay; null and empty texts have 0 bytes; all columns are stored, whatever their names, and later ones may have more, fewer or wider columns; an
     empty table gives no rows. Versions before the last KEEP are dropped at the end.
     """
     spark = docs.sparkSession

@@ -12,6 +12,7 @@ crowd, and a link is lost nowhere.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut
-from . import repeats, vec
+from . import prefix_tree, repeats, vec
 
 BITS = 64
 
@@ -81,8 +82,8 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 #: Min-hashes of similar(): a pair of Jaccard similarity J agrees on a band of ROWS with chance J^ROWS.
 BANDS, ROWS = 20, 6
-#: A cluster of candidates of more texts than this is never brought together; blocks of its texts are sent past it.
-TOGETHER, BLOCK = 512, 1024
+#: A cluster of candidates of more texts than this is never brought together: it is dealt to prefix trees of so many members.
+TOGETHER, MEMBERS = 512, 1 << 16
 
 
 def _sets(column, key: list[int]):
@@ -152,63 +153,7 @@ def _edge_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGE)
 
 
-def _past(crowd: DataFrame, nodes: list[int], sets: list[np.ndarray], similarity: float) -> DataFrame:
-    """Links between the given texts and all texts of `crowd`; of those through one text, as few as connect the same ones."""
-    sent = crowd.sparkSession.sparkContext.broadcast((nodes, sets))
-
-    def run(batches):
-        there, block = sent.value
-        index, up = _Index(block), list(range(len(block)))
-
-        def find(i):
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for batch in batches:
-            a, b = [], []
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tops = sorted({find(i) for i in index.near(np.frombuffer(raw.as_py(), np.uint64), similarity).tolist()})
-                for t in tops[1:]:
-                    up[t] = tops[0]
-                a += [there[t] for t in tops]
-                b += [node] * len(tops)
-            yield _edge_batch(a, b)
-
-    return crowd.select("node", "own").mapInArrow(run, "a long, b long").where("a <> b")
-
-
-def _crowd_forest(crowd: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Links of clusters too large to bring together: all are compared with one leader each, then all with those it doesn't reach, a block at a time."""
-    crowd = cut(crowd)
-    leaders = crowd.groupBy("cluster").agg(F.min_by("own", "node").alias("own"), F.min("node").alias("node")).toArrow()
-    lead = crowd.sparkSession.sparkContext.broadcast({c: (node, np.frombuffer(own, np.uint64)) for c, own, node in zip(*(x.to_pylist() for x in leaders.columns))})
-
-    def run(batches):
-        for batch in batches:
-            a = []
-            for c, node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                first, mine = lead.value[c]
-                own = np.frombuffer(raw.as_py(), np.uint64)
-                shared = len(np.intersect1d(mine, own, assume_unique=True))
-                a.append(first if shared >= similarity * (len(mine) + len(own) - shared) - 1e-9 else None)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), *batch.columns], ["a", *batch.schema.names])
-
-    led = cut(crowd.mapInArrow(run, "a long, cluster long, node long, own binary"))
-    found = led.where("a <> node").select("a", F.col("node").alias("b"))
-    rest = led.where("a is null")
-    n, size = rest.agg(F.count("*"), F.coalesce(F.sum(F.length("own")), F.lit(0))).first()
-    parts = max(-(-n // block), -(-size // (16 << 20)))
-    for k in range(parts):
-        some = rest.where(F.pmod("node", F.lit(parts)) == k).select("node", "own").toArrow()
-        if some.num_rows:
-            sets = [np.frombuffer(x, np.uint64) for x in some.column("own").to_pylist()]
-            found = found.unionByName(cut(_past(crowd, some.column("node").to_pylist(), sets, similarity)))
-    return found
-
-
-def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, block: int = BLOCK) -> DataFrame:
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, members: int = MEMBERS) -> DataFrame:
     """key (of doc_id and text, as repeats.keyed has it), doc_id and class of each row: see similar()."""
     base, secret = repeats.keyed(docs), vec.shingle_key(words)
 
@@ -273,25 +218,26 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
 
     small = owned.where(F.col("n") <= together).select("cluster", "node", "own").repartition("cluster").sortWithinPartitions("cluster", "node")
     edges = small.mapInArrow(forest, "a long, b long")
-    crowd = owned.where(F.col("n") > together).select("cluster", "node", "own")
+    crowd = owned.where(F.col("n") > together).select(F.col("cluster").alias("group"), "node", "own")
     if not crowd.isEmpty():
-        edges = edges.unionByName(_crowd_forest(crowd, similarity, block))
+        sizes = crowd.groupBy("group").agg(F.sum(F.length("own") / 8).cast("long").alias("members"))
+        part = Fraction(similarity).limit_denominator(1000)
+        edges = edges.unionByName(prefix_tree.large_links(crowd.join(sizes.withColumn("group", F.expr("group + 0")), "group"), prefix_tree.Threshold(part.numerator, part.denominator), members))
     parts = connected_components(edges)
     return rows.join(parts, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("class"))
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, block: int = BLOCK) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, members: int = MEMBERS) -> DataFrame:
     """doc_id and component_id of documents whose sets of word shingles are alike by `similarity` (Jaccard) or more.
 
     That is too far for the 4 bits of one fingerprint, so candidates are texts that share one of 20 bands of 6
     min-hashes: a chance of 0.9977 at a similarity of 0.8, 0.9999 at 0.85, all but 1 at 0.9. Texts of one set
     are one node. Nodes that share a band are linked to the bucket's least, and what hangs together so is a
     cluster; in it all pairs, sharing a band or not, count by their exact similarity, and they leave as a
-    spanning forest. Clusters of more than `together` texts are not brought together: each is compared with
-    one leader, and then with all that leader doesn't reach, sent past it in blocks of about `block`. That
-    finds the same links; its work is the cluster times what its leader doesn't reach. Edge cases are those of near_duplicates().
+    spanning forest. Clusters of more than `together` texts are not brought together, but dealt to prefix trees
+    of `members` members each (prefix_tree.large_links); that finds the same links. Edge cases are those of near_duplicates().
     """
-    found = similar_classes(docs, words, similarity, together, block)
+    found = similar_classes(docs, words, similarity, together, members)
     least = found.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "class").select("doc_id", "component_id")
 

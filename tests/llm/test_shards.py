@@ -51,3 +51,23 @@ def test_tiers_against_a_plain_plan(spark, tmp_path):
     for i, r in enumerate(runs):
         assert store.tier(r) in (tier[i], tier[i] + (r["bytes"] == 10 * 3 ** tier[i] and tier[i] > 0))
     assert [[r["name"] for r in g] for g in store.plan(runs)] == [["0", "1", "3"], ["2", "6", "7"]]
+
+
+def test_columns_that_come_go_and_widen(spark, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/store", target=10_000, base=100_000, fanout=2)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id int, text string"), "1")
+    store.append(spark.createDataFrame([(2, "b", "en")], "doc_id long, text string, lang string"), "2")
+    store.append(spark.createDataFrame([("de", 3)], "lang string, doc_id int"), "3")
+    store.append(spark.createDataFrame([(1 << 40, 0.5, 7)], "doc_id long, score float, `store run` int"), "4")
+    want = [(1, "a", None, None, None), (2, "b", "en", None, None), (3, None, "de", None, None), (1 << 40, None, None, 0.5, 7)]
+
+    def rows():
+        return sorted((tuple(r) for r in store.read(["doc_id", "text", "lang", "score", "store run"]).drop("version", "run", "shard").collect()), key=lambda r: r[0])
+
+    assert rows() == want
+    store.compact()
+    assert len(store.manifest()) == 1 and rows() == want
+    before = store.version(), sorted(p.name for p in (tmp_path / "store/runs").iterdir())
+    with pytest.raises(TypeError):
+        store.append(spark.createDataFrame([("x",)], "doc_id string"), "5")
+    assert before == (store.version(), sorted(p.name for p in (tmp_path / "store/runs").iterdir()))
