@@ -13,6 +13,7 @@ dealt to trees of bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from ..session import cut
 from . import repeats, vec
 
 #: Members of the sets that a task holds of one cluster; a tree takes about 40 bytes for each.
-TREE_MEMBERS = 1 << 15
+TREE_MEMBERS = 1 << 19
 #: Members of a branch that are looked at before it is judged again.
 RUN = 16
 #: Sets of a large cluster that all others are first compared with.
@@ -310,15 +311,21 @@ def _starred(met: DataFrame) -> DataFrame:
     return met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(bucket, "a long, b long").distinct()
 
 
-def _forests(owned: DataFrame, threshold: Threshold) -> DataFrame:
-    """(a, b): links within groups (group, node, own), each of a size that a task may hold."""
+def rooted(owned: DataFrame, threshold: Threshold) -> DataFrame:
+    """(node, component) within groups (group, node, own), each of a size that a task may hold; the component is its least node."""
 
     def run(batches):
         group, nodes, sets = None, [], []
 
         def done():
-            found = PrefixTree(sets, threshold, alone=True).forest(sets) if len(sets) > 1 else []
-            return _edges([nodes[i] for i, _ in found], [nodes[j] for _, j in found])
+            up = list(range(len(nodes)))
+            if len(sets) > 1:
+                for i, j in PrefixTree(sets, threshold, alone=True).forest(sets):
+                    up[j] = up[i]  # i was reached before j
+            least: dict[int, int] = {}
+            for i, root in enumerate(up):
+                least[root] = min(least.get(root, nodes[i]), nodes[i])
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([least[r] for r in up], pa.int64())], ["node", "component"])
 
         for batch in batches:
             for g, node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sets_of(batch.column(2))):
@@ -331,7 +338,7 @@ def _forests(owned: DataFrame, threshold: Threshold) -> DataFrame:
         if nodes:
             yield done()
 
-    return owned.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a long, b long")
+    return owned.select("group", "node", "own").repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "node long, component long")
 
 
 def _past(trees: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
@@ -389,15 +396,67 @@ def large_links(owned: DataFrame, threshold: Threshold, bound: int) -> DataFrame
     ends = some.select("group", F.explode(F.array("first", "last")).alias("m")).select("group", "m.o.node", "m.own", "m.shards")
     leaders = cut(ranked.unionByName(ends).dropDuplicates(["group", "node"]))
     to_all = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    led = cut(_past(to_all, owned, threshold))
-    reached = cut(connected_components(led).join(owned.select("group", "node"), "node"))
-    main = reached.groupBy("group", "component").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "component")).alias("m"))
-    settled = reached.join(main.select(F.col("m.component").alias("component")), "component").select("node")
-    rest = cut(owned.join(settled, "node", "left_anti").select("group", "node", "own", "shards"))
+    led = cut(_past(to_all, owned, threshold).join(leaders.select("group", F.col("node").alias("a")), "a"))
+    rest = cut(owned.join(_settled(leaders, led), "node", "left_anti").select("group", "node", "own", "shards"))
+    links = led.select("a", "b")
     if rest.isEmpty():
-        return led
+        return links
     sent = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    return led.unionByName(_past(owned.select("group", "part", "node", "own"), sent, threshold))
+    return links.unionByName(_past(owned.select("group", "part", "node", "own"), sent, threshold))
+
+
+def _settled(leaders: DataFrame, led: DataFrame) -> DataFrame:
+    """Nodes that hang together through leaders, of each group the most: from links (group, a, b) of leaders a.
+
+    What ties leaders to each other are the sets that several are similar to. Of those, each group has as many rows as it has pairs of leaders.
+    """
+    of = led.select("group", "a", "b").unionByName(leaders.select("group", F.col("node").alias("a"), F.col("node").alias("b")))
+    several = of.groupBy("group", "b").agg(F.sort_array(F.collect_set("a")).alias("as")).where(F.size("as") > 1)
+    ties = several.select("group", F.explode(F.slice("as", F.lit(2), F.size("as"))).alias("y"), F.col("as")[0].alias("x")).groupBy("group", "x", "y").agg(F.lit(0).cast("long").alias("n"))
+    sizes = of.groupBy("group", F.col("a").alias("x")).agg(F.count("*").alias("n")).select("group", F.col("x").alias("y"), "x", "n")
+
+    def run(batches):
+        group, up, n = None, {}, {}
+
+        def find(i):
+            while up.setdefault(i, i) != i:
+                i = up[i]
+            return i
+
+        def done():
+            total: dict[int, int] = {}
+            for x, k in n.items():
+                total[find(x)] = total.get(find(x), 0) + k
+            main = max(total, key=lambda r: (total[r], r))
+            mine = [x for x in n if find(x) == main]
+            return pa.RecordBatch.from_arrays([pa.array(mine, pa.int64())], ["a"])
+
+        for batch in batches:
+            for g, y, x, k in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != group:
+                    if n:
+                        yield done()
+                    group, up, n = g, {}, {}
+                if k:
+                    n[x] = n.get(x, 0) + k
+                a, b = find(x), find(y)
+                up[max(a, b)] = min(a, b)
+        if n:
+            yield done()
+
+    rows = ties.select("group", "y", "x", "n").unionByName(sizes)
+    main = rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long")
+    return of.join(main, "a", "left_semi").select(F.col("b").alias("node")).distinct()
+
+
+def components(owned: DataFrame, share: Fraction, bound: int = TREE_MEMBERS) -> DataFrame:
+    """(node, component) of sets (group, node, own) of at least this Jaccard similarity, links being sought within groups of any size."""
+    threshold = Threshold(share.numerator, share.denominator)
+    crowded = cut(owned.groupBy("group").agg(F.sum(F.length("own") / 8).cast("long").alias("members")).where(F.col("members") > bound).withColumn("group", F.expr("group + 0")))
+    if crowded.isEmpty():
+        return rooted(owned, threshold)
+    large = large_links(owned.join(crowded, "group"), threshold, bound)
+    return rooted(owned.join(crowded, "group", "left_anti"), threshold).unionByName(connected_components(large))
 
 
 def join_classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, bound: int = TREE_MEMBERS) -> DataFrame:
@@ -415,22 +474,16 @@ def join_classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100,
 
     rows = cut(base.select("key", "doc_id", "text").mapInArrow(named, "key long, doc_id long, node long, n_shingles long"))
     clusters = cut(connected_components(_starred(meeting(docs, secret, threshold))).select("node", F.col("component").alias("group")))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("n_shingles").alias("size"))
-    members = nodes.join(clusters, "node")
-    sizes = members.groupBy("group").agg(F.sum("size").alias("members"))
-    asked = cut(members.join(sizes.withColumn("group", F.expr("group + 0")), "group").select("key", "node", "group", "members"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
+    asked = cut(nodes.join(clusters, "node").select("key", "node", "group"))
 
     def sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _hashed(batch.column(1), secret)], pa.binary())], ["key", "own"])
 
     texts = repeats.picked(base.select("d", "key", "text"), repeats.key_bits(asked), True).select("key", "text").mapInArrow(sets, "key long, own binary")
-    owned = cut(texts.join(asked, "key").dropDuplicates(["node"]).select("group", "node", "own", "members"))
-    links = _forests(owned.where(F.col("members") <= bound).drop("members"), threshold)
-    large = owned.where(F.col("members") > bound)
-    if not large.isEmpty():
-        links = links.unionByName(large_links(large, threshold, bound))
-    parts = connected_components(links)
+    owned = cut(texts.join(asked, "key").dropDuplicates(["node"]).select("group", "node", "own"))
+    parts = components(owned, Fraction(num, den), bound)
     return rows.join(parts, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("class"))
 
 

@@ -82,8 +82,6 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 #: Min-hashes of similar(): a pair of Jaccard similarity J agrees on a band of ROWS with chance J^ROWS.
 BANDS, ROWS = 20, 6
-#: A cluster of candidates of more texts than this is never brought together: it is dealt to prefix trees of so many members.
-TOGETHER, MEMBERS = 512, 1 << 16
 
 
 def _sets(column, key: list[int]):
@@ -110,50 +108,10 @@ def _bands(own: np.ndarray) -> np.ndarray:
         return vec.mix(np.bitwise_xor.reduce(rows, axis=1) + np.arange(BANDS, dtype=np.uint64))
 
 
-class _Index:
-    """Sets by their members, to count what a further set shares with each of them."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(s) for s in sets])
-        every = np.concatenate(sets)
-        order = np.argsort(every, kind="stable")
-        self.values, self.owner = every[order], np.repeat(np.arange(len(sets)), self.size)[order]
-
-    def near(self, own: np.ndarray, similarity: float) -> np.ndarray:
-        """Numbers of the sets whose Jaccard similarity to `own` is at least `similarity`."""
-        s, e = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
-        n = e - s
-        at = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        shared = np.bincount(self.owner[at], minlength=len(self.size))
-        return np.flatnonzero(shared >= similarity * (self.size + len(own) - shared) - 1e-9)
-
-
-def _set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Edges that join sets alike by `similarity`, as few as connect the same ones as all pairs do."""
-    index, left, out = _Index(sets), np.ones(len(sets), bool), []
-    for root in range(len(sets)):
-        if not left[root]:
-            continue
-        left[root] = False
-        front = [root]
-        while front and left.any():
-            i = front.pop()
-            new = index.near(sets[i], similarity)
-            new = new[left[new]]
-            left[new] = False
-            out += [(i, j) for j in new.tolist()]
-            front += new.tolist()
-    return out
-
-
 _EDGE = ["a", "b"]
 
 
-def _edge_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGE)
-
-
-def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, members: int = MEMBERS) -> DataFrame:
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, members: int = prefix_tree.TREE_MEMBERS) -> DataFrame:
     """key (of doc_id and text, as repeats.keyed has it), doc_id and class of each row: see similar()."""
     base, secret = repeats.keyed(docs), vec.shingle_key(words)
 
@@ -190,54 +148,29 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, to
     met = nodes.select("node", "bands").mapInArrow(keyed, "band long, node long")
     candidates = met.repartition("band").sortWithinPartitions("band", "node").mapInArrow(bucket, "a long, b long").distinct()
     clusters = cut(connected_components(candidates).select("node", F.col("component").alias("cluster")))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    asked = cut(nodes.select("node", "key").join(clusters.join(sizes, "cluster"), "node"))
+    asked = cut(nodes.select("node", "key").join(clusters, "node"))
 
     def sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch.column(1), secret)], pa.binary())], ["key", "own"])
 
     texts = repeats.picked(base.select("d", "key", "text"), repeats.key_bits(asked), True).select("key", "text")
-    owned = cut(texts.mapInArrow(sets, "key long, own binary").groupBy("key").agg(F.first("own").alias("own")).join(asked, "key").select("cluster", "node", "own", "n"))
-
-    def forest(batches):
-        cluster, held, own = None, [], []
-        for batch in batches:
-            a, b = [], []
-            for c, node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if c != cluster:
-                    found = _set_forest(own, similarity) if len(own) > 1 else []
-                    a += [held[i] for i, _ in found]
-                    b += [held[j] for _, j in found]
-                    cluster, held, own = c, [], []
-                held.append(node)
-                own.append(np.frombuffer(raw.as_py(), np.uint64))
-            yield _edge_batch(a, b)
-        found = _set_forest(own, similarity) if len(own) > 1 else []
-        yield _edge_batch([held[i] for i, _ in found], [held[j] for _, j in found])
-
-    small = owned.where(F.col("n") <= together).select("cluster", "node", "own").repartition("cluster").sortWithinPartitions("cluster", "node")
-    edges = small.mapInArrow(forest, "a long, b long")
-    crowd = owned.where(F.col("n") > together).select(F.col("cluster").alias("group"), "node", "own")
-    if not crowd.isEmpty():
-        sizes = crowd.groupBy("group").agg(F.sum(F.length("own") / 8).cast("long").alias("members"))
-        part = Fraction(similarity).limit_denominator(1000)
-        edges = edges.unionByName(prefix_tree.large_links(crowd.join(sizes.withColumn("group", F.expr("group + 0")), "group"), prefix_tree.Threshold(part.numerator, part.denominator), members))
-    parts = connected_components(edges)
+    owned = cut(texts.mapInArrow(sets, "key long, own binary").groupBy("key").agg(F.first("own").alias("own")).join(asked, "key").select(F.col("cluster").alias("group"), "node", "own"))
+    parts = prefix_tree.components(owned, Fraction(similarity).limit_denominator(1000), members)
     return rows.join(parts, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("class"))
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, together: int = TOGETHER, members: int = MEMBERS) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, members: int = prefix_tree.TREE_MEMBERS) -> DataFrame:
     """doc_id and component_id of documents whose sets of word shingles are alike by `similarity` (Jaccard) or more.
 
     That is too far for the 4 bits of one fingerprint, so candidates are texts that share one of 20 bands of 6
     min-hashes: a chance of 0.9977 at a similarity of 0.8, 0.9999 at 0.85, all but 1 at 0.9. Texts of one set
     are one node. Nodes that share a band are linked to the bucket's least, and what hangs together so is a
-    cluster; in it all pairs, sharing a band or not, count by their exact similarity, and they leave as a
-    spanning forest. Clusters of more than `together` texts are not brought together, but dealt to prefix trees
-    of `members` members each (prefix_tree.large_links); that finds the same links. Edge cases are those of near_duplicates().
+    cluster; in it all pairs, sharing a band or not, count by their exact similarity, found by prefix
+    trees. Clusters of more than `members` members are not brought together, but dealt to trees of that size
+    (prefix_tree.components); that finds the same links. Edge cases are those of near_duplicates().
     """
-    found = similar_classes(docs, words, similarity, together, members)
+    found = similar_classes(docs, words, similarity, members)
     least = found.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "class").select("doc_id", "component_id")
 

@@ -142,8 +142,8 @@ def test_similar_links_chains_and_crowds(spark):
     assert len(set(want)) == 5 and want[23] == 0
     order = [(i * 29 % len(texts), i) for i in range(len(texts))]  # ids in no order of the chain
     df = spark.createDataFrame([(d, texts[i]) for d, i in order], "doc_id long, text string")
-    for together, members in ((512, 1 << 16), (4, 900)):
-        got = {r.doc_id: r.component_id for r in simhash.similar(df, together=together, members=members).collect()}
+    for members in (1 << 19, 900):
+        got = {r.doc_id: r.component_id for r in simhash.similar(df, members=members).collect()}
         least = {}
         for d, i in order:
             least[want[i]] = min(d, least.get(want[i], d))
