@@ -113,7 +113,7 @@ def similar_names(names: DataFrame, threshold: float = SIMILAR, seed: int = 3) -
 
     Candidates share a bucket of random hyperplanes; buckets get narrower and more as names get more, so that
     one holds a few hundred and a pair at the threshold is missed with a chance of MISSED. All of a bucket are
-    compared by exact cosine; vectors that are the same but for rounding are held once. Null and zero vectors link nothing.
+    compared by exact cosine and leave as a forest: a link for each part that a name joins, never all pairs. Vectors that are the same but for rounding are held once. Null and zero vectors link nothing.
     """
     rows = names.where("raw_name is not null and embedding is not null").select("entity_type", "raw_name", F.col("embedding").cast("array<double>").alias("x")).dropDuplicates(["entity_type", "raw_name"])
     first = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim")).first()
@@ -138,17 +138,34 @@ def similar_names(names: DataFrame, threshold: float = SIMILAR, seed: int = 3) -
                 yield pa.RecordBatch.from_arrays([kind, name, pa.array(list(x), pa.list_(pa.float64())), pa.array(list(key), pa.list_(pa.int64()))], ["entity_type", "raw_name", "x", "keys"])
 
     def compare(batches):
-        bucket, held, kept = None, np.empty((0, dim)), []
+        """A bucket's vectors pass one by one. A vector is held only where it is like no other so far, or ties up what was not yet tied."""
+        bucket, held, kept, up = None, np.empty((0, dim)), [], []
+
+        def find(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
         for batch in batches:
             out = []
             for kind, key, name, vector in zip(*(c.to_pylist() for c in batch.columns)):
                 v = np.array(vector)
                 if (kind, key) != bucket:
-                    bucket, held, kept = (kind, key), np.empty((0, dim)), []
+                    bucket, held, kept, up = (kind, key), np.empty((0, dim)), [], []
                 near = held @ v
-                out += [(kind, kept[i], name) for i in np.flatnonzero(near >= threshold).tolist()]
+                tops = {}
+                for i in np.flatnonzero(near >= threshold).tolist():
+                    tops.setdefault(find(i), i)  # of those that hang together already, one
+                out += [(kind, kept[i], name) for i in tops.values()]
                 if not len(near) or near.max() < 1 - 1e-12:
                     held, kept = np.vstack([held, v]), [*kept, name]
+                    up.append(len(up))
+                    roots = [*tops, len(up) - 1]
+                else:
+                    roots = list(tops)
+                for r in roots[1:]:
+                    up[find(r)] = find(roots[0])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else ((), (), ()))], ["entity_type", "left_name", "right_name"])
 
     buckets = rows.mapInArrow(keyed, "entity_type string, raw_name string, x array<double>, keys array<long>").select("entity_type", F.explode("keys").alias("key"), "raw_name", "x")

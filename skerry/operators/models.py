@@ -7,6 +7,8 @@ calls it with the texts of one batch, and retries what fails. StubProvider answe
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import time
 from collections.abc import Iterator
 from typing import Protocol
@@ -50,34 +52,68 @@ class StubProvider:
         return [hashlib.sha256(p.encode()).hexdigest() for p in prompts]
 
 
-def embedded(items: DataFrame, provider: Provider, key: str, text: str, attempts: int = 3, wait: float = 0.0) -> DataFrame:
-    """key, embedding, error: each text's vector, or why there is none.
+class RuleExtractor:
+    """Payloads by a rule: each prompt's names, words that begin with a capital, are companies, each of which supplies the next; `fails` are words that it gives up on."""
 
-    A batch that fails is asked again with waits that double, and then text by text, so one bad text costs no other.
-    """
+    name = "rules"
+
+    def __init__(self, fails: tuple[str, ...] = ()):
+        self.fails = fails
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        raise NotImplementedError("rules don't embed")
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        out = []
+        for prompt in prompts:
+            if any(f in prompt for f in self.fails):
+                raise ValueError("gave up")
+            names = re.findall(r"\b[A-Z]\w*(?:#\w+)?", prompt)
+            out.append(json.dumps({"entities": [{"name": n, "type": "Company", "confidence": 0.5} for n in names], "relations": [{"source": a, "type": "PARTNERED_WITH", "target": b} for a, b in zip(names, names[1:])]}))
+        return out
+
+
+def _asked(call, texts: list[str], attempts: int, wait: float) -> list[tuple]:
+    """(answer, error) of each text: a batch that fails is asked again with waits that double, and then text by text, so one bad text costs no other."""
+    error = ""
+    for n in range(attempts):
+        try:
+            return [(v, None) for v in call(texts)]
+        except Exception as e:  # whatever a provider raises is that batch's result
+            error = str(e)
+            time.sleep(wait * 2**n)
+    return [(None, error)] if len(texts) == 1 else [x for t in texts for x in _asked(call, [t], attempts, wait)]
+
+
+def completed(items: DataFrame, provider: Provider, key: str, text: str, attempts: int = 3, wait: float = 0.0) -> DataFrame:
+    """key, answer, error: what the model answers to each text, or why there is no answer."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
 
-    def ask(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
-        for n in range(attempts):
-            try:
-                return [(v, None) for v in provider.embed(texts)]
-            except Exception as e:  # whatever a provider raises is that batch's result
-                error = str(e)
-                time.sleep(wait * 2**n)
-        return [(None, error)] if len(texts) == 1 else [x for t in texts for x in ask([t])]
+        for batch in batches:
+            got = _asked(provider.complete, [t or "" for t in batch[text].tolist()], attempts, wait) if len(batch) else []
+            yield pd.DataFrame({key: batch[key], "answer": [v for v, _ in got], "error": [e for _, e in got]})
+
+    return items.select(key, text).mapInPandas(run, f"`{key}` {dict(items.dtypes)[key]}, answer string, error string")
+
+
+def embedded(items: DataFrame, provider: Provider, key: str, text: str, attempts: int = 3, wait: float = 0.0) -> DataFrame:
+    """key, embedding, error: each text's vector, or why there is none."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            got = ask([t or "" for t in batch[text].tolist()]) if len(batch) else []
+            got = _asked(provider.embed, [t or "" for t in batch[text].tolist()], attempts, wait) if len(batch) else []
             yield pd.DataFrame({key: batch[key], "embedding": [v for v, _ in got], "error": [e for _, e in got]})
 
     kind = dict(items.dtypes)[key]
     return items.select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<double>, error string")
 
 
-def backfill(spark: SparkSession, items: DataFrame, provider: Provider, key: str, text: str, done: str, failed: str, batch: int = 100_000, rounds: int | None = None) -> int:
-    """Embed what the table at `done` lacks, `batch` items a round in key order, each round appended at once; returns the rounds.
+def backfill(spark: SparkSession, items: DataFrame, provider: Provider, key: str, text: str, done: str, failed: str, batch: int = 100_000, rounds: int | None = None, work=embedded) -> int:
+    """Embed (or do other `work`, as completed() does) what the table at `done` lacks, `batch` items a round in key order, each round appended at once; returns the rounds.
 
     Failures go to `failed` and aren't asked again. A job that dies has lost one round at most; the next call goes on.
     """
@@ -91,7 +127,7 @@ def backfill(spark: SparkSession, items: DataFrame, provider: Provider, key: str
         some = todo.orderBy(key).limit(batch)
         if some.isEmpty():
             break
-        got = embedded(some, provider, key, text).withColumn("model", F.lit(provider.name)).persist()
+        got = work(some, provider, key, text).withColumn("model", F.lit(provider.name)).persist()
         try:
             got.where("error is null").drop("error").write.mode("append").parquet(done)
             got.where("error is not null").select(key, "error", "model").write.mode("append").parquet(failed)

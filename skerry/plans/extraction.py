@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import extract as X
+from ..operators import models as M
 from ..operators.components import connected_components
 from ..session import scratch
 from ..sources.tables import table
@@ -43,6 +44,21 @@ def graph_written(spark, sf_dir):
     return spark.createDataFrame([counts], "entities long, mentions long, relations long, links long, skipped long")
 
 
+@query("extract_backfill", "SELECT 'k' || s_suppkey AS chunk_id, CASE WHEN s_suppkey % 9 = 4 THEN 0 ELSE 2 END AS entities, CASE WHEN s_suppkey % 9 = 4 THEN 0 ELSE 1 END AS relations, CASE WHEN s_suppkey % 9 = 4 THEN 'gave up' END AS error FROM supplier")
+def extract_backfill(spark, sf_dir):
+    """Extraction that stops after two rounds and goes on: each chunk is asked about once, failures are kept and not asked again."""
+    text = F.concat(F.col("s_name"), F.lit(" works with Beta"), F.when(F.col("s_suppkey") % 9 == 4, " (illegible)").otherwise("."))
+    items = table(spark, sf_dir, "supplier").select(F.concat(F.lit("k"), "s_suppkey").alias("chunk_id"), text.alias("text"))
+    done, failed, model = scratch(spark, "extracted"), scratch(spark, "extract-failed"), M.RuleExtractor(("(illegible)",))
+    size = max(1, items.count() // 3)
+    M.backfill(spark, items, model, "chunk_id", "text", done, failed, size, 2, M.completed)
+    M.backfill(spark, items, model, "chunk_id", "text", done, failed, size, None, M.completed)
+    got, lost = spark.read.parquet(done), spark.read.parquet(failed)
+    read = F.from_json("answer", X.PAYLOAD)
+    rows = got.select("chunk_id", F.size(read["entities"]).alias("entities"), F.size(read["relations"]).alias("relations"), F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(lost.select("chunk_id", F.lit(0).alias("entities"), F.lit(0).alias("relations"), "error"))
+
+
 #: A payload for each supplier: two entities and three relations, valid and not, from its own row.
 _PAYLOAD = """to_json(named_struct('entities', array(
  named_struct('name', s_name, 'type', 'company', 'confidence', element_at(array('high','0.7','LOW','2','x'), cast(s_suppkey % 5 + 1 as int))),

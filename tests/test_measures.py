@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skerry.operators import communities, evaluate, extract, graph, intervals, ivf, overlap, quantiles, versions
+from skerry.operators import ann, communities, evaluate, extract, graph, intervals, ivf, models, overlap, quantiles, versions
 
 
 def rank(values, share):
@@ -239,3 +239,60 @@ def test_benchmark_runner_keeps_to_its_bounds(spark):
             evaluate.run_benchmark(q, gold, {"x": one}, **bad)
     with pytest.raises(ValueError):
         graph.chunks_of(one, one, 0)
+
+
+def test_hashed_search_has_its_recall(spark):
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(60, 24))
+    x = middle[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 24)) * 0.25
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in ann.lsh_knn(df.where("vec_id % 50 = 0"), df, 5).collect():
+        found[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 3000, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        hit += len(found[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hit >= 0.9 * 5 * 60
+
+
+def test_blocks_of_queries_make_no_difference(spark, monkeypatch):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    once = sorted(map(tuple, ann.knn(v.where("vec_id % 20 = 0"), v, 3).select("query_id", "rank", "vec_id", "score").collect()))
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    assert sorted(map(tuple, ann.knn(v.where("vec_id % 20 = 0"), v, 3).select("query_id", "rank", "vec_id", "score").collect())) == once
+    assert ann.scores(v.where("vec_id % 20 = 0"), v).count() == 25 * 499
+
+
+def test_near_names_leave_as_a_forest(spark):
+    """A bucket of 300 names within the threshold of each other is 299 links or little more a bucket, not 44,850."""
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=16)
+    rows = [("Company", f"n{i:03}", (one + rng.normal(size=16) * 0.02).tolist()) for i in range(300)]
+    got = extract.similar_names(spark.createDataFrame(rows, "entity_type string, raw_name string, embedding array<double>")).collect()
+    up = {name: name for _, name, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in got:
+        up[find(r.left_name)] = find(r.right_name)
+    assert len({find(n) for n in up}) == 1 and len(got) < 300 * 20
+
+
+def test_extraction_goes_on_where_it_stopped(spark, tmp_path):
+    items = spark.createDataFrame([(f"k{i}", "Acme meets Beta" + " bad" * (i % 4 == 1)) for i in range(10)], "chunk_id string, text string")
+    done, failed = f"file://{tmp_path}/done", f"file://{tmp_path}/failed"
+    model = models.RuleExtractor(("bad",))
+    assert models.backfill(spark, items, model, "chunk_id", "text", done, failed, 4, 1, models.completed) == 1
+    assert spark.read.parquet(done).count() + spark.read.parquet(failed).count() == 4
+    assert models.backfill(spark, items, model, "chunk_id", "text", done, failed, 4, None, models.completed) == 2
+    assert models.backfill(spark, items, model, "chunk_id", "text", done, failed, 4, None, models.completed) == 0
+    got, lost = spark.read.parquet(done), spark.read.parquet(failed)
+    assert sorted(r.chunk_id for r in lost.collect()) == ["k1", "k5", "k9"] and {r.error for r in lost.collect()} == {"gave up"}
+    assert got.count() == got.select("chunk_id").distinct().count() == 7
+    assert {(r.source, r.relation, r.target, r.reason) for r in extract.relations(got.select("chunk_id", F.col("answer").alias("payload"))).collect()} == {("Acme", "PARTNERED_WITH", "Beta", None)}
