@@ -188,6 +188,31 @@ def queue_timeline(spark, sf_dir):
     return d.groupBy(day.alias("day")).agg(F.max("depth").alias("deepest"), F.max_by("depth", "at").alias("at_end"))
 
 
+@query("breaker_timeline", B.sql(RULES, _CALLS.format(h="(SELECT max(epoch_us(ts)) FROM events)", w=""), "k") + ", tl AS (SELECT k, c.state AS state, c.moment AS f, lead(c.moment) OVER (PARTITION BY k ORDER BY c.moment) AS t FROM g) SELECT k AS key, state, count(*) AS times, CAST(sum(coalesce(t, (SELECT max(epoch_us(ts)) FROM events)) - f) AS BIGINT) AS micros FROM tl GROUP BY 1, 2")
+def breaker_timeline(spark, sf_dir):
+    """How often and how long each key's breaker was in each state after its first change."""
+    e = events(spark, sf_dir).withColumn("key", F.concat_ws(":", "event_type", "user_id"))
+    last = e.agg(F.unix_micros(F.max("ts")).alias("h")).first()["h"] or 0
+    t = B.transitions(e, ["key"], F.unix_micros("ts"), "event_id", F.col("ok"), "value", F.lit(last), RULES)
+    until = F.coalesce(F.lead("at").over(Window.partitionBy("key").orderBy("at")), F.lit(last))
+    return t.withColumn("_for", until - F.col("at")).groupBy("key", "state").agg(F.count("*").alias("times"), F.sum("_for").alias("micros"))
+
+
+@query("dashboard", f"WITH p AS ({_SPANS}), ds AS (SELECT provider, s AS t, 1 AS x FROM p UNION ALL SELECT provider, e, -1 FROM p), m AS (SELECT provider, t, sum(x) AS x FROM ds GROUP BY 1, 2), c AS (SELECT provider, t, sum(x) OVER (PARTITION BY provider ORDER BY t) AS depth FROM m), qd AS (SELECT provider, time_bucket(INTERVAL '1 day', make_timestamp(t))::TIMESTAMP AS day, max(depth) AS deepest FROM c GROUP BY 1, 2), lg AS (SELECT *, lag(value) OVER w AS before, lag(event_type) OVER w AS other FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), d AS (SELECT event_type AS provider, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS requests, avg(CASE WHEN value >= 10 THEN 0.0 ELSE 1.0 END) AS error_rate, list_sort(list(value))[least(count(*) - 1, CAST(floor(count(*) * 0.95) AS BIGINT)) + 1] AS p95, count(*) FILTER (WHERE value >= 10 AND before < 10 AND other <> event_type) AS failovers FROM lg GROUP BY 1, 2) SELECT provider, day, requests, round(requests / 86400.0::DOUBLE, 9) AS rps, round(error_rate, 6) AS error_rate, p95, failovers, CAST(deepest AS BIGINT) AS deepest FROM d JOIN qd USING (provider, day)")
+def dashboard(spark, sf_dir):
+    """Each provider's day: requests, their rate a second, errors, 95th percentile, calls that took over from another provider, deepest queue."""
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = events(spark, sf_dir).withColumns({"_failed": ~F.lag("ok").over(order), "_other": F.lag("event_type").over(order)})
+    took_over = F.coalesce(F.col("ok") & F.col("_failed") & (F.col("_other") != F.col("event_type")), F.lit(False))
+    calls = e.groupBy(F.col("event_type").alias("provider"), day).agg(F.count("*").alias("requests"), F.avg((~F.col("ok")).cast("double")).alias("error_rate"), F.count_if(took_over).alias("failovers"))
+    slow = Q.exact(events(spark, sf_dir).select(F.col("event_type").alias("provider"), day, "value"), ["provider", "day"], "value", [0.95]).select("provider", "day", F.col("value").alias("p95"))
+    moment = F.date_trunc("day", F.timestamp_micros("at")).cast("timestamp_ntz").alias("day")
+    deep = I.depth(_spans(spark, sf_dir), "s", "e", ["provider"]).groupBy("provider", moment).agg(F.max("depth").alias("deepest"))
+    every = calls.join(slow, ["provider", "day"]).join(deep, ["provider", "day"])
+    return every.select("provider", "day", "requests", F.round(F.col("requests") / 86400.0, 9).alias("rps"), F.round("error_rate", 6).alias("error_rate"), "p95", "failovers", "deepest")
+
+
 _RETRIES = "rt AS (SELECT event_id, epoch_us(ts) AS arrived, epoch_us(ts) + CAST(least(64, pow(2, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) % 8)) * 3600000000 AS BIGINT) AS due, value FROM events WHERE NOT value >= 10), rd AS (SELECT *, due + CAST(round(value * 60000000) AS BIGINT) AS done, (SELECT epoch_us(max(ts)) FROM events) AS h FROM rt)"
 
 
