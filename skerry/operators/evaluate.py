@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import quantiles
 
 
@@ -39,15 +40,28 @@ def weighted_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return seen.crossJoin(chance).crossJoin(n).select(F.when(F.col("chance") == 0, F.lit(1.0)).otherwise(1 - F.col("seen") * F.col("n") / F.col("chance")).alias("kappa"), "n")
 
 
+#: Ranges of values whose distinct ones a task of spearman() puts in order.
+RANGES = 256
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """rho: correlation of average ranks. Ranks come from counts of distinct values, so no row is ever numbered."""
+    """rho: correlation of average ranks.
+
+    Ranks come from counts of distinct values. These are dealt to ranges between sketched quantiles; a range's first rank is the
+    sum of those below, and within it a running sum adds to that, so no task has all values, and no row is ever numbered.
+    """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
     def ranks(c: str, name: str) -> DataFrame:
-        counts = rows.groupBy(F.col(c).alias(f"_{name}")).agg(F.count("*").alias("_k"))
-        part = counts.withColumn("_p", F.lit(0))
-        upto = F.sum("_k").over(Window.partitionBy("_p").orderBy(f"_{name}"))  # distinct values
-        return part.select(f"_{name}", (upto - F.col("_k") + (F.col("_k") + 1) / 2).alias(name))
+        counts = cut(rows.groupBy(F.col(c).alias(f"_{name}")).agg(F.count("*").alias("_k")))
+        bounds = counts.select(F.col(f"_{name}").cast("double").alias("v")).approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.002)
+        edges = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
+        dealt = counts.withColumn("_b", F.size(F.filter(edges, lambda e: e <= F.col(f"_{name}").cast("double"))))
+        sums = dealt.groupBy("_b").agg(F.sum("_k").alias("_s"))
+        below = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_below"))  # as many rows as ranges
+        upto = F.sum("_k").over(Window.partitionBy("_b").orderBy(f"_{name}"))
+        placed = dealt.withColumn("_u", upto).join(F.broadcast(below), "_b")
+        return placed.select(f"_{name}", (F.col("_below") + F.col("_u") - F.col("_k") + (F.col("_k") + 1) / 2).alias(name))
 
     return rows.join(ranks(x, "_rx"), rows[x] == F.col("__rx")).join(ranks(y, "_ry"), rows[y] == F.col("__ry")).agg(F.corr("_rx", "_ry").alias("rho"))
 

@@ -296,3 +296,19 @@ def test_extraction_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(r.chunk_id for r in lost.collect()) == ["k1", "k5", "k9"] and {r.error for r in lost.collect()} == {"gave up"}
     assert got.count() == got.select("chunk_id").distinct().count() == 7
     assert {(r.source, r.relation, r.target, r.reason) for r in extract.relations(got.select("chunk_id", F.col("answer").alias("payload"))).collect()} == {("Acme", "PARTNERED_WITH", "Beta", None)}
+
+
+def test_spearman_with_ties(spark):
+    rnd = random.Random(7)
+    rows = [(a := rnd.choice([rnd.gauss(0, 1), 0.0, 1.5]), a + rnd.choice([0, rnd.gauss(0, 2)])) for _ in range(2000)] + [(None, 1.0)]
+
+    def ranks(v):
+        order = sorted(v)
+        first = {}
+        for i, x in enumerate(order):
+            first.setdefault(x, []).append(i + 1)
+        return [sum(first[x]) / len(first[x]) for x in v]
+
+    x, y = zip(*rows[:-1])
+    want = np.corrcoef(ranks(x), ranks(y))[0, 1]
+    assert evaluate.spearman(spark.createDataFrame(rows, "x double, y double"), "x", "y").first().rho == pytest.approx(want, abs=1e-9)
