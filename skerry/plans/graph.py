@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import communities as C
 from ..operators import graph as G
 from ..operators.components import connected_components
-from ..session import cut
+from ..session import cut, scratch
 from ..sources.tables import table
 from .registry import query
 
@@ -48,9 +48,33 @@ def assertions(spark, sf_dir):
     return out.withColumn("ordinal", F.col("chunk_id"))
 
 
+#: Folders of merged edges, by application and by the state of the tables that they come from.
+_STORED: dict[tuple, str] = {}
+
+
 def edges(spark, sf_dir):
-    """All edges, merged and written once, for however many joins a pattern makes."""
-    return cut(G.merge_edges(assertions(spark, sf_dir)))
+    """All edges, merged and stored once for all patterns of a session; a pattern reads the columns it needs.
+
+    They are merged again when a table has changed since, or when their folder is gone.
+    """
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def state(path: str):
+        at = hadoop.Path(path)
+        files = at.getFileSystem(conf)
+        if not files.exists(at):
+            return None
+        own = files.getFileStatus(at)
+        parts = files.listStatus(at) if own.isDirectory() else [own]
+        return path, tuple(sorted((p.getPath().getName(), p.getLen(), p.getModificationTime()) for p in parts))
+
+    key = (spark.sparkContext.applicationId, *(state(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("lineitem", "orders", "supplier", "customer", "nation")))
+    path = _STORED.get(key)
+    if path is None or state(f"{path}/_SUCCESS") is None:
+        path = scratch(spark, "edges")
+        G.merge_edges(assertions(spark, sf_dir)).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
 
 
 def nodes(spark, sf_dir):
