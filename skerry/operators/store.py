@@ -81,3 +81,12 @@ def oldest_pending(items: DataFrame, done: DataFrame, keys: list[str], order: li
     if batch < 1:
         raise ValueError("batch must be at least 1")
     return pending(items, done, keys).orderBy(*order, *keys).limit(batch)
+
+
+def upsert_mentions(mentions: DataFrame, entities: DataFrame, chunks: DataFrame, order: str, old: DataFrame | None = None) -> DataFrame:
+    """entity_id, chunk_id, confidence after the mentions were written over `old` ones: both ends must exist, and the last by `order` stays."""
+    found = mentions.join(entities.select("entity_id"), "entity_id", "left_semi").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    last = found.groupBy("entity_id", "chunk_id").agg(F.max_by("confidence", order).alias("confidence"))
+    if old is None:
+        return last
+    return old.select("entity_id", "chunk_id", "confidence").join(last.select("entity_id", "chunk_id"), ["entity_id", "chunk_id"], "left_anti").unionByName(last)

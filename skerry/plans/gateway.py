@@ -257,6 +257,22 @@ def stage_timing(spark, sf_dir):
     return s.groupBy("trace_id").agg(F.round(F.sum("t"), 4).alias("total"), F.max_by("stage", F.struct("t", "stage")).alias("slowest"))
 
 
+@query("stage_maps", "WITH s AS (SELECT user_id, event_type, round(sum(value), 4) AS v FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type, '|' ORDER BY event_type) AS stages, max(v) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE v > 100) AS slow, round(sum(v), 4) AS total FROM s GROUP BY 1")
+def stage_maps(spark, sf_dir):
+    """Each trace's stages as a map from name to time, and what is read from it."""
+    s = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 4).alias("v"))
+    m = s.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))  # as many entries as stages
+    slow, total = F.map_filter("m", lambda k, v: v > 100), F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, v: a + v)
+    return m.select("user_id", F.array_join(F.array_sort(F.map_keys("m")), "|").alias("stages"), F.try_element_at("m", F.lit("error")).alias("error"), F.size(slow).cast("long").alias("slow"), F.round(total, 4).alias("total"))
+
+
+@query("cumulative_counters", "SELECT event_id, count(*) OVER w AS calls, count(*) FILTER (WHERE NOT value >= 10) OVER w AS failures, round(sum(value) OVER w, 4) AS spent FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def cumulative_counters(spark, sf_dir):
+    """Calls, failures and cost of each tenant at each provider so far."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return events(spark, sf_dir).select("event_id", F.count("*").over(w).alias("calls"), F.sum((~F.col("ok")).cast("long")).over(w).alias("failures"), F.round(F.sum("value").over(w), 4).alias("spent"))
+
+
 @query("moving_estimate", "SELECT user_id, round(list_reduce(list(value ORDER BY event_id), lambda e, v: greatest(200.0::DOUBLE, 0.7::DOUBLE * e + 0.3::DOUBLE * v), 1000.0::DOUBLE), 6) AS estimate FROM events GROUP BY 1")
 def moving_estimate(spark, sf_dir):
     """0.7 old + 0.3 new, at least 200, over all calls of each user."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import models, store
+from ..operators.versions import VersionedTable
 from ..session import scratch, ship
 from ..sources.tables import table
 from .registry import query
@@ -142,3 +143,40 @@ def embed_backfill(spark, sf_dir):
     names = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     models.backfill(spark, names, models.StubProvider(), "c_custkey", "c_name", done, failed, batch=-(-names.count() // 2) or 1)
     return spark.read.parquet(done).select("c_custkey", F.size("embedding").alias("dim"), "model")
+
+
+@query(
+    "documents_written",
+    "WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 3), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 5) "
+    "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.h, o.h) AS content_hash, CASE WHEN n.doc_id IS NULL OR o.h = n.h THEN 1 ELSE 2 END AS version FROM o FULL JOIN n ON o.doc_id = n.doc_id",
+)
+def documents_written(spark, sf_dir):
+    """The documents' table after two ingests: what is new or changed is written with the second, what is the same isn't, what is gone stays."""
+    docs = table(spark, sf_dir, "documents")
+    first = docs.where("doc_id % 7 <> 3").select("doc_id", "text")
+    second = docs.where("doc_id % 11 <> 5").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    stored = VersionedTable(spark, scratch(spark, "documents"))
+    for version, rows in enumerate((first, second), 1):
+        new, old = rows.withColumn("content_hash", F.sha2("text", 256)), stored.read()
+        if old is not None:
+            change = store.upsert_delta(old, new, "doc_id", "content_hash").where("action in ('insert', 'replace')")
+            new = new.join(change.select("doc_id"), "doc_id", "left_semi")
+        stored.merge(new.withColumn("version", F.lit(version)), ["doc_id"])
+    return stored.read().select("doc_id", "content_hash", "version")
+
+
+@query(
+    "mention_upsert",
+    "WITH m AS (SELECT 'C' || o_custkey AS entity_id, CAST(l_orderkey AS VARCHAR) AS chunk_id, 1 - l_discount AS confidence, l_linenumber AS o FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT 'S' || l_suppkey, CAST(l_orderkey AS VARCHAR), 1 - l_discount, l_linenumber FROM lineitem), "
+    "k AS (SELECT * FROM m WHERE (entity_id[1] = 'C' AND CAST(entity_id[2:] AS BIGINT) IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) OR entity_id[1] = 'S') AND CAST(chunk_id AS BIGINT) IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 1)) SELECT entity_id, chunk_id, round(arg_max(confidence, o * 10 + confidence), 6) AS confidence FROM k GROUP BY 1, 2",
+)
+def mention_upsert(spark, sf_dir):
+    """Mentions in two writes: those of an unknown entity or chunk are left out, and the last confidence stays."""
+    line = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_suppkey", "1 - l_discount as confidence", "l_linenumber * 10 + 1 - l_discount as ordinal")
+    buyers = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(line, F.col("o_orderkey") == F.col("l_orderkey")).selectExpr("concat('C', o_custkey) as entity_id", "cast(l_orderkey as string) as chunk_id", "confidence", "ordinal")
+    every = buyers.unionByName(line.selectExpr("concat('S', l_suppkey) as entity_id", "cast(l_orderkey as string) as chunk_id", "confidence", "ordinal"))
+    entities = table(spark, sf_dir, "customer").where("c_acctbal > 0").selectExpr("concat('C', c_custkey) as entity_id").unionByName(line.selectExpr("concat('S', l_suppkey) as entity_id").distinct())
+    chunks = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 1").selectExpr("cast(o_orderkey as string) as chunk_id")
+    early = store.upsert_mentions(every.where("ordinal < 30"), entities, chunks, "ordinal")
+    now = store.upsert_mentions(every.where("ordinal >= 30"), entities, chunks, "ordinal", early)
+    return now.withColumn("confidence", F.round("confidence", 6))

@@ -312,3 +312,21 @@ def test_spearman_with_ties(spark):
     x, y = zip(*rows[:-1])
     want = np.corrcoef(ranks(x), ranks(y))[0, 1]
     assert evaluate.spearman(spark.createDataFrame(rows, "x double, y double"), "x", "y").first().rho == pytest.approx(want, abs=1e-9)
+
+
+def test_the_closed_library_of_patterns(spark):
+    e = spark.createDataFrame([("A", "USES", "B", ["c1"], 0.5), ("B", "USES", "C", ["c2"], 0.9), ("C", "OWNS", "D", ["c3"], 1.0)], "source_id string, relation string, target_id string, chunk_ids array<string>, confidence double")
+    n = spark.createDataFrame([(x, f"Name {x}", "Thing", [x.lower() * 2], f"name {x.lower()}") for x in "ABCD"], "entity_id string, name string, type string, aliases array<string>, normalized string")
+    seed = n.where("entity_id = 'A'").select("entity_id")
+    t = graph.TEMPLATES
+    assert [r.target_id for r in t["NEIGHBOURS"](e, seed).collect()] == ["B"]
+    assert [(r.node_2, r.chunk_ids) for r in t["TWO_HOP"](e, seed).collect()] == [("C", ["c1", "c2"])]
+    assert [(r.node_3, r.forward_3, r.chunk_ids) for r in t["THREE_HOP"](e, seed).collect()] == [("D", True, ["c1", "c2", "c3"])]
+    assert [r.middle for r in t["SHARED_NEIGHBOUR"](e, spark.createDataFrame([("A", "C")], "start string, end string")).collect()] == ["B"]
+    assert t["RELATION_OF_TYPE"](e, "USES", ("USES", "OWNS")).count() == 2 and t["RELATION_OF_TYPE"](e, "USES", ("USES",), "C").count() == 1
+    with pytest.raises(ValueError):
+        t["RELATION_OF_TYPE"](e, "HATES", ("USES", "OWNS"))
+    assert [(r.relation, r.degree) for r in t["COUNT_BY_RELATION"](e, n, seed).collect()] == [("USES", 1)]
+    near, at = t["NEIGHBOURHOOD_GRAPH"](e, n, seed)
+    assert sorted(r.entity_id for r in near.collect()) == ["A", "B"] and at.count() == 1
+    assert t["ENTITY_LOOKUP"](n, "BB").first().entity_id == "B" and t["ENTITY_SEARCH"](n, "name").count() == 4
