@@ -6,12 +6,12 @@ import random
 import pytest
 
 import corpus_pipeline
-from skerry.llm import automaton, decontaminate, importance, language, pieces, quantise, shards, simhash, suffix_array, toxicity
+from skerry.llm import automaton, decontaminate, importance, language, middle, pieces, prefix_tree, quantise, shards, simhash, spelling, suffix_array, toxicity
 from skerry.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 #: Names that operators use inside.
-CLASH = ["d", "key", "start", "c", "n", "anchor", "context", "starts", "marks", "rest", "fp", "node", "component", "label", "score", "draw", "hits", "item_ids", "version", "run", "shard", "_arrival", "_key", "noise"]
+CLASH = ["d", "key", "start", "c", "n", "anchor", "context", "starts", "marks", "rest", "fp", "node", "component", "label", "score", "draw", "hits", "item_ids", "version", "run", "shard", "_arrival", "_key", "noise", "group", "own", "class", "code", "form", "word", "output"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -57,10 +57,12 @@ def run(name, docs, labels, items):
         "passages": lambda: suffix_array.remove_repeats(docs, over=50),
         "automaton": lambda: automaton.remove_repeats(docs),
         "shards": lambda: shards.shard(docs).drop("run", "shard"),
+        "prefix_tree": lambda: prefix_tree.join(docs),
+        "middle": lambda: middle.transform(docs),
     }[name]()
 
 
-@pytest.mark.parametrize("name", ["importance", "simhash", "similar", "language", "toxicity", "pieces", "decontaminate", "suffix_array", "passages", "automaton", "shards"])
+@pytest.mark.parametrize("name", ["importance", "simhash", "similar", "language", "toxicity", "pieces", "decontaminate", "suffix_array", "passages", "automaton", "shards", "prefix_tree", "middle"])
 def test_operators_on_odd_rows(spark, plain, clashing, labels, items, name):
     got = run(name, plain, labels, items).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(d) for d, _ in texts())
@@ -69,6 +71,12 @@ def test_operators_on_odd_rows(spark, plain, clashing, labels, items, name):
     assert run(name, clashing.where("doc_id < 0"), labels, items).collect() == []
 
 
+def test_words_of_odd_rows(clashing):
+    got = {r.word: (r.n, r.n_near) for r in spelling.group_variants(clashing).collect()}
+    assert all(n >= 3 and len(w) >= 5 for w, (n, _) in got.items()) and got == {}  # words here end in digits: "word" has four letters
+    assert spelling.group_variants(clashing, least_length=4, drop=0).where("word = 'word'").first().n > 150_000
+
+
 def test_values_on_odd_rows(plain, labels, items):
     rows = texts()
     by = {name: {r["doc_id"]: r for r in run(name, plain, labels, items).collect()} for name in ("simhash", "pieces", "decontaminate", "suffix_array", "automaton")}
