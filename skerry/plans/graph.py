@@ -222,11 +222,16 @@ def harmonic_centrality(spark, sf_dir):
     return C.harmonic(hops).select("entity_id", F.round("harmonic", 6).alias("harmonic"))
 
 
-@query("betweenness")
+_FORWARD = "".join(f", f{i + 1} AS MATERIALIZED (SELECT f.s, u.b AS node, sum(f.p) AS p FROM f{i} f JOIN u ON f.node = u.a WHERE NOT EXISTS (SELECT 1 FROM z{i} z WHERE z.s = f.s AND z.node = u.b) GROUP BY 1, 2), z{i + 1} AS MATERIALIZED (SELECT * FROM z{i} UNION ALL SELECT s, node FROM f{i + 1})" for i in range(4))
+_BACK = "".join(f", b{i} AS MATERIALIZED (SELECT f.s, f.node, f.p, coalesce(f.p * c.c, 0) AS share FROM f{i} f LEFT JOIN (SELECT g.s, u.b AS node, sum((1 + g.share) / g.p) AS c FROM b{i + 1} g JOIN u ON g.node = u.a GROUP BY 1, 2) c ON c.s = f.s AND c.node = f.node)" for i in (3, 2, 1))
+
+
+@query("betweenness", f"WITH l AS (SELECT 'S' || s_suppkey AS x, 'N' || s_nationkey AS y FROM supplier UNION SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation), u AS MATERIALIZED (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l), f0 AS (SELECT 'N' || n_nationkey AS s, 'N' || n_nationkey AS node, 1.0::DOUBLE AS p FROM nation), z0 AS (SELECT s, node FROM f0){_FORWARD}, b4 AS (SELECT s, node, p, 0.0::DOUBLE AS share FROM f4){_BACK}, t AS (SELECT node, sum(share) AS t FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4) GROUP BY 1) SELECT a AS node, round(coalesce(max(t), 0), 6) AS betweenness FROM u LEFT JOIN t ON a = node GROUP BY 1")
 def betweenness(spark, sf_dir):
     """Shortest paths from the nations over places, sampled sources of a centrality."""
     places = edges(spark, sf_dir).where("relation in ('LOCATED_IN', 'IN_REGION')").select("source_id", "target_id")
-    return C.betweenness(places, table(spark, sf_dir, "nation").selectExpr("concat('N', n_nationkey) as node"))
+    found = C.betweenness(places, table(spark, sf_dir, "nation").selectExpr("concat('N', n_nationkey) as node"))
+    return found.select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query("shortest_path", f"WITH RECURSIVE {_ASSERT}, {_BI}, u AS (SELECT DISTINCT a, b FROM b), p AS (SELECT 'R0' AS id, 0 AS hops UNION SELECT u.b, p.hops + 1 FROM p JOIN u ON p.id = u.a WHERE p.hops < 3) SELECT 'R0' AS seed_id, id AS entity_id, min(hops) AS hops FROM p GROUP BY 2")
