@@ -48,7 +48,22 @@ def chunk_stats(spark, sf_dir):
     return per.groupBy("n_chunks").agg(F.count("*").alias("docs"), F.max("longest").alias("longest"))
 
 
-@query("paragraph_chunks")
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_SUM = "coalesce(list_sum(list_transform({x}, lambda w: length(w))), 0)"
+#: A step of the recursion takes each document's next paragraph.
+_PACKED = rf"""
+WITH RECURSIVE pg AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda p: {_STRIP.format(x='p')}), lambda p: p <> '') AS ps FROM documents),
+r AS (SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS cur, []::VARCHAR[] AS done FROM pg
+UNION ALL SELECT doc_id, i, CASE WHEN large THEN [] WHEN filled THEN cur[list_filter(range(1, len(cur) + 2), lambda k: {_SUM.format(x='cur[k:]')} <= 100)[1]:] || [p] ELSE cur || [p] END,
+  CASE WHEN large THEN closed || list_filter(list_transform(range(0, greatest(0, CAST(ceil((length(p) - 800) / 700.0) AS BIGINT)) + 1), lambda w: {_STRIP.format(x='substr(p, w * 700 + 1, 800)')}), lambda c: c <> '') WHEN filled THEN closed ELSE done END
+FROM (SELECT *, length(p) > 800 AS large, len(cur) > 0 AND {_SUM.format(x='cur')} + length(p) > 800 AS filled, CASE WHEN len(cur) > 0 THEN done || [array_to_string(cur, chr(10) || chr(10))] ELSE done END AS closed
+  FROM (SELECT r.doc_id, r.i + 1 AS i, r.cur, r.done, pg.ps[r.i + 1] AS p FROM r JOIN pg ON pg.doc_id = r.doc_id AND r.i < len(pg.ps)))),
+f AS (SELECT r.doc_id, CASE WHEN len(cur) > 0 THEN done || [array_to_string(cur, chr(10) || chr(10))] ELSE done END AS cs FROM r JOIN pg ON pg.doc_id = r.doc_id AND r.i = len(pg.ps))
+SELECT doc_id, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS chunk_index, unnest(cs) AS chunk FROM f
+"""
+
+
+@query("paragraph_chunks", _PACKED)
 def paragraph_chunks(spark, sf_dir):
     """Greedy paragraph packing; sentences' line breaks count as blank lines, as no text here has any."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
