@@ -138,7 +138,11 @@ def provider_unhealthy(spark, sf_dir):
     return W.unhealthy(events(spark, sf_dir), ["event_type", "user_id"], ["ts", "event_id"], F.col("ok"), "value").select("event_id", F.round("error_rate", 6).alias("error_rate"), "p95", "trip")
 
 
-@query("breaker_state")
+#: Each key's next outcome is a step of the recursion.
+_IN_A_ROW = "WITH RECURSIVE ev AS (SELECT event_type, user_id, value >= 10 AS ok, epoch_us(ts) // 1000000 AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS i FROM events), s AS (SELECT DISTINCT event_type, user_id, 0::BIGINT AS i, 'closed' AS st, 0::BIGINT AS f, 0::BIGINT AS o FROM ev UNION ALL SELECT event_type, user_id, i, CASE WHEN now = 'open' OR opens THEN 'open' WHEN ok THEN 'closed' ELSE now END, CASE WHEN now = 'open' THEN f ELSE nf END, CASE WHEN opens THEN t ELSE o END FROM (SELECT *, now <> 'open' AND NOT ok AND (now = 'half_open' OR nf >= 3) AS opens FROM (SELECT s.event_type, s.user_id, ev.i, ev.ok, ev.t, s.f, s.o, CASE WHEN s.st = 'open' AND ev.t >= s.o + 600 THEN 'half_open' ELSE s.st END AS now, CASE WHEN ev.ok THEN 0 ELSE s.f + 1 END AS nf FROM s JOIN ev ON ev.event_type = s.event_type AND ev.user_id = s.user_id AND ev.i = s.i + 1))) SELECT event_type, user_id, st AS state, CAST(f AS INTEGER) AS failures FROM s QUALIFY i = max(i) OVER (PARTITION BY event_type, user_id)"
+
+
+@query("breaker_state", _IN_A_ROW)
 def breaker_state(spark, sf_dir):
     return W.breaker(events(spark, sf_dir), ["event_type", "user_id"], "event_id", F.col("ok"), F.unix_seconds("ts"))
 
@@ -308,7 +312,7 @@ def stream_dedup(spark, sf_dir):
     return S.drain(spark, day.dropDuplicates(["day", "user_id", "event_type", "props"]).select(F.col("day.start").alias("day"), "user_id", "event_type", "props"), "append").withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
-@query("stream_breaker")
+@query("stream_breaker", _IN_A_ROW)
 def stream_breaker(spark, sf_dir):
     """Stateful twin of breaker_state."""
     return S.breaker(spark, S.stream(spark, sf_dir).withColumn("ok", F.expr(_OK)))
