@@ -133,9 +133,12 @@ def two_hop(spark, sf_dir):
     return _flat(G.two_hop(edges(spark, sf_dir), _seeds(spark, "S1", "P40")))
 
 
-@query("three_hop", f"WITH {_ASSERT}, {_BI}, x AS MATERIALIZED (SELECT * FROM b WHERE a = 'P3'), y AS MATERIALIZED (SELECT * FROM b WHERE a IN (SELECT b FROM x)), z AS MATERIALIZED (SELECT * FROM b WHERE a IN (SELECT b FROM y)) SELECT {_TWO}, z.relation AS relation_3, z.fwd AS forward_3, z.b AS node_3, sha256(x.chunks || '|' || y.chunks || '|' || z.chunks) AS chunk_ids FROM x JOIN y ON x.b = y.a AND x.edge <> y.edge JOIN z ON y.b = z.a AND z.edge <> x.edge AND z.edge <> y.edge WHERE y.b <> x.a AND z.b <> x.a AND z.b <> x.b")
+@query("three_hop", f"WITH {_ASSERT}, {_BI}, x AS MATERIALIZED (SELECT *, len(string_split(chunks, '|')) AS c FROM b WHERE a = 'P3'), y AS MATERIALIZED (SELECT *, len(string_split(chunks, '|')) AS c FROM b WHERE a IN (SELECT b FROM x)), z AS MATERIALIZED (SELECT *, len(string_split(chunks, '|')) AS c FROM b WHERE a IN (SELECT b FROM y)) SELECT x.b AS node_1, x.relation AS relation_1, y.relation AS relation_2, z.relation AS relation_3, count(*) AS n, count(DISTINCT z.b) AS ends, min(z.b) AS first_end, max(z.b) AS last_end, CAST(sum(x.c + y.c + z.c) AS BIGINT) AS chunks FROM x JOIN y ON x.b = y.a AND x.edge <> y.edge JOIN z ON y.b = z.a AND z.edge <> x.edge AND z.edge <> y.edge WHERE y.b <> x.a AND z.b <> x.a AND z.b <> x.b GROUP BY 1, 2, 3, 4")
 def three_hop(spark, sf_dir):
-    return _flat(G.three_hop(edges(spark, sf_dir), _seeds(spark, "P3"))).withColumn("chunk_ids", F.sha2("chunk_ids", 256))
+    """All paths of three edges from a part, counted by their first step and their relations, with their ends and chunks."""
+    p = G.three_hop(edges(spark, sf_dir), _seeds(spark, "P3"))
+    g = p.groupBy("node_1", "relation_1", "relation_2", "relation_3")
+    return g.agg(F.count("*").alias("n"), F.count_distinct("node_3").alias("ends"), F.min("node_3").alias("first_end"), F.max("node_3").alias("last_end"), F.sum(F.size("chunk_ids")).alias("chunks"))
 
 
 @query("shared_neighbour", f"WITH {_ASSERT}, {_BI} SELECT x.a AS start, x.relation AS relation_1, x.b AS middle, y.relation AS relation_2, y.a AS \"end\", x.chunks || '|' || y.chunks AS chunk_ids FROM b x JOIN b y ON x.b = y.b AND x.edge <> y.edge WHERE (x.a = 'S1' AND y.a = 'S2' OR x.a = 'C1' AND y.a = 'C4') AND x.b <> x.a AND x.b <> y.a")
