@@ -338,7 +338,10 @@ def rooted(owned: DataFrame, threshold: Threshold) -> DataFrame:
         if nodes:
             yield done()
 
-    return owned.select("group", "node", "own").repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "node long, component long")
+    # a changed column hides how the rows lie: Spark would else take the shuffle of a join before for this one, and AQE may
+    # read that one locally, which parts groups ("group + 0" is simplified to "group" and hides nothing)
+    dealt = owned.select(F.bitwise_not("group").alias("group"), "node", "own").repartition("group")
+    return dealt.sortWithinPartitions("group", "node").mapInArrow(run, "node long, component long")
 
 
 def _past(trees: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skerry.llm import prefix_tree
 from skerry.llm.prefix_tree import PrefixTree, Threshold
+from skerry.session import cut
 
 SCHEMA = "doc_id long, text string, key string, own string, group string"
 T = Threshold(90, 100)
@@ -85,6 +87,29 @@ def test_sets_of_different_leaders_are_linked(spark):
         assert sorted(repr(tuple(r)) for r in prefix_tree.join(df, bound=bound).select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
 
 
+def test_groups_beside_a_large_one_stay_whole(spark):
+    """A join takes the large groups out of the others; of these, each still reaches one task."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(8):
+        own = rng.integers(1, 1 << 62, 200).astype(np.uint64)
+        for i in range(100 if g == 0 else 40):
+            if g:
+                own = own.copy()
+                own[5 * i % 200] = rng.integers(1, 1 << 62)  # each like the few before only
+            rows.append((g, 1000 * g + i, np.sort(own if g else np.append(own, np.uint64(i))).tobytes()))
+    owned = cut(spark.createDataFrame(rows, "group long, node long, own binary").repartition(6))
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    kept = spark.conf.get(conf)
+    spark.conf.set(conf, "false")  # tasks stay apart, as on large tables
+    try:  # the join is planned as a shuffle, and broadcast after all
+        large = owned.groupBy("group").agg(F.count("*").alias("n")).where("n > 50")
+        got = prefix_tree.rooted(owned.join(large, "group", "left_anti"), T).collect()
+    finally:
+        spark.conf.set(conf, kept)
+    assert sorted((r.node, r.component) for r in got) == [(node, 1000 * g) for g, node, _ in rows if g]
+
+
 def test_only_rows_without_doc_id(spark):
     df = spark.createDataFrame([(None, "a b c", "", "", ""), (None, None, "", "", "")], SCHEMA)
     assert [tuple(r) for r in prefix_tree.join(df).orderBy("n_shingles").collect()] == [(None, 0, None), (None, 1, None)]
