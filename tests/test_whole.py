@@ -81,3 +81,8 @@ def test_between_facts_have_their_own_base(spark):
     facts = spark.createDataFrame([(1, "one", 1, 0.9, 2, False), (1, "between", 2, 0.4, 2, True), (1, "two", 2, 0.4, 2, None)], "question_id int, statement string, hops int, confidence double, covered int, between boolean")
     assert {r.statement: round(r.score, 6) for r in retrieve.rank_facts(facts).collect()} == {"one": 20.8, "between": 20.75, "two": 20.5}
     assert {r.statement: round(r.score, 6) for r in retrieve.rank_facts(facts.drop("between")).collect()} == {"one": 20.8, "between": 20.5, "two": 20.5}
+
+
+def test_three_hop_gives_each_path(spark):
+    found = [(r.node_1, r.relation_1, r.node_2, r.relation_2, r.node_3, r.relation_3) for r in run(spark, "three_hop")]
+    assert len(found) == len(set(found)) > 0
