@@ -83,6 +83,12 @@ def test_between_facts_have_their_own_base(spark):
     assert {r.statement: round(r.score, 6) for r in retrieve.rank_facts(facts.drop("between")).collect()} == {"one": 20.8, "between": 20.5, "two": 20.5}
 
 
+def test_streams_give_open_windows_too(spark):
+    """Each event is in a tumbling window, in two sliding ones and in a session, the last ones as well."""
+    n = len(rows(spark, "events"))
+    assert [sum(r[c] for r in run(spark, q)) for q, c in (("stream_tumbling", "requests"), ("stream_sliding", "requests"), ("stream_session", "n"))] == [n, 2 * n, n]
+
+
 def test_three_hop_gives_each_path(spark):
     found = [(r.node_1, r.relation_1, r.node_2, r.relation_2, r.node_3, r.relation_3) for r in run(spark, "three_hop")]
     assert len(found) == len(set(found)) > 0
