@@ -110,3 +110,67 @@ def test_day_keys_do_not_depend_on_batches(spark, tmp_path):
         pq.write_table(part, tmp_path / f"events.parquet/{i}.parquet")
     q = __spark_entry__.queries()["stream_dedup"]
     assert sorted(map(repr, q(spark, str(tmp_path)).collect())) == sorted(map(repr, q(spark, SRC).collect()))
+
+
+def test_a_batch_of_calls_asks_for_one_timer():
+    """However many calls wait, their key is woken once for those that are due, and then for the next."""
+    import pandas as pd
+
+    from skerry.operators.breaker import Rules
+    from skerry.streaming.breaker import BreakerProcessor
+
+    class Kept:
+        def __init__(self):
+            self.rows = []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return self.rows if self.many else self.rows[0]
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def update(self, row):
+            self.rows = [row]
+
+        def appendList(self, rows):
+            self.rows = self.rows + rows
+
+        def clear(self):
+            self.rows = []
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def state(self, many):
+            kept = Kept()
+            kept.many = many
+            return kept
+
+        def getValueState(self, *_):
+            return self.state(False)
+
+        def getListState(self, *_):
+            return self.state(True)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    handle, taken = Handle(), BreakerProcessor(["key"], Rules())
+    taken.init(handle)
+    times = [1_000_000 + 1000 * (i * 37 % 100) for i in range(100)]
+    frame = pd.DataFrame({"at": times, "o": range(100), "ok": [True] * 100, "latency": [1.0] * 100})
+    list(taken.handleInputRows(("a",), iter([frame[:60], frame[60:]]), At(0)))
+    assert handle.timers == [1000]
+    list(taken.handleExpiredTimer(("a",), At(1049), None))
+    assert [t for t in handle.timers if 1049 < t < 2000] == [1050] and len(taken.waiting.rows) == 50
