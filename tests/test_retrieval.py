@@ -146,3 +146,24 @@ def test_report(spark, tmp_path):
     assert report.markdown(df, ["name"]).first().table == "| name | n | x |\n|---|---|---|\n| a | - | - |\n| b\\|c | 2 | 1,234.50 |"
     report.write_json(df, f"file://{tmp_path}/out")
     assert sorted(r.value for r in spark.read.text(f"file://{tmp_path}/out").collect())[0] == '{"name":"a","n":null,"x":null}'
+
+
+def test_scores_with_labels_write_sums_and_no_pairs(spark, monkeypatch):
+    """Of several blocks of queries, what is written before the next is sent are their sums, and they add up to the same."""
+    import __spark_entry__
+    from skerry.operators import ann
+
+    sf = "/root/testdata/sf0.001"
+    names = ("threshold_sweep", "top1_margin")
+    want = [sorted(__spark_entry__.queries()[n](spark, sf).collect()) for n in names]
+    cut, written = ann.cut, []
+
+    def watched(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ann, "BLOCK", 10)
+    monkeypatch.setattr(ann, "cut", watched)
+    assert [sorted(__spark_entry__.queries()[n](spark, sf).collect()) for n in names] == want
+    assert len(written) == 6 and max(written) <= 10
