@@ -6,15 +6,26 @@ chunk_ids, confidence). Patterns match edges in both directions, and one match n
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small
+from .store import top_n_per
+
+
+#: Sources of one target that neighbour_jaccard() pairs in one place, and pairs that it counts at once.
+PIECE, PAIRS = 512, 4_000_000
 
 
 def merge_edges(assertions: DataFrame) -> DataFrame:
-    """Edges of assertions (source_id, relation, target_id, chunk_id, confidence, ordinal): chunk ids in order of first sight, the highest confidence, null as 0."""
-    first = assertions.groupBy("source_id", "relation", "target_id", "chunk_id").agg(F.min("ordinal").alias("o"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"))
+    """Edges of assertions (source_id, relation, target_id, chunk_id, confidence, ordinal): chunk ids in order of first sight, the highest confidence, null as 0.
+
+    Assertions are shuffled once, by edge; chunks are told apart and listed where they then lie. Ids are of any type.
+    """
+    dealt = assertions.repartition("source_id", "relation", "target_id")
+    first = dealt.groupBy("source_id", "relation", "target_id", "chunk_id").agg(F.min("ordinal").alias("o"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"))
     merged = first.groupBy("source_id", "relation", "target_id").agg(F.sort_array(F.collect_list(F.struct("o", "chunk_id"))).alias("_c"), F.max("c").alias("confidence"))
     return merged.select("source_id", "relation", "target_id", F.filter(F.col("_c")["chunk_id"], lambda x: x.isNotNull()).alias("chunk_ids"), "confidence")
 
@@ -46,6 +57,11 @@ def paths(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
             now = now.where(F.col(f"node_{h}") != F.col(f"node_{k}"))
             if k:
                 now = now.where(F.col(f"edge_{h}") != F.col(f"edge_{k}"))
+    return _with_chunks(now, edges, hops)
+
+
+def _with_chunks(now: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """The columns of paths() for paths without chunk ids."""
     keep = [f"node_{k}" for k in range(hops + 1)] + [f"{w}_{k}" for k in range(1, hops + 1) for w in ("relation", "forward")]
     chunks = edges.select("source_id", "relation", "target_id", "chunk_ids")
     for h in range(1, hops + 1):
@@ -55,6 +71,34 @@ def paths(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return now.select(*keep, F.concat(*[F.col(f"chunks_{k}") for k in range(1, hops + 1)]).alias("chunk_ids"))
 
 
+def first_two_hop(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` paths of two edges from each seed, by relation_1, node_1, relation_2, node_2; columns of paths().
+
+    All paths by a seed's earlier first edges come before those by later ones. So its first edges are tried in order, 4 * limit
+    of them; a seed that then lacks paths and has more edges goes on with 16 times as many, up to all. Chunk ids are joined last.
+    """
+    bi = both_ways(edges).drop("chunk_ids", "confidence")
+    one, two = ([F.col("edge").alias(f"edge_{h}"), F.col("a").alias(f"node_{h - 1}"), F.col("relation").alias(f"relation_{h}"), F.col("b").alias(f"node_{h}"), F.col("forward").alias(f"forward_{h}")] for h in (1, 2))
+    left = small(seeds.select(F.col("entity_id").alias("node_0")).distinct())
+    tried, found = 4 * limit, None
+    while True:
+        first = bi.select(one).join(left, "node_0").where("node_1 <> node_0")
+        first = small(top_n_per(first, ["node_0"], ["relation_1", "node_1", "forward_1"], tried + 1))
+        place = F.row_number().over(Window.partitionBy("node_0").orderBy("relation_1", "node_1", "forward_1"))
+        placed = first.withColumn("_p", place)
+        more = placed.where(F.col("_p") > tried).select("node_0")
+        step = small(placed.where(F.col("_p") <= tried).drop("_p"))
+        met = bi.select(two).join(step, "node_1").where("node_2 <> node_0 and node_2 <> node_1 and edge_2 <> edge_1")
+        best = cut(top_n_per(met, ["node_0"], ["relation_1", "node_1", "relation_2", "node_2", "forward_1", "forward_2"], limit))
+        full = best.groupBy("node_0").agg(F.count("*").alias("_k")).where(F.col("_k") >= limit).select("node_0")
+        left = small(more.join(full, "node_0", "left_anti"))
+        done = best.join(left, "node_0", "left_anti")
+        found = done if found is None else found.unionByName(done)
+        if left.isEmpty():
+            return _with_chunks(small(found), edges, 2)
+        tried *= 16
+
+
 def two_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return paths(edges, seeds, 2)
 
@@ -66,9 +110,10 @@ def three_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def shared_neighbour(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """start, relation_1, middle, relation_2, end for each pair (start, end)."""
     bi = both_ways(edges)
-    p = pairs.select("start", "end").distinct()
+    p = small(pairs.select("start", "end").distinct())
+    ends = small(p.select("end").distinct())
     left = p.join(bi.select(F.col("a").alias("start"), F.col("edge").alias("e1"), F.col("relation").alias("relation_1"), F.col("b").alias("middle"), F.col("chunk_ids").alias("c1")), "start")
-    right = bi.select(F.col("a").alias("end"), F.col("edge").alias("e2"), F.col("relation").alias("relation_2"), F.col("b").alias("middle"), F.col("chunk_ids").alias("c2"))
+    right = bi.select(F.col("a").alias("end"), F.col("edge").alias("e2"), F.col("relation").alias("relation_2"), F.col("b").alias("middle"), F.col("chunk_ids").alias("c2")).join(ends, "end", "left_semi")
     met = left.join(right, ["end", "middle"]).where("e1 <> e2 and middle <> start and middle <> end")
     return met.select("start", "relation_1", "middle", "relation_2", "end", F.concat("c1", "c2").alias("chunk_ids"))
 
@@ -122,13 +167,17 @@ def chunks_of(mentions: DataFrame, chunks: DataFrame, limit: int, order: str = "
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
-    """(seed_id, entity_id, hops): the fewest hops from each seed, up to `most`. A frontier join a step, cut each time."""
-    bi = both_ways(edges).select("a", "b").distinct()
+    """(seed_id, entity_id, hops): the fewest hops from each seed, up to `most`, by the ends of edges, which may repeat.
+
+    A frontier join a step, cut each time; a small frontier is broadcast, so that edges are not shuffled.
+    """
+    bi = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    bi = bi.unionByName(bi.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seen = cut(seeds.select(F.col("entity_id").alias("seed_id"), "entity_id").distinct().withColumn("hops", F.lit(0)))
-    frontier = seen
+    frontier = small(seen)
     for h in range(1, most + 1):
         new = frontier.join(bi, frontier.entity_id == bi.a).select("seed_id", F.col("b").alias("entity_id")).distinct()
-        frontier = cut(new.join(seen, ["seed_id", "entity_id"], "left_anti").withColumn("hops", F.lit(h)))
+        frontier = small(new.join(seen, ["seed_id", "entity_id"], "left_anti").withColumn("hops", F.lit(h)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -154,14 +203,59 @@ def pagerank(edges: DataFrame, steps: int = 10, damping: float = 0.85, together:
     return ranks
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """(entity_id, degree): how many of the edges, each given once, have the node at an end; a loop counts once."""
+    ends = edges.select(F.col("source_id").alias("entity_id")).union(edges.where("source_id <> target_id").select("target_id"))
+    return ends.groupBy("entity_id").agg(F.count("*").alias("degree"))
+
+
 def neighbour_jaccard(edges: DataFrame, relation: str) -> DataFrame:
-    """(left_id, right_id, similarity) of sources that share targets of a relation; pairs come from an equi-join on these."""
-    e = edges.where(F.col("relation") == relation).select("source_id", "target_id").distinct()
+    """(left_id, right_id, similarity) of sources that share targets of a relation.
+
+    Sources are numbered. A target's sources are cut into pieces of at most PIECE; each piece meets itself and those
+    after it, so a hub's pairs are many tasks' work. A task counts its pairs before they are shuffled, PAIRS of them at once.
+    """
+    e = edges.where(F.col("relation") == relation).where("source_id is not null and target_id is not null").select("source_id", "target_id").distinct()
     size = e.groupBy("source_id").agg(F.count("*").alias("n"))
-    a, b = e.withColumnRenamed("source_id", "left_id"), e.withColumnRenamed("source_id", "right_id")
-    met = a.join(b, "target_id").where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("common"))
-    sized = met.join(size.select(F.col("source_id").alias("left_id"), F.col("n").alias("x")), "left_id").join(size.select(F.col("source_id").alias("right_id"), F.col("n").alias("y")), "right_id")
-    return sized.select("left_id", "right_id", (F.col("common") / (F.col("x") + F.col("y") - F.col("common"))).alias("similarity"))
+    numbered = cut(size.withColumn("s", F.monotonically_increasing_id()))
+    piece = F.pmod(F.xxhash64("s"), F.ceil(F.col("_k") / F.lit(PIECE))).cast("int")
+    known = e.join(numbered.select("source_id", "s"), "source_id").select("target_id", "s")
+    many = known.groupBy("target_id").agg(F.count("*").alias("_k")).where(F.col("_k") > PIECE)
+    dealt = known.join(many, "target_id", "left").withColumn("p", F.coalesce(piece, F.lit(0)))
+    lists = dealt.groupBy("target_id", "p", "_k").agg(F.collect_list("s").alias("x"))  # about PIECE of them
+    crowded = cut(lists.where("_k is not null"))
+    hub = crowded.select("target_id", "p", "x").join(crowded.select("target_id", F.col("p").alias("_q"), F.col("x").alias("y")), "target_id").where("p <= _q")
+    blocks = lists.where("_k is null").select("x", F.lit(None).cast("array<long>").alias("y")).unionByName(hub.select("x", F.when(F.col("p") < F.col("_q"), F.col("y")).alias("y")))
+
+    def count(batches):
+        held, n = [], 0
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1)):
+                x = x.values.to_numpy()
+                if y.is_valid:
+                    y = y.values.to_numpy()
+                    a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+                else:
+                    i, j = np.triu_indices(len(x), 1)
+                    a, b = x[i], x[j]
+                held.append((np.minimum(a, b), np.maximum(a, b)))
+                n += len(a)
+                if n >= PAIRS:
+                    yield counted(held)
+                    held, n = [], 0
+        if n:
+            yield counted(held)
+
+    def counted(held):
+        a, b = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(np.diff(np.append(at, len(a))))], ["a", "b", "c"])
+
+    met = blocks.mapInArrow(count, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("common"))
+    sized = met.join(numbered.select(F.col("s").alias("a"), F.col("source_id").alias("_a"), F.col("n").alias("x")), "a").join(numbered.select(F.col("s").alias("b"), F.col("source_id").alias("_b"), F.col("n").alias("y")), "b")
+    return sized.select(F.least("_a", "_b").alias("left_id"), F.greatest("_a", "_b").alias("right_id"), (F.col("common") / (F.col("x") + F.col("y") - F.col("common"))).alias("similarity"))
 
 
 #: The closed library: names that a caller may ask for.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut, small
 from . import graph as G
 from . import retrieve as R
 from .store import top_n_per
@@ -44,10 +45,15 @@ def two_hop_words(start: Column, first: Column, middle: Column, second: Column,
 
 
 def _named(df: DataFrame, names: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Adds the names of the nodes in the given columns."""
+    """Adds the names of the nodes in the given columns. Names are read once, those of these nodes alone."""
+    rows, ids = cut(df), None
+    for column in columns:
+        own = rows.select(F.col(column).alias("entity_id"))
+        ids = own if ids is None else ids.union(own)
+    some = small(names.join(small(ids.distinct()), "entity_id"))
     for column, name in columns.items():
-        df = df.join(names.select(F.col("entity_id").alias(column), F.col("name").alias(name)), column)
-    return df
+        rows = rows.join(some.select(F.col("entity_id").alias(column), F.col("name").alias(name)), column)
+    return rows
 
 
 def graph_facts(linked: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int = 25) -> DataFrame:
@@ -56,30 +62,30 @@ def graph_facts(linked: DataFrame, edges: DataFrame, nodes: DataFrame, limit: in
     `linked` has question_id, position and entity_id. All its entities give their edges, 4 * limit each; each
     pair of a question gives its shared neighbours, and an entity that is alone its paths of two edges, `limit`
     each. What is cut is last by confidence, then by ids. Facts are ranked by rank_facts(), statements once.
+    What is cut is cut once an entity or pair, before questions are joined to it.
     """
     names = nodes.select("entity_id", "name")
-    asked = linked.select("question_id", "position", "entity_id")
+    asked = small(linked.select("question_id", "position", "entity_id"))
+    known = small(asked.select("entity_id").distinct())
     ends = [edges.select(F.col(f"{end}_id").alias("entity_id"), "source_id", "relation", "target_id", "chunk_ids", "confidence") for end in ("source", "target")]
-    near = asked.join(ends[0], "entity_id").unionByName(asked.join(ends[1].where("source_id <> target_id"), "entity_id"))
-    near = top_n_per(near, ["question_id", "entity_id"], [F.desc_nulls_last("confidence"), "source_id", "relation", "target_id"], 4 * limit)
+    near = known.join(ends[0], "entity_id").unionByName(known.join(ends[1].where("source_id <> target_id"), "entity_id"))
+    near = asked.join(top_n_per(near, ["entity_id"], [F.desc_nulls_last("confidence"), "source_id", "relation", "target_id"], 4 * limit), "entity_id")
     near = _named(near, names, {"source_id": "s", "target_id": "t"})
     facts = near.select("question_id", one_hop_words(F.col("s"), F.col("relation"), F.col("t")).alias("statement"), F.lit(1).alias("hops"), F.lit(False).alias("between"), F.array("relation").alias("relation_path"), F.array("s", "t").alias("entities"), "chunk_ids", "confidence")
 
     left, right = asked.withColumnRenamed("entity_id", "start"), asked.select("question_id", F.col("position").alias("_p"), F.col("entity_id").alias("end"))
     pairs = left.join(right, "question_id").where("position < _p").select("question_id", "start", "end")  # a question links few entities
-    shared = G.shared_neighbour(edges, pairs).join(pairs, ["start", "end"])
-    shared = top_n_per(shared, ["question_id", "start", "end"], ["relation_1", "middle", "relation_2"], limit)
+    shared = top_n_per(G.shared_neighbour(edges, pairs), ["start", "end"], ["relation_1", "middle", "relation_2"], limit).join(pairs, ["start", "end"])
     shared = shared.select("question_id", F.col("start").alias("a"), "relation_1", F.col("middle").alias("b"), "relation_2", F.col("end").alias("c"), "chunk_ids", F.lit(True).alias("between"))
 
     alone = asked.groupBy("question_id").agg(F.count("*").alias("n"), F.first("entity_id").alias("node_0")).where("n = 1").select("question_id", "node_0")
-    paths = G.two_hop(edges, alone.select(F.col("node_0").alias("entity_id"))).join(alone, "node_0")
-    paths = top_n_per(paths, ["question_id"], ["relation_1", "node_1", "relation_2", "node_2"], limit)
+    paths = G.first_two_hop(edges, alone.select(F.col("node_0").alias("entity_id")), limit).join(alone, "node_0")
     paths = paths.select("question_id", F.col("node_0").alias("a"), "relation_1", F.col("node_1").alias("b"), "relation_2", F.col("node_2").alias("c"), "chunk_ids", F.lit(False).alias("between"))
 
     far = _named(shared.unionByName(paths), names, {"a": "x", "b": "y", "c": "z"})
     far = far.select("question_id", two_hop_words(F.col("x"), F.col("relation_1"), F.col("y"), F.col("relation_2"), F.col("z")).alias("statement"), F.lit(2).alias("hops"), "between", F.array("relation_1", "relation_2").alias("relation_path"), F.array("x", "y", "z").alias("entities"), "chunk_ids", F.lit(None).cast("double").alias("confidence"))
 
-    wanted = asked.join(names, "entity_id").groupBy("question_id").agg(F.collect_set(T.normalize_name(F.col("name"))).alias("_w"))
+    wanted = small(asked.join(names, "entity_id")).groupBy("question_id").agg(F.collect_set(T.normalize_name(F.col("name"))).alias("_w"))
     touched = F.transform("entities", lambda x: T.normalize_name(x))
     every = facts.unionByName(far).join(wanted, "question_id").withColumn("covered", F.size(F.array_intersect("_w", touched))).drop("_w")
     return R.rank_facts(every, limit)
@@ -103,7 +109,7 @@ def hybrid(questions: DataFrame, linked: DataFrame, edges: DataFrame, nodes: Dat
     counted = linked.groupBy("question_id").agg(F.count("*").cast("int").alias("entities"))
     routed = R.route(questions.join(counted, "question_id", "left").withColumn("entities", F.coalesce("entities", F.lit(0)))).drop("fallback")
     fused = routed.where("route <> 'vector'").select("question_id")
-    facts = graph_facts(linked.join(fused, "question_id", "left_semi"), edges, nodes, 3 * limit)
+    facts = cut(graph_facts(linked.join(fused, "question_id", "left_semi"), edges, nodes, 3 * limit))
     chunks = facts.select("question_id", "rank", F.posexplode("chunk_ids").alias("at", "item"))
     lists = passages.join(fused, "question_id", "left_semi").select("question_id", F.lit("vector").alias("list"), F.col("chunk_id").alias("item"), "rank").unionByName(first_occurrence(chunks, "question_id", "item", ["rank", "at"]).select("question_id", F.lit("graph").alias("list"), "item", "rank"))
     scores = R.rrf(lists)
