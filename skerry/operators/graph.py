@@ -22,9 +22,9 @@ PIECE, PAIRS = 512, 4_000_000
 def merge_edges(assertions: DataFrame) -> DataFrame:
     """Edges of assertions (source_id, relation, target_id, chunk_id, confidence, ordinal): chunk ids in order of first sight, the highest confidence, null as 0.
 
-    Assertions are shuffled once, by edge; chunks are told apart and listed where they then lie. Ids are of any type.
+    Assertions are shuffled once, by their ends; chunks are told apart and listed where they then lie. Ids are of any type.
     """
-    dealt = assertions.repartition("source_id", "relation", "target_id")
+    dealt = assertions.repartition("source_id", "target_id")  # a relation may be one literal, which Spark drops from keys
     first = dealt.groupBy("source_id", "relation", "target_id", "chunk_id").agg(F.min("ordinal").alias("o"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"))
     merged = first.groupBy("source_id", "relation", "target_id").agg(F.sort_array(F.collect_list(F.struct("o", "chunk_id"))).alias("_c"), F.max("c").alias("confidence"))
     return merged.select("source_id", "relation", "target_id", F.filter(F.col("_c")["chunk_id"], lambda x: x.isNotNull()).alias("chunk_ids"), "confidence")

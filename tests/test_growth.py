@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from skerry.plans.registry import QUERIES  # before plans.graph, which it imports
 
+from skerry.operators import evaluate, overlap
 from skerry.operators import graph as G
 from skerry.operators import hybrid as H
 from skerry.plans import graph as P
+from skerry.plans import retrieval
 
 SF = "/root/testdata/sf0.001"
 EDGE = "source_id string, relation string, target_id string, chunk_ids array<string>, confidence double"
@@ -28,3 +30,18 @@ def test_patterns_without_chunks_store_no_edges(spark, monkeypatch, name):
 
     monkeypatch.setattr(P, "scratch", none)
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_edges_are_merged_in_one_shuffle(spark):
+    rows = [("a", "r", "b", "c2", 0.5, 2), ("a", "r", "b", "c1", None, 1), ("a", "r", "b", "c2", 0.7, 0), ("a", "r", "b", None, 0.1, 5), ("b", "r", "a", "c1", None, 1)]
+    merged = G.merge_edges(spark.createDataFrame(rows, "source_id string, relation string, target_id string, chunk_id string, confidence double, ordinal int"))
+    assert _plan(merged).count("Exchange hashpartitioning") == 1
+    got = {(r.source_id, r.target_id): (r.chunk_ids, r.confidence) for r in merged.collect()}
+    assert got == {("a", "b"): (["c2", "c1"], 0.7), ("b", "a"): (["c1"], 0.0)}
+
+
+def test_shared_neighbour_takes_edges_at_both_ends_alone(spark):
+    edges = spark.createDataFrame([("x", "r", "m", ["1"], 1.0), ("y", "r", "m", ["2"], 1.0), ("z", "r", "m", ["3"], 1.0), ("m", "s", "y", ["4"], 1.0)], EDGE)
+    found = G.shared_neighbour(edges, spark.createDataFrame([("x", "y")], "start string, end string"))
+    assert "LeftSemi" in _plan(found)
+    assert sorted((r.start, r.relation_1, r.middle, r.relation_2, r.end, tuple(r.chunk_ids)) for r in found.collect()) == [("x", "r", "m", "r", "y", ("1", "2")), ("x", "r", "m", "s", "y", ("1", "4"))]
