@@ -45,3 +45,13 @@ def test_shared_neighbour_takes_edges_at_both_ends_alone(spark):
     found = G.shared_neighbour(edges, spark.createDataFrame([("x", "y")], "start string, end string"))
     assert "LeftSemi" in _plan(found)
     assert sorted((r.start, r.relation_1, r.middle, r.relation_2, r.end, tuple(r.chunk_ids)) for r in found.collect()) == [("x", "r", "m", "r", "y", ("1", "2")), ("x", "r", "m", "s", "y", ("1", "4"))]
+
+
+def test_neighbour_jaccard_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(G, "PIECE", 4)
+    monkeypatch.setattr(G, "PAIRS", 7)
+    of = {f"s{i}": {"hub"} | {f"t{i % 3}", f"u{i % 5}"} for i in range(19)} | {"lone": {"other"}}
+    edges = spark.createDataFrame([(s, "R", t) for s, ts in of.items() for t in ts] * 2, "source_id string, relation string, target_id string")
+    want = {(a, b): len(of[a] & of[b]) / len(of[a] | of[b]) for a, b in combinations(sorted(of), 2) if of[a] & of[b]}
+    got = G.neighbour_jaccard(edges, "R").collect()
+    assert len(got) == len(want) and {(r.left_id, r.right_id): r.similarity for r in got} == want
