@@ -55,3 +55,11 @@ def test_neighbour_jaccard_of_hubs(spark, monkeypatch):
     want = {(a, b): len(of[a] & of[b]) / len(of[a] | of[b]) for a, b in combinations(sorted(of), 2) if of[a] & of[b]}
     got = G.neighbour_jaccard(edges, "R").collect()
     assert len(got) == len(want) and {(r.left_id, r.right_id): r.similarity for r in got} == want
+
+
+def test_shortest_path_stores_bare_ends(spark, monkeypatch):
+    monkeypatch.setattr(P, "_STORED", {})
+    made, scratch = [], P.scratch
+    monkeypatch.setattr(P, "scratch", lambda s, name: made.append(name) or scratch(s, name))
+    assert QUERIES["shortest_path"](spark, SF).count() > 0
+    assert made == ["ends"]
