@@ -63,3 +63,27 @@ def test_shortest_path_stores_bare_ends(spark, monkeypatch):
     monkeypatch.setattr(P, "scratch", lambda s, name: made.append(name) or scratch(s, name))
     assert QUERIES["shortest_path"](spark, SF).count() > 0
     assert made == ["ends"]
+
+
+@pytest.mark.parametrize("limit", [1, 3, 50])
+def test_first_paths_are_the_first_of_all(spark, limit):
+    rows = [("s", "r", f"m{i:03d}", [f"c{i}"], 1.0) for i in range(60)]  # most lead nowhere
+    rows += [(f"m{i:03d}", "q", f"n{j}", [f"d{i}.{j}"], 1.0) for i in (37, 52, 59) for j in range(2)] + [("t", "q", "s", ["e"], 1.0), ("u", "q", "v", ["f"], 1.0)]
+    edges = spark.createDataFrame(rows, EDGE)
+    seeds = spark.createDataFrame([("s",), ("t",), ("u",)], "entity_id string")
+    order = ["node_0", "relation_1", "node_1", "relation_2", "node_2"]
+    every, want = sorted(tuple(r[c] for c in [*order, "chunk_ids"]) for r in G.two_hop(edges, seeds).collect()), []
+    for s in "stu":
+        want += [p for p in every if p[0] == s][:limit]
+    assert sorted(tuple(r[c] for c in [*order, "chunk_ids"]) for r in G.first_two_hop(edges, seeds, limit).collect()) == want
+
+
+def test_facts_do_not_list_all_paths(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("all paths of two edges were listed")
+
+    monkeypatch.setattr(G, "paths", none)
+    edges = spark.createDataFrame([("s", "R", "m", ["1"], 1.0), ("m", "R", "n", ["2"], 1.0)], EDGE)
+    nodes = spark.createDataFrame([(x, x.upper()) for x in "smn"], "entity_id string, name string")
+    facts = H.graph_facts(spark.createDataFrame([(1, 0, "s")], "question_id long, position int, entity_id string"), edges, nodes, 5)
+    assert sorted((r.hops, tuple(r.chunk_ids)) for r in facts.collect()) == [(1, ("1",)), (2, ("1", "2"))]
