@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,27 +14,34 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def grams(of: Column, n: int) -> Column:
-    """All runs of n words, in order, repeats included."""
-    many = F.size(of) - (n - 1)
-    return F.when(many > 0, F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.array_join(F.slice(of, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
-def _named(n: int):
-    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
-
-
 def clipped(pairs: DataFrame, keys: list[str], candidate: str, reference: str, most: int = 4) -> DataFrame:
     """keys, n, matched, candidate_grams, reference_grams for n = 1 to `most`; a gram matches as often as both texts have it.
 
-    Grams are counted by a shuffle on pair and gram, partly before it, so a pair of any length is never compared in one place.
+    A pair's texts lie in one row, and their grams are counted there, one pair at a time: no gram is shuffled. Rows of equal keys count as one pair.
     """
-    sides = [pairs.select(*keys, F.lit(s).alias("_s"), words(F.col(c)).alias("_w")) for s, c in ((0, candidate), (1, reference))]
-    every = sides[0].unionByName(sides[1])
-    runs = F.flatten(F.array(*[F.transform(grams(F.col("_w"), n), _named(n)) for n in range(1, most + 1)]))
-    each = every.select(*keys, "_s", F.explode(runs).alias("r")).select(*keys, "_s", "r.n", "r.g")
-    counted = each.groupBy(*keys, "n", "g").agg(F.count_if(F.col("_s") == 0).alias("c"), F.count_if(F.col("_s") == 1).alias("r"))
-    return counted.groupBy(*keys, "n").agg(F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("candidate_grams"), F.sum("r").alias("reference_grams"))
+    sides = F.struct(words(F.col(candidate)).alias("x"), words(F.col(reference)).alias("y"))
+    rows = pairs.select(*keys, sides.alias("_s")).groupBy(*keys).agg(F.collect_list("_s").alias("_s"))
+    names = ["n", "matched", "candidate_grams", "reference_grams"]
+
+    def runs(texts: list[list[str]], n: int) -> Counter:
+        return Counter(" ".join(t[i : i + n]) for t in texts for i in range(len(t) - n + 1))
+
+    def count(batches):
+        for batch in batches:
+            at, out = [], []
+            for row, sides in enumerate(batch.column(len(keys))):
+                x, y = ([s[c] for s in sides.as_py()] for c in "xy")
+                for n in range(1, most + 1):
+                    a, b = runs(x, n), runs(y, n)
+                    if a or b:
+                        at.append(row)
+                        out.append((n, (a & b).total(), a.total(), b.total()))
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array([o[i] for o in out], t) for i, t in enumerate(types)]], [*keys, *names])
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInArrow(count, f"{kinds}, n int, matched long, candidate_grams long, reference_grams long")
 
 
 def rouge_n(counts: DataFrame) -> DataFrame:

@@ -87,3 +87,10 @@ def test_facts_do_not_list_all_paths(spark, monkeypatch):
     nodes = spark.createDataFrame([(x, x.upper()) for x in "smn"], "entity_id string, name string")
     facts = H.graph_facts(spark.createDataFrame([(1, 0, "s")], "question_id long, position int, entity_id string"), edges, nodes, 5)
     assert sorted((r.hops, tuple(r.chunk_ids)) for r in facts.collect()) == [(1, ("1",)), (2, ("1", "2"))]
+
+
+def test_grams_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "a b a", "a a c"), (1, "c", "d"), (2, None, "")], "k int, x string, y string")
+    found = overlap.clipped(df, ["k"], "x", "y", 2)
+    assert "Generate" not in _plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 3, 4, 4), (1, 2, 0, 2, 2)]
