@@ -82,9 +82,9 @@ def regression_gate(baseline: DataFrame, candidate: DataFrame, by: str, score: s
 def run_benchmark(questions: DataFrame, gold: DataFrame, modes: dict[str, DataFrame], k: int = 5, categories: list | None = None, first: int | None = None) -> DataFrame:
     """question_id, category, mode, found, wanted, recall and hit of each question under each mode, the same questions for all.
 
-    questions (question_id, category), gold (question_id, item), and for each mode ranked items (question_id, item, rank).
+    questions (question_id, category), gold (question_id, item) or (category, item), and for each mode ranked items (question_id, item, rank).
     `categories` keeps those only, `first` the first so many questions by id; then the first k items of a question
-    count. A question without gold has recall 1 and a hit; one of which a mode found nothing stays, with none found.
+    count. Gold of a category is that of all its questions but for the item of a question's own id. A question without gold has recall 1 and a hit; one of which a mode found nothing stays, with none found.
     """
     if k < 1 or (first is not None and first < 1) or (categories is not None and not categories):
         raise ValueError("k and first must be at least 1, and categories not empty")
@@ -93,13 +93,20 @@ def run_benchmark(questions: DataFrame, gold: DataFrame, modes: dict[str, DataFr
         asked = asked.where(F.col("category").isin(*categories))
     if first is not None:
         asked = asked.orderBy("question_id").limit(first)
-    right = gold.select("question_id", "item").distinct()
-    wanted = right.groupBy("question_id").agg(F.count("*").alias("wanted"))
+    by = "question_id" if "question_id" in gold.columns else "category"
+    right = gold.select(by, "item").distinct()
+    wanted = right.groupBy(by).agg(F.count("*").alias("wanted"))
+    if by == "category":  # pairs of questions and gold would be as many as their product
+        own = asked.join(right.withColumnRenamed("item", "question_id"), ["category", "question_id"], "left_semi").select("question_id", F.lit(1).alias("_own"))
+        wanted = asked.join(wanted, "category").join(own, "question_id", "left").select("question_id", (F.col("wanted") - F.coalesce("_own", F.lit(0))).alias("wanted")).where("wanted > 0")
     ranked = None
     for mode, items in modes.items():
         some = items.where(F.col("rank") <= k).select("question_id", "item", F.lit(mode).alias("mode"))
         ranked = some if ranked is None else ranked.unionByName(some)
-    found = ranked.distinct().join(right, ["question_id", "item"], "left_semi").groupBy("question_id", "mode").agg(F.count("*").alias("found"))
+    ranked = ranked.distinct()
+    if by == "category":
+        ranked = ranked.where("item <> question_id").join(asked, "question_id")
+    found = ranked.join(right, [by, "item"], "left_semi").groupBy("question_id", "mode").agg(F.count("*").alias("found"))
     each = asked.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).join(found, ["question_id", "mode"], "left").join(wanted, "question_id", "left")
     none = F.col("wanted").isNull()
     each = each.withColumns({"found": F.coalesce("found", F.lit(0)), "recall": F.when(none, 1.0).otherwise(F.coalesce("found", F.lit(0)) / F.col("wanted")), "hit": none | (F.coalesce("found", F.lit(0)) > 0)})

@@ -94,3 +94,12 @@ def test_grams_are_not_shuffled(spark):
     found = overlap.clipped(df, ["k"], "x", "y", 2)
     assert "Generate" not in _plan(found)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 3, 4, 4), (1, 2, 0, 2, 2)]
+
+
+def test_gold_of_categories(spark):
+    q = spark.createDataFrame([(1, "a"), (2, "a"), (9, "a"), (5, "b"), (7, "c")], "question_id long, category string")
+    gold = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("a", 3), ("b", 5)], "category string, item long")
+    pairs = q.join(gold, "category").where("item <> question_id").select("question_id", "item")
+    ranked = spark.createDataFrame([(1, 1, 1), (1, 3, 2), (2, 5, 1), (5, 5, 1), (9, 2, 1), (9, 3, 2)], "question_id long, item long, rank int")
+    got, want = ([tuple(r) for r in evaluate.run_benchmark(q, g, {"m": ranked}).orderBy("question_id").collect()] for g in (gold, pairs))
+    assert got == want and [r[4] for r in got] == [2, 2, 0, 0, 3]
