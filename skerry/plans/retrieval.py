@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieve as R
+from ..operators.store import top_n_per
 from ..sources.tables import table
 from . import vector
 from .registry import query
@@ -70,7 +71,8 @@ def ranked_lists(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     near = vector.knn(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.lit("vector").alias("list"), F.col("vec_id").alias("item"), "rank")
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "label")
-    mates = q.join(v.select(F.col("vec_id").alias("item"), "label"), "label").where("item <> question_id")
+    first = top_n_per(v.select(F.col("vec_id").alias("item"), "label"), ["label"], ["item"], 11)  # ten, and the question's own
+    mates = q.join(first, "label").where("item <> question_id")
     order = Window.partitionBy("question_id").orderBy("item")
     graph = mates.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("question_id", F.lit("graph").alias("list"), "item", "rank")
     return near.unionByName(graph)

@@ -103,3 +103,8 @@ def test_gold_of_categories(spark):
     ranked = spark.createDataFrame([(1, 1, 1), (1, 3, 2), (2, 5, 1), (5, 5, 1), (9, 2, 1), (9, 3, 2)], "question_id long, item long, rank int")
     got, want = ([tuple(r) for r in evaluate.run_benchmark(q, g, {"m": ranked}).orderBy("question_id").collect()] for g in (gold, pairs))
     assert got == want and [r[4] for r in got] == [2, 2, 0, 0, 3]
+
+
+def test_label_lists_are_cut_before_questions_join(spark):
+    plan = retrieval.ranked_lists(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(label" in plan
