@@ -2,12 +2,13 @@
 
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skerry.plans.registry import QUERIES  # before plans.graph, which it imports
 
-from skerry.operators import evaluate, overlap
+from skerry.operators import ann, evaluate, overlap
 from skerry.operators import graph as G
 from skerry.operators import hybrid as H
 from skerry.plans import graph as P
@@ -108,3 +109,27 @@ def test_gold_of_categories(spark):
 def test_label_lists_are_cut_before_questions_join(spark):
     plan = retrieval.ranked_lists(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(label" in plan
+
+
+def _vectors(spark, n, dim=12, labels=3):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    x[n // 2] = x[0]
+    x[1] = 0
+    rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, rng.integers(0, labels, n)))]
+    odd = [(n, None, 0), (n + 1, [None] * dim, 0), (n + 2, [1.0, 2.0], 0), (n + 3, [2.0, 4.0], 0), (n + 4, x[2].tolist(), None)]
+    return x, [r[2] for r in rows], spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
+
+
+@pytest.mark.parametrize("piece", [8192, 9])
+def test_similarity_join_meets_in_pieces(spark, monkeypatch, piece):
+    """Pairs are scored where pieces meet, and none is a row of a Spark join."""
+    monkeypatch.setattr(ann, "PIECE", piece)
+    monkeypatch.setattr(ann, "PAIRS", 50)
+    x, label, df = _vectors(spark, 90)
+    found = ann.similarity_join(df, "label", 0.3)
+    assert "a_id#" not in "".join(line for line in _plan(found).splitlines() if "Join" in line) and "MapInArrow" in _plan(found)
+    unit = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-300)
+    want = {(a, b): round(float(unit[a] @ unit[b]), 6) for a, b in combinations(range(90), 2) if label[a] == label[b] and unit[a] @ unit[b] >= 0.3}
+    got = found.collect()
+    assert len(got) == len(want) + 1 and {(r.a_id, r.b_id): r.score for r in got} == pytest.approx(want | {(92, 93): 1.0})
