@@ -6,6 +6,8 @@ chunk_ids, confidence). Patterns match edges in both directions, and one match n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +32,15 @@ def merge_edges(assertions: DataFrame) -> DataFrame:
     return merged.select("source_id", "relation", "target_id", F.filter(F.col("_c")["chunk_id"], lambda x: x.isNotNull()).alias("chunk_ids"), "confidence")
 
 
+#: A table of edges, or what gives the edges that have one of some nodes (entity_id) at an end, and maybe more.
+Edges = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def edges_at(edges: Edges, ids: DataFrame) -> DataFrame:
+    """Edges among which are all those at the nodes. What a function gives for them is stored, as it may be read more than once."""
+    return cut(edges(ids.distinct())) if callable(edges) else edges
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(edge, a, relation, b, forward, chunk_ids, confidence) of each edge seen from each end."""
     e = edges.withColumn("edge", F.xxhash64("source_id", "relation", "target_id"))
@@ -71,34 +82,40 @@ def _with_chunks(now: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return now.select(*keep, F.concat(*[F.col(f"chunks_{k}") for k in range(1, hops + 1)]).alias("chunk_ids"))
 
 
-def first_two_hop(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+def first_two_hop(edges: Edges, seeds: DataFrame, limit: int) -> DataFrame:
     """The first `limit` paths of two edges from each seed, by relation_1, node_1, relation_2, node_2; columns of paths().
 
     All paths by a seed's earlier first edges come before those by later ones. So its first edges are tried in order, 4 * limit
     of them; a seed that then lacks paths and has more edges goes on with 16 times as many, up to all. Chunk ids are joined last.
+    Edges may be a function, see edges_at(): it is asked for those at the seeds, and for those at the ends of edges that are tried.
     """
-    bi = both_ways(edges).drop("chunk_ids", "confidence")
     one, two = ([F.col("edge").alias(f"edge_{h}"), F.col("a").alias(f"node_{h - 1}"), F.col("relation").alias(f"relation_{h}"), F.col("b").alias(f"node_{h}"), F.col("forward").alias(f"forward_{h}")] for h in (1, 2))
     left = small(seeds.select(F.col("entity_id").alias("node_0")).distinct())
+    begin = _bare(edges_at(edges, left.select(F.col("node_0").alias("entity_id"))))
     tried, found = 4 * limit, None
     while True:
-        first = bi.select(one).join(left, "node_0").where("node_1 <> node_0")
+        first = begin.select(one).join(left, "node_0").where("node_1 <> node_0")
         first = small(top_n_per(first, ["node_0"], ["relation_1", "node_1", "forward_1"], tried + 1))
         place = F.row_number().over(Window.partitionBy("node_0").orderBy("relation_1", "node_1", "forward_1"))
         placed = first.withColumn("_p", place)
         more = placed.where(F.col("_p") > tried).select("node_0")
         step = small(placed.where(F.col("_p") <= tried).drop("_p"))
-        met = bi.select(two).join(step, "node_1").where("node_2 <> node_0 and node_2 <> node_1 and edge_2 <> edge_1")
+        further = edges_at(edges, step.select(F.col("node_1").alias("entity_id")))
+        met = _bare(further).select(two).join(step, "node_1").where("node_2 <> node_0 and node_2 <> node_1 and edge_2 <> edge_1")
         best = cut(top_n_per(met, ["node_0"], ["relation_1", "node_1", "relation_2", "node_2", "forward_1", "forward_2"], limit))
         full = best.groupBy("node_0").agg(F.count("*").alias("_k")).where(F.col("_k") >= limit).select("node_0")
         left = small(more.join(full, "node_0", "left_anti"))
-        done = best.join(left, "node_0", "left_anti")
+        done = _with_chunks(small(best.join(left, "node_0", "left_anti")), further, 2)  # both edges of a path are at node_1
         found = done if found is None else found.unionByName(done)
         if left.isEmpty():
-            return _with_chunks(small(found), edges, 2)
+            return found
         tried *= 16
 
 
+def _bare(edges: DataFrame) -> DataFrame:
+    return both_ways(edges).drop("chunk_ids", "confidence")
+
+
 def two_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return paths(edges, seeds, 2)
 

@@ -56,18 +56,19 @@ def _named(df: DataFrame, names: DataFrame, columns: dict[str, str]) -> DataFram
     return rows
 
 
-def graph_facts(linked: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int = 25) -> DataFrame:
+def graph_facts(linked: DataFrame, edges: G.Edges, nodes: DataFrame, limit: int = 25) -> DataFrame:
     """question_id, rank, statement, hops, between, relation_path, entities, chunk_ids, covered and score of each question's facts.
 
     `linked` has question_id, position and entity_id. All its entities give their edges, 4 * limit each; each
     pair of a question gives its shared neighbours, and an entity that is alone its paths of two edges, `limit`
     each. What is cut is last by confidence, then by ids. Facts are ranked by rank_facts(), statements once.
-    What is cut is cut once an entity or pair, before questions are joined to it.
+    What is cut is cut once an entity or pair, before questions are joined to it. Edges may be a function, see graph.edges_at().
     """
     names = nodes.select("entity_id", "name")
     asked = small(linked.select("question_id", "position", "entity_id"))
     known = small(asked.select("entity_id").distinct())
-    ends = [edges.select(F.col(f"{end}_id").alias("entity_id"), "source_id", "relation", "target_id", "chunk_ids", "confidence") for end in ("source", "target")]
+    own = G.edges_at(edges, known)
+    ends = [own.select(F.col(f"{end}_id").alias("entity_id"), "source_id", "relation", "target_id", "chunk_ids", "confidence") for end in ("source", "target")]
     near = known.join(ends[0], "entity_id").unionByName(known.join(ends[1].where("source_id <> target_id"), "entity_id"))
     near = asked.join(top_n_per(near, ["entity_id"], [F.desc_nulls_last("confidence"), "source_id", "relation", "target_id"], 4 * limit), "entity_id")
     near = _named(near, names, {"source_id": "s", "target_id": "t"})
@@ -75,7 +76,7 @@ def graph_facts(linked: DataFrame, edges: DataFrame, nodes: DataFrame, limit: in
 
     left, right = asked.withColumnRenamed("entity_id", "start"), asked.select("question_id", F.col("position").alias("_p"), F.col("entity_id").alias("end"))
     pairs = left.join(right, "question_id").where("position < _p").select("question_id", "start", "end")  # a question links few entities
-    shared = top_n_per(G.shared_neighbour(edges, pairs), ["start", "end"], ["relation_1", "middle", "relation_2"], limit).join(pairs, ["start", "end"])
+    shared = top_n_per(G.shared_neighbour(own, pairs), ["start", "end"], ["relation_1", "middle", "relation_2"], limit).join(pairs, ["start", "end"])
     shared = shared.select("question_id", F.col("start").alias("a"), "relation_1", F.col("middle").alias("b"), "relation_2", F.col("end").alias("c"), "chunk_ids", F.lit(True).alias("between"))
 
     alone = asked.groupBy("question_id").agg(F.count("*").alias("n"), F.first("entity_id").alias("node_0")).where("n = 1").select("question_id", "node_0")
@@ -97,7 +98,7 @@ def first_occurrence(rows: DataFrame, by: str, item: str, order: list[str]) -> D
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("_o", item))).drop("_o")
 
 
-def hybrid(questions: DataFrame, linked: DataFrame, edges: DataFrame, nodes: DataFrame, passages: DataFrame, limit: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hybrid(questions: DataFrame, linked: DataFrame, edges: G.Edges, nodes: DataFrame, passages: DataFrame, limit: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(answers, passages, facts) of questions (question_id, question) and their vector passages (question_id, chunk_id, rank).
 
     answers: question_id, route, confidence, entities (linked), n_facts and fallback: a graph route that found

@@ -59,7 +59,7 @@ fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDE
 @query("graph_retrieve", f"WITH {_facts(25)} SELECT question_id, CAST(rank AS INTEGER) AS rank, statement, hops, round(score, 6) AS score, sha256(chunks) AS chunks FROM fr")
 def graph_retrieve(spark, sf_dir):
     """Facts in words: edges of each linked nation, what two nations share, paths of two edges from one alone."""
-    f = H.graph_facts(_linked(spark, sf_dir), G.edges(spark, sf_dir), G.nodes(spark, sf_dir), 25)
+    f = H.graph_facts(_linked(spark, sf_dir), G.edges_at(spark, sf_dir), G.nodes(spark, sf_dir), 25)
     return f.select("question_id", "rank", "statement", "hops", F.round("score", 6).alias("score"), F.sha2(F.array_join("chunk_ids", "|"), 256).alias("chunks"))
 
 
@@ -91,7 +91,7 @@ def hybrid_evidence(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir):
-    return H.hybrid(questions(spark, sf_dir), _linked(spark, sf_dir), G.edges(spark, sf_dir), G.nodes(spark, sf_dir), _passages(spark, sf_dir))
+    return H.hybrid(questions(spark, sf_dir), _linked(spark, sf_dir), G.edges_at(spark, sf_dir), G.nodes(spark, sf_dir), _passages(spark, sf_dir))
 
 
 @query("routing_by_passages", _HYBRID + " SELECT route, coalesce(np, 0) AS passages, count(*) AS n, round(avg(confidence), 6) AS confidence FROM q LEFT JOIN (SELECT question_id, count(*) AS np FROM hp GROUP BY 1) USING (question_id) GROUP BY 1, 2")

@@ -145,3 +145,21 @@ def test_lsh_shuffles_no_candidates(spark, monkeypatch):
     monkeypatch.setattr(ann, "PART", 11)
     rows = sorted(map(tuple, once.collect()))
     assert len(rows) == 3 * 43 and sorted(map(tuple, ann.lsh_knn(asked, df, 3, bits=2).collect())) == rows
+
+
+def test_hybrid_queries_merge_edges_at_nations_and_tried_nodes_alone(spark, monkeypatch):
+    monkeypatch.setattr(P, "_STORED", {})
+
+    def none(*_):
+        raise AssertionError("all edges were merged")
+
+    monkeypatch.setattr(P, "_merged", none)
+    assert QUERIES["graph_retrieve"](spark, SF).count() > 0
+
+
+def test_edges_at_nodes_are_those_of_all_edges(spark):
+    every = P.edges(spark, SF).where("source_id in ('C3', 'S2', 'R1', 'P5', 'N4') or target_id in ('C3', 'S2', 'R1', 'P5', 'N4')")
+    ids = spark.createDataFrame([(x,) for x in ("C3", "S2", "R1", "P5", "N4")], "entity_id string")
+    plain = lambda df: sorted((r.source_id, r.relation, r.target_id, tuple(r.chunk_ids), r.confidence) for r in df.collect())
+    assert plain(P.edges_at(spark, SF)(ids)) == plain(every) and every.count() > 50
+    assert P.edges_at(spark, SF)(ids.where("false")).collect() == []
