@@ -174,3 +174,19 @@ def test_all_that_goes_is_found_by_the_method(spark, monkeypatch):
     monkeypatch.setattr(automaton, "earlier_windows", lambda window: lambda rows: [([], []) for _ in rows])
     assert {r.n_removed for r in suffix_array.remove_repeats(df, 40, 8).collect()} == {0}
     assert {r.n_removed for r in automaton.remove_repeats(df, 8, 3).collect()} == {0}
+
+
+def test_members_are_not_checkpointed(spark, monkeypatch):
+    """What a checkpoint would hold uncompressed, the members and contexts, is stored as Parquet."""
+    from skerry.llm import automaton, repeats
+
+    plain = repeats.cut
+
+    def watched(df):
+        assert "held" not in df.columns and "context" not in df.columns
+        return plain(df)
+
+    monkeypatch.setattr(repeats, "cut", watched)
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, "a " + text)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in automaton.remove_repeats(docs).collect()} == {1: 0, 2: 40}
