@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate components by pigeonhole blocks; similar() is by min-hashes.
+"""SimHash fingerprints and near-duplicate components by pigeonhole blocks; similar() adds min-hashes.
 
 Fingerprints of 64 bits are cut into `blocks` pieces. Two that differ in at most `distance` bits agree on
 blocks - distance of them, so each choice of that many blocks is a key, and rows are joined on the keys.
@@ -111,19 +111,31 @@ def _bands(own: np.ndarray) -> np.ndarray:
 _EDGE = ["a", "b"]
 
 
+def _near_prints(rows: DataFrame) -> DataFrame:
+    """(a, b): edges of nodes whose fingerprints are linked as near_duplicates() links them, as few as connect the same ones. A node has those of all its texts."""
+    own = cut(rows.distinct())
+    lead = own.groupBy("fp").agg(F.min("node").alias("a"))
+    equal = own.join(lead, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    near = links(own).select(F.col("a").alias("fp"), F.col("b").alias("_f"))
+    near = near.join(lead, "fp").join(lead.select(F.col("fp").alias("_f"), F.col("a").alias("b")), "_f").where("a <> b")
+    return equal.unionByName(near.select("a", "b"))
+
+
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, members: int = prefix_tree.TREE_MEMBERS) -> DataFrame:
     """key (of doc_id and text, as repeats.keyed has it), doc_id and class of each row: see similar()."""
     base, secret = repeats.keyed(docs), vec.shingle_key(words)
 
     def run(batches):
         for batch in batches:
-            node, keys = [], []
-            for own in _sets(batch.column(2), secret):
-                node.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
-                keys.append(_bands(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(keys, pa.binary())], ["key", "doc_id", "node", "bands"])
-
-    rows = cut(base.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, node long, bands binary"))
+            for part in vec.slices(batch, 2, 64, 1 << 20):
+                node, keys = [], []
+                for own in _sets(part.column(2), secret):
+                    node.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                    keys.append(_bands(own).tobytes() if len(own) else None)
+                fp = _prints(part.column(2).to_pylist(), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(fp)], ["key", "doc_id", "node", "bands", "fp"])
+
+    rows = cut(base.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, node long, bands binary, fp long"))
     nodes = rows.where("bands is not null").groupBy("node").agg(F.min(F.struct("key", "bands")).alias("m")).select("node", "m.*")
 
     def keyed(batches):
@@ -146,7 +158,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, me
             yield pa.RecordBatch.from_arrays([pa.array(first[pair]), pa.array(node[pair])], _EDGE)
 
     met = nodes.select("node", "bands").mapInArrow(keyed, "band long, node long")
-    candidates = met.repartition("band").sortWithinPartitions("band", "node").mapInArrow(bucket, "a long, b long").distinct()
+    candidates = met.repartition("band").sortWithinPartitions("band", "node").mapInArrow(bucket, "a long, b long").unionByName(_near_prints(rows.where("bands is not null").select("node", "fp"))).distinct()
     clusters = cut(connected_components(candidates).select("node", F.col("component").alias("cluster")))
     asked = cut(nodes.select("node", "key").join(clusters, "node"))
 
@@ -163,8 +175,8 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, me
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, members: int = prefix_tree.TREE_MEMBERS) -> DataFrame:
     """doc_id and component_id of documents whose sets of word shingles are alike by `similarity` (Jaccard) or more.
 
-    That is too far for the 4 bits of one fingerprint, so candidates are texts that share one of 20 bands of 6
-    min-hashes: a chance of 0.9977 at a similarity of 0.8, 0.9999 at 0.85, all but 1 at 0.9. Texts of one set
+    Candidates are texts whose fingerprints are linked, as in near_duplicates() but of `words` words. The similarity may be
+    too far for these 4 bits, so candidates are also texts that share one of 20 bands of 6 min-hashes: a chance of 0.9977 at a similarity of 0.8, 0.9999 at 0.85, all but 1 at 0.9. Texts of one set
     are one node. Nodes that share a band are linked to the bucket's least, and what hangs together so is a
     cluster; in it all pairs, sharing a band or not, count by their exact similarity, found by prefix
     trees. Clusters of more than `members` members are not brought together, but dealt to trees of that size

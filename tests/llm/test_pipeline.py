@@ -272,3 +272,13 @@ def test_pipeline(spark, docs, labels):
     assert clean.columns == docs.columns
     out = stages["encoding"](spark, clean, SF).collect()
     assert all(len(r.ids) == r.n_tokens and hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 for r in out)
+
+
+def test_similar_takes_candidates_from_fingerprints(spark, monkeypatch):
+    """Near copies that share no band of min-hashes are found by their fingerprints alone."""
+    drawn = iter(range(1, 1 << 40))
+    monkeypatch.setattr(simhash, "_bands", lambda own: simhash.np.array([next(drawn) * 977 + hash(own.tobytes()) % (1 << 50) for _ in range(simhash.BANDS)], simhash.np.uint64))
+    text = [f"w{i}" for i in range(900)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text, "more"])), (3, " ".join(text[::-1]))]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
