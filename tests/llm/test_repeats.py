@@ -190,3 +190,53 @@ def test_members_are_not_checkpointed(spark, monkeypatch):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, text), (2, "a " + text)], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in automaton.remove_repeats(docs).collect()} == {1: 0, 2: 40}
+
+
+def test_refinement_sorts_few_plain_numbers(monkeypatch):
+    """A batch goes to 400 bytes in at most six sorts of plain keys and none of an order: what it costs is mostly these."""
+    rnd = random.Random(8)
+    passage = bytes(rnd.choices(b"abcdefgh ", k=1500))
+    texts = [passage[rnd.randint(0, 400) : 1500 - rnd.randint(0, 400)] + bytes(rnd.choices(b"abcdefgh ", k=300)) for _ in range(50)]
+    sizes = [len(t) for t in texts]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    sorts = []
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: pytest.fail("an order is sorted"))
+    shared = getattr(suffix_array, "_shared", None)
+    monkeypatch.setattr(suffix_array, "_shared", lambda *a: sorts.append(len(a[2])) or shared(*a), raising=False)
+    got = suffix_array.refine(data, ends, 400)
+    monkeypatch.undo()
+    assert 1 < len(sorts) <= 6 and sum(sorts) <= 6 * len(data)
+    seen = {}
+    for i in range(len(data) - 399):
+        if i + 400 <= ends[i]:
+            seen.setdefault(bytes(data[i : i + 400]), []).append(i)
+    assert {tuple(x) for x in seen.values() if len(x) > 1} == {tuple(np.flatnonzero(got == b)) for b in set(got[got >= 0])}
+
+
+@pytest.mark.parametrize("bits", [63, 40, 16])
+@pytest.mark.parametrize("length", [8, 13, 100])
+def test_refinement_with_any_room_in_a_key(monkeypatch, bits, length):
+    """Keys of several bucket numbers, of two, and such as hold no place beside them; strings that end where a step lands; positions that stand for more."""
+    monkeypatch.setattr(suffix_array, "KEY_BITS", bits)
+    rnd = random.Random(bits + length)
+    base = bytes(rnd.choices(b"ab\xff", k=300))
+    texts = [base, base[:100], base[100:], b"", base[50:150], base[100:116], b"a" * 200, base[:13], base[13:26], bytes(range(256))]
+    sizes = [len(t) for t in texts]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    often = np.repeat([i in (4, 9) for i in range(len(texts))], sizes)
+    got = suffix_array.refine(data, ends, length, often=often)
+    seen = {}
+    for i in range(len(data)):
+        if i + length <= ends[i]:
+            seen.setdefault(bytes(data[i : i + length]), []).append(i)
+    want = {tuple(x) for x in seen.values() if len(x) > 1 or often[x[0]]}
+    assert want == {tuple(np.flatnonzero(got == b)) for b in set(got[got >= 0])}
+
+
+def test_hashes_of_all_pieces():
+    units = vec.mix(np.arange(1, 500, dtype=np.uint64))
+    for gram in (1, 6, 32, 499):
+        at = np.arange(len(units) - gram + 1)
+        assert (vec.pieces(units, gram) == vec.ranged(vec.prefix(units), at, at + gram)).all()
