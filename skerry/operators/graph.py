@@ -150,9 +150,9 @@ def count_by_relation(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, exam
     return named.groupBy(F.col("a").alias("seed_id"), "relation").agg(F.count_distinct("b").alias("degree"), F.slice(F.sort_array(F.collect_set("name")), 1, examples).alias("examples"))
 
 
-def neighbourhood(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): the seeds, what they touch, and the edges at seeds."""
-    at = neighbours(edges, seeds).drop("seed_id", "hops").distinct()
+def neighbourhood(edges: Edges, nodes: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the seeds, what they touch, and the edges at seeds. Edges may be a function, see edges_at()."""
+    at = neighbours(edges_at(edges, seeds.select("entity_id")), seeds).drop("seed_id", "hops").distinct()
     ids = at.select(F.col("source_id").alias("entity_id")).union(at.select("target_id")).union(seeds.select("entity_id")).distinct()
     return nodes.join(ids, "entity_id", "left_semi"), at
 

@@ -147,6 +147,22 @@ def test_lsh_shuffles_no_candidates(spark, monkeypatch):
     assert len(rows) == 3 * 43 and sorted(map(tuple, ann.lsh_knn(asked, df, 3, bits=2).collect())) == rows
 
 
+def test_neighbourhood_merges_edges_at_seeds_alone(spark, monkeypatch):
+    monkeypatch.setattr(P, "_STORED", {})
+    every = P.edges(spark, SF).where("source_id in ('N1', 'N2') or target_id in ('N1', 'N2')")
+    want = {("edge", r.source_id, r.relation, r.target_id) for r in every.collect()}
+    ids = {x for r in want for x in (r[1], r[3])} | {"N1", "N2"}
+    want |= {("node", r.entity_id, r.name, r.type) for r in P.nodes(spark, SF).collect() if r.entity_id in ids}
+    monkeypatch.setattr(P, "_STORED", {})
+
+    def none(*_):
+        raise AssertionError("all edges were merged")
+
+    monkeypatch.setattr(P, "_merged", none)
+    got = [tuple(r) for r in QUERIES["neighbourhood_graph"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_hybrid_queries_merge_edges_at_nations_and_tried_nodes_alone(spark, monkeypatch):
     monkeypatch.setattr(P, "_STORED", {})
 
