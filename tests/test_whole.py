@@ -92,3 +92,32 @@ def test_streams_give_open_windows_too(spark):
 def test_three_hop_gives_each_path(spark):
     found = [(r.node_1, r.relation_1, r.node_2, r.relation_2, r.node_3, r.relation_3) for r in run(spark, "three_hop")]
     assert len(found) == len(set(found)) > 0
+
+
+def test_threshold_sweep_counts_all_pairs(spark, monkeypatch):
+    import numpy as np
+    from skerry.operators import ann
+
+    own = rows(spark, "embeddings")
+    x, label = np.array([r.embedding for r in own], float), np.array([r.label for r in own])
+    norm = np.linalg.norm(x, axis=1)
+    score, same, pair = x @ x.T / np.outer(norm, norm), label[:, None] == label[None, :], ~np.eye(len(own), dtype=bool)
+    want = {}
+    for t in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7):
+        want[t] = tuple(int(np.sum(v & pair)) for v in ((score >= t) & same, (score >= t) & ~same, (score < t) & same))
+    assert sum(want[0.1]) > len(own) ** 2 / 20
+    for block in (ann.BLOCK, 9):
+        monkeypatch.setattr(ann, "BLOCK", block)
+        assert {r.threshold: (r.correct, r.wrong, r.missed) for r in run(spark, "threshold_sweep")} == want
+
+
+def test_threshold_counts_of_odd_vectors(spark):
+    """Zero, null, missing and infinite components as the SQL has them; pairs at a threshold count as over it."""
+    from skerry.operators import ann
+
+    odd = [(0, [3.0, 4.0], 0), (1, [5.0, 0.0], 0), (2, [0.0, 0.0], 0), (3, None, 0), (4, [None, 1.0], 1), (5, [2.0], 0), (6, [1.0, 0.0], None), (None, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(odd, "vec_id long, embedding array<double>, label int")
+    got = {r.threshold: (r.correct, r.wrong, r.missed) for r in ann.threshold_counts(df, "label", [0.6, 0.7]).collect()}
+    # of a label: 0-1 and 0-5 are 0.6, 1-5 is 1, those with 2 are not a number; 4 is 0.8 from 0, 0 from 1, not a number from 2, nothing from 5
+    assert got == {0.6: (12, 4, 0), 0.7: (8, 4, 4)}
+    assert ann.threshold_counts(df.where("vec_id = 0"), "label", [0.6]).collect() == []
