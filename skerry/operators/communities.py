@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small
+
+#: Links that a block has about, each way counted; whole numbers of nodes of which so many in a row stay together; rounds that are one plan.
+BLOCK, STRIPE, TOGETHER = 1_000_000, 4096, 5
 
 
 def undirected(links: DataFrame) -> DataFrame:
@@ -15,28 +23,115 @@ def undirected(links: DataFrame) -> DataFrame:
     return one.unionByName(links.select(F.col(y).alias("a"), F.col(x).alias("b"))).where("a <> b").distinct()
 
 
-def label_propagation(links: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, label) after so many rounds; fewer if a round changes nothing.
+def blocks(links: DataFrame) -> DataFrame:
+    """(block, a, b): links given by their first two columns, both ways, without loops, dealt to blocks; repeated links are still there, in one block.
+
+    A block has the links of some stripes of nodes: of STRIPE whole numbers in a row, as neighbours of near numbers are often the same, or of equal
+    hashes. A stripe of more than BLOCK links goes to blocks of its own, below 0, by the other end. As Spark uses an exchange again, links are
+    shuffled once for all that a plan does with them.
+    """
+    if links.columns == ["block", "a", "b"]:
+        return links
+    x, y = (F.col(c) for c in links.columns[:2])
+    ways = F.explode(F.array(F.struct(x.alias("a"), y.alias("b")), F.struct(y.alias("a"), x.alias("b"))))
+    both = links.where(x != y).select(ways.alias("_w")).select("_w.a", "_w.b")
+    whole = both.schema["a"].dataType.typeName() in ("byte", "short", "integer", "long")
+    both = both.withColumn("_s", F.floor(F.col("a") / STRIPE) if whole else F.pmod(F.xxhash64("a"), F.lit(1 << 16)))
+    sizes = cut(both.groupBy("_s").agg(F.count("*").alias("n")))
+    some = max(1, -(-(sizes.agg(F.sum("n").alias("n")).first().n or 0) // BLOCK))
+    heavy = small(sizes.where(F.col("n") > BLOCK).select("_s", F.ceil(F.col("n") / F.lit(BLOCK)).alias("_k")))
+    apart = -1 - F.pmod(F.xxhash64("_s", F.pmod(F.xxhash64("b"), F.col("_k"))), F.lit(1 << 40))
+    block = F.when(F.col("_k").isNull(), F.pmod(F.xxhash64("_s"), F.lit(some))).otherwise(apart)
+    return both.join(heavy, "_s", "left").select(block.alias("block"), "a", "b").repartition("block")
+
+
+def _needed(dealt: DataFrame, *ends: str) -> DataFrame:
+    """(block, node): the nodes at these ends of a block's links, once each."""
+
+    def distinct(table: pa.Table) -> pa.Table:
+        nodes = pa.chunked_array([c for e in ends for c in table[e].chunks], table["a"].type).unique()
+        return pa.table({"block": pa.repeat(table["block"][0], len(nodes)), "node": nodes})
+
+    return dealt.groupBy("block").applyInArrow(distinct, f"block long, node {dealt.schema['a'].dataType.simpleString()}")
+
+
+def _codes(*columns: pa.ChunkedArray) -> tuple[list[np.ndarray], pa.Array]:
+    """Each column as numbers of values, and the values."""
+    found = pa.chunked_array([c for x in columns for c in x.chunks], columns[0].type).combine_chunks().dictionary_encode()
+    return np.split(found.indices.to_numpy().astype(np.int64), np.cumsum([len(x) for x in columns])[:-1]), found.dictionary
+
+
+def _counted(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in order, and how often each is there."""
+    numbers = np.sort(numbers)
+    first = np.flatnonzero(np.diff(numbers, prepend=numbers[:1] - 1))
+    return numbers[first], np.diff(np.append(first, len(numbers)))
+
+
+def _labelled(links: pa.Table, sent: pa.Table):
+    """A block's links once each as numbers of nodes, the nodes, the number of each node's label (-1 without) and the labels, in their order."""
+    (a, b, node), nodes = _codes(links["a"], links["b"], sent["node"])
+    (label,), labels = _codes(sent["label"])
+    order = pc.sort_indices(labels).to_numpy().astype(np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    of = np.full(len(nodes), -1)
+    of[node] = place[label]
+    pair, _ = _counted(a * len(nodes) + b)
+    return pair // len(nodes), pair % len(nodes), nodes, of, labels.take(pa.array(order))
+
+
+def label_propagation(links: DataFrame, rounds: int = 5, name: Callable[[Column], Column] = lambda node: node) -> DataFrame:
+    """(node, label) after so many rounds, of links or of their blocks().
 
     All nodes start with their own name and vote at once: each takes the label that most neighbours have, of equals the
-    least. Votes are counted by node and label before they are compared, so a hub's neighbours are never gathered.
+    least. A round sends a node's label once to each block that has a neighbour, not along each link; a node's votes are counted in
+    its block, those of a stripe in several blocks once more, so a hub's neighbours are never gathered. With nodes as numbers, `name` makes the labels.
     """
-    both = cut(undirected(links))
-    labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
-        won = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("less"), "label")).alias("m"))
-        now = cut(labels.withColumnRenamed("label", "was").join(won.select(F.col("a").alias("node"), "m.label"), "node"))
-        labels = now.select("node", "label")
-        if now.where("label <> was").isEmpty():
-            break
-    return labels
+    dealt = blocks(links)
+    needed = _needed(dealt, "b")
+    start = needed.withColumn("label", name(F.col("node")))
+    kinds = [d.dataType.simpleString() for d in (start.schema["node"], start.schema["label"])]
+
+    def votes(links: pa.Table, sent: pa.Table) -> pa.Table:
+        a, b, nodes, of, labels = _labelled(links, sent)
+        there, some = of[b] >= 0, max(1, len(labels))
+        k, n = _counted(a[there] * some + of[b[there]])
+        a, label = k // some, k % some
+        if len(a) and links["block"][0].as_py() >= 0:  # all votes are here
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            most = np.flatnonzero(n == np.repeat(np.maximum.reduceat(n, first), np.diff(np.append(first, len(a)))))
+            won = most[np.concatenate([[True], a[most][1:] != a[most][:-1]])]
+            a, label, n = a[won], label[won], n[won]
+        return pa.table({"node": nodes.take(pa.array(a)), "label": labels.take(pa.array(label)), "n": pa.array(n, pa.int64())})
+
+    labels = None
+    for step in range(1, rounds + 1):
+        sent = start if labels is None else needed.join(labels, "node").select("block", "node", "label")
+        counted = dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(votes, f"node {kinds[0]}, label {kinds[1]}, n long")
+        counted = counted.repartition("node").groupBy("node", "label").agg(F.sum("n").alias("n"))
+        won = counted.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("less"), "label")).alias("m"))
+        labels = won.select("node", F.col("m.label").alias("label"))
+        if step % TOGETHER == 0 and step < rounds:
+            labels = cut(labels)
+    return labels if labels is not None else start.select("node", "label").distinct()
 
 
 def modularity(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: the share of links inside communities less what degrees alone would give."""
-    both = undirected(links).join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-    by = both.groupBy("x").agg(F.count("*").alias("degree"), F.count_if(F.col("x") == F.col("y")).alias("inside"))
+    """One row: the share of links inside communities less what degrees alone would give, of links or of their blocks(), labels being sent to these."""
+    dealt = blocks(links)
+    sent = _needed(dealt, "a", "b").join(labels.select("node", "label"), "node").select("block", "node", "label")
+
+    def counts(links: pa.Table, sent: pa.Table) -> pa.Table:
+        a, b, _, of, labels = _labelled(links, sent)
+        x, y = of[a], of[b]
+        x, y = x[(x >= 0) & (y >= 0)], y[(x >= 0) & (y >= 0)]
+        degree, inside = np.bincount(x, minlength=len(labels)), np.bincount(x[x == y], minlength=len(labels))
+        seen = np.flatnonzero(degree)
+        return pa.table({"x": labels.take(pa.array(seen)), "degree": degree[seen], "inside": inside[seen]})
+
+    both = dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(counts, f"x {labels.schema['label'].dataType.simpleString()}, degree long, inside long")
+    by = both.groupBy("x").agg(F.sum("degree").alias("degree"), F.sum("inside").alias("inside"))
     total = by.agg(F.sum("degree").alias("m"))
     return by.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inside") / F.col("m") - F.pow(F.col("degree") / F.col("m"), F.lit(2))).alias("modularity"))  # one row
 

@@ -1,5 +1,6 @@
 """Steps that must not gather, store or shuffle more than a query needs, each beside a plain version."""
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skerry.plans.registry import QUERIES  # before plans.graph, which it imports
 
-from skerry.operators import ann, evaluate, overlap
+from skerry.operators import ann, communities, evaluate, overlap
 from skerry.operators import graph as G
 from skerry.operators import hybrid as H
 from skerry.plans import graph as P
@@ -179,3 +180,50 @@ def test_edges_at_nodes_are_those_of_all_edges(spark):
     plain = lambda df: sorted((r.source_id, r.relation, r.target_id, tuple(r.chunk_ids), r.confidence) for r in df.collect())
     assert plain(P.edges_at(spark, SF)(ids)) == plain(every) and every.count() > 50
     assert P.edges_at(spark, SF)(ids.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("block, stripe", [(2_000_000, 8192), (40, 4), (7, 1)])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_labels_go_to_blocks_and_links_are_not_stored(spark, monkeypatch, block, stripe, kind):
+    """Of a hub whose links are in several blocks, repeated links, loops and nulls, labels are as by hand; what is written are stripes' sizes alone."""
+    written, cut = [], communities.cut
+
+    def watched(df):
+        out = cut(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(communities, "BLOCK", block)
+    monkeypatch.setattr(communities, "STRIPE", stripe)
+    monkeypatch.setattr(communities, "cut", watched)
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 30, (70, 2))] + [(40, i) for i in range(30)] + [(7, 7), (50, 51), (51, 50)]
+    make = int if kind == "long" else "n{}".format
+    pairs = [(make(a), make(b)) for a, b in pairs]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    label = {n: str(n) for n in near}
+    for _ in range(3):
+        votes = {n: Counter(label[m] for m in near[n]) for n in near}
+        label = {n: min(votes[n], key=lambda x: (-votes[n][x], x)) for n in near}
+    links = communities.blocks(spark.createDataFrame([*pairs, *pairs[:20], (None, make(3))], f"x {kind}, y {kind}"))
+    found = communities.label_propagation(links, 3, lambda node: node.cast("string"))
+    assert {r.node: r.label for r in found.collect()} == label and found.count() == len(label)
+    m, inside, degree = sum(map(len, near.values())), Counter(), Counter()
+    for n, others in near.items():
+        degree[label[n]] += len(others)
+        inside[label[n]] += sum(label[k] == label[n] for k in others)
+    one = communities.modularity(links, found)
+    assert one.collect()[0].modularity == pytest.approx(sum(inside[c] / m - (degree[c] / m) ** 2 for c in degree))
+    assert [c for c, _ in written] == [["_s", "n"]]
+    sent = [x for x in _plan(one).split("Initial Plan")[0].splitlines() if "Exchange hashpartitioning(block" in x and "REPARTITION_BY_COL" in x]
+    assert len([x for x in sent if "ReusedExchange" not in x]) == 1 < len(sent)  # the links are shuffled once
+
+
+def test_ids_of_numbered_links(spark):
+    want = {tuple(r) for r in P.ends(spark, SF, "SUPPLIES", "LOCATED_IN", "IN_REGION").distinct().collect()}
+    got = P._numbered_links(spark, SF).select(P._id(F.col("source_id")), P._id(F.col("target_id"))).distinct().collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
