@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, small
+from ..session import cut, small, stored
 from .store import top_n_per
 
 
-#: Sources of one target that neighbour_jaccard() pairs in one place, and pairs that it counts at once.
-PIECE, PAIRS = 512, 4_000_000
+#: In neighbour_jaccard(), sources of a target that are in one list, pairs that are made out at once, and of a stripe in one place; numbers in a stripe.
+PIECE, PAIRS, PLACE, STRIPE = 512, 4_000_000, 8_000_000, 512
 
 
 def merge_edges(assertions: DataFrame) -> DataFrame:
@@ -227,52 +227,154 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def neighbour_jaccard(edges: DataFrame, relation: str) -> DataFrame:
-    """(left_id, right_id, similarity) of sources that share targets of a relation.
+    """(left_id, right_id, similarity) of sources that share targets of a relation, by edges that may repeat.
 
-    Sources are numbered. A target's sources are cut into pieces of at most PIECE; each piece meets itself and those
-    after it, so a hub's pairs are many tasks' work. A task counts its pairs before they are shuffled, PAIRS of them at once.
+    A source is a number, its own id if that is whole and not too large, with the number of its targets in the last bits. Sources are in stripes of near
+    numbers; a target's list goes once to each stripe that it has sources of, from the first of these on. There a source's whole
+    row of pairs is counted, so that no pair is shuffled. A stripe of more than about PLACE pairs is several places' work, by the larger number of a pair. A
+    target's sources are in lists of about PIECE, of which each meets itself and those after it. A target that is null counts, but is not shared.
     """
-    e = edges.where(F.col("relation") == relation).where("source_id is not null and target_id is not null").select("source_id", "target_id").distinct()
-    size = e.groupBy("source_id").agg(F.count("*").alias("n"))
-    numbered = cut(size.withColumn("s", F.monotonically_increasing_id()))
-    piece = F.pmod(F.xxhash64("s"), F.ceil(F.col("_k") / F.lit(PIECE))).cast("int")
-    known = e.join(numbered.select("source_id", "s"), "source_id").select("target_id", "s")
-    many = known.groupBy("target_id").agg(F.count("*").alias("_k")).where(F.col("_k") > PIECE)
-    dealt = known.join(many, "target_id", "left").withColumn("p", F.coalesce(piece, F.lit(0)))
-    lists = dealt.groupBy("target_id", "p", "_k").agg(F.collect_list("s").alias("x"))  # about PIECE of them
-    crowded = cut(lists.where("_k is not null"))
-    hub = crowded.select("target_id", "p", "x").join(crowded.select("target_id", F.col("p").alias("_q"), F.col("x").alias("y")), "target_id").where("p <= _q")
-    blocks = lists.where("_k is null").select("x", F.lit(None).cast("array<long>").alias("y")).unionByName(hub.select("x", F.when(F.col("p") < F.col("_q"), F.col("y")).alias("y")))
-
-    def count(batches):
-        held, n = [], 0
+    e = edges.where(F.col("relation") == relation).where("source_id is not null").select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))
+    known = e.groupBy("s").agg(F.count("*").alias("n")).agg(F.min("s").alias("least"), F.max("s").alias("most"), F.max("n").alias("n"), F.count("*").alias("sources")).first()
+    bits, names = (known.n or 1).bit_length(), None
+    whole = e.schema["s"].dataType.typeName() in ("byte", "short", "integer", "long")
+    if not whole or known.sources and (known.least < 0 or int(known.most).bit_length() + bits > 62):
+        names = cut(e.select("s").distinct().withColumn("_i", F.monotonically_increasing_id()))
+        at, row = F.shiftright("_i", 33), F.col("_i").bitwiseAND((1 << 33) - 1)
+        size = names.agg(F.max(at).alias("p"), F.max(row).alias("r")).first()
+        if size.r is not None and ((size.p + 1) * (size.r + 1)).bit_length() + bits > 62:
+            raise ValueError("too many sources and targets to be numbered")
+        names = names.select("s", (row * (size.p or 0) + row + at).alias("i"))
+        e = e.join(names, "s").select(F.col("i").alias("s"), "t")
+    counted = e.repartition("s").distinct().withColumn("n", F.count("*").over(Window.partitionBy("s")))
+    coded = counted.where("t is not null").select("t", F.shiftleft(F.col("s").cast("long"), bits).bitwiseOR(F.col("n")).alias("c")).repartition("t")
+    piece = F.pmod(F.xxhash64("c"), F.ceil(F.col("k") / F.lit(PIECE))).cast("int")
+    lists = coded.withColumn("k", F.count("*").over(Window.partitionBy("t"))).where("k > 1").withColumn("p", piece)
+    lists = stored(lists.groupBy("t", "p", "k").agg(F.sort_array(F.collect_list("c")).alias("x")))
+    pairs = lists.agg(F.sum(F.col("k").cast("double") * F.size("x")).alias("w")).first().w or 0.0
+    shift = bits + max(0, min(STRIPE, int(PLACE * known.sources / max(pairs, 1.0))).bit_length() - 1)  # a stripe has PLACE pairs at most, if all are alike
+    load = lists.select(F.explode("x").alias("c"), "k").groupBy(F.shiftright("c", shift).alias("g")).agg(F.sum(F.col("k") / 2).alias("w"))
+    places = {r.g: int(-(-r.w // PLACE)) for r in load.where(F.col("w") > PLACE).collect()}  # the crowded ones alone
+    crowded = lists.where(F.col("k") > PIECE).select("t", "p", "x")
+    hub = crowded.join(crowded.select("t", F.col("p").alias("q"), F.col("x").alias("y")), "t").where("p < q").select("x", "y")
+    met = lists.select("x", F.lit(None).cast("array<long>").alias("y")).unionByName(hub)
+    found = met.mapInArrow(_to_stripes(shift, places), "g long, j int, own int, c array<long>").groupBy("g", "j").applyInArrow(_pairs_of_place(bits), "a long, b long, similarity double")
+    if names is None:
+        kind = edges.schema["source_id"].dataType
+        return found.select(F.col("a").cast(kind).alias("left_id"), F.col("b").cast(kind).alias("right_id"), "similarity")
+    named = found.join(names.select(F.col("i").alias("a"), F.col("s").alias("_a")), "a").join(names.select(F.col("i").alias("b"), F.col("s").alias("_b")), "b")
+    return named.select(F.least("_a", "_b").alias("left_id"), F.greatest("_a", "_b").alias("right_id"), "similarity")
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1 and so on, `size` of them, for each."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
+def _portions(size: np.ndarray, most: int):
+    """Slices whose sizes are about `most` together, or one alone."""
+    cut = np.searchsorted(np.cumsum(size), np.arange(most, size.sum() + most, most), "right").tolist()
+    edges = sorted({0, *cut, len(size)})
+    return [slice(a, b) for a, b in zip(edges, edges[1:])]
+
+
+def _to_stripes(shift: int, places: dict[int, int]):
+    """Of lists of sources (x, y, of which y may be null), rows for stripes: the stripe, its place, how many codes are its own, and the codes.
+
+    Own ones come first, the others follow. Of y null, own ones meet each other and all others; their number is negative if
+    they meet larger others alone.
+    """
+    many = np.array(sorted(places), np.int64)
+
+    def across(own, other):
+        stripe = own >> shift
+        for at in np.split(np.arange(len(own)), np.flatnonzero(np.diff(stripe)) + 1):
+            mine, g = own[at], int(stripe[at[0]])
+            over, k = other[np.searchsorted(other, mine[0], "right") :], places.get(g, 1)
+            place = (over * 0x9E3779B1 >> 13) % k if k > 1 else np.zeros(len(over), np.int64)
+            for j in range(k):
+                if (place == j).any():
+                    yield g, j, -len(mine), np.concatenate([mine, over[place == j]])
+
+    def rows(found):
+        found = list(found)
+        if found:
+            g, j, own, codes = zip(*found)
+            ends = np.cumsum([0, *map(len, codes)])
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(j, pa.int32()), pa.array(own, pa.int32()), _listed(ends, np.concatenate(codes))], ["g", "j", "own", "c"])
+
+    def run(batches):
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1)):
-                x = x.values.to_numpy()
-                if y.is_valid:
-                    y = y.values.to_numpy()
-                    a, b = np.repeat(x, len(y)), np.tile(y, len(x))
-                else:
-                    i, j = np.triu_indices(len(x), 1)
-                    a, b = x[i], x[j]
-                held.append((np.minimum(a, b), np.maximum(a, b)))
-                n += len(a)
-                if n >= PAIRS:
-                    yield counted(held)
-                    held, n = [], 0
-        if n:
-            yield counted(held)
-
-    def counted(held):
-        a, b = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(np.diff(np.append(at, len(a))))], ["a", "b", "c"])
-
-    met = blocks.mapInArrow(count, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("common"))
-    sized = met.join(numbered.select(F.col("s").alias("a"), F.col("source_id").alias("_a"), F.col("n").alias("x")), "a").join(numbered.select(F.col("s").alias("b"), F.col("source_id").alias("_b"), F.col("n").alias("y")), "b")
-    return sized.select(F.least("_a", "_b").alias("left_id"), F.greatest("_a", "_b").alias("right_id"), (F.col("common") / (F.col("x") + F.col("y") - F.col("common"))).alias("similarity"))
+            x, y = batch.column(0), batch.column(1)
+            size = x.value_lengths().to_numpy().astype(np.int64)
+            for part in _portions(size * size, PAIRS):
+                codes, end = x.slice(part.start, part.stop - part.start).flatten().to_numpy(), np.cumsum(size[part])
+                alone = np.repeat(y.slice(part.start, part.stop - part.start).is_null().to_numpy(zero_copy_only=False), size[part])
+                of, stripe = np.repeat(np.arange(len(end)), size[part]), codes >> shift
+                new = np.ones(len(codes), bool)
+                new[1:] = (of[1:] != of[:-1]) | (stripe[1:] != stripe[:-1])
+                first = np.flatnonzero(new)
+                own, last = np.diff(np.append(first, len(codes))), end[of[first]]
+                plain = alone[first] & (last - first > 1)
+                crowd = plain & np.isin(stripe[first], many)
+                for f, m, e in zip(first[crowd].tolist(), own[crowd].tolist(), last[crowd].tolist()):
+                    yield from rows(across(codes[f : f + m], codes[f:e]))
+                plain &= ~crowd
+                f, m, n = first[plain], own[plain], (last - first)[plain]
+                if len(f):
+                    ends = np.append(0, np.cumsum(n))
+                    yield pa.RecordBatch.from_arrays([pa.array(stripe[f]), pa.array(np.zeros(len(f), np.int32)), pa.array(m.astype(np.int32)), _listed(ends, codes[_ranges(f, n)])], ["g", "j", "own", "c"])
+            for i in np.flatnonzero(y.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                one, two = x[i].values.to_numpy(), y[i].values.to_numpy()
+                yield from rows(across(one, two))
+                yield from rows(across(two, one))
+
+    return run
+
+
+def _listed(ends: np.ndarray, codes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(codes))
+
+
+def _pairs_of_place(bits: int):
+    """The pairs that meet in one place of a stripe, with their similarity."""
+
+    def merged(keys, counts):
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+        return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+    def counted(keys):
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+        return keys[first], np.diff(np.append(first, len(keys)))
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table["own"].to_numpy().astype(np.int64)
+        lists = table["c"].combine_chunks()
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        codes = lists.flatten().to_numpy()
+        known, _ = counted(codes)
+        at, end, mine = np.searchsorted(known, codes), np.cumsum(size), np.abs(own)
+        # each own source with what it meets: those after it in its list, or all others there
+        left = _ranges(end - size, mine)
+        of = np.repeat(np.arange(len(own)), mine)
+        right = np.where(own[of] > 0, left + 1, (end - size + mine)[of])
+        meets, held, n = end[of] - right, [], 0
+        for part in _portions(meets, PAIRS):
+            a, b = np.repeat(at[left[part]], meets[part]), at[_ranges(right[part], meets[part])]
+            held.append(counted((a * len(known) + b)[a < b]))
+            n += len(held[-1][0])
+            if n > 2 * PAIRS:
+                held = [merged(*map(np.concatenate, zip(*held)))]
+                n = 0
+        keys, common = merged(*map(np.concatenate, zip(*held))) if held else (np.empty(0, np.int64),) * 2
+        a, b = known[keys // max(1, len(known))], known[keys % max(1, len(known))]
+        x, y = (v & ((1 << bits) - 1) for v in (a, b))
+        return pa.table({"a": a >> bits, "b": b >> bits, "similarity": common / (x + y - common)})
+
+    return run
 
 
 #: The closed library: names that a caller may ask for.

@@ -227,3 +227,29 @@ def test_ids_of_numbered_links(spark):
     want = {tuple(r) for r in P.ends(spark, SF, "SUPPLIES", "LOCATED_IN", "IN_REGION").distinct().collect()}
     got = P._numbered_links(spark, SF).select(P._id(F.col("source_id")), P._id(F.col("target_id"))).distinct().collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("piece, pairs, place, stripe", [(512, 4_000_000, 8_000_000, 512), (4, 7, 20, 4), (3, 50, 5, 1), (512, 9, 30, 8)])
+@pytest.mark.parametrize("make", [lambda i: 3 * i, lambda i: i + (1 << 61), lambda i: i - 5, "s{}".format], ids=["whole", "large", "negative", "string"])
+def test_neighbour_jaccard_shuffles_no_pairs(spark, monkeypatch, piece, pairs, place, stripe, make):
+    """Of hubs, crowded stripes, repeated edges and ids of all kinds; a null target counts for its source."""
+    for name, value in (("PIECE", piece), ("PAIRS", pairs), ("PLACE", place), ("STRIPE", stripe)):
+        monkeypatch.setattr(G, name, value)
+    of = {i: {"hub"} | {f"t{i % 3}", f"u{i % 5}"} for i in range(19)} | {19: {"other", None}, 20: {"u1", None, "t2"}, 21: {None}}
+    ids = {i: make(i) for i in of}
+    rows = [(ids[s], "R", t) for s, ts in of.items() for t in ts] * 2 + [(None, "R", "hub"), (ids[19], "Q", "hub")]
+    edges = spark.createDataFrame(rows, f"source_id {'string' if make(0) == 's0' else 'long'}, relation string, target_id string")
+    want = {}
+    for a, b in combinations(of, 2):
+        if both := (of[a] & of[b]) - {None}:
+            want[tuple(sorted((ids[a], ids[b])))] = len(both) / (len(of[a]) + len(of[b]) - len(both))
+    found = G.neighbour_jaccard(edges, "R")
+    got = found.collect()
+    assert len(got) == len(want) and {(r.left_id, r.right_id): r.similarity for r in got} == want
+    if make(0) == 0:  # others get their ids back by joins
+        assert "hashpartitioning(a#" not in _plan(found) and "Join" not in _plan(found).split("Union")[0]
+
+
+def test_neighbour_jaccard_without_edges(spark):
+    for kind in ("long", "string"):
+        assert G.neighbour_jaccard(spark.createDataFrame([], f"source_id {kind}, relation string, target_id string"), "R").collect() == []
